@@ -11,7 +11,9 @@ of the input stay, but those of the result replace columns of the same name. Emp
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +41,13 @@ WORD_RUNS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def padded_words(text: Column) -> Column:
-    """Lower-cased words, each between two blanks, so that neighbouring phrases never share a blank: " a  b "."""
-    return lower_az(F.concat(F.lit(" "), F.regexp_replace(F.trim(F.regexp_replace(text, SEPARATORS, " ")), " ", "  "), F.lit(" ")))
+    """Lower-cased words, each between two blanks, so that neighbouring phrases never share a blank: " a  b ".
+
+    Only A-Z matter, as all phrases are ASCII; lower() is the quick way, and the one non-ASCII character that it would
+    turn into an ASCII word character, the Kelvin sign, takes the exact way.
+    """
+    words = F.concat(F.lit(" "), F.replace(F.trim(F.regexp_replace(text, SEPARATORS, " ")), F.lit(" "), F.lit("  ")), F.lit(" "))
+    return F.when(text.contains("\u212a"), lower_az(words)).otherwise(F.lower(words))
 
 
 def _padded(phrase: str) -> str:
@@ -94,37 +101,37 @@ def license_scan(
     for name in templates:
         needed[name] = len({w for w, _, t, _ in index if t == name})
 
-    spaced = padded_words(F.col("text"))
-    has = F.lit(False)
-    for p in phrases:
-        has = has | F.col("_spaced").contains(_padded(p))
-    spaced_words = F.split(F.trim(F.col("_spaced")), " +")
-    empty = F.array().cast("array<long>")
+    spaced = F.coalesce(padded_words(F.col("text")), F.lit(""))
+    none = F.array().cast("array<long>")
+    held = F.array(*[F.lit(w) for w in rare_first]) if rare_first else F.array().cast("array<string>")
 
-    def all_starts(words: Column) -> Column:
-        return F.flatten(F.array(*[F.when(F.col("_spaced").contains(_padded(p)), _starts(words, p)).otherwise(empty) for p in phrases]))
+    def named(flags: list[Column]) -> Column:
+        return F.array_sort(F.array_distinct(F.filter(F.array(*flags), lambda x: x.isNotNull())))
 
-    keyed = docs.withColumn("_key", row_key(id_col, "text")).withColumn("_spaced", F.coalesce(spaced, F.lit("")))
-    base = keyed.withColumn("_all", F.when(has, once(spaced_words, all_starts)))
-    n_words = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD_RUNS)), F.lit(0)).cast("long")
-    base_labels = F.array_sort(F.array_distinct(F.filter(
-        F.array(*[F.when(F.col("_spaced").contains(_padded(p)), F.lit(label)) for p, label in phrases.items()]), lambda x: x.isNotNull()
-    )))
+    def base_facts(text: Column) -> Column:
+        has = [text.contains(_padded(p)) for p in phrases]
+        words = F.split(F.trim(text), " +")
+        starts = F.when(reduce(or_, has), once(words, lambda ws: F.flatten(F.array(*[F.when(h, _starts(ws, p)).otherwise(none) for h, p in zip(has, phrases)]))))
+        return F.struct(starts.alias("starts"), named([F.when(h, F.lit(label)) for h, label in zip(has, phrases.values())]).alias("labels"))
 
-    held = F.array(*[F.lit(w) for w in rare_first]) if rare_first else F.array().cast("array<string>")
-    keys_found = F.array(*[F.when(F.col("_spaced").contains(_padded(k)), F.lit(name)) for name, (_, k) in templates.items()])
+    def votes_cast(text: Column) -> Column:
+        verified = named([F.when(text.contains(_padded(k)), F.lit(name)) for name, (_, k) in templates.items()])
 
-    def places(words: Column) -> Column:
-        def of_mine(mine: Column) -> Column:
+        def of_mine(words: Column, mine: Column) -> Column:
             marked = F.transform(words, lambda w, i: F.when(F.array_contains(mine, w), F.struct(w.alias("word"), i.alias("at"))))
             return F.filter(marked, lambda x: x.isNotNull())
 
-        return once(F.slice(F.array_intersect(held, words), 1, per_document), of_mine)
+        def places(words: Column) -> Column:
+            return once(F.slice(F.array_intersect(held, words), 1, per_document), lambda mine: of_mine(words, mine))
+
+        return once(verified, lambda names: F.when(F.size(names) > 0, F.struct(names.alias("names"), once(F.split(F.trim(text), " +"), places).alias("places"))))
 
+    keyed = docs.withColumn("_key", row_key(id_col, "text"))
+    base = keyed.withColumn("_facts", once(spaced, base_facts))
+    n_words = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD_RUNS)), F.lit(0)).cast("long")
     placed = (
-        keyed.select("_key", "_spaced", F.filter(keys_found, lambda x: x.isNotNull()).alias("_names"))
-        .filter(F.size("_names") > 0)
-        .select("_key", "_names", F.explode(once(spaced_words, places)).alias("p"))
+        keyed.select("_key", once(spaced, votes_cast).alias("c"))
+        .select("_key", F.col("c.names").alias("_names"), F.explode("c.places").alias("p"))
         .select("_key", "_names", "p.word", "p.at")
     )
     postings = docs.sparkSession.createDataFrame([(w, t, i, needed[t]) for w, _, t, i in index], "word string, name string, place int, needed int")
@@ -136,10 +143,7 @@ def license_scan(
         .filter(F.col("votes") >= F.col("needed"))
         .groupBy("_key").agg(F.collect_set("name").alias("_found"))  # at most one name for each template
     )
-    out = (
-        base.withColumn("_n", n_words).withColumn("_base", base_labels).drop("_spaced")
-        .join(votes, "_key", "left")
-    )
+    out = base.withColumn("_n", n_words).join(votes, "_key", "left").withColumn("_all", F.col("_facts.starts")).withColumn("_base", F.col("_facts.labels"))
     found = F.coalesce("_found", F.array().cast("array<string>"))
     return (
         out.withColumn("n_words", F.col("_n"))
@@ -149,5 +153,5 @@ def license_scan(
         .withColumn("base_labels", F.array_join("_base", ","))
         .withColumn("labels", F.array_join(F.array_sort(F.array_union("_base", found)), ","))
         .withColumn("score", F.when(F.size(found) > 0, 1.0).when(F.size("_base") > 0, 0.6).otherwise(0.0))
-        .drop("_key", "_n", "_base", "_all", "_found")
+        .drop("_key", "_n", "_facts", "_base", "_all", "_found")
     )
