@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_round_trip
 from .common import table
+from .decontam import decontaminate
 from .licenses import PHRASES, TEMPLATES, license_scan
 from .urlrep import MAX_STRENGTH, MIN_STRENGTH, RULES, WIDE_SUFFIXES, url_filter
 
@@ -93,5 +95,41 @@ SELECT page_id, named.host, path, rule, coalesce(ruled, CASE WHEN bound > 0.5 TH
 FROM named JOIN bound ON bound.host = named.host"""
 
 
-QUERIES = {"op8_license_scan": op8_license_scan, "op10_url_filter": op10_url_filter}
-SQL = {"op8_license_scan": _op8_sql(), "op10_url_filter": _op10_sql()}
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.size("hit_spans") > 0).alias("contaminated"),
+    )
+
+
+_OP1_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({SQL_LOWER.format("coalesce(text, '')")}, '{WORD_PATTERN}') AS ws FROM documents),
+items AS (SELECT item_id, regexp_extract_all({SQL_LOWER.format("text")}, '{WORD_PATTERN}') AS ws FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+sized AS (SELECT item_id, ws, least(10, len(ws)) AS m FROM items WHERE len(ws) > 0),
+win AS (SELECT DISTINCT item_id, m, ws[i + 1 : i + m] AS w FROM (SELECT item_id, ws, m, unnest(range(0, len(ws) - m + 1)) AS i FROM sized)),
+lens AS (SELECT DISTINCT m FROM win),
+grams AS (SELECT rid, m, i, ws[i + 1 : i + m] AS w FROM (SELECT rid, ws, m, unnest(range(0, len(ws) - m + 1)) AS i FROM docs, lens WHERE len(ws) >= m)),
+occ AS (SELECT rid, item_id, i, g.m FROM grams g JOIN win USING (m, w)),
+hits AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + m)) AS p FROM (SELECT DISTINCT rid, i, m FROM occ)) GROUP BY rid),
+its AS (SELECT rid, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT rid, item_id::VARCHAR AS s FROM occ) GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (rid) LEFT JOIN its USING (rid)"""
+
+
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe_round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op5_bpe_round_trip": op5_bpe_round_trip, "op8_license_scan": op8_license_scan, "op10_url_filter": op10_url_filter}
+SQL = {"op1_decontaminate": _OP1_SQL, "op8_license_scan": _op8_sql(), "op10_url_filter": _op10_sql()}
