@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import langid, toxicity
 from .bpe import bpe_round_trip
+from .chunkprint import fingerprints
 from .common import table
 from .decontam import decontaminate
+from .langid import held_out
 from .licenses import PHRASES, TEMPLATES, license_scan
 from .urlrep import MAX_STRENGTH, MIN_STRENGTH, RULES, WIDE_SUFFIXES, url_filter
 
@@ -131,5 +134,22 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op5_bpe_round_trip": op5_bpe_round_trip, "op8_license_scan": op8_license_scan, "op10_url_filter": op10_url_filter}
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    judged = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
+    return judged.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op4_fingerprints": op4_fingerprints, "op7_toxicity": op7_toxicity, "op9_language_id": op9_language_id, "op1_decontaminate": op1_decontaminate, "op5_bpe_round_trip": op5_bpe_round_trip, "op8_license_scan": op8_license_scan, "op10_url_filter": op10_url_filter}
 SQL = {"op1_decontaminate": _OP1_SQL, "op8_license_scan": _op8_sql(), "op10_url_filter": _op10_sql()}
