@@ -10,8 +10,10 @@ from .bpe import bpe_round_trip
 from .chunkprint import fingerprints
 from .common import table
 from .decontam import decontaminate
+from .jaccard import jaccard_join
 from .langid import held_out
 from .licenses import PHRASES, TEMPLATES, license_scan
+from .linededup import dedup_lines
 from .urlrep import MAX_STRENGTH, MIN_STRENGTH, RULES, WIDE_SUFFIXES, url_filter
 
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -134,6 +136,40 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
+_OP2_SQL = """
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
+lines AS (SELECT rid, source, raw, trim(raw, ' ' || chr(9) || chr(13)) AS line, at_ FROM (SELECT rid, source, unnest(ls) AS raw, generate_subscripts(ls, 1) AS at_ FROM docs)),
+spread AS (SELECT line FROM lines WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 5),
+marked AS (SELECT rid, raw, line, at_, line IN (SELECT line FROM spread) AS hit FROM lines),
+per AS (
+  SELECT rid, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit AND line <> '') AS others,
+    string_agg(raw, chr(10) ORDER BY at_) FILTER (NOT hit) AS kept FROM marked GROUP BY rid)
+SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, CASE WHEN hits > 0 AND others > 0 THEN hits ELSE 0 END::BIGINT AS n_removed,
+  CASE WHEN hits > 0 AND others > 0 THEN kept ELSE text END AS text
+FROM docs LEFT JOIN per USING (rid)"""
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
+_OP6_SQL = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all({SQL_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, ws[i + 1 : i + 5] AS s FROM (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - 4, 1))) AS i FROM docs WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM docs UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(b) FROM reach WHERE reach.a = d.doc_id) AS component_id
+FROM docs d LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -151,5 +187,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op4_fingerprints": op4_fingerprints, "op7_toxicity": op7_toxicity, "op9_language_id": op9_language_id, "op1_decontaminate": op1_decontaminate, "op5_bpe_round_trip": op5_bpe_round_trip, "op8_license_scan": op8_license_scan, "op10_url_filter": op10_url_filter}
-SQL = {"op1_decontaminate": _OP1_SQL, "op8_license_scan": _op8_sql(), "op10_url_filter": _op10_sql()}
+QUERIES = {"op2_line_dedup": op2_line_dedup, "op6_jaccard_join": op6_jaccard_join, "op4_fingerprints": op4_fingerprints, "op7_toxicity": op7_toxicity, "op9_language_id": op9_language_id, "op1_decontaminate": op1_decontaminate, "op5_bpe_round_trip": op5_bpe_round_trip, "op8_license_scan": op8_license_scan, "op10_url_filter": op10_url_filter}
+SQL = {"op1_decontaminate": _OP1_SQL, "op2_line_dedup": _OP2_SQL, "op6_jaccard_join": _OP6_SQL, "op8_license_scan": _op8_sql(), "op10_url_filter": _op10_sql()}
