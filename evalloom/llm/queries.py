@@ -11,6 +11,7 @@ from .chunkprint import fingerprints
 from .common import table
 from .decontam import decontaminate
 from .jaccard import jaccard_join
+from .katz import katz_scores
 from .langid import held_out
 from .licenses import PHRASES, TEMPLATES, license_scan
 from .linededup import dedup_lines
@@ -170,6 +171,10 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(b) FROM rea
 FROM docs d LEFT JOIN n ON n.doc_id = d.doc_id"""
 
 
+def op3_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -187,5 +192,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op2_line_dedup": op2_line_dedup, "op6_jaccard_join": op6_jaccard_join, "op4_fingerprints": op4_fingerprints, "op7_toxicity": op7_toxicity, "op9_language_id": op9_language_id, "op1_decontaminate": op1_decontaminate, "op5_bpe_round_trip": op5_bpe_round_trip, "op8_license_scan": op8_license_scan, "op10_url_filter": op10_url_filter}
+QUERIES = {"op3_katz_scores": op3_katz_scores, "op2_line_dedup": op2_line_dedup, "op6_jaccard_join": op6_jaccard_join, "op4_fingerprints": op4_fingerprints, "op7_toxicity": op7_toxicity, "op9_language_id": op9_language_id, "op1_decontaminate": op1_decontaminate, "op5_bpe_round_trip": op5_bpe_round_trip, "op8_license_scan": op8_license_scan, "op10_url_filter": op10_url_filter}
 SQL = {"op1_decontaminate": _OP1_SQL, "op2_line_dedup": _OP2_SQL, "op6_jaccard_join": _OP6_SQL, "op8_license_scan": _op8_sql(), "op10_url_filter": _op10_sql()}
