@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .text import clean_text, filled, tokens
+from .text import clean_text, filled, once, tokens
 
 
 def _dice(a: Column, b: Column) -> Column:
@@ -23,8 +23,10 @@ def token_overlap(a: Column, b: Column) -> Column:
 
 
 def ngram_set(c: Column, n: int) -> Column:
-    t = F.lower(filled(c))
-    return F.when(F.length(t) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))))
+    def grams(t: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n))))
+
+    return once(F.lower(filled(c)), lambda t: F.when(F.length(t) < n, F.array().cast("array<string>")).otherwise(grams(t)))
 
 
 def ngram_similarity(a: Column, b: Column, n: int = 2) -> Column:
@@ -48,7 +50,8 @@ def content_overlap(prediction: Column, truth: Column) -> Column:
 def partial_match(prediction: Column, truth: Column) -> Column:
     """Share of the truth's words that the prediction has."""
     p, t = tokens(prediction), tokens(truth)
-    return F.when(F.size(t) == 0, 0.0).otherwise(F.size(F.filter(t, lambda w: F.array_contains(p, w))) / F.size(t))
+    shared = once(p, lambda mine: F.size(F.filter(t, lambda w: F.array_contains(mine, w))))
+    return F.when(F.size(t) == 0, 0.0).otherwise(shared / F.size(t))
 
 
 def item_set(c: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -13,6 +14,11 @@ from . import patterns as P
 NUMBER = r"-?\d+\.?\d*"
 
 
+def once(c: Column, then: Callable[[Column], Column]) -> Column:
+    """then(c) with c worked out once for each row, even where a lambda within uses it again and again."""
+    return F.transform(F.array(c), then)[0]
+
+
 def filled(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -150,7 +156,7 @@ def dates_and_measures(c: Column) -> Column:
 def parse_judgment(c: Column, criteria: list[str]) -> Column:
     """A score in [0, 1] for each criterion, 0.5 where it is missing or unreadable, and their mean as `overall`."""
     read = [first_group(c, rf"(?i){k}:\s*([0-9.]+)").try_cast("double") for k in criteria]
-    scores = [F.coalesce(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)), F.lit(0.5)) for x in read]
+    scores = [F.when(x.isNull(), 0.5).otherwise(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))) for x in read]
     return F.struct(*[s.alias(k) for s, k in zip(scores, criteria)], (reduce(lambda a, b: a + b, scores) / len(criteria)).alias("overall"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_text, extract_numbers, filled, strip, tokens, words
+from ..functions.text import clean_text, extract_numbers, filled, once, strip, tokens, words
 
 # Question templates, and words that mark questions.
 TEMPLATES = ["What is {}?", "Explain the concept of {}.", "How does {} work?", "What are the key features of {}?", "Why is {} important?"]
@@ -136,8 +136,10 @@ def contamination(preds: DataFrame, corpus: DataFrame, n: int = 4, flag: float =
     """
 
     def grams(c: str) -> Column:
-        t = tokens(F.col(c))
-        return F.when(F.size(t) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))))
+        def of(t: Column) -> Column:
+            return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, F.lit(n)), " ")))
+
+        return once(tokens(F.col(c)), lambda t: F.when(F.size(t) < n, F.array().cast("array<string>")).otherwise(of(t)))
 
     mine = preds.select("id", F.explode(grams("text")).alias("g"))
     theirs = corpus.select(F.explode(grams("text")).alias("g")).join(mine.select("g").distinct(), "g", "left_semi").distinct().withColumn("hit", F.lit(1))

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 Z95, Z99 = 1.96, 2.576
 
 
+def seconds(ts: Column) -> Column:
+    """A timestamp, with or without a time zone, as seconds."""
+    return ts.cast("timestamp").cast("double")
+
+
 def aggregate_metrics(results: DataFrame) -> DataFrame:
     """results (eval_type, metrics map) -> mean, min, max, count of each type's metric."""
     rows = results.select("eval_type", F.explode("metrics").alias("metric", "value"))
@@ -113,7 +118,7 @@ def call_stats(calls: DataFrame) -> DataFrame:
     """calls (model, status, response_time, ts) -> per model totals, rates, times of answered calls, speedup over running one by one."""
     ok = F.col("status") == "success"
     positive = F.when(F.col("response_time") > 0, F.col("response_time"))
-    elapsed = F.max("ts").cast("double") - F.min("ts").cast("double")
+    elapsed = seconds(F.max("ts")) - seconds(F.min("ts"))
     return calls.groupBy("model").agg(
         F.count("*").alias("total"), F.count_if(ok).alias("successful"), F.count_if(~ok).alias("failed"), (F.count_if(ok) / F.count("*")).alias("success_rate"),
         F.avg(positive).alias("avg_time"), F.max(positive).alias("max_time"), F.min(positive).alias("min_time"), F.try_divide(F.sum(positive), elapsed).alias("speedup"),
@@ -124,7 +129,7 @@ def phase_durations(log: DataFrame) -> DataFrame:
     """log (run_id, phase, event start/end, ts) -> start, end and seconds of each phase."""
     start, end = (F.min(F.when(F.col("event") == e, F.col("ts"))) for e in ("start", "end"))
     out = log.groupBy("run_id", "phase").agg(start.alias("start"), end.alias("end"))
-    return out.withColumn("seconds", F.col("end").cast("double") - F.col("start").cast("double"))
+    return out.withColumn("seconds", seconds(F.col("end")) - seconds(F.col("start")))
 
 
 def compare_models(base: DataFrame, tuned: DataFrame) -> DataFrame:

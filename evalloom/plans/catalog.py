@@ -158,8 +158,16 @@ h AS (SELECT *, ('0x' || left(md5('42:' || doc_id || ':' || segment), 8))::BIGIN
 SELECT doc_id, segment::INTEGER AS segment, array_to_string(ws[a + 1 : a + 50], ' ') AS text FROM h""")
 add("ck12_chunk_report", lambda s, d: C.chunk_report(C.fixed_chunks(docs(s, d))), f"""SELECT count(*) AS chunks, min(length(t))::INTEGER AS min_size, max(length(t))::INTEGER AS max_size, avg(length(t)) AS avg_size FROM (
   SELECT array_to_string(ws[start + 1 : start + 500], ' ') AS t FROM (SELECT ws, unnest(range(0, len(ws), 500)) AS start FROM (SELECT {W} AS ws FROM documents) WHERE len(ws) > 0)) WHERE length(t) > 50""")
-SCORES = {k: " + ".join(f"CASE WHEN regexp_matches(left(coalesce(text, ''), 2000), '(?i){p}') THEN {w} ELSE 0.0 END" for p, w in ps) for k, ps in P.WEIGHTED_PATTERNS.items()}
-STRONG = {k: " + ".join([f"CASE WHEN regexp_matches(left(coalesce(text, ''), 2000), '(?i){p}') THEN 1 ELSE 0 END" for p, w in ps if w >= 8] or ["0"]) for k, ps in P.WEIGHTED_PATTERNS.items()}
+
+
+def _edges(p: str) -> str:
+    r"""A pattern for finding whether it occurs, with \b at its ends by Unicode letters, which SQL's engine doesn't know."""
+    p = r"(?:^|[^\pL\pN\pM_])" + p[2:] if p.startswith(r"\b") else p
+    return p[:-2] + r"(?:$|[^\pL\pN\pM_])" if p.endswith(r"\b") else p
+
+
+SCORES = {k: " + ".join(f"CASE WHEN regexp_matches(left(coalesce(text, ''), 2000), '(?i){_edges(p)}') THEN {w} ELSE 0.0 END" for p, w in ps) for k, ps in P.WEIGHTED_PATTERNS.items()}
+STRONG = {k: " + ".join([f"CASE WHEN regexp_matches(left(coalesce(text, ''), 2000), '(?i){_edges(p)}') THEN 1 ELSE 0 END" for p, w in ps if w >= 8] or ["0"]) for k, ps in P.WEIGHTED_PATTERNS.items()}
 add("cl01_weighted_pattern_scores", lambda s, d: C.weighted_pattern_scores(docs(s, d)), f"""SELECT doc_id, {', '.join(P.WEIGHTED_PATTERNS)}, coalesce({', '.join(f"CASE WHEN s_{k} >= 2 OR {k} >= 15 THEN '{k}' END" for k in P.WEIGHTED_PATTERNS)}) AS early
   FROM (SELECT doc_id, {', '.join(f'({e})::DOUBLE AS {k}' for k, e in SCORES.items())}, {', '.join(f'({e}) AS s_{k}' for k, e in STRONG.items())} FROM documents)""")
 COUNTS = {k: "(" + " + ".join(f"len(regexp_extract_all(coalesce(text, ''), '(?i){p}'))" for p in ps) + f") / greatest(len({W}) / 100, 1.0)" for k, ps in P.COUNTED_PATTERNS.items()}
@@ -271,7 +279,8 @@ SELECT t, df, cohens_d, 2 * (1 - abs(t) / (abs(t) + sqrt(df))) AS p_value FROM x
 add("st08_method_breakdown", lambda s, d: ST.method_breakdown(results(s, d).withColumn("method", F.col("eval_type"))), f"SELECT *, {INTERVALS} FROM (SELECT eval_type AS method, {STATS} FROM {RESULTS} GROUP BY ALL)")
 GRAM4 = "list_distinct(list_transform(range(1, greatest(len({0}) - 2, 1)), lambda i: array_to_string({0}[i : i + 3], ' ')))"
 add("st10_contamination", lambda s, d: I.contamination(table(s, d, "benchmark").select(F.col("item_id").alias("id"), "text"), docs(s, d)), f"""
-WITH mine AS (SELECT item_id AS id, unnest({GRAM4.format(TOK.format('text'))}) AS g FROM benchmark), theirs AS (SELECT DISTINCT unnest({GRAM4.format(TOK.format('text'))}) AS g FROM documents),
+WITH b AS MATERIALIZED (SELECT item_id, {TOK.format('text')} AS t FROM benchmark), d AS MATERIALIZED (SELECT {TOK.format('text')} AS t FROM documents),
+mine AS (SELECT item_id AS id, unnest({GRAM4.format('t')}) AS g FROM b), theirs AS (SELECT DISTINCT unnest({GRAM4.format('t')}) AS g FROM d),
 s AS (SELECT id, count(theirs.g) / count(*) AS share FROM mine LEFT JOIN theirs ON theirs.g = mine.g GROUP BY id)
 SELECT item_id AS id, coalesce(share, 0.0) AS contamination, coalesce(share, 0.0) > 0.8 AS flagged FROM benchmark LEFT JOIN s ON s.id = item_id""")
 add("st11_type_distribution", lambda s, d: ST.type_distribution(results(s, d)), f"SELECT eval_type, count(*) AS count FROM {RESULTS} GROUP BY eval_type")

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.verify import verify
+from ..operators.stats import seconds
 
 
-def call_rate(calls: DataFrame, key: str = "user_id", seconds: int = 60, limit: int = 60) -> DataFrame:
+def call_rate(calls: DataFrame, key: str = "user_id", width: int = 60, limit: int = 60) -> DataFrame:
     """calls (key, ts): calls of a key in the last seconds, the present one included; over the limit flagged."""
-    w = Window.partitionBy(key).orderBy(F.col("ts").cast("double")).rangeBetween(-(seconds - 1e-9), 0)
+    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-(width * 1_000_000 - 1), 0)
     return calls.withColumn("recent", F.count("*").over(w)).withColumn("over", F.col("recent") > limit)
 
 
@@ -30,8 +31,8 @@ def live_run_scores(results: DataFrame, late: str = "10 minutes") -> DataFrame:
 def phase_progress(events: DataFrame) -> DataFrame:
     """events (run_id, ts, step, total) -> percent done and seconds left, from the pace so far; odd steps and the last are kept."""
     w = Window.partitionBy("run_id").orderBy("ts", "step")
-    start = F.first(F.col("ts").cast("double")).over(w)
-    took = F.col("ts").cast("double") - start
+    start = F.first(seconds(F.col("ts"))).over(w)
+    took = seconds(F.col("ts")) - start
     out = events.withColumn("percent", F.round(100.0 * F.col("step") / F.col("total"), 1)).withColumn("eta", F.try_divide(took, F.col("step")) * (F.col("total") - F.col("step")))
     return out.filter((F.col("step") % 2 == 1) | (F.col("step") == F.col("total")))
 
@@ -39,7 +40,7 @@ def phase_progress(events: DataFrame) -> DataFrame:
 def run_retention(runs: DataFrame, now, most: int = 100, hours: int = 24) -> DataFrame:
     """runs (run_id, ts, finished): the newest `most`, without finished ones older than the limit."""
     top = runs.orderBy(F.desc("ts"), "run_id").limit(most)
-    return top.filter(~F.col("finished") | (F.col("ts").cast("double") >= F.lit(now).cast("timestamp").cast("double") - hours * 3600))
+    return top.filter(~F.col("finished") | (seconds(F.col("ts")) >= seconds(F.lit(now)) - hours * 3600))
 
 
 def stream_verify(predictions: DataFrame, items: DataFrame) -> DataFrame:
