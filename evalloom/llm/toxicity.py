@@ -114,18 +114,23 @@ class EvidenceModel:
 class Scorer:
     """An evidence model with a bounded memory of the words it has met."""
 
-    def __init__(self, model: EvidenceModel, remembered: int = 400_000) -> None:
-        self.model, self.remembered, self.known = model, remembered, {}
+    def __init__(self, model: EvidenceModel, remembered: int = 250_000, at_once: int = 20_000) -> None:
+        self.model, self.remembered, self.at_once, self.known = model, remembered, at_once, {}
 
     def learn(self, texts: list[list[bytes]]) -> None:
         new = list({w for words in texts for w in words if w not in self.known})
         if len(self.known) + len(new) > self.remembered:
             self.known.clear()
             new = list({w for words in texts for w in words})
-        if new:
-            self.known.update(zip(new, self.model.evidence(new).tolist()))
+        for k in range(0, len(new), self.at_once):
+            part = new[k : k + self.at_once]
+            self.known.update(zip(part, self.model.evidence(part).tolist()))
 
-    def summaries(self, texts: list[str | None], stretch: int = 25) -> np.ndarray:
+    def summaries(self, texts: list[str | None], rows: int = 200) -> np.ndarray:
+        """A row for each text, worked out few texts at a time, as their words take far more memory than they do."""
+        return np.concatenate([self._summaries(texts[k : k + rows]) for k in range(0, len(texts), rows)] or [np.zeros((0, 5))])
+
+    def _summaries(self, texts: list[str | None], stretch: int = 25) -> np.ndarray:
         """For each text 1, the length-normalised sums, and the mean of its five strongest words."""
         split = [alnum_words(t.lower() if t else t) for t in texts]
         self.learn(split)
