@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,14 +47,32 @@ def once(c: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(c), then)[0]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoints df in the shared folder that the session names; sets a folder only where none is set, as in tests."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder that the session names; sets a folder only where none is set, as in tests."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoints df in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def bucketed(df: DataFrame, key: str) -> Iterator[DataFrame]:
+    """df as a table in the shared folder, bucketed by key, so that joins on key don't shuffle it; unregistered afterwards."""
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
 def alnum_words(text: str | None) -> list[bytes]:
     """Words of letters, digits and non-ASCII characters, A-Z lower-cased, as UTF-8 bytes; null has none."""
     return text.encode("utf-8", "replace").translate(ALNUM_BYTES).split() if text else []
