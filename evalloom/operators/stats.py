@@ -32,6 +32,13 @@ def run_summary(results: DataFrame, by: str = "run_id") -> DataFrame:
     )
 
 
+def generation_stats(items: DataFrame, by: str, score: str = "score") -> DataFrame:
+    """Count, mean, extremes and sample deviation (0 of one item) of the scores of each strategy; null scores count as items only."""
+    return items.groupBy(by).agg(
+        F.count("*").alias("items"), F.avg(score).alias("mean"), F.min(score).alias("min"), F.max(score).alias("max"), F.coalesce(F.stddev_samp(score), F.lit(0.0)).alias("std")
+    )
+
+
 def pseudo_p(mean: Column, std: Column, n: Column, against: float = 0.5) -> Column:
     """A bounded stand-in for a p-value: 2 (1 - |t| / (|t| + sqrt(n - 1))), within 0.001 and 1."""
     t = F.abs(mean - against) / (std / F.sqrt(n))

@@ -265,6 +265,8 @@ add("st01_aggregate_metrics", lambda s, d: ST.aggregate_metrics(results(s, d).se
 WITH m AS (SELECT eval_type || '_overlap' AS metric, score AS v FROM {RESULTS} UNION ALL SELECT eval_type || '_exact', {EXACT} FROM {RESULTS})
 SELECT metric, avg(v) AS mean, min(v) AS min, max(v) AS max, count(v) AS count FROM m GROUP BY metric""")
 add("st02_run_summary", lambda s, d: ST.run_summary(results(s, d)), f"SELECT run_id, avg(score) AS mean_score, min(score) AS min_score, max(score) AS max_score, count(score) AS num_samples, stddev_pop(score) AS std_score FROM {RESULTS} GROUP BY run_id")
+add("vd13_generation_stats", lambda s, d: ST.generation_stats(results(s, d), "eval_type"), f"SELECT eval_type, count(*) AS items, avg(score) AS mean, min(score) AS min, max(score) AS max, coalesce(stddev_samp(score), 0) AS std FROM {RESULTS} GROUP BY eval_type")
+add("vf18_verify_batch", lambda s, d: results(s, d).withColumn("score", V.exact_match(F.col("answer"), F.col("question"))).groupBy("eval_type").agg(F.count("*").alias("num_samples"), F.avg("score").alias("mean_score")), f"SELECT eval_type, count(*) AS num_samples, avg({EXACT}) AS mean_score FROM {RESULTS} GROUP BY eval_type")
 STATS = """avg(score) AS mean, coalesce(stddev_samp(score), 0) AS std, quantile_cont(score, 0.5) AS median, min(score) AS min, max(score) AS max, count(score) AS n"""
 INTERVALS = """mean - 1.96 * std / sqrt(n) AS ci95_low, mean + 1.96 * std / sqrt(n) AS ci95_high, mean - 2.576 * std / sqrt(n) AS ci99_low, mean + 2.576 * std / sqrt(n) AS ci99_high,
   CASE WHEN n < 2 OR std = 0 THEN 1.0 ELSE greatest(0.001, least(1.0, 2 * (1 - (abs(mean - 0.5) / (std / sqrt(n))) / (abs(mean - 0.5) / (std / sqrt(n)) + sqrt(n - 1))))) END AS p_value"""
