@@ -1,7 +1,7 @@
 """Licence scan by a positional rare-token index. DataFrame functions only.
 
 Each licence template is stored as postings of its rarest words with their places in the template; rarity is the inverse
-document frequency over the scanned documents. A document looks up its own highest-IDF licence words, every place of
+document frequency over the scanned documents. A document looks up every index word that it holds, every place of
 such a word votes for (template, place in document - place in template), and a template counts where enough different
 words agree on one offset and its mandatory key phrase stands in the text.
 
@@ -86,24 +86,23 @@ def rare_index(docs: DataFrame, templates: Mapping[str, tuple[str, str]], per_te
 
 def license_scan(
     docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, tuple[str, str]] = TEMPLATES,
-    per_template: int = 3, per_document: int = 8, id_col: str = "doc_id",
+    per_template: int = 3, id_col: str = "doc_id",
 ) -> DataFrame:
     """docs (id, text, ...) -> its columns with n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    per_template: rare words of a template that the index holds, all of which have to agree on an offset. per_document:
-    how many of its rarest index words a document looks up. score: 1 with a template, 0.6 with base phrases only, else 0.
+    per_template: rare words of a template that the index holds, all of which have to agree on an offset. A document looks
+    up all its index words, so one text may hold every template. score: 1 with a template, 0.6 with base phrases only, else 0.
     Only documents that hold an index word are exploded, by place of such words; the shuffle carries votes, not texts.
     """
     index = rare_index(docs, templates, per_template)
-    df_of = {w: n for w, n, _, _ in index}
-    rare_first = sorted(df_of, key=lambda w: (df_of[w], w))
+    index_words = sorted({w for w, _, _, _ in index})
     needed: dict[str, int] = {}
     for name in templates:
         needed[name] = len({w for w, _, t, _ in index if t == name})
 
     spaced = F.coalesce(padded_words(F.col("text")), F.lit(""))
     none = F.array().cast("array<long>")
-    held = F.array(*[F.lit(w) for w in rare_first]) if rare_first else F.array().cast("array<string>")
+    held = F.array(*[F.lit(w) for w in index_words]) if index_words else F.array().cast("array<string>")
 
     def named(flags: list[Column]) -> Column:
         return F.array_sort(F.array_distinct(F.filter(F.array(*flags), lambda x: x.isNotNull())))
@@ -122,7 +121,7 @@ def license_scan(
             return F.filter(marked, lambda x: x.isNotNull())
 
         def places(words: Column) -> Column:
-            return once(F.slice(F.array_intersect(held, words), 1, per_document), lambda mine: of_mine(words, mine))
+            return once(F.array_intersect(held, words), lambda mine: of_mine(words, mine))
 
         return once(verified, lambda names: F.when(F.size(names) > 0, F.struct(names.alias("names"), once(F.split(F.trim(text), " +"), places).alias("places"))))
 

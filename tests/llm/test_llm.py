@@ -18,7 +18,7 @@ from evalloom.llm.common import alnum_words, blank_words
 from evalloom.llm.decontam import decontaminate
 from evalloom.llm.jaccard import jaccard_join
 from evalloom.llm.katz import HALF, LIMIT, good_turing, katz_scores
-from evalloom.llm.licenses import license_scan
+from evalloom.llm.licenses import PHRASES, TEMPLATES, license_scan
 from evalloom.llm.linededup import dedup_lines
 from evalloom.llm.urlrep import url_filter
 
@@ -147,6 +147,12 @@ def test_licences_and_urls(spark):
     assert got[3] == ("a.b.net", "/x", "net/", "block") and got[4][2:] == ("example.net/en/", "allow") and got[1][:3] == ("", "", None) and got[5][2] == "org/fr/" and got[6][1] == ""
 
 
+def test_a_text_with_all_licences_gets_every_label(spark):
+    rows = [(1, " \n".join(t for t, _ in TEMPLATES.values())), (2, " ".join(TEMPLATES[n][0] for n in ("gpl", "apache", "mit-grant"))), (3, "nothing")]
+    got = {r.doc_id: set(r.labels.split(",")) for r in license_scan(table(spark, rows)).collect()}
+    assert got[1] == {*TEMPLATES, *PHRASES.values()} and got[2] == {"gpl", "apache", "mit-grant"} and got[3] == {""}
+
+
 def test_languages_and_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
