@@ -167,6 +167,14 @@ def test_languages_and_toxicity_on_held_out_rows(spark):
     assert toxicity.train(docs, labels.filter("toxic = 0")) is None
 
 
+def test_near_duplicate_stage_with_null_and_repeated_ids(spark):
+    one, two, three, four = (" ".join(f"{c}{i}" for i in range(40)) for c in "abcd")
+    rows = [(None, one), (7, two), (7, two), (8, two + " end"), (9, three), (9, four), (None, four), (5, three + " end"), (None, None), (3, " "), (3, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], ", ".join(["doc_id long", "text string", "lang string", "source string", "n_chars long"]))
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()]
+    assert Counter(kept) == Counter([(None, one), (7, two), (5, three + " end"), (9, four), (None, None), (3, " "), (3, " ")])
+
+
 def test_pipeline_on_the_smallest_data(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     reference = Tokenizer.from_file(BPE)
