@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,13 +77,27 @@ def select_best(items: DataFrame, by: str, n: int) -> DataFrame:
     return ranked.withColumn("rank", rank).filter(F.col("rank") <= n).drop("_first")
 
 
-def dedup_questions(items: DataFrame, threshold: float = 0.7, rounds: int = 50) -> DataFrame:
+def _cut(df: DataFrame) -> DataFrame:
+    """Checkpoints df in the shared folder that the session names; sets a folder only where none is set, as in tests."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint(eager=True)
+
+
+def dedup_questions(items: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Keeps, in order of item_id, each question whose word set is not closer than the threshold to one kept before.
 
     Candidates share one of their rarest words (a prefix of each set in order of frequency), so that no pair above the threshold is lost; an
-    item's fate follows once those of its earlier neighbours are known. Only counts go to the driver.
+    item's fate follows once those of its earlier neighbours are known. Each round settles the first open item at least, so the rounds end, one
+    for each step of the longest chain. Of equal word sets only the first item is compared: the others are as close to what drops it, or to it.
+    Only counts go to the driver.
     """
-    sets = items.select("item_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("w"))
+    own = items.select("item_id", tokens(F.col("question")).alias("s")).groupBy("item_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("s"))
+    own = _cut(own.filter(F.size("s") > 0))
+    first = _cut(own.groupBy("s").agg(F.min("item_id").alias("item_id"))) if threshold < 1 else own
+    repeated = own.select("item_id").join(first.select("item_id"), "item_id", "left_anti")
+    sets = first.select("item_id", F.explode("s").alias("w"))
     freq = sets.groupBy("w").agg(F.count("*").alias("f"))
     ordered = sets.join(freq, "w").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("s")).select("item_id", F.transform("s", lambda x: x["w"]).alias("s"))
     n = F.size("s")
@@ -89,16 +105,14 @@ def dedup_questions(items: DataFrame, threshold: float = 0.7, rounds: int = 50)
     a, b = prefix.alias("a"), prefix.alias("b")
     fits = (F.col("a.item_id") < F.col("b.item_id")) & (F.least(F.size("a.s"), F.size("b.s")) >= threshold * F.greatest(F.size("a.s"), F.size("b.s")))
     both = a.join(b, "w").filter(fits).select(F.col("a.item_id").alias("x"), F.col("b.item_id").alias("y"), F.col("a.s").alias("s"), F.col("b.s").alias("t")).distinct()
-    edges = both.filter(F.size(F.array_intersect("s", "t")) / F.size(F.array_union("s", "t")) > threshold).select("x", "y").persist()
-    state = edges.select(F.col("y").alias("id")).union(edges.select("x")).distinct().withColumn("kept", F.lit(None).cast("boolean")).persist()
-    for _ in range(rounds):
-        open_ = state.filter("kept IS NULL")
-        if not open_.limit(1).count():
-            break
+    edges = _cut(both.filter(F.size(F.array_intersect("s", "t")) / F.size(F.array_union("s", "t")) > threshold).select("x", "y"))
+    state = _cut(edges.select(F.col("y").alias("id")).union(edges.select("x")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
+    while state.filter("kept IS NULL").limit(1).count():
         before = edges.join(state.select(F.col("id").alias("x"), "kept"), "x").groupBy(F.col("y").alias("id")).agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("hit"), F.bool_and(F.col("kept").isNotNull()).alias("known"))
         new = state.join(before, "id", "left").select("id", F.coalesce("kept", F.when(F.coalesce("hit", F.lit(False)), False).when(F.coalesce("known", F.lit(True)), True)).alias("kept"))
-        state = new.persist()
-    return items.join(state.filter("NOT kept").select(F.col("id").alias("item_id")), "item_id", "left_anti")
+        state = _cut(new)
+    dropped = state.filter("NOT kept").select(F.col("id").alias("item_id")).union(repeated)
+    return items.join(dropped, "item_id", "left_anti")
 
 
 def quality(question: Column, answer: Column) -> Column:

@@ -54,6 +54,12 @@ def test_dedup_keeps_first_of_chain(spark):
     assert sorted(r.item_id for r in kept.collect()) == [1, 3, 4]
 
 
+def test_dedup_settles_long_chains_and_repeats(spark):
+    rows = [(i, " ".join(f"w{k}" for k in range(i, i + 5))) for i in range(60)] + [(100 + i, "same words here") for i in range(5)] + [(200, "here same words"), (201, None)]
+    kept = I.dedup_questions(spark.createDataFrame(rows, "item_id long, question string"), 0.6)
+    assert sorted(r.item_id for r in kept.collect()) == [*range(0, 60, 2), 100, 201]
+
+
 def test_split_sizes_are_exact(spark):
     items = spark.range(25).select((F.col("id") % 2).alias("b"), "id")
     got = {(r.b, r.split): r["count"] for r in ST.train_test_split(items, "b", "id").groupBy("b", "split").count().collect()}
