@@ -123,7 +123,7 @@ per_doc("tx11_readability", T.readability, f"""CASE WHEN len({W}) = 0 OR len({SE
   + greatest(0.0, 1 - (list_sum(list_transform({W}, lambda x: length(x))) / len({W}) - 5) / 5)) / 2 END""")
 per_doc("tx12_extract_quoted", lambda c: joined(T.extract_quoted(c)), """array_to_string(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '"[^"]*"|''[^'']*'''), lambda x: x[2:-2]), lambda x: x <> ''), '|')""")
 per_doc("tx13_count_syllables", lambda c: T.count_syllables(F.get(T.words(c), 0)), f"""CASE WHEN length(coalesce({W}[1], '')) <= 3 THEN 1 ELSE greatest(1, len(regexp_extract_all(regexp_replace(lower({W}[1]), 'e$', ''), '[aeiouy]+'))) END::INTEGER""")
-per_doc("tx14_named_entities", lambda c: F.size(T.named_entities(c)), None)
+per_doc("tx14_named_entities", lambda c: joined(T.named_entities(c)), None)
 per_doc("tx15_contains_code", T.contains_code, _any(P.CODE_PATTERNS))
 per_doc("tx16_contains_math", T.contains_math, _any(P.MATH_PATTERNS))
 per_doc("tx17_domain_terms", lambda c: joined(C.named_terms(c)), None)
@@ -224,7 +224,7 @@ DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: p[1]::DOUBLE * p[2]
 add("sm07_embedding_similarity", lambda s, d: (lambda e: e.alias("a").join(e.alias("b"), F.col("b.vec_id") == F.col("a.vec_id") + 1).select(F.col("a.vec_id").alias("vec_id"), F.round(S.embedding_similarity(F.col("a.embedding"), F.col("b.embedding")), 9).alias("value")))(table(s, d, "embeddings")),
     f"""SELECT vec_id, round(least(1.0, CASE WHEN s > 0.35 THEN s + 0.25 * pow(s, 0.75) ELSE s END), 9) AS value FROM (SELECT a.vec_id, ({DOT.format('a.embedding', 'b.embedding')} / (sqrt({DOT.format('a.embedding', 'a.embedding')}) * sqrt({DOT.format('b.embedding', 'b.embedding')})) + 1) / 2 AS s
   FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)""")
-per_pair("sm08_multi_similarity", lambda a, q: F.size(S.multi_similarity(a, q)), None)
+add("sm08_multi_similarity", lambda s, d: qa(s, d).select("conv_id", "turn", S.multi_similarity(F.col("answer"), F.col("question")).alias("m")).select("conv_id", "turn", *[F.round(F.col("m")[name], 9).alias(name) for name in S.METHODS]))
 add("sm09_similarity_confidence", lambda s, d: results(s, d).select("item_id", F.round(S.similarity_confidence(F.col("score"), F.lit("token_overlap")), 6).alias("value")), f"SELECT item_id, round(CASE WHEN score > 0.8 THEN least(1.0, 0.7 + 0.1) WHEN score < 0.2 THEN greatest(0.1, 0.7 - 0.2) ELSE 0.7 END, 6)::DOUBLE AS value FROM {RESULTS}")
 SETS = ["list_distinct(" + TOK.format(c) + ")" for c in ("answer", "question")]
 per_pair("sm11_answer_f1", S.answer_f1, f"CASE WHEN len({SETS[0]}) = 0 AND len({SETS[1]}) = 0 THEN 1.0 ELSE {OVERLAP} END")

@@ -91,6 +91,14 @@ def test_stream_equals_batch(spark, tmp_path):
     assert key(spark.table("live")) == key(L.windowed_scores(df))
 
 
+def test_queries_return_similarities_and_entities(spark):
+    for r in catalog.qa(spark, SF).withColumn("want", F.round(S.token_overlap(F.col("answer"), F.col("question")), 9)).join(catalog.QUERIES["sm08_multi_similarity"](spark, SF), ["conv_id", "turn"]).limit(20).collect():
+        assert r.token_overlap == r.want and all(0 <= r[name] <= 1 for name in S.METHODS)
+    texts = {r.doc_id: r.text or "" for r in catalog.docs(spark, SF).collect()}
+    got = catalog.QUERIES["tx14_named_entities"](spark, SF).filter("value <> ''").limit(20).collect()
+    assert got and all(" ".join(e.split()) in " ".join(texts[r.doc_id].split()) for r in got for e in r.value.split("|"))
+
+
 def rounded(v):
     return float(f"{v:.9g}") + 0.0 if isinstance(v, float) else v
 
