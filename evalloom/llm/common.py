@@ -47,11 +47,29 @@ def once(c: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(c), then)[0]
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names for passing use that no column of df has, whatever the case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; sets a folder only where none is set, as in tests."""
+    """The shared folder that the session names.
+
+    Where none is named, a session on one machine, as in tests, gets a folder of its own; a cluster is refused, as its machines
+    don't see each other's folders.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
@@ -63,10 +81,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 @contextmanager
 def bucketed(df: DataFrame, key: str) -> Iterator[DataFrame]:
-    """df as a table in the shared folder, bucketed by key, so that joins on key don't shuffle it; unregistered afterwards."""
+    """df as a table in the warehouse, bucketed by key, so that joins on key don't shuffle it; table and files are dropped afterwards."""
     spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    df.write.format("parquet").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
     try:
         yield spark.table(name)
     finally:

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_key
+from .common import cut, fresh, once, row_key
 
 REGISTER_BITS = 10
 
@@ -48,24 +48,30 @@ def spread_lines(lines: DataFrame, min_sites: int, bits: int = REGISTER_BITS) ->
     band = max(2.0, 6 * 1.04 / math.sqrt(1 << bits) * min_sites)
     judged = cut(estimates(sketch_rows(lines, bits), bits).filter(F.col("spread") >= min_sites - band))
     near = judged.filter(F.col("spread") <= min_sites + band).select("k1", "k2")
-    exact = lines.join(near, ["k1", "k2"]).groupBy("k1", "k2").agg(F.countDistinct("site").alias("sites")).filter(F.col("sites") >= min_sites)
+    pairs = lines.filter("site IS NOT NULL").join(near, ["k1", "k2"]).select("k1", "k2", "site").distinct()  # dealt by line and site
+    exact = pairs.groupBy("k1", "k2").agg(F.count("*").alias("sites")).filter(F.col("sites") >= min_sites)
     return judged.filter(F.col("spread") > min_sites + band).select("k1", "k2").union(exact.select("k1", "k2"))
 
 
 def dedup_lines(docs: DataFrame, site_col: str = "source", min_sites: int = 5, id_col: str = "doc_id") -> DataFrame:
     """docs (id, site, text, ...) -> docs with the spread lines removed from text, n_lines and n_removed."""
-    keyed = docs.withColumn("_key", row_key(id_col, "text"))
-    lines = keyed.select("_key", F.col(site_col).alias("site"), F.posexplode(F.split("text", "\n")).alias("at", "raw"))
-    lines = lines.select("_key", "site", "at", line_of(F.col("raw")).alias("line")).filter("line <> ''")
-    lines = lines.select("_key", "site", "at", F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(1)).alias("k2"))
+    key, drop = fresh(docs, "key", "drop")
+    keyed = docs.withColumn(key, row_key(id_col, "text"))
+    lines = keyed.select(F.col(key).alias("key"), F.col(site_col).alias("site"), F.posexplode(F.split("text", "\n")).alias("at", "raw"))
+    lines = lines.select("key", "site", "at", line_of(F.col("raw")).alias("line")).filter("line <> ''")
+    lines = lines.select("key", "site", "at", F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(1)).alias("k2"))
     spread = cut(spread_lines(lines, min_sites))
-    hits = lines.select("_key", "at", "k1", "k2").join(spread, ["k1", "k2"]).groupBy("_key").agg(F.collect_set("at").alias("_drop"))
-    parts = F.split("text", "\n")
-    out = keyed.join(hits, "_key", "left").withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0)).cast("long"))
-    kept = F.filter(parts, lambda x, i: ~F.array_contains("_drop", i))
-    whole = F.size(F.filter(kept, lambda x: line_of(x) != "")) == 0
-    removes = F.col("_drop").isNotNull() & ~whole
+    hits = lines.select("key", "at", "k1", "k2").join(spread, ["k1", "k2"]).groupBy(F.col("key").alias(key)).agg(F.collect_set("at").alias(drop))
+    out = keyed.join(hits, key, "left").withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long"))
+
+    def without(parts: Column) -> Column:
+        """The lines whose places are not dropped, in time linear in their number."""
+        stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(drop))
+        return F.transform(stay, lambda i: F.get(parts, i))
+
+    kept = F.when(F.col(drop).isNotNull(), once(F.split("text", "\n"), without))
+    left = once(kept, lambda lines: F.when(F.exists(lines, lambda x: line_of(x) != ""), F.array_join(lines, "\n")))  # null: a copy as a whole
     return (
-        out.withColumn("n_removed", F.when(removes, F.size("_drop")).otherwise(0).cast("long"))
-        .withColumn("text", F.when(removes, F.array_join(kept, "\n")).otherwise(F.col("text"))).drop("_key", "_drop")
+        out.withColumn("n_removed", F.when(left.isNotNull(), F.size(drop)).otherwise(0).cast("long"))
+        .withColumn("text", F.coalesce(left, F.col("text"))).drop(key, drop)
     )
