@@ -13,9 +13,9 @@ from .decontam import decontaminate
 from .jaccard import jaccard_join
 from .katz import katz_scores
 from .langid import held_out
-from .licenses import PHRASES, TEMPLATES, license_scan
+from .licenses import PHRASES, TEMPLATES, license_scan, template_words
 from .linededup import dedup_lines
-from .urlrep import MAX_STRENGTH, MIN_STRENGTH, RULES, WIDE_SUFFIXES, url_filter
+from .urlrep import ADDRESS, MAX_STRENGTH, MIN_STRENGTH, RULES, SITE_TRIM, WIDE, url_filter
 
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SQL_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -28,31 +28,31 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op8_sql() -> str:
     phrases = ", ".join(f"('{p}', '{label}')" for p, label in PHRASES.items())
-    templates = ", ".join(f"('{n}', '{t}', '{k}')" for n, (t, k) in TEMPLATES.items())
+    keys = [", ".join(f"' {'  '.join(k.split())} '" for k in t.keys) for t in TEMPLATES]
+    templates = ", ".join(f"({i}, '{t.label}', '{' '.join(template_words(t))}', [{k}])" for i, (t, k) in enumerate(zip(TEMPLATES, keys)))
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({SQL_LOWER.format("coalesce(text, '')")}, '{WORD_PATTERN}') AS ws FROM documents),
 phrases(phrase, label) AS (VALUES {phrases}),
-templates(name, template, keyp) AS (VALUES {templates}),
+templates(tid, label, template, keyps) AS (VALUES {templates}),
 words AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM docs),
 p AS (SELECT phrase, label, string_split(phrase, ' ') AS ps FROM phrases),
 starts AS (
   SELECT w.rid, p.label, w.pos FROM words w JOIN p ON w.word = p.ps[1] JOIN docs d ON d.rid = w.rid
   WHERE d.ws[w.pos + 1 : w.pos + len(p.ps)] = p.ps),
 base AS (SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM starts GROUP BY rid),
-tw AS (SELECT name, unnest(string_split(template, ' ')) AS word, generate_subscripts(string_split(template, ' '), 1) - 1 AS place FROM templates),
+tw AS (SELECT tid, unnest(string_split(template, ' ')) AS word, generate_subscripts(string_split(template, ' '), 1) - 1 AS place FROM templates),
 vocab AS (SELECT DISTINCT word FROM tw WHERE NOT regexp_full_match(word, '[0-9]+')),
 df AS (SELECT v.word, count(DISTINCT w.rid) AS n FROM vocab v LEFT JOIN words w ON w.word = v.word GROUP BY v.word),
-ranked AS (SELECT name, word, row_number() OVER (PARTITION BY name ORDER BY n, word) AS r FROM (SELECT DISTINCT name, tw.word, n FROM tw JOIN df ON df.word = tw.word)),
-idx AS (SELECT r.word, r.name, tw.place, count(DISTINCT r.word) OVER (PARTITION BY r.name) AS needed FROM ranked r JOIN tw ON tw.name = r.name AND tw.word = r.word WHERE r.r <= 3),
-held AS (SELECT DISTINCT rid, w.word, n FROM words w JOIN df ON df.word = w.word WHERE w.word IN (SELECT word FROM idx)),
-mine AS (SELECT rid, word FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY n, word) AS r FROM held) WHERE r <= 8),
+ranked AS (SELECT tid, word, row_number() OVER (PARTITION BY tid ORDER BY n, word) AS r FROM (SELECT DISTINCT tid, tw.word, n FROM tw JOIN df ON df.word = tw.word)),
+idx AS (SELECT r.word, r.tid, tw.place, n AS needed FROM ranked r JOIN tw ON tw.tid = r.tid AND tw.word = r.word
+  JOIN (SELECT tid, least(3, count(*)) AS n FROM ranked GROUP BY tid) c ON c.tid = r.tid WHERE r.r <= 3),
 votes AS (
-  SELECT w.rid, i.name, w.pos - i.place AS delta, i.needed, count(DISTINCT w.word) AS v
-  FROM words w JOIN mine m ON m.rid = w.rid AND m.word = w.word JOIN idx i ON i.word = w.word GROUP BY ALL),
+  SELECT w.rid, i.tid, w.pos - i.place AS delta, i.needed, count(DISTINCT w.word) AS v
+  FROM words w JOIN idx i ON i.word = w.word GROUP BY ALL),
 found AS (
-  SELECT DISTINCT v.rid, v.name FROM votes v JOIN templates t ON t.name = v.name JOIN docs d ON d.rid = v.rid
-  WHERE v.v >= v.needed AND contains(' ' || array_to_string(d.ws, '  ') || ' ', ' ' || replace(t.keyp, ' ', '  ') || ' ')),
-f AS (SELECT rid, list(name) AS names FROM found GROUP BY rid)
+  SELECT DISTINCT v.rid, t.label FROM votes v JOIN templates t ON t.tid = v.tid JOIN docs d ON d.rid = v.rid
+  WHERE v.v >= v.needed AND list_bool_and(list_transform(t.keyps, lambda k: contains(' ' || array_to_string(d.ws, '  ') || ' ', k)))),
+f AS (SELECT rid, list(label) AS names FROM found GROUP BY rid)
 SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(b.n_base, 0)::BIGINT AS n_base, b.first_word::BIGINT AS first_word, b.last_word::BIGINT AS last_word,
   coalesce(array_to_string(b.labels, ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(f.names, [])))), ','), '') AS labels,
@@ -67,7 +67,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op10_sql() -> str:
     rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
-    wide = ", ".join(f"'{x}'" for x in WIDE_SUFFIXES)
     def strength(groups: str, mean: str) -> str:
         over = f"sum((k - n * {mean}) * (k - n * {mean}) - n * {mean} * (1 - {mean}))"
         room = f"sum(n * {mean} * (1 - {mean}) * (n - 1))"
@@ -81,9 +80,11 @@ rules(verdict, h, p) AS (VALUES {rules}),
 fit AS (
   SELECT parts.*, (SELECT max_by({{'rule': h || p, 'verdict': r.verdict}}, length(h || p)) FROM rules r
     WHERE (parts.host = h OR ends_with(parts.host, '.' || h)) AND starts_with(parts.path, p)) AS r FROM parts),
-labs AS (SELECT *, string_split(host, '.') AS l FROM fit),
-lev AS (SELECT page_id, host, path, r.rule AS rule, r.verdict AS ruled, array_to_string(l[-2:], '.') AS two, array_to_string(l[-3:], '.') AS three, l[-1] AS one FROM labs),
-named AS (SELECT *, CASE WHEN two IN ({wide}) THEN two ELSE one END AS suffix, CASE WHEN two IN ({wide}) THEN three ELSE two END AS domain FROM lev),
+sites AS (SELECT *, regexp_replace(host, '{SITE_TRIM}', '', 'g') AS site FROM fit),
+labs AS (SELECT *, string_split(site, '.') AS l FROM sites),
+lev AS (SELECT page_id, host, path, site, r.rule AS rule, r.verdict AS ruled, array_to_string(l[-2:], '.') AS two, array_to_string(l[-3:], '.') AS three, l[-1] AS one FROM labs),
+named AS (SELECT *, CASE WHEN regexp_matches(site, '{ADDRESS}') THEN 'ip' WHEN regexp_matches(two, '{WIDE}') THEN two ELSE one END AS suffix,
+  CASE WHEN regexp_matches(site, '{ADDRESS}') THEN site WHEN regexp_matches(two, '{WIDE}') THEN three ELSE two END AS domain FROM lev),
 h AS (SELECT host, domain, suffix, count(ruled) AS n, count(*) FILTER (ruled = 'block') AS k FROM named GROUP BY ALL),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY ALL),

@@ -4,8 +4,15 @@ Pages that a hand-written rule decides are the labelled outcomes (block = 1, all
 towards the level above; how strongly is estimated from the spread between the level's groups. A page without a rule is
 blocked when the lower bound of its host's posterior blocking rate passes a limit. DataFrame functions only.
 
+The hierarchy reads a host without user name and port, so that `a.b.net:8080` stands under `b.net`; an address of numbers is its own
+domain, under the suffix `ip`. A suffix is the last label, or the last two where a country's domain is divided by kind (`co.uk`): the
+last has two letters and the one before is one of SECOND_LEVEL. The bound is the posterior's mean less z standard
+deviations, the normal approximation of a beta quantile: where it decides, it differs from the exact 5% quantile by up to 0.063 at a weight
+(outcomes and prior) of 5, 0.034 at 10, 0.016 at 20 and 0.006 at 50.
+
 Nulls, empty urls and urls without "://" have an empty host and path, match no rule, and share the reputation of the
-empty host. Empty tables give empty results. Repeated rows are judged alike. Other columns of the input do not matter.
+empty host. Empty tables give empty results. Repeated rows are judged alike. Other columns of the input stay, but those of the
+result replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -15,14 +22,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lower_az
+from .common import cut, fresh, lower_az
 
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
 RULES: tuple[Rule, ...] = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Suffixes of two labels; every other suffix is the last label.
-WIDE_SUFFIXES: tuple[str, ...] = ("co.uk", "org.uk", "com.au", "co.jp", "com.br")
+# Labels below a country's domain that part it by kind, so that names are registered one level further down.
+SECOND_LEVEL: tuple[str, ...] = (
+    "ac", "ad", "asn", "co", "com", "ed", "edu", "firm", "gen", "go", "gob", "gouv", "gov", "govt", "gv", "id", "ind", "info", "lg", "ltd", "me",
+    "mil", "ne", "net", "nhs", "nic", "nom", "or", "org", "plc", "police", "res", "sch", "school", "web",
+)
 URL_PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+SITE_TRIM = r"^.*@|:[0-9]*$|\.+$"
+WIDE = rf"^({'|'.join(SECOND_LEVEL)})\.[a-z][a-z]$"
+ADDRESS = r"^([0-9]+\.){3}[0-9]+$|^\["
 MIN_STRENGTH, MAX_STRENGTH = 0.5, 10000.0
 
 
@@ -34,14 +47,19 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, URL_PARTS, 2), F.lit(""))
 
 
-def suffix_of(host: Column, wide: Sequence[str] = WIDE_SUFFIXES) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(list(wide)), two).otherwise(F.substring_index(host, ".", -1))
+def site_of(host: Column) -> Column:
+    """The host without user name, port and a closing dot."""
+    return F.regexp_replace(host, SITE_TRIM, "")
+
+
+def suffix_of(site: Column) -> Column:
+    two = F.substring_index(site, ".", -2)
+    return F.when(site.rlike(ADDRESS), "ip").when(two.rlike(WIDE), two).otherwise(F.substring_index(site, ".", -1))
 
 
-def domain_of(host: Column, wide: Sequence[str] = WIDE_SUFFIXES) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(list(wide)), F.substring_index(host, ".", -3)).otherwise(two)
+def domain_of(site: Column) -> Column:
+    two = F.substring_index(site, ".", -2)
+    return F.when(site.rlike(ADDRESS), site).when(two.rlike(WIDE), F.substring_index(site, ".", -3)).otherwise(two)
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, Column]:
@@ -69,7 +87,7 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     summed before they are shuffled, so a very common host costs one row per task. Three strengths go to the driver.
     """
     hosts = outcomes.groupBy("host").agg(F.count("blocked").alias("n"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("k"))
-    hosts = hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "k")
+    hosts = hosts.select("host", domain_of(site_of(F.col("host"))).alias("domain"), suffix_of(site_of(F.col("host"))).alias("suffix"), "n", "k")
     hosts = cut(hosts)
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
@@ -95,11 +113,11 @@ def url_filter(pages: DataFrame, rules: Sequence[Rule] = RULES, limit: float = 0
     Hosts that no rule ever decided take their domain's mean and a wide bound. The host table has one row per host, so
     Spark may broadcast it where it is small and splits a hot host's pages where it joins by sorting.
     """
-    host, path = url_host(F.col("url")), url_path(F.col("url"))
+    taken, ruled_by, bounded = fresh(pages, "key", "ruled", "limit")
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
-    judged = pages.withColumn("host", host).withColumn("path", path).withColumn("rule", rule).withColumn("_ruled", ruled)
-    labels = judged.select("host", (F.col("_ruled") == "block").cast("long").alias("blocked"))
-    reputation = host_reputation(labels, z)
-    verdict = F.coalesce(F.col("_ruled"), F.when(F.col("_bound") > limit, F.lit("block")).otherwise(F.lit("allow")))
-    joined = judged.join(reputation.select("host", F.col("bound").alias("_bound")), "host", "left")
-    return joined.withColumn("verdict", verdict).withColumn("bound", F.col("_bound")).drop("_ruled", "_bound")
+    judged = pages.withColumn("host", url_host(F.col("url"))).withColumn("path", url_path(F.col("url"))).withColumn("rule", rule).withColumn(ruled_by, ruled)
+    labels = judged.select("host", (F.col(ruled_by) == "block").cast("long").alias("blocked"))
+    reputation = host_reputation(labels, z).select(F.col("host").alias(taken), F.col("bound").alias(bounded))
+    verdict = F.coalesce(F.col(ruled_by), F.when(F.col(bounded) > limit, F.lit("block")).otherwise(F.lit("allow")))
+    joined = judged.join(reputation, F.col("host") == F.col(taken), "left")
+    return joined.withColumn("verdict", verdict).withColumn("bound", F.col(bounded)).drop(taken, ruled_by, bounded)

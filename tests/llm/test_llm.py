@@ -148,9 +148,10 @@ def test_licences_and_urls(spark):
 
 
 def test_a_text_with_all_licences_gets_every_label(spark):
-    rows = [(1, " \n".join(t for t, _ in TEMPLATES.values())), (2, " ".join(TEMPLATES[n][0] for n in ("gpl", "apache", "mit-grant"))), (3, "nothing")]
+    first = {t.label: t.text for t in reversed(TEMPLATES)}
+    rows = [(1, " \n".join(t.text for t in TEMPLATES)), (2, " ".join(first[n] for n in ("gpl", "apache", "mit-grant"))), (3, "nothing")]
     got = {r.doc_id: set(r.labels.split(",")) for r in license_scan(table(spark, rows)).collect()}
-    assert got[1] == {*TEMPLATES, *PHRASES.values()} and got[2] == {"gpl", "apache", "mit-grant"} and got[3] == {""}
+    assert got[1] == {*(t.label for t in TEMPLATES), *PHRASES.values()} and got[2] == {"gpl", "apache", "mit-grant"} and got[3] == {""}
 
 
 def test_languages_and_toxicity_on_held_out_rows(spark):
