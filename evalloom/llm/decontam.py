@@ -5,8 +5,9 @@ Windows of one length share a searcher. Its block shift table says how far a win
 words without missing an occurrence; where the shift is zero, the block's bucket lists the windows that end in it by the
 hash of their first word, and a direct comparison confirms them. Documents stream past the tables; nothing is shuffled.
 
-The tables of one block of benchmark texts are broadcast, and a block's size is bounded by `block_words`; a larger
-benchmark takes further blocks, each of which passes over the documents and adds to what the one before found.
+The tables of one block of benchmark texts are broadcast, and a block's size is bounded by `block_words`: items are cut into
+pieces of bounded length that overlap by a window less a word, so that neither a long item nor a repeated row makes a large block. A
+larger benchmark takes further blocks, each of which passes over the documents and adds to what the one before found.
 
 Nulls and texts without words have no windows and no hits. Benchmark rows with a null id or text are left out; rows that
 repeat an id add their windows to it. Repeated documents are searched alike. Columns of the input stay, but those of the
@@ -112,14 +113,31 @@ def _pass(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFra
     return docs.mapInArrow(scan, docs.schema)
 
 
+def item_pieces(benchmark: DataFrame, window: int, most: int) -> DataFrame:
+    """(item, piece, n): distinct pieces of at most `most` words of each item; each window lies in a piece, none is added."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch["item"], batch["text"]):
+                words = alnum_words(text.as_py())
+                for at in range(0, max(1, len(words) - window + 1), most - window + 1):
+                    part = words[at : at + most]
+                    rows.append((item.as_py(), b" ".join(part).decode("utf-8", "replace"), len(part)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["item", "piece", "n"])
+
+    known = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text")
+    return known.mapInArrow(run, "item string, piece string, n long").filter("n > 0").distinct()
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 500_000) -> DataFrame:
     """docs (text, ...), benchmark (item_id, text) -> docs with n_words, hit_spans, item_ids.
 
     hit_spans: merged word ranges inside occurrences of windows. item_ids: ids, as sorted strings, of the items with
     occurring windows. block_words: about how many benchmark words one broadcast block may hold.
     """
-    known = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text")
-    size = known.agg(F.sum(F.size(F.split("text", r"[^0-9A-Za-z\x80-￿]+"))).alias("n")).first()["n"] or 0
+    pieces = item_pieces(benchmark, window, max(window, block_words // 8))
+    size = pieces.agg(F.sum("n").alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // block_words))
     out = (
         docs.withColumn("n_words", F.lit(None).cast("long"))
@@ -127,6 +145,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
         .withColumn("item_ids", F.lit(None).cast("array<string>"))
     )
     for k in range(blocks):
-        block = known.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        out = _pass(out, sorted((r["item"], r["text"]) for r in block.toLocalIterator()), window)
+        block = pieces.filter(F.pmod(F.xxhash64("item", "piece"), F.lit(blocks)) == k)
+        out = _pass(out, sorted((r["item"], r["piece"]) for r in block.toLocalIterator()), window)
     return out
