@@ -8,19 +8,22 @@ again. A fingerprint is the set of chunk digests with their lengths; containment
 A null text is an empty one; the empty text's fingerprint is empty, contained wholly in any other, and likeness between
 an empty and a non-empty text is 0, between two empty ones 1. Equal texts have equal fingerprints, whatever the row. The
 document after the last is the first, so a single document follows itself; null ids come first, rows that repeat an id are
-in the order of their texts' hashes. Other columns stay, the result's replace those of the same name.
+in the order of their texts' hashes. Ids are integers and come back as long; others are refused. Other columns of the input are not
+returned. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NORMAL, SHORTEST, LONGEST = 64, 32, 256
@@ -96,37 +99,50 @@ def likeness(a: dict[int, int], b: dict[int, int]) -> float:
     return min(containment(a, b), containment(b, a))
 
 
+def numbered(pairs: dict, of: Column) -> Column:
+    """The integer that a small table gives to a value; null for others."""
+    if not pairs:
+        return F.lit(None).cast("int")
+    held = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    return F.when(of.isin(list(pairs)), F.try_element_at(held, of))
+
+
 def followed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs in ranges of ascending id (`_range`), each range with the row that follows its last one (`_guest`).
+    """docs (id, text) in ranges of ascending (id, hash of text), with `range` and `guest`: each range also has the row that follows its last one.
 
-    One shuffle by range; the driver holds one id for each range. The ranges come from quantiles of the ids.
+    One shuffle; the driver holds one key for each range. Ranges come from quantiles of the ids; an id that fills several quantiles is
+    parted by the hashes of its texts into as many ranges. A range goes to the partition of its own number.
     """
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    keyed = docs.withColumn("_at", F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)))
-    cuts = keyed.agg(F.percentile_approx("_at", [k / parts for k in range(1, parts)] or [0.5], 10000).alias("q")).first()["q"] or []
-    cuts = F.array(*[F.lit(q).cast("long") for q in sorted(set(cuts))])
-    keyed = keyed.withColumn("_range", F.size(F.filter(cuts, lambda q: q < F.col("_at"))))
-    firsts = {r["_range"]: r["first"] for r in keyed.groupBy("_range").agg(F.min("_at").alias("first")).collect()}
-    order = sorted(firsts)
-    guest = F.lit(None).cast("int")
-    if order:
-        pairs = F.create_map(*[F.lit(x) for r, p in zip(order, [order[-1], *order[:-1]]) for x in (firsts[r], p)])
-        guest = F.when(F.map_contains_key(pairs, F.col("_at")), F.element_at(pairs, F.col("_at")))
-    places = F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("g")), F.struct(guest.alias("r"), F.lit(True).alias("g")))
-    placed = keyed.withColumn("_place", F.explode(F.filter(places, lambda p: p["r"].isNotNull())))
-    placed = placed.withColumn("_range", F.col("_place.r")).withColumn("_guest", F.col("_place.g")).drop("_place")
-    return placed.repartition(parts, "_range").sortWithinPartitions("_range", "_guest", "_at", F.xxhash64("text"))
+    keyed = docs.select(id_col, "text", F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("at"), F.xxhash64("text").alias("hash"))
+    found = keyed.agg(F.percentile_approx("at", [k / parts for k in range(1, parts)] or [0.5], 10000).alias("q")).first()["q"] or []
+    times = sorted(Counter(found).items())
+    cuts = F.array(*[F.lit(q).cast("long") for q, _ in times])
+    firsts = F.array(*[F.lit(n) for n in accumulate([0, *[n for _, n in times]])])  # the first range at or below each cut
+    share = (F.col("hash") / float(1 << 64)) + 0.5  # grows with the hash, from 0 to 1
+    inside = F.floor(F.least(share, F.lit(1 - 1e-9)) * numbered({q: n for q, n in times if n > 1}, F.col("at")))
+    keyed = keyed.withColumn("range", (F.get(firsts, F.size(F.filter(cuts, lambda q: q < F.col("at")))) + F.coalesce(inside, F.lit(0))).cast("int"))
+    first = {r["range"]: r["first"] for r in keyed.groupBy("range").agg(F.min(F.struct("at", "hash")).alias("first")).collect()}
+    order = sorted(first)
+    before = {f"{first[r]['at']}:{first[r]['hash']}": p for r, p in zip(order, [*order[-1:], *order[:-1]])}
+    is_first = F.col("at").isin([f["at"] for f in first.values()])
+    guest = F.when(is_first, numbered(before, F.concat_ws(":", F.col("at").cast("string"), F.col("hash").cast("string"))))
+    places = F.array(F.struct(F.col("range").alias("r"), F.lit(False).alias("g")), F.struct(guest.alias("r"), F.lit(True).alias("g")))
+    placed = keyed.withColumn("place", F.explode(F.filter(places, lambda p: p["r"].isNotNull())))
+    placed = placed.select(id_col, "text", "at", "hash", F.col("place.r").alias("range"), F.col("place.g").alias("guest"))
+    return placed.repartitionById(len(found) + 1, "range").sortWithinPartitions("range", "guest", "at", "hash")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", rows: int = 256) -> DataFrame:
-    """docs (id, text, ...) -> with n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """docs (id, text) -> (id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
     The edited text has its last quarter of code points replaced by as many of the next document's first ones.
     """
-    near = followed(docs.select(id_col, "text"), id_col)
-    schema = f"{id_col} {dict(docs.dtypes)[id_col]}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    arrow_id = pa.string() if dict(docs.dtypes)[id_col] == "string" else pa.int64()
-    types = [arrow_id, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    if dict(docs.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{id_col} has to be an integer, as documents follow each other by it")
+    near = followed(docs.select(F.col(id_col).cast("long").alias(id_col), "text"), id_col)
+    schema = f"{id_col} long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def judged(row: tuple, text: str, chunks: dict[int, int]) -> tuple:
@@ -143,7 +159,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", rows: int = 256) -> Da
         out: list[tuple] = []
         waiting, place = None, None
         for batch in batches:
-            for row_id, text, at, guest in zip(batch[id_col], batch["text"], batch["_range"], batch["_guest"]):
+            for row_id, text, at, guest in zip(batch[id_col], batch["text"], batch["range"], batch["guest"]):
                 text, at, guest = text.as_py() or "", at.as_py(), guest.as_py()
                 chunks = chunk_set(text)
                 if waiting is not None and at == place:
