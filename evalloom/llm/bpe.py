@@ -2,7 +2,9 @@
 
 From the merge list the transducer works out its sufficient lookahead: how far beyond a token's end the text can still
 change that token. A piece is then merged in windows of bounded size; tokens that end at least that far before the
-window's end are stable and are emitted, the rest waits for more text, so that memory does not grow with a piece's length.
+window's end are stable and are emitted, the rest waits for more text, so that memory does not grow with a piece's length. Texts are
+taken in slices that end before a blank, where no piece and no composed character goes on, so that the working state does not grow with a
+text's length either, but for runs without a blank; only the ids that are returned do.
 Decoding feeds tokens' bytes to an incremental UTF-8 state machine and emits text as soon as it is complete.
 
 The tokenizer file (normalizer NFC, white space squeezed, lower case; pieces by pattern; byte-level symbols with an end
@@ -20,6 +22,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -41,7 +44,10 @@ def byte_symbols() -> dict[int, str]:
 
 class Transducer:
     def __init__(self, spec: dict, window: int = 512, cache: int = 400_000) -> None:
-        """spec: the parsed tokenizer file. window: symbols merged at once, beside the lookahead. cache: pieces remembered."""
+        """spec: the parsed tokenizer file. window: symbols merged at once, beside the lookahead. cache: pieces remembered.
+
+        A window is at least as long as the longest token, so that each gives one token or more.
+        """
         model = spec["model"]
         self.mark = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
@@ -56,7 +62,7 @@ class Transducer:
         self.last = {b: self.vocab.get(s + self.mark) for b, s in self.symbols.items()}
         self.length = {i: len(t[: -len(self.mark)] if self.mark and t.endswith(self.mark) else t) for t, i in self.vocab.items()}
         self.lookahead = self._sufficient_lookahead()
-        self.window = window
+        self.window = max(window, *self.length.values())
         self.cache_size, self.cache = cache, {}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         names = "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))
@@ -66,6 +72,7 @@ class Transducer:
         ascii_pattern = pattern.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(r"\s", " \t-\r")
         self.ascii_pieces = re.compile(ascii_pattern).findall  # the same for ASCII texts, and quicker
         self.blanks = regex.compile(r"\s+").sub
+        self.next_blank = regex.compile(r"\S(?=\s)").search
         kind = (spec["decoder"] or {}).get("type")
         if kind not in (None, "ByteLevel"):
             raise ValueError(f"no decoder of type {kind}")
@@ -124,13 +131,11 @@ class Transducer:
             start += end
 
     def piece(self, piece: str) -> list[int]:
-        ids = self.cache.get(piece)
-        if ids is None:
-            ids = [i for part in self.stream(piece.encode("utf-8", "replace")) for i in part]
-            if len(piece) <= 64:
-                if len(self.cache) >= self.cache_size:
-                    self.cache.clear()
-                self.cache[piece] = ids
+        """Ids of a short piece, which are remembered."""
+        ids = [i for part in self.stream(piece.encode("utf-8", "replace")) for i in part]
+        if len(self.cache) >= self.cache_size:
+            self.cache.clear()
+        self.cache[piece] = ids
         return ids
 
     def normalized(self, text: str) -> str:
@@ -140,17 +145,35 @@ class Transducer:
             text = text.replace("Σ", "σ")
         return self.blanks(" ", text).lower()
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        for part in self.split_special.split(text) if text and self.split_special else [text or ""]:
+    def slices(self, text: str, size: int = 65536) -> Iterator[str]:
+        """The text in parts of at least `size` characters, each but the first beginning with a blank after a character that is none."""
+        start = 0
+        while start < len(text):
+            cut = self.next_blank(text, start + size)
+            end = cut.start() + 1 if cut else len(text)
+            yield text[start:end]
+            start = end
+
+    def tokens(self, text: str) -> Iterator[list[int]]:
+        """Ids of a text, piece by piece, as they become stable."""
+        cached = self.cache.get
+        for part in self.split_special.split(text) if self.split_special else [text]:
             if part in self.special:
-                out.append(self.special[part])
-            elif part:
-                part = self.normalized(part)
-                cached = self.cache.get
-                for p in self.ascii_pieces(part) if part.isascii() else self.pieces(part):
-                    out += cached(p) or self.piece(p)
-        return out
+                yield [self.special[part]]
+                continue
+            for sliced in self.slices(part):
+                sliced = self.normalized(sliced)
+                for p in self.ascii_pieces(sliced) if sliced.isascii() else self.pieces(sliced):
+                    ids = cached(p)
+                    if ids:
+                        yield ids
+                    elif len(p) <= 64:
+                        yield self.piece(p)
+                    else:
+                        yield from self.stream(p.encode("utf-8", "replace"))
+
+    def encode(self, text: str | None) -> list[int]:
+        return list(chain.from_iterable(self.tokens(text or "")))
 
     def decode(self, ids: Sequence[int], step: int = 4096) -> Iterator[str]:
         """Text of `step` ids at a time, as far as their bytes are complete; invalid bytes give U+FFFD."""
