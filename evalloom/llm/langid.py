@@ -1,8 +1,9 @@
 """Language identification in two levels: family first, then one-versus-one linear support vector machines within it.
 
 Features are counts of byte bigrams and trigrams of the lower-cased text, hashed to a fixed number of places, under a
-square root and scaled to length one. The machines learn from at most `max_rows` labelled documents, the same number for
-each language where there are enough (the documented bound of the sample); every document is judged by its whole text.
+square root and scaled to length one. The machines learn from at most `max_rows` labelled documents in the `max_languages` languages
+that most documents have, the same number for each language where there are enough (the documented bounds of the sample); every document is
+judged by its whole text.
 
 A text that is null or has no letter is `und` with score 0. With no labelled document at all every other text is `und` too;
 with one language that language is always predicted. Languages outside the family table make up the family `other`. Repeated
@@ -18,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import fresh
 from .decontam import _with
 
 PLACES = 4096
@@ -126,22 +128,22 @@ class LanguageModel:
 
 def bounded_sample(rows: DataFrame, label: str, order: Column, per_label: int) -> DataFrame:
     """At most per_label rows of each label, those of lowest order, a hash: counted first, so that few reach the window."""
-    counts = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
-    keep = F.lit(False)
-    for name, n in counts.items():
-        share = min(1.0, 3 * per_label / n + 100 / n)
-        keep = keep | ((F.col(label) == name) & (F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))))
-    w = Window.partitionBy(label).orderBy(F.pmod(order, F.lit(1 << 30)), order)
-    return rows.filter(keep).withColumn("_nth", F.row_number().over(w)).filter(F.col("_nth") <= per_label).drop("_nth")
+    held, least, nth = fresh(rows, "label", "least", "nth")
+    counts = rows.groupBy(F.col(label).alias(held)).agg(F.count("*").alias(least))
+    share = F.least(F.lit(1.0), (3.0 * per_label + 100) / F.col(least))
+    dealt = F.pmod(order, F.lit(1 << 30))
+    few = rows.join(F.broadcast(counts), F.col(label) == F.col(held)).filter(dealt < share * (1 << 30)).drop(held, least)  # a row for each label
+    w = Window.partitionBy(label).orderBy(dealt, order)
+    return few.withColumn(nth, F.row_number().over(w)).filter(F.col(nth) <= per_label).drop(nth)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", max_rows: int = 1600) -> LanguageModel | None:
+def train(docs: DataFrame, id_col: str = "doc_id", max_rows: int = 1600, max_languages: int = 100) -> LanguageModel | None:
     """docs (id, text, lang): learns from rows that are not held out and have a language and a letter."""
     known = docs.select(id_col, "text", "lang").filter(F.col("lang").isNotNull() & ~held_out(id_col) & F.col("text").rlike(r"\p{L}"))
-    n_langs = known.select("lang").distinct().count()
-    if not n_langs:
+    langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
+    if not langs:
         return None
-    sample = bounded_sample(known, "lang", F.xxhash64(id_col, "text"), max(2, max_rows // n_langs))
+    sample = bounded_sample(known.filter(F.col("lang").isin(langs)), "lang", F.xxhash64(id_col, "text"), max(2, max_rows // len(langs)))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,28 +7,33 @@ evidence is the difference of its two log-likelihoods. A document's evidence is
 the square root of the length, its heaviest stretch of 25 words and its five strongest words. A logistic curve, fitted on
 sampled documents that the models did not see, turns these into a score.
 
-The models learn from at most `per_class` labelled documents of each class (the documented bound); every document is
-scored by its whole text. Null, empty and wordless texts get the score of no evidence. Repeated labels of a document count as
-toxic if one does. Without documents of both classes the score is 0. Repeated rows are scored alike; columns of the input stay,
-but score replaces one of that name.
+The models learn from at most `per_class` labelled rows of each class, each class for itself, and at most `sample_chars` characters of the
+sample (the documented bounds); every document is scored by its whole text. The curve is fitted on a third of the sample, by hash, under
+models of the other two thirds; the models that score are then counted over the whole sample.
+
+Null, empty and wordless texts get the score of no evidence. Repeated labels of a document count as toxic if one does. Without
+documents of both classes the score is 0. Repeated rows are scored alike; columns of the input stay, but score replaces one of that name.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words
+from .common import alnum_words, cut
 from .decontam import _with
 from .langid import bounded_sample, held_out
 
 ORDERS, SHARED, DISCOUNT = 6, 3, 0.75
 LEAST = 1e-4
+#: Columns of word counts: class 0 and 1, of the rows that count and of those that fit the curve.
+COUNTS = ["ordinary", "toxic", "curve_ordinary", "curve_toxic"]
 
 
 def packed(words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -168,36 +173,52 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(scorer.summaries(texts) @ self.curve, -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: int = 1200) -> ToxicityModel | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: int = 1200, sample_chars: int = 100_000_000) -> ToxicityModel | None:
     """docs (id, text), labels (id, toxic): learns from labelled rows that are not held out.
 
-    A third of the sample, by hash, fits the curve; the rest the models. Words are counted in tasks and summed by Spark; what the
-    driver gets is bounded by the sample.
+    Words are counted in tasks and summed by Spark; what the driver gets is bounded by the sample. Rows that would take the sample beyond
+    `sample_chars` are left out of it, in the order of their hashes.
     """
     known = labels.select(id_col, F.col("toxic").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(id_col).agg(F.max("y").alias("y"))
     all_known = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if len(all_known) < 2:
         return None
-    sample = bounded_sample(known, "y", F.xxhash64(id_col), min(per_class, *all_known.values()))  # as many of each
+    sample = bounded_sample(known, "y", F.xxhash64(id_col), per_class)
     fit = docs.select(id_col, "text").join(F.broadcast(sample), id_col)  # two rows of numbers for each of per_class ids
-    fit = fit.select("y", (F.pmod(F.xxhash64(id_col, F.lit(3)), F.lit(3)) == 0).alias("curve"), "text")
+    fit = bounded_sample(fit, "y", F.xxhash64(id_col, "text"), per_class)  # ids may repeat
+    fit = fit.withColumn("hash", F.xxhash64(id_col, "text"))
+    sizes = sorted((r["hash"], r["chars"] or 0) for r in fit.select("hash", F.length("text").alias("chars")).collect())  # two numbers for each row of the sample
+    over = [h for (h, _), total in zip(sizes, accumulate(n for _, n in sizes)) if total > sample_chars]
+    fit = fit.filter(F.col("hash") < over[0]) if over else fit
+    fit = cut(fit.select("y", (F.pmod(F.col("hash"), F.lit(3)) == 0).alias("curve"), "text"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n: dict[bytes, list[int]] = {}
             for text, y, curve in zip(batch["text"], batch["y"], batch["curve"]):
-                if not curve.as_py() and text.as_py():
+                if text.as_py():
                     for w, k in Counter(alnum_words(text.as_py().lower())).items():
-                        n.setdefault(w, [0, 0])[y.as_py()] += k
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), *[pa.array([v[y] for v in n.values()], pa.int64()) for y in (1, 0)]], names=["word", "toxic", "ordinary"])
+                        n.setdefault(w, [0, 0, 0, 0])[2 * curve.as_py() + y.as_py()] += k
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), *[pa.array([v[k] for v in n.values()], pa.int64()) for k in range(4)]], names=["word", *COUNTS])
+
+    sums = fit.mapInArrow(counted, "word binary, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    got = sums.orderBy("word").toArrow()
+    words, counts = got["word"].to_pylist(), np.stack([got[c].to_numpy() for c in COUNTS])
 
-    counts = fit.mapInArrow(counted, "word binary, toxic long, ordinary long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    got = counts.orderBy("word").toArrow()
-    if not len(got) or not sum(got["toxic"].to_numpy()) or not sum(got["ordinary"].to_numpy()):
+    def model(rows: np.ndarray) -> EvidenceModel | None:
+        """Of the words that occur; None without words of both classes."""
+        ordinary, toxic = rows
+        met = np.flatnonzero(ordinary + toxic)
+        return EvidenceModel([words[i] for i in met], toxic[met], ordinary[met]) if toxic.any() and ordinary.any() else None
+
+    whole, partial = model(counts[:2] + counts[2:]), model(counts[:2])
+    if whole is None:
         return None
-    model = EvidenceModel(got["word"].to_pylist(), got["toxic"].to_numpy(), got["ordinary"].to_numpy())
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    flat = ToxicityModel(whole, np.array([0.0, 1.0, 0.0, 0.0, 0.0]))
+    if partial is None:
+        return flat
+    shared = docs.sparkSession.sparkContext.broadcast(partial)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
@@ -205,13 +226,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class:
             x = [r.tobytes() for r in scorer.summaries(batch["text"].to_pylist())]
             yield pa.RecordBatch.from_arrays([batch["y"], pa.array(x, pa.binary())], names=["y", "x"])
 
-    rows = sorted((r["y"], bytes(r["x"])) for r in fit.filter("curve").mapInArrow(summed, "y int, x binary").collect())
+    rows = sorted((r["y"], bytes(r["x"])) for r in fit.filter("curve").select("y", "text").mapInArrow(summed, "y int, x binary").collect())
     y = np.array([r[0] for r in rows], float)
     if len(set(y)) < 2:
-        return ToxicityModel(model, np.array([0.0, 1.0, 0.0, 0.0, 0.0]))
+        return flat
     curve = fit_logistic(np.array([np.frombuffer(r[1]) for r in rows]), y)
     curve[0] += np.log(max(all_known[1], 1) / max(all_known[0], 1)) - np.log(y.sum() / (len(y) - y.sum()))  # the sample's shares differ
-    return ToxicityModel(model, curve)
+    return ToxicityModel(whole, curve)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
