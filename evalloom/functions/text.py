@@ -19,6 +19,22 @@ def once(c: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(c), then)[0]
 
 
+def frequent(items: Column, k: int) -> Column:
+    """The k most frequent elements of an array of strings as (n, at, w), most first; ties by first place."""
+    placed = F.array_sort(F.transform(items, lambda x, i: F.struct(x.alias("w"), i.alias("at"))))
+
+    def of(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda x, i: F.when(F.coalesce(F.get(s, i - 1)["w"] != x["w"], F.lit(True)), i)), lambda i: i.isNotNull())
+
+        def runs(st: Column) -> Column:
+            return F.transform(st, lambda i, j: F.struct((i - F.coalesce(F.get(st, j + 1), F.size(s))).alias("n"), F.get(s, i)["at"].alias("at"), F.get(s, i)["w"].alias("w")))
+
+        top = F.slice(F.array_sort(once(starts, runs)), 1, k)
+        return F.transform(top, lambda x: F.struct((-x["n"]).alias("n"), x["at"].alias("at"), x["w"].alias("w")))
+
+    return once(placed, of)
+
+
 def filled(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -145,7 +161,7 @@ def contains_math(c: Column) -> Column:
 
 
 def extract_variables(question: Column, answer: Column) -> Column:
-    parts = {"question_numbers": found(question, r"\d+\.?\d*"), "answer_numbers": found(answer, r"\d+\.?\d*"), "proper_nouns": found(F.concat_ws(" ", question, answer), r"\b[A-Z][a-z]+\b")}
+    parts = {"question_numbers": found(question, r"\d+"), "answer_numbers": found(answer, r"\d+"), "proper_nouns": found(question, r"\b[A-Z][a-z]+\b")}
     return F.map_filter(F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), v)]), lambda k, v: F.size(v) > 0)
 
 
@@ -160,11 +176,37 @@ def parse_judgment(c: Column, criteria: list[str]) -> Column:
     return F.struct(*[s.alias(k) for s, k in zip(scores, criteria)], (reduce(lambda a, b: a + b, scores) / len(criteria)).alias("overall"))
 
 
+def parse_classification(c: Column, known: list[str]) -> Column:
+    """Fields of a classifier's reply; unknown types are left out, confidence lies between 0 and 1, 0.5 where there is none."""
+    t = filled(c)
+    field = lambda p: F.when(t.rlike(p), strip(F.regexp_extract(t, p, 1)))
+    primary = field(r"(?i)Primary Evaluation Type:\s*([a-zA-Z_]+)")
+    listed = F.transform(F.split(F.coalesce(field(r"(?i)Secondary Types:\s*([a-zA-Z_,\s]+)"), F.lit("")), ","), strip)
+    sure = field(r"(?i)Confidence:\s*([0-9.]+)").try_cast("double")
+    return F.struct(
+        F.coalesce(field(r"(?is)Analysis:\s*(.+?)(?=Primary Evaluation Type:|$)"), F.lit("")).alias("analysis"),
+        F.when(primary.isin(known), primary).otherwise("domain_knowledge").alias("primary_type"), F.filter(listed, lambda x: x.isin(known)).alias("secondary_types"),
+        F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(sure, F.lit(0.5)))).alias("confidence"), F.coalesce(field(r"(?is)Reasoning:\s*(.+)"), F.lit("")).alias("reasoning"),
+    )
+
+
 def parse_qa_reply(c: Column) -> Column:
-    """Question and answer of a model's reply: its first JSON object, else lines with Question: / Q: and Answer: / A:."""
+    """Question, answer and reasoning of a model's reply: its first JSON object, else lines with Question: / Q:, Answer: / A: and bullets."""
     data = F.from_json(F.regexp_extract(filled(c), r"(?s)(\{.*\})", 1), "question string, answer string, reasoning string")
-    line = lambda names: F.when(filled(c).rlike(rf"(?im)^\s*(?:{names}):"), strip(F.regexp_extract(filled(c), rf"(?im)^\s*(?:{names}):\s*(.*)$", 1)))
-    return F.struct(F.coalesce(data["question"], line("question|q")).alias("question"), F.coalesce(data["answer"], line("answer|a")).alias("answer"))
+
+    def line(names: str) -> Column:
+        """The last line of this kind."""
+        return F.try_element_at(found(c, rf"(?m)^[^\S\n]*(?:{names})\s*(.*)$", 1), F.lit(-1))
+
+    bullets = F.transform(found(c, r"(?m)^[^\S\n]*[-•]+(.*)$", 1), strip)
+    return F.struct(
+        F.coalesce(data["question"], strip_null(line("(?i:question:)|Q:"))).alias("question"), F.coalesce(data["answer"], strip_null(line("(?i:answer:)|A:"))).alias("answer"),
+        F.coalesce(data["reasoning"], F.array_join(bullets, "\n")).alias("reasoning"),
+    )
+
+
+def strip_null(c: Column) -> Column:
+    return F.when(c.isNotNull(), strip(c))
 
 
 def extract_generation_answer(c: Column) -> Column:

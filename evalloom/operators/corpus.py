@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import any_of, filled, found, split_sentences, tokens, words
+from ..functions.text import filled, found, frequent, split_sentences, strip, words
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
@@ -44,164 +43,166 @@ def fixed_chunks(docs: DataFrame, size: int = 500) -> DataFrame:
     return out.filter(F.length("text") > 50)
 
 
-def paragraph_chunks(docs: DataFrame, least: int = 500, most: int = 2000, overlap: int = 100, separator: str = "\n\n") -> DataFrame:
-    """Greedy packing of paragraphs within a document; the state is one chunk."""
-
-    def pack(text: str) -> list[str]:
-        out, cur = [], ""
-        for p in filter(None, (x.strip() for x in (text or "").split(separator))):
-            if cur and len(cur) + len(p) > most and len(cur) >= least:
-                out.append(cur)
-                cur = cur[-overlap:] + "\n\n" + p if overlap else p
-            else:
-                cur = cur + "\n\n" + p if cur else p
-        if len(cur) >= least:
+def paragraph_list(text: str, least: int, most: int, overlap: int, separator: str) -> list[tuple[str, str]]:
+    """(chunk, method): paragraphs packed greedily; the state is one chunk. A text that gives no chunk is one as a whole."""
+    out, cur = [], ""
+    for p in filter(None, (x.strip() for x in text.split(separator))):
+        if cur and len(cur) + len(p) > most and len(cur) >= least:
             out.append(cur)
-        return out or ([text] if text else [])
+            cur = cur[-overlap:] + "\n\n" + p if overlap else p
+        else:
+            cur = cur + "\n\n" + p if cur else p
+    if cur and len(cur) >= least:
+        out.append(cur)
+    if out:
+        return [(c.strip(), "simple_paragraph") for c in out]
+    return [(text.strip(), "simple_single")] if text.strip() else []
+
+
+def paragraph_chunks(docs: DataFrame, least: int = 500, most: int = 2000, overlap: int = 100, separator: str = "\n\n", key: str = "doc_id") -> DataFrame:
+    """(key, chunk_index, text, method, size): greedy packing of paragraphs within a text; null and blank texts give none. Sizes in tokens count four characters each."""
+    kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(d, i, c, "paragraph") for d, t in zip(b["doc_id"], b["text"]) for i, c in enumerate(pack(t))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "text", "method"])
+            rows = [(d, i, c, m, len(c)) for d, t in zip(b[key], b["text"]) for i, (c, m) in enumerate(paragraph_list(t or "", least, most, overlap, separator))]
+            yield pd.DataFrame(rows, columns=[key, "chunk_index", "text", "method", "size"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_index int, text string, method string")
+    return docs.select(key, "text").mapInPandas(run, f"{key} {kind}, chunk_index int, text string, method string, size int")
 
 
-def merge_small_chunks(chunks: DataFrame, least: int = 500, most: int = 2000) -> DataFrame:
-    """Joins neighbouring chunks below the least size, in order, within each document."""
+def _block_size(name: str, size: int) -> int:
+    return len(FILE_MARK.format(name)) + size
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, cur = [], ""
-        for t in pdf.sort_values("chunk_index")["text"]:
-            if len(t) >= least:
-                out += [cur] * bool(cur) + [t]
-                cur = ""
-                continue
-            cur = f"{cur}\n\n{t}" if cur else t
-            if len(cur) >= least or len(cur) > 0.8 * most:
-                out.append(cur)
-                cur = ""
-        out += [cur] * bool(cur)
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "chunk_index": range(len(out)), "text": out})
-
-    return chunks.groupBy("doc_id").applyInPandas(run, "doc_id long, chunk_index int, text string")
 
+#: What stands between the files of a block.
+FILE_MARK = "\n\n" + "=" * 60 + "\nFILE: {}\n"
 
-def token_estimate(c: Column) -> Column:
-    return F.floor(F.length(filled(c)) / 4).cast("int")
 
+def pack_files(files: DataFrame, least: int = 1110, target: int = 1850, most: int = 2590, by: str = "source", bucket_files: int = 1000) -> DataFrame:
+    """files (by, doc_id, filename, content) -> (block, text, sources, size, file_count, is_target_size): files joined in order of doc_id up to a size.
 
-def chunk_report(chunks: DataFrame) -> DataFrame:
-    n = F.length("text")
-    return chunks.agg(F.count("*").alias("chunks"), F.min(n).alias("min_size"), F.max(n).alias("max_size"), F.avg(n).alias("avg_size"))
+    A file joins a block while that stays within `most` characters, or 5 % above while the block is below `least`. Blocks stay within a bucket of
+    `bucket_files` files in a row, so that no corpus is one task; only names and sizes go through the packing, texts meet once their block is known.
+    """
+    trimmed = files.select(by, "doc_id", F.floor(F.col("doc_id") / bucket_files).alias("bucket"), "filename", strip(F.col("content")).alias("content")).filter("content <> ''")
+
+    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc_id")
+        blocks, size, block = [], 0, -1
+        for name, n in zip(pdf["filename"], pdf["size"]):
+            both = size + 2 + n
+            if block >= 0 and (both <= most or (size < least and both <= most * 1.05)):
+                size = size + _block_size(name, n)
+            else:
+                block, size = block + 1, n
+            blocks.append(block)
+        return pd.DataFrame({"doc_id": pdf["doc_id"], "bucket": pdf["bucket"], "by": pdf["by"], "block": blocks})
 
+    sizes = trimmed.select(F.col(by).cast("string").alias("by"), "bucket", "doc_id", "filename", F.length("content").alias("size"))
+    placed = sizes.groupBy("by", "bucket").applyInPandas(assign, "doc_id long, bucket long, by string, block long")
+    placed = placed.select("doc_id", F.concat_ws(":", "by", F.col("bucket").cast("string"), F.col("block").cast("string")).alias("block"))
+    rows = trimmed.join(placed, "doc_id").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("doc_id", "filename", "content"))).alias("fs"))  # of bounded size
+    before, after = FILE_MARK.split("{}")
+    part = lambda f, i: F.when(i == 0, f["content"]).otherwise(F.concat(F.lit(before), f["filename"], F.lit(after), f["content"]))
+    out = rows.select("block", F.array_join(F.transform("fs", part), "").alias("text"), F.transform("fs", lambda f: f["filename"]).alias("sources"))
+    return out.withColumn("size", F.length("text")).withColumn("file_count", F.size("sources")).withColumn("is_target_size", F.col("size") >= 0.8 * target)
 
-def sample_segments(docs: DataFrame, n: int = 3, length: int = 50, seed: int = 42) -> DataFrame:
-    """n word windows of each document at hashed places; a short document gives its whole text."""
-    w = docs.select("doc_id", words(F.col("text")).alias("w")).withColumn("segment", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string"), F.lit(":"), F.col("segment").cast("string"))), 1, 8), 16, 10).cast("long")
-    free = F.greatest(F.size("w") - length, F.lit(0)) + 1
-    return w.select("doc_id", "segment", F.array_join(F.slice("w", (h % free + 1).cast("int"), F.lit(length)), " ").alias("text"))
 
+def chunk_packed_files(files: DataFrame, chunk_least: int = 500, chunk_most: int = 2000, overlap: int = 100, separator: str = "\n\n", **packing) -> DataFrame:
+    """Files packed into blocks (packing: arguments of pack_files), blocks cut into paragraph chunks; each chunk keeps its block's files."""
+    blocks = pack_files(files, **packing)
+    chunks = paragraph_chunks(blocks, chunk_least, chunk_most, overlap, separator, key="block")
+    return chunks.join(blocks.select("block", F.col("sources").alias("file_sources"), (F.col("file_count") > 1).alias("is_multi_file")), "block")
 
-def keywords(docs: DataFrame, k: int = 50, least: int = 3) -> DataFrame:
-    """A document's most frequent words outside the lists; ties by first place."""
-    letters = F.filter(F.split(F.lower(filled(F.col("text"))), r"[^\p{L}\p{N}_]+"), lambda t: t.rlike(f"^[a-z]{{{least},}}$"))
-    rows = docs.select("doc_id", F.posexplode(letters).alias("pos", "word")).filter(~F.col("word").isin(P.STOP_WORDS + P.GENERIC_WORDS))
-    counts = rows.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first"))
-    return counts.withColumn("rank", rank).filter(F.col("rank") <= k).select("doc_id", "word", "n", "rank")
 
+def merged(texts: list[str], least: int, most: int) -> list[tuple[str, list[int]]]:
+    """(chunk, places it comes from): neighbouring chunks below the least size are joined; sizes in tokens of four characters."""
+    out, cur, held = [], "", []
+    for i, t in enumerate(texts):
+        if len(t) // 4 >= least:
+            if held:
+                out.append((cur, held))
+                cur, held = "", []
+            out.append((t, [i]))
+            continue
+        cur, held = (f"{cur}\n\n{t}" if held else t), [*held, i]
+        if len(cur) // 4 >= least or len(cur) // 4 > 0.8 * most:
+            out.append((cur, held))
+            cur, held = "", []
+    return out + ([(cur, held)] if held else [])
 
-def weighted_scores(c: Column, head: int = 2000) -> dict[str, Column]:
-    """Sum of the weights of patterns that occur in the first characters, by type."""
-    t = F.substring(filled(c), 1, head)
-    return {k: reduce(lambda a, b: a + b, [F.when(t.rlike(f"(?i){p}"), w).otherwise(0.0) for p, w in ps]) for k, ps in P.WEIGHTED_PATTERNS.items()}
 
+MERGED = "chunk_index int, text string, token_count int, concatenated_from array<int>, token_range_valid boolean"
 
-def weighted_pattern_scores(docs: DataFrame) -> DataFrame:
-    """Scores by type; the first type with two strong patterns, or 15 points, decides alone (`early`)."""
-    t = F.substring(filled(F.col("text")), 1, 2000)
-    strong = {k: reduce(lambda a, b: a + b, [t.rlike(f"(?i){p}").cast("int") for p, w in ps if w >= 8] or [F.lit(0)]) for k, ps in P.WEIGHTED_PATTERNS.items()}
-    out = docs.select("doc_id", *[c.alias(k) for k, c in weighted_scores(F.col("text")).items()], *[c.alias(f"_{k}") for k, c in strong.items()])
-    early = F.coalesce(*[F.when((F.col(f"_{k}") >= 2) | (F.col(k) >= 15), k) for k in strong])
-    return out.select("doc_id", *strong, early.alias("early"))
 
+def _merged_rows(key, texts: list[str], least: int, most: int) -> list[tuple]:
+    return [(key, i, t, len(t) // 4, held, least <= len(t) // 4 <= most) for i, (t, held) in enumerate(merged(texts, least, most))]
 
-def count_pattern_scores(docs: DataFrame) -> DataFrame:
-    """Matches for each hundred words, by type, and the best type; ties in declared order."""
-    t = filled(F.col("text"))
-    per = F.greatest(F.size(words(t)) / 100, F.lit(1.0))
-    out = docs.select("doc_id", *[(reduce(lambda a, b: a + b, [F.regexp_count(t, F.lit(f"(?i){p}")) for p in ps]) / per).alias(k) for k, ps in P.COUNTED_PATTERNS.items()])
-    top = F.greatest(*P.COUNTED_PATTERNS)
-    return out.withColumn("primary_type", F.coalesce(*[F.when(F.col(k) == top, k) for k in P.COUNTED_PATTERNS]))
 
+def merge_small_chunks(chunks: DataFrame, least: int = 125, most: int = 500, key: str = "doc_id") -> DataFrame:
+    """chunks (key, chunk_index, text): small neighbours joined, in order, within each document."""
+    kind = dict(chunks.dtypes)[key]
 
-def eval_types(spark) -> DataFrame:
-    return spark.createDataFrame(P.EVAL_TYPES, "eval_type string, deterministic boolean, verification string, metrics array<string>")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = _merged_rows(pdf[key].iloc[0], list(pdf.sort_values("chunk_index")["text"]), least, most)
+        return pd.DataFrame(rows, columns=[key, *[f.split()[0] for f in MERGED.split(", ")]])
 
+    return chunks.groupBy(key).applyInPandas(run, f"{key} {kind}, {MERGED}")
 
-def eval_type_lookup(items: DataFrame) -> DataFrame:
-    """Adds a type's settings; an unknown type counts as domain_knowledge. The dimension has ten rows."""
-    dim = eval_types(items.sparkSession).withColumnRenamed("eval_type", "known")
-    default = [r for r in P.EVAL_TYPES if r[0] == "domain_knowledge"][0]
-    out = items.join(F.broadcast(dim), items["eval_type"] == dim["known"], "left")
-    return out.withColumn("deterministic", F.coalesce("deterministic", F.lit(default[1]))).withColumn("verification", F.coalesce("verification", F.lit(default[2]))).withColumn("metrics", F.coalesce("metrics", F.array(*map(F.lit, default[3])))).drop("known")
 
+def merged_paragraphs(docs: DataFrame, least: int = 125, most: int = 500, separator: str = "\n", key: str = "doc_id") -> DataFrame:
+    """The paragraphs of each text, small neighbours joined: as merge_small_chunks over them, but within a row, without a shuffle."""
+    kind = dict(docs.dtypes)[key]
 
-def content_signals(docs: DataFrame) -> DataFrame:
-    t, w = filled(F.col("text")), tokens(F.col("text"))
-    n = F.size(w)
-    return docs.select(
-        "doc_id", F.when(n == 0, 0.0).otherwise(F.size(F.array_distinct(w)) / n).alias("type_token_ratio"), F.try_divide(n.cast("double"), F.size(split_sentences(t))).alias("words_per_sentence"),
-        F.regexp_count(t, F.lit(r"\?")).alias("question_marks"), any_of(t, P.CODE_PATTERNS).alias("has_code"), any_of(t, P.MATH_PATTERNS).alias("has_math"),
-    )
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [r for d, t in zip(b[key], b["text"]) for r in _merged_rows(d, [p for p in map(str.strip, (t or "").split(separator)) if p], least, most)]
+            yield pd.DataFrame(rows, columns=[key, *[f.split()[0] for f in MERGED.split(", ")]])
 
+    return docs.select(key, "text").mapInPandas(run, f"{key} {kind}, {MERGED}")
 
-def corpus_structure(docs: DataFrame) -> DataFrame:
-    t = filled(F.col("text"))
-    count = lambda p: F.regexp_count(t, F.lit(p))
-    return docs.select("doc_id", F.size(words(t)).alias("words"), F.size(split_sentences(t)).alias("sentences"), F.size(F.array_distinct(tokens(t))).alias("unique_words"), count(r"\d+").alias("numbers"), count(r"\([^)]+\)").alias("parentheses"))
 
+def keyword_list(c: Column, k: int) -> Column:
+    """A text's k most frequent words of three letters and more outside the lists; ties by first place."""
+    kept = F.filter(found(F.lower(filled(c)), r"\b[a-zA-Z]{3,}\b"), lambda w: ~w.isin(P.STOP_WORDS + P.GENERIC_WORDS))
+    return F.transform(frequent(kept, k), lambda x: x["w"])
 
-def question_kind(c: Column) -> Column:
-    # Kinds of prompts, in the order tried.
-    kinds = [("math", r"\b(calculate|solve|equation|compute)\b|\d+\s*[+*/-]\s*\d+"), ("code", r"\b(function|code|program|implement)\b"), ("factual", r"\b(who|when|where|which)\b"), ("explanation", r"\b(why|how|explain|describe)\b"), ("definition", r"\b(what is|define|meaning)\b")]
-    return F.coalesce(*[F.when(filled(c).rlike(f"(?i){p}"), k) for k, p in kinds], F.lit("general"))
 
+def chunk_coherence(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, chunk_index, coherence): share of a chunk's 20 keywords among its document's 100, raised by a fifth for two sentences; 1 without keywords."""
+    whole = docs.select("doc_id", keyword_list(F.col("text"), 100).alias("whole"))
+    own = chunks.select("doc_id", "chunk_index", keyword_list(F.col("text"), 20).alias("own"), F.size(split_sentences(F.col("text"))).alias("sentences"))
+    share = F.size(F.array_intersect("own", "whole")) / F.size("own")
+    score = F.when((F.size("own") == 0) | (F.size("whole") == 0), 1.0).otherwise(F.least(F.lit(1.0), share * F.when(F.col("sentences") >= 2, 1.2).otherwise(1.0)))
+    return own.join(whole, "doc_id").select("doc_id", "chunk_index", F.round(score, 3).alias("coherence"))
 
-def key_concepts(docs: DataFrame, by: str = "source", k: int = 20) -> DataFrame:
-    """A corpus's top words of four letters and more: capitalised forms weigh two, others one; ties by first place.
 
-    Weights are summed before the shuffle; the ranking keeps k rows for each task and corpus before they meet.
-    """
-    letters = F.filter(F.split(filled(F.col("text")), r"[^\p{L}\p{N}_]+"), lambda t: t.rlike("^[A-Za-z]{4,}$"))
-    rows = docs.select(by, "doc_id", F.posexplode(letters).alias("pos", "word")).filter(~F.lower("word").isin(P.CONCEPT_STOPS))
-    upper = F.col("word").rlike("^[A-Z]")
-    rows = rows.select(by, F.when(upper, F.col("word")).otherwise(F.lower("word")).alias("concept"), F.when(upper, 2).otherwise(1).alias("w"), F.struct("doc_id", "pos").alias("at"))
-    sums = rows.groupBy(by, "concept").agg(F.sum("w").alias("weight"), F.min("at").alias("at"))
-    good = (F.length("concept") >= 5) | F.col("concept").rlike("^[A-Z]") | (F.col("weight") >= 3)
-    generic = reduce(lambda a, b: a | b, [F.lower("concept").contains(g) for g in P.CONCEPT_GENERIC])
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("weight"), "at"))
-    return sums.filter(good & ~generic).withColumn("rank", rank).filter(F.col("rank") <= k).select(by, "concept", "weight", "rank")
-
-
-def merge_chunk_concepts(found: DataFrame, by: str, order: str, k: int = 20) -> DataFrame:
-    """found (by, order, concept, score): the running mean (old + new) / 2 over chunks in order, in closed form, and the top k."""
-    w = Window.partitionBy(by, "concept")
-    n, i = F.count("*").over(w), F.row_number().over(w.orderBy(order))
-    part = F.col("score") * F.pow(F.lit(2.0), -(F.when(i == 1, n - 1).otherwise(n - i + 1)).cast("double"))
-    merged = found.withColumn("part", part).groupBy(by, "concept").agg(F.sum("part").alias("score"), F.count("*").alias("chunks"))
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "concept"))
-    return merged.withColumn("rank", rank).filter(F.col("rank") <= k)
-
-
-def first_snippet(concepts: DataFrame, docs: DataFrame, by: str = "source", most: int = 300) -> DataFrame:
-    """The first sentence over 30 characters that has a concept: joined by corpus, so concepts of one corpus only meet its sentences."""
-    s = docs.select(by, "doc_id", F.posexplode(split_sentences(F.col("text"))).alias("at", "sentence")).filter(F.length("sentence") > 30)
-    met = s.join(F.broadcast(concepts.select(by, "concept")), by).filter(F.lower("sentence").contains(F.lower("concept")))  # k rows for each corpus
-    return met.groupBy(by, "concept").agg(F.min_by(F.substring("sentence", 1, most), F.struct("doc_id", "at")).alias("snippet"))
-
-
-def named_terms(c: Column, most: int = 12) -> Column:
-    return F.slice(F.array_distinct(found(c, r"\b[A-Z][a-z]{2,}\b")), 1, most)
+def token_estimate(c: Column) -> Column:
+    return F.floor(F.length(filled(c)) / 4).cast("int")
+
+
+def chunk_report(chunks: DataFrame) -> DataFrame:
+    """chunks (text[, method, coherence]): number, sizes, different methods, mean and range of the coherence."""
+    n = F.length("text")
+    more = [F.array_sort(F.collect_set("method")).alias("methods")] if "method" in chunks.columns else []
+    more += [f("coherence").alias(f"{k}_coherence") for k, f in (("avg", F.avg), ("min", F.min), ("max", F.max))] if "coherence" in chunks.columns else []
+    return chunks.agg(F.count("*").alias("chunks"), F.min(n).alias("min_size"), F.max(n).alias("max_size"), F.avg(n).alias("avg_size"), *more)
+
+
+def sample_segments(docs: DataFrame, n: int = 3, length: int = 50, seed: int = 42, keep: list[str] | None = None) -> DataFrame:
+    """n word windows of each document at hashed places; a short document gives its whole text. `keep` names columns that stay."""
+    keep = keep or []
+    w = docs.select("doc_id", *keep, words(F.col("text")).alias("w")).withColumn("segment", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string"), F.lit(":"), F.col("segment").cast("string"))), 1, 8), 16, 10).cast("long")
+    free = F.greatest(F.size("w") - length, F.lit(0)) + 1
+    return w.select("doc_id", *keep, "segment", F.array_join(F.slice("w", (h % free + 1).cast("int"), F.lit(length)), " ").alias("text"))
+
+
+def keywords(docs: DataFrame, k: int = 50, least: int = 3) -> DataFrame:
+    """A document's most frequent words outside the lists; ties by first place."""
+    letters = F.filter(F.split(F.lower(filled(F.col("text"))), r"[^\p{L}\p{N}_]+"), lambda t: t.rlike(f"^[a-z]{{{least},}}$"))
+    rows = docs.select("doc_id", F.posexplode(letters).alias("pos", "word")).filter(~F.col("word").isin(P.STOP_WORDS + P.GENERIC_WORDS))
+    counts = rows.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first"))
+    return counts.withColumn("rank", rank).filter(F.col("rank") <= k).select("doc_id", "word", "n", "rank")

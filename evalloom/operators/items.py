@@ -1,72 +1,14 @@
-"""Question tables: building from templates, validation, dedup, selection."""
+"""Question tables: selection, dedup, contamination."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_text, extract_numbers, filled, once, strip, tokens, words
-
-# Question templates, and words that mark questions.
-TEMPLATES = ["What is {}?", "Explain the concept of {}.", "How does {} work?", "What are the key features of {}?", "Why is {} important?"]
-QUESTION_WORDS = r"(?i)\b(what|who|where|when|why|how|which|can|is|are|do|does)\b"
-TRIVIAL = r"(?i)^(what is this\?|what is it\?|yes or no\?)$"
-
-
-def pairs(conversations: DataFrame) -> DataFrame:
-    """User turns with the assistant turn that follows: (conv_id, turn, question, answer)."""
-    q = conversations.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
-    a = conversations.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    return q.join(a, ["conv_id", "turn"])
-
-
-def template_questions(concepts: DataFrame, by: str = "source", seed: int = 42) -> DataFrame:
-    """One templated question for each concept; the template is chosen by a seeded hash."""
-    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(by), F.lit(":"), F.col("concept"))), 1, 8), 16, 10).cast("long")
-    t = F.get(F.array(*map(F.lit, TEMPLATES)), (h % len(TEMPLATES)).cast("int"))
-    return concepts.select(by, "concept", F.replace(t, F.lit("{}"), F.col("concept")).alias("question"))
-
-
-def format_question(c: Column) -> Column:
-    t = strip(c)
-    t = F.when(t.rlike(r"[?.!]$"), t).when(t.rlike(QUESTION_WORDS), F.concat(t, F.lit("?"))).otherwise(F.concat(t, F.lit(".")))
-    return F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, F.lit(2), F.length(t)))
-
-
-def answer_type(answer: Column) -> Column:
-    t = F.lower(strip(answer))
-    return (
-        F.when(t.isin("true", "false", "yes", "no"), "boolean").when(t.rlike(r"^[a-d]$"), "multiple_choice").when(t.rlike(r"^[+-]?\d+(\.\d+)?$"), "numeric_exact")
-        .when(F.size(words(t)) <= 3, "string_exact").otherwise("free_text")
-    )
-
-
-def rule_difficulty(question: Column) -> Column:
-    w = words(question)
-    points = 3 * F.try_divide(F.size(F.filter(w, lambda x: F.length(x) > 7)).cast("double"), F.size(w))
-    points = F.coalesce(points, F.lit(0.0)) + F.when(filled(question).rlike(r"(?i)\b(analyze|evaluate|compare|synthesize|critique)\b"), 2.0).otherwise(0.0)
-    return F.when(points >= 4, "expert").when(points >= 2, "advanced").when(points >= 1, "intermediate").otherwise("basic")
-
-
-def too_simple(question: Column, answer: Column) -> Column:
-    return (F.size(words(question)) < 3) | (strip(answer) == "") | strip(question).rlike(TRIVIAL)
-
-
-def coerce_question(c: Column) -> Column:
-    """Trimmed, cut at 150; null if shorter than five characters."""
-    t = strip(c)
-    cut = F.substring(t, 1, 150)
-    cut = F.when(cut.endswith("?") | ~F.lower(cut).rlike("what|how|why|when|where|who|which"), cut).otherwise(F.concat(F.substring(cut, 1, 149), F.lit("?")))
-    return F.when(F.length(t) >= 5, cut)
-
-
-def number_distractors(answer: Column) -> Column:
-    """Answer and three numbers near its first number; null without one."""
-    n = F.get(extract_numbers(answer), 0).try_cast("double").cast("long")
-    low = F.when(n <= 5, n + 7).otherwise(n - 5)
-    return F.when(n.isNotNull(), F.array(n, n + 5, low, F.greatest(F.lit(1), 2 * n)))
+from ..functions.text import filled, once, tokens
 
 
 def select_best(items: DataFrame, by: str, n: int) -> DataFrame:
@@ -77,23 +19,35 @@ def select_best(items: DataFrame, by: str, n: int) -> DataFrame:
     return ranked.withColumn("rank", rank).filter(F.col("rank") <= n).drop("_first")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Checkpoints df in the shared folder that the session names; sets a folder only where none is set, as in tests."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder that the session names. A session on one machine, as in tests, may name none and gets one; a cluster has to."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def dedup_questions(items: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Keeps, in order of item_id, each question whose word set is not closer than the threshold to one kept before.
+def dedup_questions(items: DataFrame, threshold: float = 0.7, by: str | None = None) -> DataFrame:
+    """Keeps, in order of item_id, each question whose word set is not closer than the threshold to one kept before; within each `by`, if named.
 
     Candidates share one of their rarest words (a prefix of each set in order of frequency), so that no pair above the threshold is lost; an
     item's fate follows once those of its earlier neighbours are known. Each round settles the first open item at least, so the rounds end, one
     for each step of the longest chain. Of equal word sets only the first item is compared: the others are as close to what drops it, or to it.
     Only counts go to the driver.
     """
-    own = items.select("item_id", tokens(F.col("question")).alias("s")).groupBy("item_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("s"))
+    asked = tokens(F.col("question"))
+    if by:  # words of different corpora are different words
+        asked = F.transform(asked, lambda w: F.concat(F.coalesce(F.col(by).cast("string"), F.lit("")), F.lit("\x01"), w))
+    keys = items.withColumn("item", F.struct(*([by] if by else []), "item_id"))
+    own = keys.select(F.col("item").alias("item_id"), asked.alias("s")).groupBy("item_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("s"))
     own = _cut(own.filter(F.size("s") > 0))
     first = _cut(own.groupBy("s").agg(F.min("item_id").alias("item_id"))) if threshold < 1 else own
     repeated = own.select("item_id").join(first.select("item_id"), "item_id", "left_anti")
@@ -111,52 +65,39 @@ def dedup_questions(items: DataFrame, threshold: float = 0.7) -> DataFrame:
         before = edges.join(state.select(F.col("id").alias("x"), "kept"), "x").groupBy(F.col("y").alias("id")).agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("hit"), F.bool_and(F.col("kept").isNotNull()).alias("known"))
         new = state.join(before, "id", "left").select("id", F.coalesce("kept", F.when(F.coalesce("hit", F.lit(False)), False).when(F.coalesce("known", F.lit(True)), True)).alias("kept"))
         state = _cut(new)
-    dropped = state.filter("NOT kept").select(F.col("id").alias("item_id")).union(repeated)
-    return items.join(dropped, "item_id", "left_anti")
-
-
-def quality(question: Column, answer: Column) -> Column:
-    """A rubric of length, question form and answer length, in [0, 1]."""
-    nq, na = F.size(words(question)), F.size(words(answer))
-    return 0.4 * F.least(nq / 15, F.lit(1.0)) + 0.3 * F.when(filled(question).rlike(r"\?\s*$"), 1.0).otherwise(0.5) + 0.3 * F.least(na / 10, F.lit(1.0))
-
-
-def quality_rollup(items: DataFrame, by: str) -> DataFrame:
-    s = F.col("score")
-    return items.groupBy(by).agg(
-        F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), F.count_if(s >= 0.8).alias("excellent"), F.count_if((s >= 0.6) & (s < 0.8)).alias("good"),
-        F.count_if((s >= 0.4) & (s < 0.6)).alias("fair"), F.count_if(s < 0.4).alias("poor"), F.avg((s >= 0.6).cast("double")).alias("pass_rate"),
-    )
-
-
-def task_name(base: str, eval_type: Column, kind: Column) -> Column:
-    return F.concat_ws("_", F.lit(base), eval_type, F.coalesce(kind, F.lit("free_text")))
-
-
-def harness_rows(items: DataFrame) -> DataFrame:
-    return items.select("item_id", "question", "answer", F.struct("eval_type", rule_difficulty(F.col("question")).alias("difficulty")).alias("metadata"), task_name("bench", F.col("eval_type"), answer_type(F.col("answer"))).alias("task"))
-
-
-def validate_dataset(rows: DataFrame) -> DataFrame:
-    """Rows with what is wrong in them; only those with something."""
-    issues = F.array_compact(F.array(F.when(clean_text(F.col("question")) == "", "no question"), F.when(clean_text(F.col("answer")) == "", "no answer"), F.when(F.length("question") > 200, "question too long")))
-    return rows.withColumn("issues", issues).filter(F.size("issues") > 0)
+    dropped = state.filter("NOT kept").select(F.col("id").alias("item")).union(repeated.select(F.col("item_id").alias("item")))
+    return keys.join(dropped, "item", "left_anti").drop("item")
 
 
 def contamination(preds: DataFrame, corpus: DataFrame, n: int = 4, flag: float = 0.8) -> DataFrame:
-    """preds (id, text): share of a text's distinct word n-grams that the corpus has. Grams of documents; none crosses a document's end.
+    """preds (id, text), corpus (doc_id, text): share of a text's distinct word n-grams that the corpus has, 1 if a document holds the whole text of over 20 characters.
 
-    Corpus grams are made distinct before the join, so that a gram in every document costs one row for each task.
+    Grams of documents; none crosses a document's end. Grams travel as 64-bit hashes; those of the corpus are cut to the asked ones before any shuffle
+    where Spark finds the asked ones small enough to broadcast, and are distinct after it. Whole texts are looked for in documents that share an inner gram, shorter ones by their longest inner word.
     """
 
     def grams(c: str) -> Column:
         def of(t: Column) -> Column:
-            return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, F.lit(n)), " ")))
-
-        return once(tokens(F.col(c)), lambda t: F.when(F.size(t) < n, F.array().cast("array<string>")).otherwise(of(t)))
-
-    mine = preds.select("id", F.explode(grams("text")).alias("g"))
-    theirs = corpus.select(F.explode(grams("text")).alias("g")).join(mine.select("g").distinct(), "g", "left_semi").distinct().withColumn("hit", F.lit(1))
-    share = mine.join(theirs, "g", "left").groupBy("id").agg((F.count("hit") / F.count("*")).alias("share"))
-    out = preds.select("id").join(share, "id", "left").withColumn("contamination", F.coalesce("share", F.lit(0.0)))
+            return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(t, i, F.lit(n)), " "))))
+
+        return once(tokens(F.col(c)), lambda t: F.when(F.size(t) < n, F.array().cast("array<bigint>")).otherwise(of(t)))
+
+    mine = preds.select("id", grams("text").alias("gs"), F.lower(filled(F.col("text"))).alias("low"))
+    asked = mine.select("id", F.explode("gs").alias("g"))
+    theirs = corpus.select(F.explode(grams("text")).alias("g")).join(asked.select("g").distinct(), "g", "left_semi").distinct().withColumn("hit", F.lit(1))
+    share = asked.join(theirs, "g", "left").groupBy("id").agg((F.count("hit") / F.count("*")).alias("share"))
+    # a text that a document holds whole stands there word for word from its second word to its last but one
+    inner = F.get("gs", F.when(F.size("gs") > 1, 1).otherwise(0))
+    n_words = F.size(tokens(F.col("low")))
+    long = mine.filter((F.length("low") > 20) & (n_words >= n + 2)).select("id", "low", inner.alias("g"))
+    met = corpus.select("doc_id", F.explode(grams("text")).alias("g")).join(long, "g").select("doc_id", "id", "low")
+    brief = mine.filter((F.length("low") > 20) & (n_words < n + 2))
+    if brief.limit(1).count():  # by their longest inner word, or whole word where there is no inner one
+        ws = tokens(F.col("low"))
+        key = once(ws, lambda w: F.array_max(F.transform(F.when(F.size(w) > 2, F.slice(w, 2, F.size(w) - 2)).otherwise(w), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"])
+        found = corpus.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("x"))
+        met = met.union(found.join(brief.select("id", "low", key.alias("x")), "x").select("doc_id", "id", "low"))
+    texts = corpus.select("doc_id", F.lower(filled(F.col("text"))).alias("whole"))
+    held = met.distinct().join(texts, "doc_id").filter(F.col("whole").contains(F.col("low"))).select("id").distinct().withColumn("whole", F.lit(1.0))
+    out = preds.select("id").join(share, "id", "left").join(held, "id", "left").withColumn("contamination", F.coalesce("whole", "share", F.lit(0.0)))
     return out.select("id", "contamination", (F.col("contamination") > flag).alias("flagged"))

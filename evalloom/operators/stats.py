@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.similarity import answer_f1
+from ..functions.text import filled, strip, words
+
 Z95, Z99 = 1.96, 2.576
 
 
@@ -32,18 +35,12 @@ def run_summary(results: DataFrame, by: str = "run_id") -> DataFrame:
     )
 
 
-def generation_stats(items: DataFrame, by: str, score: str = "score") -> DataFrame:
-    """Count, mean, extremes and sample deviation (0 of one item) of the scores of each strategy; null scores count as items only."""
-    return items.groupBy(by).agg(
-        F.count("*").alias("items"), F.avg(score).alias("mean"), F.min(score).alias("min"), F.max(score).alias("max"), F.coalesce(F.stddev_samp(score), F.lit(0.0)).alias("std")
-    )
-
-
 def pseudo_p(mean: Column, std: Column, n: Column, against: float = 0.5) -> Column:
-    """A bounded stand-in for a p-value: 2 (1 - |t| / (|t| + sqrt(n - 1))), within 0.001 and 1."""
+    """A bounded stand-in for a p-value: 2 (1 - |t| / (|t| + sqrt(n - 1))), within 0.001 and 1; without deviation 0.001 or 0.5."""
     t = F.abs(mean - against) / (std / F.sqrt(n))
     p = 2 * (1 - t / (t + F.sqrt(n - 1)))
-    return F.when((n < 2) | (std == 0), 1.0).otherwise(F.greatest(F.lit(0.001), F.least(F.lit(1.0), p)))
+    same = F.when(F.abs(mean - against) > 0.1, 0.001).otherwise(0.5)
+    return F.when(n < 2, 1.0).when(std == 0, same).otherwise(F.greatest(F.lit(0.001), F.least(F.lit(1.0), p)))
 
 
 def score_statistics(results: DataFrame, by: list[str], score: str = "score") -> DataFrame:
@@ -69,27 +66,34 @@ def batch_statistics(results: DataFrame, by: list[str]) -> DataFrame:
     return out.select(*by, "n", "mean", "std", "exact_rate", "min", "max", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"))
 
 
-def bootstrap_ci(results: DataFrame, by: str, level: float = 0.95, draws: int = 1000, parts: int = 16) -> DataFrame:
-    """Percentile bootstrap of the mean with Poisson weights: partitions of a group add up `draws` partial sums, so that no group
-    has to fit one task. Seeded by row hash; groups of fewer than two rows get (0, 1)."""
+def bootstrap_ci(results: DataFrame, by: str, level: float = 0.95, draws: int = 1000, part_rows: int = 20_000, few: tuple[float, float] = (0.0, 1.0), seed: int = 42) -> DataFrame:
+    """Percentile bootstrap of the mean with Poisson weights; groups of fewer than two rows get `few`.
+
+    A group is dealt into parts of about part_rows by row hash, so that none has to fit a task; each part adds up `draws` partial sums. A part's
+    random numbers are seeded by a hash of group, part and seed, so results repeat.
+    """
     rows = results.filter(F.col("score").isNotNull()).select(F.col(by).alias("by"), "score", F.xxhash64(*results.columns).alias("h"))
+    sizes = rows.groupBy(F.col("by").alias("group")).agg(F.ceil(F.count("*") / part_rows).alias("parts"))
+    part = F.pmod("h", F.col("parts"))
+    rows = rows.join(sizes, F.col("by").eqNullSafe(F.col("group"))).select("by", "score", "h", part.alias("part"), F.xxhash64("by", part, F.lit(seed)).alias("seed"))
 
-    def partial(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng(abs(hash((str(keys[0]), int(keys[1])))) % (1 << 32))
+    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
+        rng = np.random.default_rng(int(pdf["seed"].iloc[0]) & (1 << 63) - 1)
         pdf = pdf.sort_values(["h", "score"])
         sums, weights = np.zeros(draws), np.zeros(draws)
         for start in range(0, len(pdf), 1000):
-            w = rng.poisson(1.0, (len(pdf.iloc[start : start + 1000]), draws))
-            sums += w.T @ pdf["score"].to_numpy()[start : start + 1000]
+            score = pdf["score"].to_numpy()[start : start + 1000]
+            w = rng.poisson(1.0, (len(score), draws))
+            sums += w.T @ score
             weights += w.sum(0)
         return pd.DataFrame({"by": [pdf["by"].iloc[0]] * draws, "draw": np.arange(draws), "s": sums, "w": weights, "n": [len(pdf)] * draws})
 
     kind = dict(results.dtypes)[by]
-    got = rows.groupBy("by", F.pmod("h", F.lit(parts)).alias("part")).applyInPandas(partial, f"by {kind}, draw int, s double, w double, n long")
+    got = rows.groupBy("by", "part").applyInPandas(partial, f"by {kind}, draw int, s double, w double, n long")
     means = got.groupBy("by", "draw").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("m"), F.sum("n").alias("n"))
     tail = (1 - level) / 2
-    out = means.groupBy("by").agg(F.expr(f"percentile(m, array({tail}, {1 - tail}))").alias("q"), F.first("n").alias("n"))
-    return out.select(F.col("by").alias(by), F.when(F.col("n") < 2, 0.0).otherwise(F.col("q")[0]).alias("low"), F.when(F.col("n") < 2, 1.0).otherwise(F.col("q")[1]).alias("high"))
+    out = means.groupBy("by").agg(F.expr(f"percentile(m, array({tail}, {1 - tail}))").alias("q"), F.first("n").alias("n"))  # `draws` values for each group
+    return out.select(F.col("by").alias(by), *[F.when(F.col("n") < 2, few[i]).otherwise(F.col("q")[i]).alias(name) for i, name in enumerate(("low", "high"))])
 
 
 def significance(results: DataFrame, group: str, a: str, b: str, score: str = "score") -> DataFrame:
@@ -109,6 +113,56 @@ def method_breakdown(results: DataFrame) -> DataFrame:
     return score_statistics(results, ["method"])
 
 
+def accuracy_scores(results: DataFrame) -> DataFrame:
+    """results (prediction, truth, score) -> (metric, score): exact match of trimmed texts, the score, and the score by the texts' length ratio."""
+    p, t = filled(F.col("prediction")), filled(F.col("truth"))
+    exact = (F.lower(strip(p)) == F.lower(strip(t))).cast("double")
+    n = [F.when(c == "", 1).otherwise(F.size(words(c))) for c in (p, t)]
+    ratio = F.least(*n) / F.greatest(*n, F.lit(1))
+    scores = {"exact_match_accuracy": exact, "raw_accuracy": F.col("score"), "normalized_accuracy": F.col("score") * ratio}
+    keep = [c for c in results.columns if c not in ("prediction", "truth", "score", "metric")]
+    return results.select(*keep, F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("score")) for k, v in scores.items()])).alias("x")).select(*keep, "x.metric", "x.score")
+
+
+def accuracy_metrics(results: DataFrame, by: list[str]) -> DataFrame:
+    return score_statistics(accuracy_scores(results), [*by, "metric"])
+
+
+def evaluation_report(results: DataFrame, contaminated: DataFrame | None = None, by: str = "run_id") -> DataFrame:
+    """results (by, prediction, truth, score, method) -> one row of statistics for each run and metric, with flags on the scores' own row.
+
+    Metrics: score, the three accuracies, answer_f1, and method:<name> for each method. contaminated (by, contamination, flagged) adds a row of its own.
+    Every metric comes from one pass over the scored rows.
+    """
+    r = results.withColumn("f1", answer_f1(F.col("prediction"), F.col("truth")))
+    one = r.select(by, F.explode(F.array(F.struct(F.lit("score").alias("metric"), "score"), F.struct(F.lit("answer_f1").alias("metric"), F.col("f1").alias("score")),
+                                          F.struct(F.concat(F.lit("method:"), F.coalesce("method", F.lit("unknown"))).alias("metric"), "score"))).alias("x")).select(by, "x.metric", "x.score")
+    rows = one.union(accuracy_scores(results.select(by, "prediction", "truth", "score")).select(by, "metric", "score"))
+    if contaminated is not None:
+        rows = rows.union(contaminated.select(by, F.lit("contamination").alias("metric"), F.col("contamination").alias("score")))
+    out = score_statistics(rows, [by, "metric"])
+    own = F.col("metric") == "score"
+    return (
+        out.withColumn("statistically_significant", F.when(own, F.col("p_value") < 0.05)).withColumn("sufficient_samples", F.when(own, F.col("n") >= 30))
+        .withColumn("reliable_confidence", F.when(own, F.col("ci95_high") - F.col("ci95_low") < 0.2))
+    )
+
+
+def contamination_report(found: DataFrame) -> DataFrame:
+    """found (id, contamination, flagged) -> whether anything is flagged, the share, the number, mean and greatest overlap."""
+    return found.agg(
+        F.coalesce(F.bool_or("flagged"), F.lit(False)).alias("contamination_detected"), F.coalesce(F.avg(F.col("flagged").cast("double")), F.lit(0.0)).alias("contamination_rate"),
+        F.coalesce(F.avg("contamination"), F.lit(0.0)).alias("mean_overlap_score"), F.coalesce(F.max("contamination"), F.lit(0.0)).alias("max_overlap_score"), F.count_if("flagged").alias("contaminated_samples"),
+    )
+
+
+def final_loss(log: DataFrame, by: str = "run_id") -> DataFrame:
+    """log (by, line_no, line): the number of the last line with a readable validation loss, for each run; null without one."""
+    value = F.split_part(F.element_at(F.split(filled(F.col("line")), "Val loss"), 2), F.lit(","), F.lit(1))
+    loss = F.when(F.col("line").contains("Val loss"), strip(value).try_cast("double"))
+    return log.select(by, "line_no", loss.alias("loss")).groupBy(by).agg(F.max_by("loss", F.when(F.col("loss").isNotNull(), F.col("line_no"))).alias("final_loss"))
+
+
 def type_distribution(items: DataFrame) -> DataFrame:
     return items.groupBy("eval_type").agg(F.count("*").alias("count"))
 
@@ -156,18 +210,41 @@ def split_order(seed: int, item: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(item).cast("string")))
 
 
+def _first(items: DataFrame, by: str, item: str, size: Column, seed: int, ranges: int = 64) -> DataFrame:
+    """items with `first`: whether a row is among the first `size` of its group in hash order; size is a column of n, the group's rows.
+
+    Hashes fall into ranges, whose counts say in which one the border lies; only that range of a group is ordered, so that no group has to fit a task.
+    """
+    at = F.floor(F.conv(F.substring(split_order(seed, item), 1, 8), 16, 10).cast("long") * ranges / (1 << 32)).cast("int")
+    keyed = items.withColumn("__at", at)
+    counts = keyed.groupBy(by, "__at").agg(F.count("*").alias("c")).groupBy(by).agg(F.sum("c").alias("n"), F.array_sort(F.collect_list(F.struct("__at", "c"))).alias("cs"))
+    below = lambda k: F.aggregate(F.filter("cs", lambda x: x["__at"] < k), F.lit(0).cast("long"), lambda a, x: a + x["c"])
+    sums = counts.select(F.col(by).alias("__by"), "n", size.alias("size"), F.transform("cs", lambda x: F.struct(x["__at"].alias("at"), below(x["__at"]).alias("before"), x["c"].alias("c"))).alias("cs"))
+    border = F.filter("cs", lambda x: (x["before"] < F.col("size")) & (x["before"] + x["c"] >= F.col("size")))
+    sums = sums.select("__by", "n", "size", F.get(border, 0)["at"].alias("border"), F.get(border, 0)["before"].alias("before"))
+    joined = keyed.join(sums, F.col(by).eqNullSafe(F.col("__by")))
+    inside = joined.filter(F.col("__at") == F.col("border"))
+    rank = F.row_number().over(Window.partitionBy("__by").orderBy(split_order(seed, item), item))
+    inside = inside.withColumn("first", rank + F.col("before") <= F.col("size"))
+    outside = joined.filter((F.col("__at") != F.col("border")) | F.col("border").isNull()).withColumn("first", F.coalesce(F.col("__at") < F.col("border"), F.lit(False)))
+    return inside.union(outside).select(*items.columns, "n", "first")
+
+
 def train_test_split(items: DataFrame, by: str, item: str, p: float = 0.2, seed: int = 42) -> DataFrame:
     """Exact test sizes max(1, floor(n p)) for each benchmark, in seeded hash order; a benchmark of one item is all train."""
-    w = Window.partitionBy(by)
-    n = F.count("*").over(w)
-    rank = F.row_number().over(w.orderBy(split_order(seed, item), item))
+    n = F.col("n")
     size = F.greatest(F.lit(1), F.floor(n * p))
-    size = F.when(size >= n, F.greatest(F.lit(1), F.floor(n / 2))).otherwise(size)
-    return items.withColumn("split", F.when((n > 1) & (rank <= size), "test").otherwise("train"))
+    size = F.when(n <= 1, 0).when(size >= n, F.greatest(F.lit(1), F.floor(n / 2))).otherwise(size)
+    return _first(items, by, item, size, seed).withColumn("split", F.when(F.col("first"), "test").otherwise("train")).drop("n", "first")
 
 
 def train_valid_split(train: DataFrame, by: str, item: str, seed: int = 42) -> DataFrame:
-    """The first max(1, floor(0.8 n)) rows are train, the rest valid."""
-    w = Window.partitionBy(by)
-    rank = F.row_number().over(w.orderBy(split_order(seed, item), item))
-    return train.withColumn("split", F.when(rank <= F.greatest(F.lit(1), F.floor(F.count("*").over(w) * 0.8)), "train").otherwise("valid"))
+    """The first max(1, floor(0.8 n)) rows are train, the rest valid; one row at least is valid where there are two."""
+    size = F.greatest(F.lit(1), F.floor(F.col("n") * 0.8))
+    return _first(train, by, item, size, seed).withColumn("split", F.when(F.col("first"), "train").otherwise("valid")).drop("n", "first")
+
+
+def split_summary(split: DataFrame, by: str) -> DataFrame:
+    """(by, total, train, test, test_share) of a split."""
+    test = F.count_if(F.col("split") == "test")
+    return split.groupBy(by).agg(F.count("*").alias("total"), F.count_if(F.col("split") == "train").alias("train"), test.alias("test"), (test / F.count("*")).alias("test_share"))

@@ -1,315 +1,4 @@
 """Every registered query of the library's own operators, over the given tables, with its SQL twin where SQL can say it."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..functions import patterns as P
-from ..functions import similarity as S
-from ..functions import text as T
-from ..functions import verify as V
-from ..operators import corpus as C
-from ..operators import items as I
-from ..operators import stats as ST
-from ..sources import corpus_io as IO
-from ..streaming import live as L
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def add(name: str, query: Query, sql: str | None = None) -> None:
-    QUERIES[name] = query
-    if sql:
-        SQL[name] = sql
-
-
-def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
-
-
-def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.pairs(table(spark, sf_dir, "conversations"))
-
-
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers scored against their questions by word overlap, in ten runs."""
-    return qa(spark, sf_dir).select(
-        (F.col("conv_id") % 10).alias("run_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("item_id"), "question", "answer",
-        F.when(F.col("turn") == 0, "factual_qa").otherwise("domain_knowledge").alias("eval_type"), S.token_overlap(F.col("answer"), F.col("question")).alias("score"),
-    )
-
-
-def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.select("event_id", (F.col("user_id") % 7).alias("model"), "ts", "user_id", F.when(F.col("event_type") == "error", "error").otherwise("success").alias("status"), F.col("value").alias("response_time"))
-
-
-QA = "(SELECT a.conv_id, a.turn, a.text AS question, b.text AS answer FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant')"
-TOK = "list_filter(string_split_regex(lower(coalesce({0}, '')), '\\s+'), lambda t: t <> '')"
-WORDS = "list_filter(string_split_regex(coalesce({0}, ''), '\\s+'), lambda t: t <> '')"
-DICE = "CASE WHEN len({0}) = 0 OR len({1}) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect({0}, {1})) / (len({0}) + len({1})) END"
-STRIP = "regexp_replace(coalesce({0}, ''), '^\\s+|\\s+$', '', 'g')"
-CLEAN = "regexp_replace(" + STRIP + ", '\\s+', ' ', 'g')"
-NORM = "regexp_replace(regexp_replace(regexp_replace(" + CLEAN.format("lower(coalesce({0}, ''))") + ", '[^\\pL\\pN\\pM_\\s.]', '', 'g'), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')"
-NUM = "TRY_CAST(regexp_extract_all(coalesce({0}, ''), '-?\\d+\\.?\\d*')[1] AS DOUBLE)"
-OVERLAP = DICE.format("list_distinct(" + TOK.format("answer") + ")", "list_distinct(" + TOK.format("question") + ")")
-RESULTS = f"(SELECT conv_id % 10 AS run_id, conv_id * 100 + turn AS item_id, question, answer, CASE WHEN turn = 0 THEN 'factual_qa' ELSE 'domain_knowledge' END AS eval_type, {OVERLAP} AS score FROM {QA})"
-CALLS = "(SELECT event_id, user_id % 7 AS model, ts, user_id, CASE WHEN event_type = 'error' THEN 'error' ELSE 'success' END AS status, value AS response_time FROM events)"
-
-
-def per_doc(name: str, column: Callable, sql: str | None) -> None:
-    """A text function over all documents: (doc_id, value)."""
-    add(name, lambda s, d: docs(s, d).select("doc_id", column(F.col("text")).alias("value")), f"SELECT doc_id, {sql} AS value FROM documents" if sql else None)
-
-
-def per_pair(name: str, column: Callable, sql: str | None) -> None:
-    """A comparison of answers (as predictions) with questions (as truths): (conv_id, turn, value)."""
-    add(name, lambda s, d: qa(s, d).select("conv_id", "turn", column(F.col("answer"), F.col("question")).alias("value")), f"SELECT conv_id, turn, {sql} AS value FROM {QA}" if sql else None)
-
-
-def joined(c):
-    return F.array_join(c, "|")
-
-
-def _any(patterns: list[str], c: str = "text") -> str:
-    return "(" + " OR ".join(f"regexp_matches(coalesce({c}, ''), '(?i){p}')" for p in patterns) + ")"
-
-
-# sources
-add("io02_combine_corpus", lambda s, d: IO.combine_corpus(docs(s, d), "source", 20000).select("source", "texts", F.md5("corpus").alias("digest")), """
-WITH p AS (SELECT source, doc_id, '# ' || doc_id || chr(10) || coalesce(text, '') || chr(10) || chr(10) AS part FROM documents),
-t AS (SELECT *, sum(length(part)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS total FROM p)
-SELECT source, count(*) AS texts, md5(string_agg(part, '' ORDER BY doc_id)) AS digest FROM t WHERE total < 20000 GROUP BY source""")
-add("io03_validate_uploads", lambda s, d: docs(s, d).select("doc_id", IO.reject_reason(F.concat(F.col("source"), F.when(F.col("doc_id") % 5 == 0, ".exe").otherwise(".txt")), F.col("text")).alias("reject_reason")), """
-SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'extension' WHEN strlen(coalesce(text, '')) > 10485760 THEN 'bytes' WHEN length(coalesce(text, '')) > 5242880 THEN 'characters'
-  WHEN regexp_matches(coalesce(text, ''), '(?i)<script|javascript:|data:[^,]*base64') THEN 'unsafe' WHEN regexp_matches(coalesce(text, ''), '(?is)\\b(eval|exec)\\s*\\(') THEN 'code'
-  WHEN regexp_full_match(coalesce(text, ''), '\\s*') THEN 'empty' END AS reject_reason FROM documents""")
-per_doc("io04_sanitize_name", lambda c: IO.sanitize_name(F.substring(c, 1, 40)), "CASE WHEN length(" + CLEAN.format("regexp_replace(left(text, 40), '[^\\pL\\pN\\pM_\\s\\-()]', '', 'g')") + ") < 3 THEN 'corpus' ELSE " + CLEAN.format("regexp_replace(left(text, 40), '[^\\pL\\pN\\pM_\\s\\-()]', '', 'g')") + " END")
-per_doc("io05_title_to_filename", lambda c: IO.title_to_filename(F.substring(c, 1, 40)), "lower(regexp_replace(" + STRIP.format("regexp_replace(left(text, 40), '[^\\pL\\pN\\pM_\\s-]', '', 'g')") + ", '\\s+', '_', 'g'))")
-add("io07_html_to_text", lambda s, d: IO.html_to_text(table(s, d, "pages")))
-LINKS = "(SELECT DISTINCT link FROM (SELECT split_part(unnest(regexp_extract_all(coalesce(html, ''), 'href=\"(/[^\"]*)\"', 1)), '#', 1) AS link FROM pages) WHERE link <> '')"
-add("io08_extract_links", lambda s, d: IO.extract_links(table(s, d, "pages")), f"SELECT link FROM {LINKS}")
-add("io09_pending_links", lambda s, d: (lambda x: IO.pending_links(x, x.filter("link < '/c'"), x.filter("link > '/t'")))(IO.extract_links(table(s, d, "pages"))), f"SELECT link FROM {LINKS} WHERE NOT link < '/c' AND NOT link > '/t'")
-add("io13_finetune_lines", lambda s, d: IO.finetune_lines(ST.train_test_split(results(s, d), "run_id", "item_id"))[0], f"""
-WITH r AS (SELECT *, count(*) OVER (PARTITION BY run_id) AS n, row_number() OVER (PARTITION BY run_id ORDER BY md5('42:' || item_id), item_id) AS k FROM {RESULTS})
-SELECT CASE WHEN n > 1 AND k <= CASE WHEN greatest(1, floor(n * 0.2)) >= n THEN greatest(1, floor(n / 2)) ELSE greatest(1, floor(n * 0.2)) END THEN 'test' ELSE 'train' END AS split,
-  'Question: ' || question || chr(10) || 'Answer: ' || answer AS text FROM r WHERE NOT regexp_full_match(question, '\\s*') AND NOT regexp_full_match(answer, '\\s*')""")
-
-# text functions
-per_doc("tx01_clean_text", T.clean_text, CLEAN.format("text"))
-per_doc("tx02_extract_numbers", lambda c: joined(T.extract_numbers(c)), "array_to_string(regexp_extract_all(coalesce(text, ''), '-?\\d+\\.?\\d*'), '|')")
-per_doc("tx03_normalize_answer", T.normalize_answer, NORM.format("text"))
-per_doc("tx04_extract_multiple_choice", T.extract_multiple_choice, None)
-per_doc("tx05_extract_numerical_answer", T.extract_numerical_answer, None)
-YES = "regexp_replace(lower(coalesce(text, '')), '^\\s+|\\s+$', '', 'g')"
-per_doc("tx06_extract_yes_no", T.extract_yes_no, None)
-per_doc("tx07_extract_short_answer", T.extract_short_answer, None)
-per_doc("tx08_filter_pipeline", T.filter_pipeline("exact_match"), NORM.format("text"))
-per_doc("tx09_truncate_text", T.truncate_text, """CASE WHEN length(coalesce(text, '')) <= 500 THEN coalesce(text, '') WHEN contains(left(text, 500), ' ') AND 500 - strpos(reverse(left(text, 500)), ' ') > 400
-  THEN left(text, 500 - strpos(reverse(left(text, 500)), ' ')) || '...' ELSE left(text, 500) || '...' END""")
-SENTENCES = "list_filter(list_transform(string_split_regex(coalesce(text, ''), '[.!?]+'), lambda x: " + STRIP.format("x") + "), lambda x: x <> '')"
-per_doc("tx10_split_sentences", lambda c: joined(T.split_sentences(c)), f"array_to_string({SENTENCES}, '|')")
-W = WORDS.format("text")
-per_doc("tx11_readability", T.readability, f"""CASE WHEN len({W}) = 0 OR len({SENTENCES}) = 0 THEN 0.0 ELSE (greatest(0.0, 1 - (len({W}) / len({SENTENCES}) - 10) / 20)
-  + greatest(0.0, 1 - (list_sum(list_transform({W}, lambda x: length(x))) / len({W}) - 5) / 5)) / 2 END""")
-per_doc("tx12_extract_quoted", lambda c: joined(T.extract_quoted(c)), """array_to_string(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '"[^"]*"|''[^'']*'''), lambda x: x[2:-2]), lambda x: x <> ''), '|')""")
-per_doc("tx13_count_syllables", lambda c: T.count_syllables(F.get(T.words(c), 0)), f"""CASE WHEN length(coalesce({W}[1], '')) <= 3 THEN 1 ELSE greatest(1, len(regexp_extract_all(regexp_replace(lower({W}[1]), 'e$', ''), '[aeiouy]+'))) END::INTEGER""")
-per_doc("tx14_named_entities", lambda c: joined(T.named_entities(c)), None)
-per_doc("tx15_contains_code", T.contains_code, _any(P.CODE_PATTERNS))
-per_doc("tx16_contains_math", T.contains_math, _any(P.MATH_PATTERNS))
-per_doc("tx17_domain_terms", lambda c: joined(C.named_terms(c)), None)
-per_pair("tx18_extract_variables", lambda a, q: F.to_json(T.extract_variables(q, a)), None)
-per_doc("tx19_dates_and_measures", lambda c: joined(T.dates_and_measures(c)), "array_to_string(regexp_extract_all(coalesce(text, ''), '\\d+\\s*(?:BCE|CE|BC|AD)\\b|\\d+\\s*(?:by|x)\\s*\\d+\\s*(?:cm|m|in|ft)\\b'), '|')")
-STOPS = ", ".join(f"'{w}'" for w in P.STOP_WORDS + P.GENERIC_WORDS)
-add("tx20_extract_keywords", lambda s, d: C.keywords(docs(s, d), 10), f"""
-WITH w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\pL\\pN_]+'), lambda t: regexp_full_match(t, '[a-z]{{3,}}')) AS ws FROM documents)),
-c AS (SELECT doc_id, word, count(*) AS n, min(pos) AS p FROM w WHERE word NOT IN ({STOPS}) GROUP BY ALL)
-SELECT doc_id, word, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p) AS rank FROM c) WHERE rank <= 10""")
-per_doc("tx21_parse_judgment", lambda c: T.parse_judgment(c, ["relevance", "accuracy"])["overall"], None)
-per_doc("tx23_parse_qa_reply", lambda c: T.parse_qa_reply(F.concat(F.lit("Question: "), F.get(T.words(c), 0), F.lit("\nA: "), F.get(T.words(c), 1)))["answer"], f"{W}[2]")
-per_doc("tx24_extract_generation_answer", T.extract_generation_answer, STRIP.format("split_part(string_split(coalesce(text, ''), 'Answer:')[-1], '=', 1)"))
-per_doc("tx25_sanitize_question", T.sanitize_question, "left(" + CLEAN.format("regexp_replace(text, '[\\x00-\\x1F\\x7F]', ' ', 'g')") + ", 1000)")
-per_pair("tx26_build_prompt", lambda a, q: T.build_prompt(q, a), "CASE WHEN coalesce(answer, '') <> '' THEN 'Context: ' || answer || chr(10) || chr(10) || 'Question: ' || question || chr(10) || 'Answer:' ELSE 'Question: ' || question || chr(10) || 'Answer:' END")
-
-# corpus
-add("ck01_corpus_stats", lambda s, d: C.corpus_stats(docs(s, d)), f"""SELECT doc_id, length(coalesce(text, ''))::INTEGER AS chars, len({W})::INTEGER AS words, len(string_split(coalesce(text, ''), chr(10)))::INTEGER AS lines,
-  len(regexp_extract_all(coalesce(text, ''), '[.!?]+'))::INTEGER AS sentences, (len({W}) // 200)::INTEGER AS reading_minutes FROM documents""")
-add("ck02_article_statistics", lambda s, d: C.article_statistics(docs(s, d)), f"""SELECT source, count(*) AS articles, sum(w)::BIGINT AS total_words, avg(w) AS avg_words, sum(c)::BIGINT AS total_chars, avg(c) AS avg_chars,
-  arg_min(doc_id, (c, doc_id)) AS shortest, arg_max(doc_id, (c, doc_id)) AS longest FROM (SELECT source, doc_id, len({W}) AS w, length(coalesce(text, '')) AS c FROM documents) GROUP BY source""")
-add("ck03_window_chunks", lambda s, d: C.window_chunks(docs(s, d)), f"""SELECT doc_id, (start // 700)::INTEGER AS chunk_index, array_to_string(ws[start + 1 : start + 800], ' ') AS text, len(ws[start + 1 : start + 800])::INTEGER AS word_count
-  FROM (SELECT doc_id, ws, unnest(range(0, len(ws), 700)) AS start FROM (SELECT doc_id, {W} AS ws FROM documents) WHERE len(ws) > 0) WHERE len(ws[start + 1 : start + 800]) >= 50""")
-add("ck04_fixed_chunks", lambda s, d: C.fixed_chunks(docs(s, d)), f"""SELECT doc_id, (start // 500)::INTEGER AS chunk_index, array_to_string(ws[start + 1 : start + 500], ' ') AS text
-  FROM (SELECT doc_id, ws, unnest(range(0, len(ws), 500)) AS start FROM (SELECT doc_id, {W} AS ws FROM documents) WHERE len(ws) > 0) WHERE length(array_to_string(ws[start + 1 : start + 500], ' ')) > 50""")
-add("ck05_paragraph_chunks", lambda s, d: C.paragraph_chunks(docs(s, d), separator="\n"))
-add("ck08_merge_small_chunks", lambda s, d: C.merge_small_chunks(C.fixed_chunks(docs(s, d), 40)))
-per_doc("ck10_token_estimate", C.token_estimate, "(length(coalesce(text, '')) // 4)::INTEGER")
-add("ck11_sample_segments", lambda s, d: C.sample_segments(docs(s, d)), f"""
-WITH w AS (SELECT doc_id, {W} AS ws, unnest(range(0, 3)) AS segment FROM documents),
-h AS (SELECT *, ('0x' || left(md5('42:' || doc_id || ':' || segment), 8))::BIGINT % (greatest(len(ws) - 50, 0) + 1) AS a FROM w)
-SELECT doc_id, segment::INTEGER AS segment, array_to_string(ws[a + 1 : a + 50], ' ') AS text FROM h""")
-add("ck12_chunk_report", lambda s, d: C.chunk_report(C.fixed_chunks(docs(s, d))), f"""SELECT count(*) AS chunks, min(length(t))::INTEGER AS min_size, max(length(t))::INTEGER AS max_size, avg(length(t)) AS avg_size FROM (
-  SELECT array_to_string(ws[start + 1 : start + 500], ' ') AS t FROM (SELECT ws, unnest(range(0, len(ws), 500)) AS start FROM (SELECT {W} AS ws FROM documents) WHERE len(ws) > 0)) WHERE length(t) > 50""")
-
-
-def _edges(p: str) -> str:
-    r"""A pattern for finding whether it occurs, with \b at its ends by Unicode letters, which SQL's engine doesn't know."""
-    p = r"(?:^|[^\pL\pN\pM_])" + p[2:] if p.startswith(r"\b") else p
-    return p[:-2] + r"(?:$|[^\pL\pN\pM_])" if p.endswith(r"\b") else p
-
-
-SCORES = {k: " + ".join(f"CASE WHEN regexp_matches(left(coalesce(text, ''), 2000), '(?i){_edges(p)}') THEN {w} ELSE 0.0 END" for p, w in ps) for k, ps in P.WEIGHTED_PATTERNS.items()}
-STRONG = {k: " + ".join([f"CASE WHEN regexp_matches(left(coalesce(text, ''), 2000), '(?i){_edges(p)}') THEN 1 ELSE 0 END" for p, w in ps if w >= 8] or ["0"]) for k, ps in P.WEIGHTED_PATTERNS.items()}
-add("cl01_weighted_pattern_scores", lambda s, d: C.weighted_pattern_scores(docs(s, d)), f"""SELECT doc_id, {', '.join(P.WEIGHTED_PATTERNS)}, coalesce({', '.join(f"CASE WHEN s_{k} >= 2 OR {k} >= 15 THEN '{k}' END" for k in P.WEIGHTED_PATTERNS)}) AS early
-  FROM (SELECT doc_id, {', '.join(f'({e})::DOUBLE AS {k}' for k, e in SCORES.items())}, {', '.join(f'({e}) AS s_{k}' for k, e in STRONG.items())} FROM documents)""")
-COUNTS = {k: "(" + " + ".join(f"len(regexp_extract_all(coalesce(text, ''), '(?i){p}'))" for p in ps) + f") / greatest(len({W}) / 100, 1.0)" for k, ps in P.COUNTED_PATTERNS.items()}
-add("cl05_count_pattern_scores", lambda s, d: C.count_pattern_scores(docs(s, d)), f"""SELECT *, CASE {' '.join(f"WHEN {k} = greatest({', '.join(COUNTS)}) THEN '{k}'" for k in COUNTS)} END AS primary_type
-  FROM (SELECT doc_id, {', '.join(f'({e})::DOUBLE AS {k}' for k, e in COUNTS.items())} FROM documents)""")
-add("cl07_content_signals", lambda s, d: C.content_signals(docs(s, d)), f"""SELECT doc_id, CASE WHEN len({TOK.format('text')}) = 0 THEN 0.0 ELSE len(list_distinct({TOK.format('text')})) / len({TOK.format('text')}) END AS type_token_ratio,
-  CASE WHEN len({SENTENCES}) > 0 THEN len({W}) / len({SENTENCES}) END AS words_per_sentence, len(regexp_extract_all(coalesce(text, ''), '\\?'))::INTEGER AS question_marks, {_any(P.CODE_PATTERNS)} AS has_code, {_any(P.MATH_PATTERNS)} AS has_math FROM documents""")
-add("cl09_eval_type_lookup", lambda s, d: C.eval_type_lookup(results(s, d).select("item_id", "eval_type")).select("item_id", "eval_type", "deterministic", "verification", F.array_join("metrics", ",").alias("metrics")),
-    f"SELECT item_id, eval_type, true AS deterministic, 'exact_match' AS verification, CASE WHEN eval_type = 'factual_qa' THEN 'accuracy,f1_score' ELSE 'accuracy,precision,recall' END AS metrics FROM {RESULTS}")
-add("cl10_corpus_structure", lambda s, d: C.corpus_structure(docs(s, d)), f"""SELECT doc_id, len({W})::INTEGER AS words, len({SENTENCES})::INTEGER AS sentences, len(list_distinct({TOK.format('text')}))::INTEGER AS unique_words,
-  len(regexp_extract_all(coalesce(text, ''), '\\d+'))::INTEGER AS numbers, len(regexp_extract_all(coalesce(text, ''), '\\([^)]+\\)'))::INTEGER AS parentheses FROM documents""")
-per_doc("cl11_question_kind", C.question_kind, None)
-CSTOPS = ", ".join(f"'{w}'" for w in P.CONCEPT_STOPS)
-CONCEPTS = f"""(SELECT source, concept, weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, at_) AS rank FROM (
-  SELECT source, CASE WHEN regexp_matches(word, '^[A-Z]') THEN word ELSE lower(word) END AS concept, sum(CASE WHEN regexp_matches(word, '^[A-Z]') THEN 2 ELSE 1 END)::BIGINT AS weight, min((doc_id, pos)) AS at_
-  FROM (SELECT source, doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (SELECT source, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[^\\pL\\pN_]+'), lambda t: regexp_full_match(t, '[A-Za-z]{{4,}}')) AS ws FROM documents))
-  WHERE lower(word) NOT IN ({CSTOPS}) GROUP BY ALL)
-  WHERE (length(concept) >= 5 OR regexp_matches(concept, '^[A-Z]') OR weight >= 3) AND NOT regexp_matches(lower(concept), 'thing|stuff|item|object|entity')) WHERE rank <= 20)"""
-add("cm01_key_concepts", lambda s, d: C.key_concepts(docs(s, d)), f"SELECT source, concept, weight, rank::INTEGER AS rank FROM {CONCEPTS}")
-add("cm04_merge_chunk_concepts", lambda s, d: C.merge_chunk_concepts(C.keywords(docs(s, d), 5).join(docs(s, d).select("doc_id", "source"), "doc_id").select("source", "doc_id", F.col("word").alias("concept"), (F.col("n") / 10).alias("score")), "source", "doc_id"))
-add("cm07_first_snippet", lambda s, d: C.first_snippet(C.key_concepts(docs(s, d), k=5), docs(s, d)), f"""
-WITH c AS (SELECT source, concept FROM {CONCEPTS} WHERE rank <= 5),
-s AS (SELECT source, doc_id, unnest(ss) AS sentence, generate_subscripts(ss, 1) AS pos FROM (SELECT source, doc_id, {SENTENCES} AS ss FROM documents))
-SELECT c.source, concept, arg_min(left(sentence, 300), (doc_id, pos)) AS snippet FROM c JOIN s ON s.source = c.source AND length(sentence) > 30 AND contains(lower(sentence), lower(concept)) GROUP BY ALL""")
-
-# question tables
-add("qg01_template_questions", lambda s, d: I.template_questions(C.key_concepts(docs(s, d))), f"""SELECT source, concept, replace([{', '.join(f"'{t}'" for t in I.TEMPLATES)}][(('0x' || left(md5('42:' || source || ':' || concept), 8))::BIGINT % 5) + 1], '{{}}', concept) AS question FROM {CONCEPTS}""")
-per_pair("qg07_number_distractors", lambda a, q: F.array_join(I.number_distractors(a).cast("array<string>"), ","), None)
-per_pair("qg08_answer_type", lambda a, q: I.answer_type(a), f"""CASE WHEN lower({STRIP.format('answer')}) IN ('true', 'false', 'yes', 'no') THEN 'boolean' WHEN regexp_full_match(lower({STRIP.format('answer')}), '[a-d]') THEN 'multiple_choice'
-  WHEN regexp_full_match({STRIP.format('answer')}, '[+-]?\\d+(\\.\\d+)?') THEN 'numeric_exact' WHEN len({WORDS.format('answer')}) <= 3 THEN 'string_exact' ELSE 'free_text' END""")
-per_pair("qg09_format_question", lambda a, q: I.format_question(q), None)
-per_pair("qg12_rule_difficulty", lambda a, q: I.rule_difficulty(q), f"""(SELECT CASE WHEN p >= 4 THEN 'expert' WHEN p >= 2 THEN 'advanced' WHEN p >= 1 THEN 'intermediate' ELSE 'basic' END FROM (SELECT coalesce(3 * len(list_filter({WORDS.format('question')}, lambda x: length(x) > 7)) / nullif(len({WORDS.format('question')}), 0), 0)
-  + CASE WHEN regexp_matches(question, '(?i)\\b(analyze|evaluate|compare|synthesize|critique)\\b') THEN 2 ELSE 0 END AS p))""")
-per_pair("qg13_coerce_question", lambda a, q: I.coerce_question(q), None)
-per_pair("vd02_too_simple", lambda a, q: I.too_simple(q, a), f"len({WORDS.format('question')}) < 3 OR {STRIP.format('answer')} = '' OR regexp_full_match({STRIP.format('question')}, '(?i)(what is this\\?|what is it\\?|yes or no\\?)')")
-add("vd03_dedup_questions", lambda s, d: I.dedup_questions(results(s, d).select("item_id", "question")).select("item_id"))
-SCORED = f"(SELECT c.source, c.concept, c.rank AS item_id, c.weight / 100 AS score FROM {CONCEPTS} c)"
-add("vd05_select_best", lambda s, d: I.select_best(C.key_concepts(docs(s, d)).select("source", "concept", F.col("rank").alias("item_id"), (F.col("weight") / 100).alias("score")), "source", 8), f"""
-WITH f AS (SELECT *, (row_number() OVER (PARTITION BY source, concept ORDER BY score DESC, item_id) = 1)::INTEGER AS first FROM {SCORED}), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY first DESC, score DESC, item_id) AS rank FROM f)
-SELECT source, concept, item_id::INTEGER AS item_id, score, rank::INTEGER AS rank FROM r WHERE rank <= 8""")
-per_pair("vd06_batch_quality", lambda a, q: I.quality(q, a), f"0.4 * least(len({WORDS.format('question')}) / 15, 1.0) + 0.3 * CASE WHEN regexp_matches(question, '\\?\\s*$') THEN 1.0 ELSE 0.5 END + 0.3 * least(len({WORDS.format('answer')}) / 10, 1.0)")
-add("vd07_quality_rollup", lambda s, d: I.quality_rollup(results(s, d), "run_id"), f"""SELECT run_id, avg(score) AS mean, stddev_pop(score) AS std, count(*) FILTER (score >= 0.8) AS excellent, count(*) FILTER (score >= 0.6 AND score < 0.8) AS good,
-  count(*) FILTER (score >= 0.4 AND score < 0.6) AS fair, count(*) FILTER (score < 0.4) AS poor, avg((score >= 0.6)::INTEGER) AS pass_rate FROM {RESULTS} GROUP BY run_id""")
-
-# similarity and verification
-per_pair("sm01_token_overlap", S.token_overlap, OVERLAP)
-per_pair("sm02_character_overlap", S.character_overlap, None)
-GRAMS = "list_distinct(list_transform(range(1, greatest(length(coalesce({0}, '')), 1)), lambda i: lower({0})[i : i + 1]))"
-per_pair("sm03_ngram", S.ngram_similarity, DICE.format(GRAMS.format("answer"), GRAMS.format("question")))
-per_pair("sm04_rouge_l", S.rouge_l, None)
-per_pair("sm05_bleu", S.bleu, None)
-per_pair("sm06_indel_ratio", S.indel_ratio, None)
-DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
-add("sm07_embedding_similarity", lambda s, d: (lambda e: e.alias("a").join(e.alias("b"), F.col("b.vec_id") == F.col("a.vec_id") + 1).select(F.col("a.vec_id").alias("vec_id"), F.round(S.embedding_similarity(F.col("a.embedding"), F.col("b.embedding")), 9).alias("value")))(table(s, d, "embeddings")),
-    f"""SELECT vec_id, round(least(1.0, CASE WHEN s > 0.35 THEN s + 0.25 * pow(s, 0.75) ELSE s END), 9) AS value FROM (SELECT a.vec_id, ({DOT.format('a.embedding', 'b.embedding')} / (sqrt({DOT.format('a.embedding', 'a.embedding')}) * sqrt({DOT.format('b.embedding', 'b.embedding')})) + 1) / 2 AS s
-  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)""")
-add("sm08_multi_similarity", lambda s, d: qa(s, d).select("conv_id", "turn", S.multi_similarity(F.col("answer"), F.col("question")).alias("m")).select("conv_id", "turn", *[F.round(F.col("m")[name], 9).alias(name) for name in S.METHODS]))
-add("sm09_similarity_confidence", lambda s, d: results(s, d).select("item_id", F.round(S.similarity_confidence(F.col("score"), F.lit("token_overlap")), 6).alias("value")), f"SELECT item_id, round(CASE WHEN score > 0.8 THEN least(1.0, 0.7 + 0.1) WHEN score < 0.2 THEN greatest(0.1, 0.7 - 0.2) ELSE 0.7 END, 6)::DOUBLE AS value FROM {RESULTS}")
-SETS = ["list_distinct(" + TOK.format(c) + ")" for c in ("answer", "question")]
-per_pair("sm11_answer_f1", S.answer_f1, f"CASE WHEN len({SETS[0]}) = 0 AND len({SETS[1]}) = 0 THEN 1.0 ELSE {OVERLAP} END")
-ONLY = ", ".join(f"'{w}'" for w in P.STOP_WORDS)
-CONTENT = ["list_distinct(list_filter(" + TOK.format(c) + f", lambda t: t NOT IN ({ONLY})))" for c in ("answer", "question")]
-per_pair("sm12_content_overlap", S.content_overlap, f"""CASE WHEN len({SETS[1]}) = 0 THEN 0.0 WHEN len({CONTENT[1]}) = 0 THEN 0.5 ELSE 0.7 * len(list_intersect({CONTENT[0]}, {CONTENT[1]})) / len({CONTENT[1]})
-  + CASE WHEN len({CONTENT[0]}) = 0 THEN 0.0 ELSE 0.3 * len(list_intersect({CONTENT[0]}, {CONTENT[1]})) / len({CONTENT[0]}) END END""")
-per_pair("sm13_sequence_ratio", S.sequence_ratio, None)
-per_pair("sm15_partial_match", S.partial_match, f"CASE WHEN len({TOK.format('question')}) = 0 THEN 0.0 ELSE len(list_filter({TOK.format('question')}, lambda w: list_contains({TOK.format('answer')}, w))) / len({TOK.format('question')}) END")
-ITEMS = ["list_distinct(list_filter(list_transform(string_split_regex(lower(coalesce(" + c + ", '')), '[,;\\n]| and | & '), lambda x: " + CLEAN.format("x") + "), lambda x: x <> ''))" for c in ("answer", "question")]
-per_pair("sm16_set_match", S.set_match, f"CASE WHEN len({ITEMS[1]}) = 0 THEN 0.0 ELSE 0.7 * len(list_intersect({ITEMS[0]}, {ITEMS[1]})) / len({ITEMS[1]}) + 0.3 * len(list_intersect({ITEMS[0]}, {ITEMS[1]})) / len(list_distinct(list_concat({ITEMS[0]}, {ITEMS[1]}))) END")
-EXACT = f"CASE WHEN {NORM.format('answer')} = {NORM.format('question')} THEN 1.0 ELSE 0.0 END"
-per_pair("vf01_exact_match", V.exact_match, EXACT)
-NA, NB = NUM.format("answer"), NUM.format("question")
-per_pair("vf02_numerical_match", V.numerical_match, f"CASE WHEN {NA} IS NULL OR {NB} IS NULL THEN {EXACT} WHEN abs({NA} - {NB}) <= 0.05 THEN 1.0 ELSE greatest(0.0, 1 - abs({NA} - {NB}) / greatest(abs({NB}), 1.0)) END")
-ORDERS = "(SELECT o_orderkey, o_totalprice, sum(l_extendedprice * (1 - l_discount)) AS lines FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)"
-
-
-def order_answers(s: SparkSession, d: str) -> DataFrame:
-    """Numeric questions: an order's total as the truth, the sum of its lines as the prediction."""
-    lines = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("lines"))
-    o = table(s, d, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey"))
-    return o.select("o_orderkey", F.format_string("%.2f", "lines").alias("p"), F.format_string("%.2f", "o_totalprice").alias("t"))
-
-
-add("vf03_numerical_tolerance", lambda s, d: order_answers(s, d).select("o_orderkey", F.round(V.numerical_tolerance(F.col("p"), F.col("t")), 3).alias("value")))
-per_pair("vf04_multiple_choice_match", V.multiple_choice_match, None)
-per_pair("vf05_code_match", V.code_match, f"CASE WHEN {_any(P.CODE_PATTERNS, 'answer')} AND {_any(P.CODE_PATTERNS, 'question')} THEN {OVERLAP} ELSE 0.5 END")
-add("vf06_math_match", lambda s, d: order_answers(s, d).select("o_orderkey", V.math_match(F.col("p"), F.col("t")).alias("value")))
-per_pair("vf07_expression_match", V.expression_match, f"CASE WHEN abs({NA} - {NB}) <= 1e-9 OR {STRIP.format('answer')} = {STRIP.format('question')} THEN 1.0 ELSE 0.0 END")
-per_pair("vf08_latex_match", V.latex_match, "CASE WHEN " + " = ".join(STRIP.format(f"regexp_replace({c}, '[{{}}$\\\\]', '', 'g')") for c in ("answer", "question")) + " THEN 1.0 ELSE 0.0 END")
-per_pair("vf09_semantic_lenient", V.semantic_lenient, None)
-add("vf17_verify", lambda s, d: results(s, d).select("item_id", V.verify(F.col("eval_type"), F.col("answer"), F.col("question")).alias("value")))
-per_pair("vf19_answer_correct", V.answer_correct, f"lower({STRIP.format('answer')}) = lower({STRIP.format('question')}) OR ({STRIP.format('question')} <> '' AND contains(lower({STRIP.format('answer')}), lower({STRIP.format('question')}))) OR coalesce({NA} = {NB}, false)")
-
-# statistics and export
-add("st01_aggregate_metrics", lambda s, d: ST.aggregate_metrics(results(s, d).select("eval_type", F.create_map(F.lit("overlap"), F.col("score"), F.lit("exact"), V.exact_match(F.col("answer"), F.col("question"))).alias("metrics"))), f"""
-WITH m AS (SELECT eval_type || '_overlap' AS metric, score AS v FROM {RESULTS} UNION ALL SELECT eval_type || '_exact', {EXACT} FROM {RESULTS})
-SELECT metric, avg(v) AS mean, min(v) AS min, max(v) AS max, count(v) AS count FROM m GROUP BY metric""")
-add("st02_run_summary", lambda s, d: ST.run_summary(results(s, d)), f"SELECT run_id, avg(score) AS mean_score, min(score) AS min_score, max(score) AS max_score, count(score) AS num_samples, stddev_pop(score) AS std_score FROM {RESULTS} GROUP BY run_id")
-add("vd13_generation_stats", lambda s, d: ST.generation_stats(results(s, d), "eval_type"), f"SELECT eval_type, count(*) AS items, avg(score) AS mean, min(score) AS min, max(score) AS max, coalesce(stddev_samp(score), 0) AS std FROM {RESULTS} GROUP BY eval_type")
-add("vf18_verify_batch", lambda s, d: results(s, d).withColumn("score", V.exact_match(F.col("answer"), F.col("question"))).groupBy("eval_type").agg(F.count("*").alias("num_samples"), F.avg("score").alias("mean_score")), f"SELECT eval_type, count(*) AS num_samples, avg({EXACT}) AS mean_score FROM {RESULTS} GROUP BY eval_type")
-STATS = """avg(score) AS mean, coalesce(stddev_samp(score), 0) AS std, quantile_cont(score, 0.5) AS median, min(score) AS min, max(score) AS max, count(score) AS n"""
-INTERVALS = """mean - 1.96 * std / sqrt(n) AS ci95_low, mean + 1.96 * std / sqrt(n) AS ci95_high, mean - 2.576 * std / sqrt(n) AS ci99_low, mean + 2.576 * std / sqrt(n) AS ci99_high,
-  CASE WHEN n < 2 OR std = 0 THEN 1.0 ELSE greatest(0.001, least(1.0, 2 * (1 - (abs(mean - 0.5) / (std / sqrt(n))) / (abs(mean - 0.5) / (std / sqrt(n)) + sqrt(n - 1))))) END AS p_value"""
-add("st03_score_statistics", lambda s, d: ST.score_statistics(results(s, d), ["run_id"]), f"SELECT *, {INTERVALS} FROM (SELECT run_id, {STATS} FROM {RESULTS} GROUP BY run_id)")
-add("st04_batch_statistics", lambda s, d: ST.batch_statistics(results(s, d), ["run_id"]), f"SELECT run_id, count(score) AS n, avg(score) AS mean, stddev_pop(score) AS std, avg((score >= 1.0)::INTEGER) AS exact_rate, min(score) AS min, max(score) AS max, quantile_cont(score, 0.25) AS q25, quantile_cont(score, 0.5) AS median, quantile_cont(score, 0.75) AS q75 FROM {RESULTS} GROUP BY run_id")
-add("st05_bootstrap_ci", lambda s, d: ST.bootstrap_ci(results(s, d).select("run_id", "item_id", "score"), "run_id"))
-add("st06_significance", lambda s, d: ST.significance(results(s, d), "eval_type", "factual_qa", "domain_knowledge"), f"""
-WITH s AS (SELECT avg(score) FILTER (eval_type = 'factual_qa') AS m1, var_samp(score) FILTER (eval_type = 'factual_qa') AS v1, count(score) FILTER (eval_type = 'factual_qa') AS n1,
-  avg(score) FILTER (eval_type <> 'factual_qa') AS m2, var_samp(score) FILTER (eval_type <> 'factual_qa') AS v2, count(score) FILTER (eval_type <> 'factual_qa') AS n2 FROM {RESULTS}),
-x AS (SELECT (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t, pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) AS df, (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) AS cohens_d FROM s)
-SELECT t, df, cohens_d, 2 * (1 - abs(t) / (abs(t) + sqrt(df))) AS p_value FROM x""")
-add("st08_method_breakdown", lambda s, d: ST.method_breakdown(results(s, d).withColumn("method", F.col("eval_type"))), f"SELECT *, {INTERVALS} FROM (SELECT eval_type AS method, {STATS} FROM {RESULTS} GROUP BY ALL)")
-GRAM4 = "list_distinct(list_transform(range(1, greatest(len({0}) - 2, 1)), lambda i: array_to_string({0}[i : i + 3], ' ')))"
-add("st10_contamination", lambda s, d: I.contamination(table(s, d, "benchmark").select(F.col("item_id").alias("id"), "text"), docs(s, d)), f"""
-WITH b AS MATERIALIZED (SELECT item_id, {TOK.format('text')} AS t FROM benchmark), d AS MATERIALIZED (SELECT {TOK.format('text')} AS t FROM documents),
-mine AS (SELECT item_id AS id, unnest({GRAM4.format('t')}) AS g FROM b), theirs AS (SELECT DISTINCT unnest({GRAM4.format('t')}) AS g FROM d),
-s AS (SELECT id, count(theirs.g) / count(*) AS share FROM mine LEFT JOIN theirs ON theirs.g = mine.g GROUP BY id)
-SELECT item_id AS id, coalesce(share, 0.0) AS contamination, coalesce(share, 0.0) > 0.8 AS flagged FROM benchmark LEFT JOIN s ON s.id = item_id""")
-add("st11_type_distribution", lambda s, d: ST.type_distribution(results(s, d)), f"SELECT eval_type, count(*) AS count FROM {RESULTS} GROUP BY eval_type")
-add("st12_performance_level", lambda s, d: ST.run_summary(results(s, d)).select("run_id", ST.performance_level(F.col("mean_score")).alias("level")), f"SELECT run_id, CASE WHEN m >= 0.8 THEN 'excellent' WHEN m >= 0.6 THEN 'good' WHEN m >= 0.4 THEN 'fair' ELSE 'poor' END AS level FROM (SELECT run_id, avg(score) AS m FROM {RESULTS} GROUP BY run_id)")
-add("st13_task_metrics", lambda s, d: ST.task_metrics(results(s, d).withColumn("task", F.col("eval_type"))), f"SELECT eval_type AS task, avg((score >= 0.9)::INTEGER) AS exact, avg(score) AS f1, count(*) AS n FROM {RESULTS} GROUP BY ALL")
-add("st14_call_stats", lambda s, d: ST.call_stats(calls(s, d)), f"""SELECT model, count(*) AS total, count(*) FILTER (status = 'success') AS successful, count(*) FILTER (status <> 'success') AS failed, count(*) FILTER (status = 'success') / count(*) AS success_rate,
-  avg(response_time) FILTER (response_time > 0) AS avg_time, max(response_time) FILTER (response_time > 0) AS max_time, min(response_time) FILTER (response_time > 0) AS min_time, sum(response_time) FILTER (response_time > 0) / (epoch(max(ts)) - epoch(min(ts))) AS speedup FROM {CALLS} GROUP BY model""")
-add("st15_phase_durations", lambda s, d: ST.phase_durations(table(s, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("phase"), F.when(F.col("value") < 10, "start").otherwise("end").alias("event"), "ts")).select("run_id", "phase", F.round("seconds", 3).alias("seconds")),
-    "SELECT user_id AS run_id, event_type AS phase, round(epoch(min(ts) FILTER (NOT value < 10)) - epoch(min(ts) FILTER (value < 10)), 3) AS seconds FROM events GROUP BY ALL")
-add("st16_compare_models", lambda s, d: (lambda r: ST.compare_models(r.select(F.col("item_id").alias("question_id"), (F.col("score") > 0.3).alias("correct")), r.select(F.col("item_id").alias("question_id"), (F.col("score") > 0.2).alias("correct"))))(results(s, d)), f"""
-SELECT *, CASE WHEN base_accuracy > 0 THEN (tuned_accuracy - base_accuracy) / base_accuracy * 100 ELSE 0.0 END AS improvement_pct FROM (SELECT avg((score > 0.3)::INTEGER) AS base_accuracy, avg((score > 0.2)::INTEGER) AS tuned_accuracy,
-  count(*) FILTER (score > 0.2 AND NOT score > 0.3) AS improved, count(*) FILTER (score > 0.3 AND NOT score > 0.2) AS worse, count(*) AS n FROM {RESULTS})""")
-add("st18_runs_overview", lambda s, d: ST.runs_overview(ST.run_summary(results(s, d))), f"SELECT count(*) AS runs, count(*) FILTER (m >= 0.8) AS high, count(*) FILTER (m >= 0.6 AND m < 0.8) AS medium, count(*) FILTER (m < 0.6) AS low FROM (SELECT avg(score) AS m FROM {RESULTS} GROUP BY run_id)")
-SPLIT = f"(SELECT *, count(*) OVER (PARTITION BY run_id) AS n, row_number() OVER (PARTITION BY run_id ORDER BY md5('42:' || item_id), item_id) AS k FROM {RESULTS})"
-add("sp01_train_test_split", lambda s, d: ST.train_test_split(results(s, d), "run_id", "item_id").select("run_id", "item_id", "split"), f"""SELECT run_id, item_id, CASE WHEN n > 1 AND k <= CASE WHEN greatest(1, floor(n * 0.2)) >= n THEN greatest(1, floor(n / 2)) ELSE greatest(1, floor(n * 0.2)) END THEN 'test' ELSE 'train' END AS split FROM {SPLIT}""")
-add("sp02_train_valid_split", lambda s, d: ST.train_valid_split(results(s, d), "run_id", "item_id").select("run_id", "item_id", "split"), f"SELECT run_id, item_id, CASE WHEN k <= greatest(1, floor(n * 0.8)) THEN 'train' ELSE 'valid' END AS split FROM {SPLIT}")
-add("ex01_group_tasks", lambda s, d: I.harness_rows(results(s, d)).groupBy("task").agg(F.count("*").alias("n")), f"""SELECT 'bench_' || eval_type || '_' || CASE WHEN lower({STRIP.format('answer')}) IN ('true', 'false', 'yes', 'no') THEN 'boolean' WHEN regexp_full_match(lower({STRIP.format('answer')}), '[a-d]') THEN 'multiple_choice'
-  WHEN regexp_full_match({STRIP.format('answer')}, '[+-]?\\d+(\\.\\d+)?') THEN 'numeric_exact' WHEN len({WORDS.format('answer')}) <= 3 THEN 'string_exact' ELSE 'free_text' END AS task, count(*) AS n FROM {RESULTS} GROUP BY ALL""")
-add("ex02_harness_rows", lambda s, d: I.harness_rows(results(s, d)).select("item_id", "question", "answer", "task"))
-add("ex05_validate_dataset", lambda s, d: I.validate_dataset(results(s, d).select("item_id", "question", "answer")).select("item_id", F.array_join("issues", ";").alias("issues")), f"""
-SELECT item_id, concat_ws(';', CASE WHEN {CLEAN.format('question')} = '' THEN 'no question' END, CASE WHEN {CLEAN.format('answer')} = '' THEN 'no answer' END, CASE WHEN length(question) > 200 THEN 'question too long' END) AS issues FROM {RESULTS}
-WHERE {CLEAN.format('question')} = '' OR {CLEAN.format('answer')} = '' OR length(question) > 200""")
-
-# live metrics, batch twins
-add("ss01_call_rate", lambda s, d: L.call_rate(calls(s, d)).select("event_id", "recent", "over"), f"""SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '59.999999 seconds' PRECEDING AND CURRENT ROW) AS recent,
-  count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '59.999999 seconds' PRECEDING AND CURRENT ROW) > 60 AS over FROM {CALLS}""")
-add("ss02_windowed_scores", lambda s, d: L.windowed_scores(table(s, d, "events").select((F.col("user_id") % 10).alias("run_id"), "ts", F.col("value").alias("score"))).select(F.unix_timestamp("start").alias("start"), "run_id", "n", "mean"),
-    "SELECT (epoch(time_bucket(INTERVAL '1 hour', ts)))::BIGINT AS start, user_id % 10 AS run_id, count(*) AS n, avg(value) AS mean FROM events GROUP BY ALL")
-add("ss04_run_retention", lambda s, d: L.run_retention(table(s, d, "events").groupBy(F.col("user_id").alias("run_id")).agg(F.max("ts").alias("ts")).withColumn("finished", F.col("run_id") % 2 == 0), F.lit("2024-01-31 00:00:00")).select("run_id", "finished"), """
-SELECT run_id, finished FROM (SELECT user_id AS run_id, max(ts) AS ts, user_id % 2 = 0 AS finished FROM events GROUP BY ALL ORDER BY ts DESC, run_id LIMIT 100) WHERE NOT finished OR ts >= TIMESTAMP '2024-01-30 00:00:00'""")
+from . import answers, corpora, items, reports, texts  # noqa: F401
+from .registry import QUERIES, SQL, docs, qa, results, table  # noqa: F401

@@ -14,28 +14,43 @@ from ..functions.text import clean_text, filled, found, strip
 
 def read_corpus_dir(spark: SparkSession, path: str) -> DataFrame:
     """Every *.txt below a folder, or one file: (filename, content)."""
-    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path)
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path, wholetext=True)
     return text.select(F.col("_metadata.file_name").alias("filename"), F.col("value").alias("content"))
 
 
 def combine_corpus(docs: DataFrame, by: str, most: int) -> DataFrame:
-    """Texts of a corpus in order under headers, up to the first one that would pass `most` characters."""
+    """Texts of a corpus in order under headers, up to the first one that would pass `most` characters.
+
+    A part has five characters at least, so the first most / 5 rows of a corpus decide: lengths are ranked with that limit, which Spark applies before the
+    shuffle, and only the texts that fit are fetched.
+    """
     part = F.concat(F.lit("# "), F.col("doc_id").cast("string"), F.lit("\n"), filled(F.col("text")), F.lit("\n\n"))
-    w = Window.partitionBy(by).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    fits = docs.withColumn("part", part).withColumn("total", F.sum(F.length("part")).over(w)).filter(F.col("total") < most)
+    w = Window.partitionBy(by).orderBy("doc_id")
+    sizes = docs.select(by, "doc_id", F.length(part).alias("size")).withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= most // 5 + 1)
+    total = F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    fit = sizes.withColumn("total", total).filter(F.col("total") < most).select("doc_id")
+    fits = docs.select(by, "doc_id", part.alias("part")).join(fit, "doc_id", "left_semi")
     return fits.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "part"))), lambda x: x["part"]), "").alias("corpus"), F.count("*").alias("texts"))
 
 
-def reject_reason(name: Column, text: Column) -> Column:
-    """Why an upload is rejected; null if it isn't."""
+# What uploads may be, and what they may not hold.
+EXTENSIONS = ["txt", "md", "py", "js", "json", "csv", "html", "xml", "yml", "yaml", "cfg", "ini", "log"]
+UNSAFE_FILE = r"<script[^>]*>.*?</script>|javascript:|data:.*base64|\\x[0-9a-fA-F]{2}"
+UNSAFE_CALLS = r"eval\s*\(|exec\s*\("
+
+
+def reject_reason(name: Column, text: Column, route: str = "file") -> Column:
+    """Why an upload is rejected; null if it isn't. Files are first judged by name and size, then line by line; texts, and files after that, as a whole."""
     t = filled(text)
-    return (
-        F.when(~F.lower(name).rlike(r"\.(txt|md|json|csv)$"), "extension").when(F.octet_length(t) > 10 * 1024 * 1024, "bytes").when(F.length(t) > 5 * 1024 * 1024, "characters")
-        .when(t.rlike(r"(?i)<script|javascript:|data:[^,]*base64"), "unsafe").when(t.rlike(r"(?is)\b(eval|exec)\s*\("), "code").when(strip(t) == "", "empty")
-    )
+    by_file = [
+        (~F.lower(filled(name)).rlike(rf"\.({'|'.join(EXTENSIONS)})$"), "extension"), (F.octet_length(t) > 10 * 1024 * 1024, "bytes"), (F.length(t) > 5 * 1024 * 1024, "characters"),
+        (t.rlike(f"(?i){UNSAFE_FILE}"), "unsafe"),
+    ]
+    by_text = [(strip(t) == "", "empty"), (t.rlike(f"(?is){UNSAFE_FILE}"), "unsafe"), (t.rlike(f"(?is){UNSAFE_CALLS}"), "code")]
+    return F.coalesce(*[F.when(c, r) for c, r in (by_file if route == "file" else []) + by_text])
 
 
-def sanitize_name(c: Column, default: str = "corpus") -> Column:
+def sanitize_name(c: Column, default: str = "Uploaded Corpus") -> Column:
     t = clean_text(F.regexp_replace(filled(c), r"(?U)[^\w\s\-_()]", ""))
     return F.when(F.length(t) < 3, default).otherwise(t)
 
@@ -44,10 +59,16 @@ def title_to_filename(c: Column) -> Column:
     return F.lower(F.regexp_replace(strip(F.regexp_replace(filled(c), r"(?U)[^\w\s-]", "")), r"\s+", "_"))
 
 
-def extract_links(docs: DataFrame) -> DataFrame:
-    """Distinct paths of anchors in pages, without what follows `#`."""
-    links = F.regexp_extract_all(filled(F.col("html")), F.lit('href="(/[^"]*)"'), F.lit(1))
-    return docs.select(F.explode(links).alias("raw")).select(F.split_part("raw", F.lit("#"), F.lit(1)).alias("link")).filter("link <> ''").distinct()
+def extract_links(texts: DataFrame, column: str = "text") -> DataFrame:
+    """Different links among the lines that begin with /wiki/, without what follows `#`, in order."""
+    links = texts.select(F.explode(found(F.col(column), r"(?m)^/wiki/\S+")).alias("raw"))
+    return links.select(F.split_part("raw", F.lit("#"), F.lit(1)).alias("link")).distinct().orderBy("link")
+
+
+def anchor_lines(pages: DataFrame) -> DataFrame:
+    """pages (page_id, html) -> (page_id, text): one line /wiki/... for each anchor to a path of the same site."""
+    paths = found(F.col("html"), 'href="/([^"]*)"', 1)
+    return pages.select("page_id", F.array_join(F.transform(paths, lambda p: F.concat(F.lit("/wiki/"), p)), "\n").alias("text"))
 
 
 def pending_links(links: DataFrame, done: DataFrame, missing: DataFrame) -> DataFrame:
@@ -55,14 +76,18 @@ def pending_links(links: DataFrame, done: DataFrame, missing: DataFrame) -> Data
 
 
 class _Reader(HTMLParser):
-    """Collects the text of kept blocks in document order; what lies in dropped ones is passed over."""
+    """Collects the text of kept blocks in document order; what lies in dropped ones is passed over. A kept block takes in those within it."""
 
     keep = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "blockquote", "pre", "div"}
     void = {"br", "img", "hr", "meta", "link", "input", "source", "wbr", "area", "base", "col", "embed", "track"}
 
-    def __init__(self, tags: set[str], classes: set[str]) -> None:
+    def __init__(self, tags: set[str], classes: set[str], least: int, phrases: list[str]) -> None:
         super().__init__(convert_charrefs=True)
-        self.tags, self.classes, self.stack, self.out, self.text = tags, classes, [], [], []
+        self.tags, self.classes, self.least, self.phrases = tags, classes, least, phrases
+        self.stack: list[tuple[str, bool]] = []
+        self.out: list[str] = []
+        self.text: list[str] = []
+        self.all: list[str] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in self.void:
@@ -83,48 +108,114 @@ class _Reader(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not (self.stack and self.stack[-1][1]):
             self.text.append(data)
+            self.all.append(data)
 
     def flush(self, tag: str = "") -> None:
         t = " ".join("".join(self.text).split())
         self.text = []
-        if len(t) >= 10:
+        if len(t) >= self.least and not any(p in t.lower() for p in self.phrases):
             self.out.append("#" * int(tag[1]) + " " + t if tag[:1] == "h" and tag[1:].isdigit() else t)
 
+    def result(self) -> str:
+        """The kept blocks; if there is none, all lines of more than five characters."""
+        lines = (line.strip() for line in "\n".join(self.all).split("\n"))
+        return "\n\n".join(self.out or [line for line in lines if len(line) > 5])
+
+
+# Phrases of navigation.
+NAVIGATION = ["coordinates:", "jump to:", "navigation menu", "edit]", "[edit]", "citation needed]", "redirected from", "article talk", "tools appearance hide"]
+DROPPED_TAGS = ("nav", "script", "style", "footer", "header", "title", "figure", "figcaption")
+DROPPED_CLASSES = ("ad", "infobox", "reference", "references", "reflist", "toc", "navbox", "navbox-container", "thumb", "thumbinner", "thumbcaption", "edit", "editsection", "hatnote", "metadata",
+                   "noprint", "printfooter", "catlinks", "authority-control", "coordinates")
 
-def html_to_text(pages: DataFrame, tags: tuple[str, ...] = ("nav", "script", "style", "footer", "header", "title"), classes: tuple[str, ...] = ("ad", "infobox", "reference", "toc", "navbox", "thumb", "edit")) -> DataFrame:
-    """pages (page_id, html) -> (page_id, text): kept blocks joined by blank lines."""
+
+def html_to_text(pages: DataFrame, tags: tuple[str, ...] = DROPPED_TAGS, classes: tuple[str, ...] = DROPPED_CLASSES, least: int = 10, phrases: tuple[str, ...] = tuple(NAVIGATION)) -> DataFrame:
+    """pages (page_id, html) -> (page_id, text): kept blocks joined by blank lines, headers marked by `#`. Null pages give an empty text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = []
             for html in b["html"]:
-                r = _Reader(set(tags), set(classes))
+                r = _Reader(set(tags), set(classes), least, list(phrases))
                 r.feed(html or "")
                 r.close()
                 r.flush()
-                texts.append("\n\n".join(r.out))
+                texts.append(r.result())
             yield pd.DataFrame({"page_id": b["page_id"], "text": texts})
 
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, text string")
 
 
-def load_items(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines of items with defaults for what they lack."""
-    raw = spark.read.schema("item_id long, question string, answer string, options array<string>, eval_type string, difficulty string, deterministic boolean, validation_score double").json(path)
-    kind = F.when(F.size("options") > 0, "multiple_choice").when(F.col("answer").rlike(r"^[+-]?\d+(\.\d+)?$"), "numeric_exact").otherwise("free_text")
-    return raw.select(
-        "item_id", "question", "answer", "options", F.coalesce("eval_type", F.lit("domain_knowledge")).alias("eval_type"), F.coalesce("difficulty", F.lit("intermediate")).alias("difficulty"),
+def read_articles(spark: SparkSession, path: str) -> DataFrame:
+    """JSON files of one object title -> content each: (title, content), without blank contents."""
+    raw = spark.read.text(path, wholetext=True)
+    rows = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("title", "content"))
+    return rows.filter(strip(F.col("content")) != "")
+
+
+def article_texts(articles: DataFrame) -> DataFrame:
+    """articles (title, content) -> (filename, content): the text under its title as a header; blank contents are left out."""
+    name = F.concat(title_to_filename(F.col("title")), F.lit(".txt"))
+    text = F.concat(F.lit("# "), "title", F.lit("\n\n"), strip(F.col("content")))
+    return articles.filter(strip(F.col("content")) != "").select(name.alias("filename"), text.alias("content"))
+
+
+def write_articles(articles: DataFrame, path: str) -> None:
+    """JSON lines, one object title -> content for each article."""
+    articles.select(F.to_json(F.create_map("title", "content")).alias("value")).write.mode("overwrite").text(path)
+
+
+ITEM = "item_id long, question string, answer string, context string, options array<string>, eval_type string, difficulty string, deterministic boolean, validation_score double"
+
+
+def parse_items(texts: DataFrame, column: str = "value") -> DataFrame:
+    """JSON documents, each {items: [...]}, {benchmark_items: [...]}, a list, or one item -> an item for each row, with defaults for what it lacks.
+
+    The answer's type follows from options, or from its being a number in the JSON.
+    """
+    c = F.col(column)
+    held = F.coalesce(F.get_json_object(c, "$.items"), F.get_json_object(c, "$.benchmark_items"), F.when(F.ltrim(c).startswith("["), c), F.concat(F.lit("["), c, F.lit("]")))
+    rows = texts.select(F.explode(F.from_json(held, "array<string>")).alias("j")).select(F.from_json("j", ITEM).alias("x"), "j").select("x.*", "j")
+    numeric = F.col("j").rlike(r'(?<!\\)"answer"\s*:\s*-?[0-9]')
+    kind = F.when(F.size("options") > 0, "multiple_choice").when(numeric, "numeric_exact").otherwise("free_text")
+    return rows.select(
+        "item_id", F.coalesce("question", F.lit("Sample question?")).alias("question"), F.coalesce("answer", F.lit("Sample answer")).alias("answer"), "context", "options",
+        F.coalesce("eval_type", F.lit("domain_knowledge")).alias("eval_type"), F.coalesce("difficulty", F.lit("intermediate")).alias("difficulty"),
         F.coalesce("deterministic", F.lit(True)).alias("deterministic"), F.coalesce("validation_score", F.lit(0.8)).alias("validation_score"), kind.alias("answer_type"),
     )
 
 
+def load_items(spark: SparkSession, path: str) -> DataFrame:
+    """Items of JSON files of any of the shapes that parse_items takes, one document for each file."""
+    return parse_items(spark.read.text(path, wholetext=True))
+
+
+def task_lines(rows: DataFrame) -> DataFrame:
+    """rows with a task -> (task, line): each row as one JSON object without the task and without nulls."""
+    rest = [c for c in rows.columns if c != "task"]
+    return rows.select("task", F.to_json(F.struct(*rest), {"ignoreNullFields": "true"}).alias("line"))
+
+
 def write_task_datasets(rows: DataFrame, path: str) -> None:
+    """One folder of JSON lines for each task."""
     rows.write.partitionBy("task").mode("overwrite").json(path)
 
 
-def write_run_results(results: DataFrame, path: str, most: int = 200) -> None:
+def run_results(results: DataFrame, most: int = 200) -> DataFrame:
+    """The first `most` rows of each run by item; the limit is applied in each task before the rows meet."""
     rank = F.row_number().over(Window.partitionBy("run_id").orderBy("item_id"))
-    results.withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_rank").write.mode("overwrite").json(path)
+    return results.withColumn("nth", rank).filter(F.col("nth") <= most).drop("nth")
+
+
+def write_run_results(results: DataFrame, path: str, most: int = 200) -> None:
+    run_results(results, most).write.partitionBy("run_id").mode("overwrite").json(path)
+
+
+def write_finetune_files(items: DataFrame, path: str) -> None:
+    """JSON lines {"text": ...} under split=train, valid, test; rows without question or answer under rejected."""
+    lines, bad = finetune_lines(items)
+    lines.write.partitionBy("split").mode("overwrite").json(f"{path}/lines")
+    bad.write.mode("overwrite").json(f"{path}/rejected")
 
 
 def finetune_lines(items: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -132,7 +223,3 @@ def finetune_lines(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     bad = (clean_text(F.col("question")) == "") | (clean_text(F.col("answer")) == "")
     text = F.concat(F.lit("Question: "), F.col("question"), F.lit("\nAnswer: "), F.col("answer"))
     return items.filter(~bad).select("split", text.alias("text")), items.filter(bad)
-
-
-def wiki_lines(c: Column) -> Column:
-    return found(c, r"(?m)^/wiki/\S+")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.verify import verify
 from ..operators.stats import seconds
@@ -28,13 +32,55 @@ def live_run_scores(results: DataFrame, late: str = "10 minutes") -> DataFrame:
     return windowed_scores(results.withWatermark("ts", late))
 
 
-def phase_progress(events: DataFrame) -> DataFrame:
-    """events (run_id, ts, step, total) -> percent done and seconds left, from the pace so far; odd steps and the last are kept."""
-    w = Window.partitionBy("run_id").orderBy("ts", "step")
-    start = F.first(seconds(F.col("ts"))).over(w)
-    took = seconds(F.col("ts")) - start
-    out = events.withColumn("percent", F.round(100.0 * F.col("step") / F.col("total"), 1)).withColumn("eta", F.try_divide(took, F.col("step")) * (F.col("total") - F.col("step")))
-    return out.filter((F.col("step") % 2 == 1) | (F.col("step") == F.col("total")))
+def phase_progress(events: DataFrame, keys: tuple[str, ...] = ("run_id", "phase")) -> DataFrame:
+    """events (keys, ts, increment, total) -> completed so far, percent to one decimal, rate and seconds left by the pace so far.
+
+    Only odd steps that are new and the last one are kept, as a listener gets them.
+    """
+    w = Window.partitionBy(*keys).orderBy("ts", "event_id")
+    took = seconds(F.col("ts")) - F.first(seconds(F.col("ts"))).over(w)
+    out = events.withColumn("completed", F.sum("increment").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("took", took)
+    out = out.withColumn("before", F.lag("completed").over(w))
+    return _progress(out).filter(_emitted(F.col("completed"), F.col("total"), F.col("before"))).drop("took", "before")
+
+
+def _emitted(completed: Column, total: Column, before: Column) -> Column:
+    return (completed == total) | ((completed % 2 == 1) & ~F.coalesce(completed == before, F.lit(False)))
+
+
+def _progress(rows: DataFrame) -> DataFrame:
+    """rows (completed, total, took) with percent, rate and eta."""
+    c, n, took = F.col("completed"), F.col("total"), F.col("took")
+    percent = F.when(n > 0, F.round(100.0 * c / n, 1)).otherwise(0.0)
+    rate = F.when(took > 0, c / took).otherwise(0.0)
+    return rows.withColumn("percent", percent).withColumn("rate", F.round(rate, 2)).withColumn("eta", F.round(F.when(rate > 0, (n - c) / rate).otherwise(0.0), 1))
+
+
+def phase_progress_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """The same on a stream: state of a run's phase is its first time and what is completed; it is dropped once the phase is complete or the watermark has
+    passed it. Events of a micro-batch are taken in order of time and id."""
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first, done = state.get if state.exists else (None, 0)
+        rows = []
+        for frame in frames:
+            for e in frame.sort_values(["ts", "event_id"]).itertuples():
+                at = e.ts.timestamp()
+                first = at if first is None else first
+                before, done = done, done + int(e.increment)
+                if done == e.total or (done % 2 == 1 and done != before):
+                    rows.append((*key, e.event_id, done, int(e.total), at - first))
+        state.update((first, done))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(first * 1000)) + 86_400_000)
+        yield pd.DataFrame(rows, columns=["run_id", "phase", "event_id", "completed", "total", "took"])
+
+    kinds = dict(events.dtypes)
+    schema = f"run_id {kinds['run_id']}, phase {kinds['phase']}, event_id {kinds['event_id']}, completed long, total long, took double"
+    grouped = events.withWatermark("ts", late).groupBy("run_id", "phase")
+    out = grouped.applyInPandasWithState(update, schema, "first double, done long", "append", GroupStateTimeout.EventTimeTimeout)
+    return _progress(out).drop("took")
 
 
 def run_retention(runs: DataFrame, now, most: int = 100, hours: int = 24) -> DataFrame:
@@ -44,5 +90,5 @@ def run_retention(runs: DataFrame, now, most: int = 100, hours: int = 24) -> Dat
 
 
 def stream_verify(predictions: DataFrame, items: DataFrame) -> DataFrame:
-    """Predictions, static or streaming, joined to the static items and scored."""
-    return predictions.join(items, "item_id").withColumn("score", verify(F.col("eval_type"), F.col("prediction"), F.col("answer")))
+    """Predictions (item_id, prediction), static or streaming, joined to the static items (item_id, answer, question, eval_type) and verified."""
+    return verify(predictions.join(items, "item_id"), "prediction", "answer", "question", "eval_type")
