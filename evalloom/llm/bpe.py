@@ -29,6 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
 from .decontam import _with
 
 
@@ -43,7 +44,7 @@ def byte_symbols() -> dict[int, str]:
 
 
 class Transducer:
-    def __init__(self, spec: dict, window: int = 512, cache: int = 400_000) -> None:
+    def __init__(self, spec: dict, window: int = 512, cache: int = 150_000) -> None:
         """spec: the parsed tokenizer file. window: symbols merged at once, beside the lookahead. cache: pieces remembered.
 
         A window is at least as long as the longest token, so that each gives one token or more.
@@ -200,7 +201,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _CODERS.get(tokenizer_path) or _CODERS.setdefault(tokenizer_path, Transducer(shared.value))
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [coder.encode(t.as_py()) for t in batch["text"]]
             texts = ["".join(coder.decode(i)) for i in ids]
             yield _with(batch, ids=pa.array(ids, pa.list_(pa.int32())), decoded=pa.array(texts, pa.string()))

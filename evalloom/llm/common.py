@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +92,13 @@ def bucketed(df: DataFrame, key: str) -> Iterator[DataFrame]:
         spark.sql(f"DROP TABLE {name}")
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, without copies, so that what a worker builds from one part stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def alnum_words(text: str | None) -> list[bytes]:
     """Words of letters, digits and non-ASCII characters, A-Z lower-cased, as UTF-8 bytes; null has none."""
     return text.encode("utf-8", "replace").translate(ALNUM_BYTES).split() if text else []

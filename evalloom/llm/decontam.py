@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alnum_words
+from .common import alnum_words, sliced
 
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 ARROW_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -97,7 +97,7 @@ def _pass(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFra
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = searchers(shared.value, window)
-        for batch in batches:
+        for batch in sliced(batches):
             n_words, found, hit = [], [], []
             for text, old, ids in zip(batch["text"], batch["hit_spans"], batch["item_ids"]):
                 words = alnum_words(text.as_py())
