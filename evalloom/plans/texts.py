@@ -82,7 +82,7 @@ SELECT doc_id, CASE WHEN NOT regexp_matches(lower({FILE_NAME}), '\\.({'|'.join(I
 NAME = CLEAN.format("regexp_replace(coalesce(text, ''), '[^\\pL\\pN\\pM_\\s\\-()]', '', 'g')")
 per_doc("io04_sanitize_name", IO.sanitize_name, f"CASE WHEN length({NAME}) < 3 THEN 'Uploaded Corpus' ELSE {NAME} END")
 per_doc("io05_title_to_filename", IO.title_to_filename, "lower(regexp_replace(" + STRIP.format("regexp_replace(coalesce(text, ''), '[^\\pL\\pN\\pM_\\s-]', '', 'g')") + ", '\\s+', '_', 'g'))")
-add("io06_articles_json_io", lambda s, d: IO.article_texts(IO.read_articles(s, write_articles(s, d))).select("filename", F.md5("content").alias("digest")), f"""
+add("io06_articles_json_io", lambda s, d: IO.article_texts(IO.read_articles(s, write_articles(s, d), lines=True)).select("filename", F.md5("content").alias("digest")), f"""
 SELECT 'doc_' || doc_id || '.txt' AS filename, md5('# Doc ' || doc_id || chr(10) || chr(10) || {STRIP.format('text')}) AS digest FROM documents WHERE {STRIP.format('text')} <> ''""")
 add("io07_html_to_text", lambda s, d: IO.html_to_text(table(s, d, "pages")))
 LINKS = "(SELECT DISTINCT link FROM (SELECT '/wiki/' || split_part(unnest(regexp_extract_all(coalesce(html, ''), 'href=\"/([^\"]*)\"', 1)), '#', 1) AS link FROM pages WHERE html IS NOT NULL) WHERE regexp_matches(link, '^/wiki/\\S'))"

@@ -146,9 +146,9 @@ def html_to_text(pages: DataFrame, tags: tuple[str, ...] = DROPPED_TAGS, classes
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, text string")
 
 
-def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    """JSON files of one object title -> content each: (title, content), without blank contents."""
-    raw = spark.read.text(path, wholetext=True)
+def read_articles(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """JSON objects title -> content, one for each file or, with lines, for each line: (title, content), without blank contents."""
+    raw = spark.read.text(path, wholetext=not lines)
     rows = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("title", "content"))
     return rows.filter(strip(F.col("content")) != "")
 

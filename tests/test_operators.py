@@ -303,8 +303,9 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "articles.json").write_text(json.dumps({"The Liver of P.": " text ", "Blank": " ", "None": None}))
     articles = IO.read_articles(spark, f"{path}/articles.json")
     assert [tuple(r) for r in IO.article_texts(articles).collect()] == [("the_liver_of_p.txt", "# The Liver of P.\n\ntext")]
-    IO.write_articles(articles, f"{path}/out")
-    assert IO.read_articles(spark, f"{path}/out").count() == 1
+    more = articles.union(articles.withColumn("title", F.lit("Another"))).coalesce(1)
+    IO.write_articles(more, f"{path}/out")
+    assert sorted(IO.read_articles(spark, f"{path}/out", lines=True).collect()) == sorted(more.collect())
     rows = spark.createDataFrame([(1, 1, "q", "a", "train"), (1, 2, "q", " ", "test"), (1, 3, "q", "b", "valid")], "run_id int, item_id int, question string, answer string, split string")
     IO.write_finetune_files(rows, f"{path}/tune")
     assert spark.read.json(f"{path}/tune/lines").count() == 2 and spark.read.json(f"{path}/tune/rejected").count() == 1
