@@ -80,6 +80,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def with_few(rows: DataFrame, few: DataFrame, keys: list[str], most: int = 500_000) -> DataFrame:
+    """rows joined to a table of one row for each key, made already (see cut), which is broadcast if its number, which is checked, allows it.
+
+    A key of many rows then stays spread; beyond the bound both sides are shuffled, and Spark splits skewed keys.
+    """
+    return rows.join(F.broadcast(few) if few.count() <= most else few, keys)
+
+
 @contextmanager
 def bucketed(df: DataFrame, key: str) -> Iterator[DataFrame]:
     """df as a table in the warehouse, bucketed by key, so that joins on key don't shuffle it; table and files are dropped afterwards."""

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, once, row_key
+from .common import cut, fresh, once, row_key, with_few
 
 REGISTER_BITS = 10
 
@@ -48,7 +48,7 @@ def spread_lines(lines: DataFrame, min_sites: int, bits: int = REGISTER_BITS) ->
     band = max(2.0, 6 * 1.04 / math.sqrt(1 << bits) * min_sites)
     judged = cut(estimates(sketch_rows(lines, bits), bits).filter(F.col("spread") >= min_sites - band))
     near = judged.filter(F.col("spread") <= min_sites + band).select("k1", "k2")
-    pairs = lines.filter("site IS NOT NULL").join(near, ["k1", "k2"]).select("k1", "k2", "site").distinct()  # dealt by line and site
+    pairs = with_few(lines.filter("site IS NOT NULL"), near, ["k1", "k2"]).select("k1", "k2", "site").distinct()  # dealt by line and site
     exact = pairs.groupBy("k1", "k2").agg(F.count("*").alias("sites")).filter(F.col("sites") >= min_sites)
     return judged.filter(F.col("spread") > min_sites + band).select("k1", "k2").union(exact.select("k1", "k2"))
 
@@ -61,7 +61,7 @@ def dedup_lines(docs: DataFrame, site_col: str = "source", min_sites: int = 5, i
     lines = lines.select("key", "site", "at", line_of(F.col("raw")).alias("line")).filter("line <> ''")
     lines = lines.select("key", "site", "at", F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(1)).alias("k2"))
     spread = cut(spread_lines(lines, min_sites))
-    hits = lines.select("key", "at", "k1", "k2").join(spread, ["k1", "k2"]).groupBy(F.col("key").alias(key)).agg(F.collect_set("at").alias(drop))
+    hits = with_few(lines.select("key", "at", "k1", "k2"), spread, ["k1", "k2"]).groupBy(F.col("key").alias(key)).agg(F.collect_set("at").alias(drop))
     out = keyed.join(hits, key, "left").withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long"))
 
     def without(parts: Column) -> Column:
