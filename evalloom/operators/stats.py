@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -43,12 +45,48 @@ def pseudo_p(mean: Column, std: Column, n: Column, against: float = 0.5) -> Colu
     return F.when(n < 2, 1.0).when(std == 0, same).otherwise(F.greatest(F.lit(0.001), F.least(F.lit(1.0), p)))
 
 
+def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined to right on keys, where null equals null; right's keys go."""
+    named = right.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_r{i}")) for i, k in enumerate(keys)])
+    return left.join(named, on, how).drop(*[f"_r{i}" for i in range(len(keys))])
+
+
+def quantiles(results: DataFrame, by: list[str], score: str, wanted: dict[str, float]) -> DataFrame:
+    """(by, a column for each of `wanted`): exact, interpolated quantiles of each group's scores.
+
+    Equal scores are counted once. Running totals over slots of 1/4096, of which scores from 0 to 1 fill 4,097 at most, tell which slots hold a wanted rank;
+    only their scores are sorted, each slot for itself, so that a group's different scores don't meet in one task. Null scores don't count and groups
+    without others are left out; a null key is a group; NaN is the greatest score.
+    """
+    v = F.col("_v")
+    slot = F.when(F.isnan(v), (1 << 63) - 1).otherwise(F.floor(v * 4096)).alias("_slot")
+    values = results.filter(F.col(score).isNotNull()).groupBy(*by, F.col(score).cast("double").alias("_v")).agg(F.count("*").alias("_c")).select("*", slot)
+    group = Window.partitionBy(*by)
+    slots = values.groupBy(*by, "_slot").agg(F.sum("_c").alias("_in")).withColumn("_n", F.sum("_in").over(group))
+    slots = slots.withColumn("_before", F.sum("_in").over(group.orderBy("_slot")) - F.col("_in"))
+    at = {name: F.lit(q) * (F.col("_n") - 1) for name, q in wanted.items()}
+    ranks = [f(x) for x in at.values() for f in (F.floor, F.ceil)]
+    held = slots.filter(reduce(lambda x, y: x | y, [(F.col("_before") <= r) & (r < F.col("_before") + F.col("_in")) for r in ranks]))
+    near = _same(values, held.select(*by, "_slot", "_before", "_n"), [*by, "_slot"])
+    near = near.withColumn("_upto", F.col("_before") + F.sum("_c").over(Window.partitionBy(*by, "_slot").orderBy("_v")))
+
+    def value(rank: Column) -> Column:
+        return F.max(F.when((F.col("_upto") - F.col("_c") <= rank) & (rank < F.col("_upto")), v))
+
+    def between(x: Column) -> Column:
+        low, high, rest = value(F.floor(x)), value(F.ceil(x)), F.max(F.ceil(x) - x)
+        return F.when(low == high, low).otherwise(rest * low + (1 - rest) * high)
+
+    return near.groupBy(*by).agg(*[between(x).alias(name) for name, x in at.items()])
+
+
 def score_statistics(results: DataFrame, by: list[str], score: str = "score") -> DataFrame:
-    """One pass: mean, sample deviation, exact median, extremes, count, normal intervals, pseudo p."""
+    """Mean, sample deviation, exact median, extremes, count, normal intervals, pseudo p."""
     out = results.filter(F.col(score).isNotNull()).groupBy(*by).agg(
-        F.avg(score).alias("mean"), F.coalesce(F.stddev_samp(score), F.lit(0.0)).alias("std"), F.expr(f"percentile({score}, 0.5)").alias("median"),
-        F.min(score).alias("min"), F.max(score).alias("max"), F.count(score).alias("n"),
+        F.avg(score).alias("mean"), F.coalesce(F.stddev_samp(score), F.lit(0.0)).alias("std"), F.min(score).alias("min"), F.max(score).alias("max"), F.count(score).alias("n"),
     )
+    out = _same(out, quantiles(results, by, score, {"median": 0.5}), by).select(*by, "mean", "std", "median", "min", "max", "n")
     half = F.col("std") / F.sqrt("n")
     return (
         out.withColumn("ci95_low", F.col("mean") - Z95 * half).withColumn("ci95_high", F.col("mean") + Z95 * half)
@@ -58,12 +96,13 @@ def score_statistics(results: DataFrame, by: list[str], score: str = "score") ->
 
 
 def batch_statistics(results: DataFrame, by: list[str]) -> DataFrame:
-    q = F.expr("percentile(score, array(0.25, 0.5, 0.75))")
+    """Count, mean, deviation, share of full scores, extremes and exact quartiles; a group without scores has a count of 0 and nulls."""
     out = results.groupBy(*by).agg(
         F.count("score").alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.avg((F.col("score") >= 1.0).cast("double")).alias("exact_rate"),
-        F.min("score").alias("min"), F.max("score").alias("max"), q.alias("q"),
+        F.min("score").alias("min"), F.max("score").alias("max"),
     )
-    return out.select(*by, "n", "mean", "std", "exact_rate", "min", "max", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"))
+    named = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+    return _same(out, quantiles(results, by, "score", named), by, "left").select(*by, "n", "mean", "std", "exact_rate", "min", "max", *named)
 
 
 def bootstrap_ci(results: DataFrame, by: str, level: float = 0.95, draws: int = 1000, part_rows: int = 20_000, few: tuple[float, float] = (0.0, 1.0), seed: int = 42) -> DataFrame:

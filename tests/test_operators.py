@@ -8,6 +8,7 @@ import string
 from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -352,6 +353,21 @@ def test_verified_stream_equals_batch(spark, tmp_path):
     assert key(spark.table("verified")) == key(L.stream_verify(preds, items).select("item_id", "score", "method"))
 
 
+def test_quantiles_against_sorted_scores(spark):
+    rng = random.Random(5)
+    groups = {None: [rng.random() for _ in range(301)], "hot": [0.5] * 900 + [rng.random() / 4096 for _ in range(600)], "one": [-3.25], "wide": [rng.uniform(-1e6, 1e6) for _ in range(50)]}
+    rows = [(g, x) for g, v in groups.items() for x in v] + [("hot", None), ("none", None)]
+    wanted = {"low": 0.0, "q": 0.25, "mid": 0.5, "odd": 0.613, "high": 1.0}
+    df = spark.createDataFrame(rows, "run_id string, score double").repartition(3)
+    got = {r.run_id: r for r in ST.quantiles(df, ["run_id"], "score", wanted).collect()}
+    assert set(got) == set(groups)
+    for g, v in groups.items():
+        for name, q in wanted.items():
+            assert got[g][name] == pytest.approx(float(np.quantile(v, q)), rel=1e-12)
+    stats = {r.run_id: r for r in ST.batch_statistics(df, ["run_id"]).collect()}
+    assert stats["none"].n == 0 and stats["none"].median is None and stats[None].n == 301
+
+
 def test_statistics_on_edges(spark):
     same = ST.score_statistics(spark.createDataFrame([("a", 0.9), ("a", 0.9), ("b", 0.55), ("b", 0.55), ("c", 0.1), ("d", None)], "run_id string, score double"), ["run_id"])
     assert {r.run_id: r.p_value for r in same.collect()} == {"a": 0.001, "b": 0.5, "c": 1.0}
