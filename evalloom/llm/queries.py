@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, toxicity
+from . import dialogs, langid, packing, spelling, toxicity
 from .bpe import bpe_round_trip
 from .chunkprint import fingerprints
 from .common import table
@@ -193,5 +193,97 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op3_katz_scores": op3_katz_scores, "op2_line_dedup": op2_line_dedup, "op6_jaccard_join": op6_jaccard_join, "op4_fingerprints": op4_fingerprints, "op7_toxicity": op7_toxicity, "op9_language_id": op9_language_id, "op1_decontaminate": op1_decontaminate, "op5_bpe_round_trip": op5_bpe_round_trip, "op8_license_scan": op8_license_scan, "op10_url_filter": op10_url_filter}
-SQL = {"op1_decontaminate": _OP1_SQL, "op2_line_dedup": _OP2_SQL, "op6_jaccard_join": _OP6_SQL, "op8_license_scan": _op8_sql(), "op10_url_filter": _op10_sql()}
+#: Part of a WITH RECURSIVE: crc_table has the list of the 256 entries of crc32's table; crc32_of the sum of a text, given that list as `t`.
+CRC_TABLE = """crc_bits(i, k, c) AS (
+  SELECT i::BIGINT, 0, i::BIGINT FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_bits WHERE k < 8),
+crc_table AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM crc_bits WHERE k = 8)"""
+
+
+def crc32_of(s: str) -> str:
+    bytes_of = f"list_transform(range(0, length(hex(encode({s}))) // 2), lambda i: ('0x' || hex(encode({s}))[2 * i + 1 : 2 * i + 2])::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {bytes_of}), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return dialogs.repair_report(dialogs.damaged(turns), turns)
+
+
+#: Costs before a row from the costs after it: states 0 to 3 as in dialogs.
+_OP11_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+hit AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32_of("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k FROM conversations, crc_table),
+broken AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(0, CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM hit),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM broken),
+rows_ AS MATERIALIZED (
+  SELECT conv_id, turn, role, text, i, left(role, 1) AS c,
+    CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM placed),
+costed AS MATERIALIZED (SELECT *, fault IN ('blank', 'duplicate') AS doomed, (fault = 'truncated')::INTEGER AS cut FROM rows_),
+n AS (SELECT conv_id, max(i) AS n FROM costed GROUP BY conv_id),
+back(conv_id, i, v0, v1, v2, v3) AS (
+  SELECT conv_id, n + 1, 0, 4, 2, 0 FROM n
+  UNION ALL
+  SELECT conv_id, i, least(r0, 2 + r2, 4 + r3), least(r1, 2 + r2, 4 + r3), least(r2, 2 + r3), least(r3, 2 + r2) FROM (
+    SELECT s.conv_id, s.i, least(3 + v0, CASE WHEN NOT doomed THEN 2 + cut + v2 END, CASE WHEN NOT doomed AND c = 's' THEN cut + v1 END, CASE WHEN NOT doomed AND c = 'u' THEN cut + v2 END) AS r0,
+      least(3 + v1, CASE WHEN NOT doomed THEN 2 + cut + v2 END, CASE WHEN NOT doomed AND c = 'u' THEN cut + v2 END) AS r1,
+      least(3 + v2, CASE WHEN NOT doomed THEN 2 + cut + v3 END, CASE WHEN NOT doomed AND c = 'a' THEN cut + v3 END) AS r2,
+      least(3 + v3, CASE WHEN NOT doomed THEN 2 + cut + v2 END, CASE WHEN NOT doomed AND c = 'u' THEN cut + v2 END) AS r3
+    FROM back b JOIN costed s ON s.conv_id IS NOT DISTINCT FROM b.conv_id AND s.i = b.i - 1)),
+costs AS MATERIALIZED (SELECT conv_id, i, [v0, v1, v2, v3] AS v FROM back),
+traced(conv_id, i, q, audit, said) AS (
+  SELECT conv_id, 1::BIGINT, 0, '', []::VARCHAR[] FROM n
+  UNION ALL
+  SELECT conv_id, i + (l <> 'I')::INTEGER, CASE l WHEN 'D' THEN q WHEN 'K' THEN kq ELSE nq END, audit || l,
+    CASE l WHEN 'D' THEN said WHEN 'K' THEN list_append(said, role || ':' || text) WHEN 'R' THEN list_append(said, nrole || ':' || text) ELSE list_append(said, nrole || ':') END
+  FROM (SELECT *, CASE WHEN here AND now_[q + 1] = 3 + then_[q + 1] THEN 'D' WHEN now_[q + 1] = 2 + now_[nq + 1] THEN 'I' WHEN NOT doomed AND now_[q + 1] = cut + then_[kq + 1] THEN 'K' ELSE 'R' END AS l
+    FROM (SELECT x.*, s.i IS NOT NULL AS here, s.role, s.text, s.doomed, s.cut, a.v AS now_, b.v AS then_, [2, 2, 3, 2][q + 1] AS nq, CASE WHEN q = 2 THEN 'assistant' ELSE 'user' END AS nrole,
+        CASE WHEN q = 0 AND s.c = 's' THEN 1 WHEN q <> 2 AND s.c = 'u' THEN 2 WHEN q = 2 AND s.c = 'a' THEN 3 END AS kq
+      FROM traced x JOIN costs a ON a.conv_id IS NOT DISTINCT FROM x.conv_id AND a.i = x.i LEFT JOIN costs b ON b.conv_id IS NOT DISTINCT FROM x.conv_id AND b.i = x.i + 1
+        LEFT JOIN costed s ON s.conv_id IS NOT DISTINCT FROM x.conv_id AND s.i = x.i)
+    WHERE here OR now_[q + 1] > 0)),
+ended AS (SELECT x.* FROM traced x JOIN n ON n.conv_id IS NOT DISTINCT FROM x.conv_id AND x.i = n.n + 1 WHERE q IN (0, 3)),
+pairs AS (SELECT *, lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS pair FROM costed),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM pairs GROUP BY conv_id)
+SELECT g.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(v[1], 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN ended ON ended.conv_id IS NOT DISTINCT FROM g.conv_id
+  LEFT JOIN costs ON costs.conv_id IS NOT DISTINCT FROM g.conv_id AND costs.i = 1"""
+
+
+def op12_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.spelling_forms(spelling.word_counts(docs, change=spelling.lose_a_letter))
+
+
+_OP12_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, {SQL_LOWER.format("unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]{7,}'))")} AS run FROM documents),
+per AS (SELECT d, run, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (SELECT *, {crc32_of("d || ':' || run")} AS h FROM per, crc_table),
+made AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INTEGER) || substr(run, (h % length(run))::INTEGER + 2) ELSE run END AS word, n FROM hashed),
+words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM made WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cuts AS MATERIALIZED (SELECT word, n, p, left(word, p - 1) || substr(word, p + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INTEGER AS p FROM words)),
+linked AS (
+  SELECT a.word AS a, b.word AS b, a.n AS a_n, b.n AS b_n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+  UNION SELECT c.word, w.word, c.n, w.n FROM cuts c JOIN words w ON w.word = c.rest
+  UNION SELECT w.word, c.word, w.n, c.n FROM cuts c JOIN words w ON w.word = c.rest),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY b_n DESC, b) AS k FROM linked),
+near_ AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN b_n >= 10 * n THEN b END AS form, CASE WHEN b_n >= 10 * n THEN b_n END AS form_n FROM words w LEFT JOIN ranked ON a = w.word AND k = 1),
+led(word, at_) AS (SELECT word, word FROM near_ UNION ALL SELECT led.word, form FROM led JOIN near_ ON near_.word = at_ WHERE form IS NOT NULL)
+SELECT near_.word, n, n_near::BIGINT AS n_near, form, form_n, at_ AS root FROM near_ JOIN led ON led.word = near_.word WHERE at_ IN (SELECT word FROM near_ WHERE form IS NULL)"""
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
+
+
+QUERIES = {"op3_katz_scores": op3_katz_scores, "op2_line_dedup": op2_line_dedup, "op6_jaccard_join": op6_jaccard_join, "op4_fingerprints": op4_fingerprints, "op7_toxicity": op7_toxicity, "op9_language_id": op9_language_id, "op1_decontaminate": op1_decontaminate, "op5_bpe_round_trip": op5_bpe_round_trip, "op8_license_scan": op8_license_scan, "op10_url_filter": op10_url_filter, "op11_repair": op11_repair, "op12_spelling_forms": op12_spelling_forms, "op13_best_fit_packing": op13_best_fit_packing}
+SQL = {"op1_decontaminate": _OP1_SQL, "op2_line_dedup": _OP2_SQL, "op6_jaccard_join": _OP6_SQL, "op8_license_scan": _op8_sql(), "op10_url_filter": _op10_sql(), "op11_repair": _OP11_SQL, "op12_spelling_forms": _OP12_SQL}
