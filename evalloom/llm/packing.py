@@ -19,15 +19,17 @@ end before a blank, where no token goes on. Columns other than doc_id and text a
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import product
+from itertools import chain, product
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,19 +176,65 @@ def place(pieces: DataFrame, limits: Limits = Limits(), rules: list[Rule] = RULE
     return ranked.mapInArrow(assign, ranked.schema)
 
 
-def token_ids(tokenizer, text: str) -> np.ndarray:
-    """Ids of a text, encoded slice by slice."""
-    parts, start = [], 0
-    while start < len(text):
-        border = BORDER.search(text, start + SLICE)
-        end = border.end() if border else len(text)
-        parts.append(np.array(tokenizer.encode_batch_fast([text[start:end]], add_special_tokens=False)[0].ids, "<u4"))
-        start = end
-    return np.concatenate(parts) if parts else np.empty(0, "<u4")
+class Coder:
+    """A tokenizers file that remembers the ids of short pieces, which texts repeat again and again.
+
+    Slices of letters, digits and signs below U+0250 are taken apart here, by the pattern that byte-level vocabularies have; all other slices, those with special tokens and
+    files of another kind go through the library as they are. The ids are the same either way.
+    """
+
+    #: The pieces of byte-level vocabularies: fixed value.
+    PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+    OTHER = re.compile("[^\\x00-\u024f]")
+
+    def __init__(self, path: str, most: int = 200_000) -> None:
+        """most: pieces remembered, and as many again of those that were before them and have not come up since."""
+        from tokenizers import Tokenizer
+
+        self.coder, self.most, self.known, self.former = Tokenizer.from_file(path), most, {}, {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        before = spec["pre_tokenizer"] or {}
+        self.plain = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec["normalizer"]
+        names = [t["content"] for t in spec["added_tokens"]]
+        self.special = re.compile("|".join(map(re.escape, names))) if names else None
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def part(self, text: str) -> np.ndarray:
+        if not self.plain or self.OTHER.search(text) or self.special and self.special.search(text):
+            return np.array(self.encode([text])[0], "<u4")
+        found, known, former = self.PIECES.findall(text), self.known, self.former
+        new = []
+        for p in {p for p in found if p not in known}:
+            if p in former:
+                known[p] = former[p]
+            else:
+                new.append(p)
+        if new:
+            known.update(zip(new, (np.array(ids, "<u4").tobytes() for ids in self.encode(new))))
+        data = b"".join(map(known.__getitem__, found))
+        for p in new:
+            if len(p) > 64:
+                del known[p]
+        if len(known) > self.most:
+            self.known, self.former = {}, known
+        return np.frombuffer(data, "<u4")
+
+    def ids(self, text: str) -> np.ndarray:
+        """Ids of a text, encoded slice by slice."""
+        parts, start = [], 0
+        while start < len(text):
+            border = BORDER.search(text, start + SLICE)
+            end = border.end() if border else len(text)
+            parts.append(self.part(text[start:end]))
+            start = end
+        return np.concatenate(parts) if parts else np.empty(0, "<u4")
 
 
 #: By path, for the tasks that one Python worker runs one after another.
-_TOKENIZERS: dict = {}
+_CODERS: dict[str, Coder] = {}
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, tokens: int = 1024, end: int = 2, keep_ids: bool = False) -> DataFrame:
@@ -199,13 +247,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, tokens: int = 1024, end: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
-        from tokenizers import Tokenizer
-
-        coder = _TOKENIZERS.get(tokenizer_path) or _TOKENIZERS.setdefault(tokenizer_path, Tokenizer.from_file(tokenizer_path))
+        coder = _CODERS.get(tokenizer_path) or _CODERS.setdefault(tokenizer_path, Coder(tokenizer_path))
         for b in sliced(batches):
             rows, numbers, starts, lengths, sums, ids = [], [], [], [], [], []
             for i, text in enumerate(b["text"]):
-                own = np.append(token_ids(coder, text.as_py() or ""), np.array([end], "<u4"))
+                own = np.append(coder.ids(text.as_py() or ""), np.array([end], "<u4"))
                 first = (len(own) - 1) % tokens + 1
                 for k, at in enumerate([0, *range(first, len(own), tokens)]):
                     part = own[at : first if k == 0 else at + tokens]
