@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import answer_f1
 from ..functions.text import filled, strip, words
-
-Z95, Z99 = 1.96, 2.576
+from . import bootstrap
 
 
 def seconds(ts: Column) -> Column:
@@ -81,58 +78,56 @@ def quantiles(results: DataFrame, by: list[str], score: str, wanted: dict[str, f
     return near.groupBy(*by).agg(*[between(x).alias(name) for name, x in at.items()])
 
 
-def score_statistics(results: DataFrame, by: list[str], score: str = "score") -> DataFrame:
-    """Mean, sample deviation, exact median, extremes, count, normal intervals, pseudo p."""
-    out = results.filter(F.col(score).isNotNull()).groupBy(*by).agg(
-        F.avg(score).alias("mean"), F.coalesce(F.stddev_samp(score), F.lit(0.0)).alias("std"), F.min(score).alias("min"), F.max(score).alias("max"), F.count(score).alias("n"),
-    )
-    out = _same(out, quantiles(results, by, score, {"median": 0.5}), by).select(*by, "mean", "std", "median", "min", "max", "n")
-    half = F.col("std") / F.sqrt("n")
-    return (
-        out.withColumn("ci95_low", F.col("mean") - Z95 * half).withColumn("ci95_high", F.col("mean") + Z95 * half)
-        .withColumn("ci99_low", F.col("mean") - Z99 * half).withColumn("ci99_high", F.col("mean") + Z99 * half)
-        .withColumn("p_value", pseudo_p(F.col("mean"), F.col("std"), F.col("n")))
+#: Intervals of reports.
+LEVELS = {"ci95": 0.95, "ci99": 0.99}
+
+
+def _described(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows (by, score) -> mean, sample deviation, exact median, extremes and count; groups without scores are left out."""
+    out = rows.filter(F.col("score").isNotNull()).groupBy(*by).agg(
+        F.avg("score").alias("mean"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("std"), F.min("score").alias("min"), F.max("score").alias("max"), F.count("score").alias("n"),
     )
+    return _same(out, quantiles(rows, by, "score", {"median": 0.5}), by).select(*by, "mean", "std", "median", "min", "max", "n")
+
+
+def _with_intervals(described: DataFrame, drawn: DataFrame, by: list[str]) -> DataFrame:
+    ends = [f"{name}_{side}" for name in LEVELS for side in ("low", "high")]
+    out = _same(described, drawn, by).select(*described.columns, *ends)
+    return out.withColumn("p_value", pseudo_p(F.col("mean"), F.col("std"), F.col("n")))
+
 
+def score_statistics(results: DataFrame, by: list[str], score: str = "score", key: list[str] | None = None) -> DataFrame:
+    """Mean, sample deviation, exact median, extremes, count, bootstrap intervals, pseudo p. key: see bootstrap.replicates."""
+    rows = results.select(*by, *[k for k in key or [] if k not in by], F.col(score).cast("double").alias("score"))
+    drawn = bootstrap.replicates(rows.filter("score IS NOT NULL").withColumn("metrics", bootstrap.one_metric()), by, key)
+    return _with_intervals(_described(rows, by), bootstrap.intervals(drawn, by, LEVELS).drop("metric"), by)
 
-def batch_statistics(results: DataFrame, by: list[str]) -> DataFrame:
-    """Count, mean, deviation, share of full scores, extremes and exact quartiles; a group without scores has a count of 0 and nulls."""
+
+def metric_statistics(rows: DataFrame, by: list[str], key: list[str] | None = None) -> DataFrame:
+    """rows (by, key, metrics array<struct<metric, score>>) -> (by, metric, statistics as above): a row draws once for all its metrics."""
+    drawn = bootstrap.intervals(bootstrap.replicates(rows, by, key), by, LEVELS)
+    single = rows.select(*by, F.explode("metrics").alias("x")).select(*by, "x.metric", "x.score")
+    return _with_intervals(_described(single, [*by, "metric"]), drawn, [*by, "metric"])
+
+
+def batch_statistics(results: DataFrame, by: list[str], key: list[str] | None = None) -> DataFrame:
+    """Count, mean, deviation, share of full scores, extremes, exact quartiles and a 95 % bootstrap interval, (0, 0) for fewer than two scores; a group without scores has a count of 0 and nulls."""
     out = results.groupBy(*by).agg(
         F.count("score").alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.avg((F.col("score") >= 1.0).cast("double")).alias("exact_rate"),
         F.min("score").alias("min"), F.max("score").alias("max"),
     )
     named = {"q25": 0.25, "median": 0.5, "q75": 0.75}
-    return _same(out, quantiles(results, by, "score", named), by, "left").select(*by, "n", "mean", "std", "exact_rate", "min", "max", *named)
+    out = _same(out, quantiles(results, by, "score", named), by, "left")
+    drawn = bootstrap.replicates(results.filter("score IS NOT NULL").withColumn("metrics", bootstrap.one_metric()), by, key)
+    out = _same(out, bootstrap.intervals(drawn, by, {"ci95": 0.95}, (0.0, 0.0)).drop("metric"), by, "left")
+    return out.select(*by, "n", "mean", "std", "exact_rate", "min", "max", *named, "ci95_low", "ci95_high")
 
 
-def bootstrap_ci(results: DataFrame, by: str, level: float = 0.95, draws: int = 1000, part_rows: int = 20_000, few: tuple[float, float] = (0.0, 1.0), seed: int = 42) -> DataFrame:
-    """Percentile bootstrap of the mean with Poisson weights; groups of fewer than two rows get `few`.
-
-    A group is dealt into parts of about part_rows by row hash, so that none has to fit a task; each part adds up `draws` partial sums. A part's
-    random numbers are seeded by a hash of group, part and seed, so results repeat.
-    """
-    rows = results.filter(F.col("score").isNotNull()).select(F.col(by).alias("by"), "score", F.xxhash64(*results.columns).alias("h"))
-    sizes = rows.groupBy(F.col("by").alias("group")).agg(F.ceil(F.count("*") / part_rows).alias("parts"))
-    part = F.pmod("h", F.col("parts"))
-    rows = rows.join(sizes, F.col("by").eqNullSafe(F.col("group"))).select("by", "score", "h", part.alias("part"), F.xxhash64("by", part, F.lit(seed)).alias("seed"))
-
-    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng(int(pdf["seed"].iloc[0]) & (1 << 63) - 1)
-        pdf = pdf.sort_values(["h", "score"])
-        sums, weights = np.zeros(draws), np.zeros(draws)
-        for start in range(0, len(pdf), 1000):
-            score = pdf["score"].to_numpy()[start : start + 1000]
-            w = rng.poisson(1.0, (len(score), draws))
-            sums += w.T @ score
-            weights += w.sum(0)
-        return pd.DataFrame({"by": [pdf["by"].iloc[0]] * draws, "draw": np.arange(draws), "s": sums, "w": weights, "n": [len(pdf)] * draws})
-
-    kind = dict(results.dtypes)[by]
-    got = rows.groupBy("by", "part").applyInPandas(partial, f"by {kind}, draw int, s double, w double, n long")
-    means = got.groupBy("by", "draw").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("m"), F.sum("n").alias("n"))
-    tail = (1 - level) / 2
-    out = means.groupBy("by").agg(F.expr(f"percentile(m, array({tail}, {1 - tail}))").alias("q"), F.first("n").alias("n"))  # `draws` values for each group
-    return out.select(F.col("by").alias(by), *[F.when(F.col("n") < 2, few[i]).otherwise(F.col("q")[i]).alias(name) for i, name in enumerate(("low", "high"))])
+def bootstrap_ci(results: DataFrame, by: str, level: float = 0.95, draws: int = bootstrap.DRAWS, part_rows: int = bootstrap.PART_ROWS, few: tuple[float, float] = (0.0, 1.0), key: list[str] | None = None) -> DataFrame:
+    """(by, low, high): percentile bootstrap of each group's mean score; groups of fewer than two scores get `few`, those without scores are left out."""
+    rows = results.filter("score IS NOT NULL").withColumn("metrics", bootstrap.one_metric())
+    drawn = bootstrap.replicates(rows, [by], key, draws, part_rows)
+    return bootstrap.intervals(drawn, [by], {"ci": level}, few).select(by, F.col("ci_low").alias("low"), F.col("ci_high").alias("high"))
 
 
 def significance(results: DataFrame, group: str, a: str, b: str, score: str = "score") -> DataFrame:
@@ -148,38 +143,43 @@ def significance(results: DataFrame, group: str, a: str, b: str, score: str = "s
     return s.select(t.alias("t"), df.alias("df"), d.alias("cohens_d")).withColumn("p_value", F.when(F.col("df") <= 0, 1.0).otherwise(2 * (1 - F.abs("t") / (F.abs("t") + F.sqrt("df")))))
 
 
-def method_breakdown(results: DataFrame) -> DataFrame:
-    return score_statistics(results, ["method"])
+def method_breakdown(results: DataFrame, key: list[str] | None = None) -> DataFrame:
+    return score_statistics(results, ["method"], key=key)
+
+
+def _metric(name: str | Column, score: Column) -> Column:
+    return F.struct((F.lit(name) if isinstance(name, str) else name).alias("metric"), score.cast("double").alias("score"))
 
 
-def accuracy_scores(results: DataFrame) -> DataFrame:
-    """results (prediction, truth, score) -> (metric, score): exact match of trimmed texts, the score, and the score by the texts' length ratio."""
+def accuracies() -> list[Column]:
+    """Metrics of a row (prediction, truth, score): exact match of trimmed texts, the score, and the score by the texts' length ratio."""
     p, t = filled(F.col("prediction")), filled(F.col("truth"))
     exact = (F.lower(strip(p)) == F.lower(strip(t))).cast("double")
     n = [F.when(c == "", 1).otherwise(F.size(words(c))) for c in (p, t)]
     ratio = F.least(*n) / F.greatest(*n, F.lit(1))
-    scores = {"exact_match_accuracy": exact, "raw_accuracy": F.col("score"), "normalized_accuracy": F.col("score") * ratio}
-    keep = [c for c in results.columns if c not in ("prediction", "truth", "score", "metric")]
-    return results.select(*keep, F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("score")) for k, v in scores.items()])).alias("x")).select(*keep, "x.metric", "x.score")
+    return [_metric("exact_match_accuracy", exact), _metric("raw_accuracy", F.col("score")), _metric("normalized_accuracy", F.col("score") * ratio)]
 
 
-def accuracy_metrics(results: DataFrame, by: list[str]) -> DataFrame:
-    return score_statistics(accuracy_scores(results), [*by, "metric"])
+def accuracy_metrics(results: DataFrame, by: list[str], key: list[str] | None = None) -> DataFrame:
+    """results (by, prediction, truth, score) -> (by, metric, statistics) of the three accuracies."""
+    keep = list(dict.fromkeys([*by, *(key or [])]))
+    return metric_statistics(results.select(*keep, F.array(*accuracies()).alias("metrics")), by, key)
 
 
-def evaluation_report(results: DataFrame, contaminated: DataFrame | None = None, by: str = "run_id") -> DataFrame:
+def evaluation_report(results: DataFrame, contaminated: DataFrame | None = None, by: str = "run_id", key: list[str] | None = None) -> DataFrame:
     """results (by, prediction, truth, score, method) -> one row of statistics for each run and metric, with flags on the scores' own row.
 
-    Metrics: score, the three accuracies, answer_f1, and method:<name> for each method. contaminated (by, contamination, flagged) adds a row of its own.
-    Every metric comes from one pass over the scored rows.
+    Metrics: score, the three accuracies, answer_f1, and method:<name> for each method. contaminated (by, contamination, flagged) adds a row of its own, without a key.
+    Every metric comes from one pass over the scored rows, and all their intervals from the same draws of rows.
     """
-    r = results.withColumn("f1", answer_f1(F.col("prediction"), F.col("truth")))
-    one = r.select(by, F.explode(F.array(F.struct(F.lit("score").alias("metric"), "score"), F.struct(F.lit("answer_f1").alias("metric"), F.col("f1").alias("score")),
-                                          F.struct(F.concat(F.lit("method:"), F.coalesce("method", F.lit("unknown"))).alias("metric"), "score"))).alias("x")).select(by, "x.metric", "x.score")
-    rows = one.union(accuracy_scores(results.select(by, "prediction", "truth", "score")).select(by, "metric", "score"))
+    f1 = answer_f1(F.col("prediction"), F.col("truth"))
+    method = F.concat(F.lit("method:"), F.coalesce("method", F.lit("unknown")))
+    keep = list(dict.fromkeys([by, *(key or [])]))
+    rows = results.select(*keep, F.array(_metric("score", F.col("score")), _metric("answer_f1", f1), _metric(method, F.col("score")), *accuracies()).alias("metrics"))
+    out = metric_statistics(rows, [by], key)
     if contaminated is not None:
-        rows = rows.union(contaminated.select(by, F.lit("contamination").alias("metric"), F.col("contamination").alias("score")))
-    out = score_statistics(rows, [by, "metric"])
+        more = contaminated.select(by, F.array(_metric("contamination", F.col("contamination"))).alias("metrics"))
+        out = out.union(metric_statistics(more, [by]))
     own = F.col("metric") == "score"
     return (
         out.withColumn("statistically_significant", F.when(own, F.col("p_value") < 0.05)).withColumn("sufficient_samples", F.when(own, F.col("n") >= 30))

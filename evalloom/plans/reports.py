@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import verify as V
+from ..operators import bootstrap as B
 from ..operators import items as I
 from ..operators import stats as ST
 from ..streaming import live as L
@@ -19,21 +20,43 @@ WITH m AS (SELECT eval_type || '_overlap' AS metric, score AS v FROM {RESULTS} U
 SELECT metric, avg(v) AS mean, min(v) AS min, max(v) AS max, count(v) AS count FROM m GROUP BY metric""")
 add("st02_run_summary", lambda s, d: ST.run_summary(results(s, d)), f"SELECT run_id, avg(score) AS mean_score, min(score) AS min_score, max(score) AS max_score, count(score) AS num_samples, stddev_pop(score) AS std_score FROM {RESULTS} GROUP BY run_id")
 STATS = """avg(score) AS mean, coalesce(stddev_samp(score), 0) AS std, quantile_cont(score, 0.5) AS median, min(score) AS min, max(score) AS max, count(score) AS n"""
-INTERVALS = """mean - 1.96 * std / sqrt(n) AS ci95_low, mean + 1.96 * std / sqrt(n) AS ci95_high, mean - 2.576 * std / sqrt(n) AS ci99_low, mean + 2.576 * std / sqrt(n) AS ci99_high,
-  CASE WHEN n < 2 THEN 1.0 WHEN std = 0 THEN CASE WHEN abs(mean - 0.5) > 0.1 THEN 0.001 ELSE 0.5 END ELSE greatest(0.001, least(1.0, 2 * (1 - (abs(mean - 0.5) / (std / sqrt(n))) / (abs(mean - 0.5) / (std / sqrt(n)) + sqrt(n - 1))))) END AS p_value"""
-add("st03_score_statistics", lambda s, d: ST.score_statistics(results(s, d), ["run_id"]), f"SELECT *, {INTERVALS} FROM (SELECT run_id, {STATS} FROM {RESULTS} GROUP BY run_id)")
-add("st04_batch_statistics", lambda s, d: ST.batch_statistics(results(s, d), ["run_id"]), f"SELECT run_id, count(score) AS n, avg(score) AS mean, stddev_pop(score) AS std, avg((score >= 1.0)::INTEGER) AS exact_rate, min(score) AS min, max(score) AS max, quantile_cont(score, 0.25) AS q25, quantile_cont(score, 0.5) AS median, quantile_cont(score, 0.75) AS q75 FROM {RESULTS} GROUP BY run_id")
-add("st05_bootstrap_ci", lambda s, d: ST.bootstrap_ci(results(s, d).select("run_id", "item_id", "score"), "run_id"))
+P_VALUE = """CASE WHEN n < 2 THEN 1.0 WHEN std = 0 THEN CASE WHEN abs(mean - 0.5) > 0.1 THEN 0.001 ELSE 0.5 END ELSE greatest(0.001, least(1.0, 2 * (1 - (abs(mean - 0.5) / (std / sqrt(n))) / (abs(mean - 0.5) / (std / sqrt(n)) + sqrt(n - 1))))) END AS p_value"""
+KEY = ["run_id", "item_id"]
+
+
+def booted(rows: str, by: str, few: tuple[float, float] = (0.0, 1.0)) -> str:
+    """Head of a query, which ends with ci: (by, the bootstrap bounds) of rows (by, k text of the key, score), by the rule of operators.bootstrap."""
+    a, b = B.STEPS
+    weight = " + ".join(f"(x >= {t})::INTEGER" for t in B.thresholds(1).tolist())
+    bound = lambda p, i, name: f"CASE WHEN n < 2 THEN {few[i]} ELSE quantile_cont(m, {p}) END AS {name}"
+    ends = ", ".join(bound(p, i, f"{name}_{side}") for name, level in ST.LEVELS.items() for i, (side, p) in enumerate((("low", (1 - level) / 2), ("high", 1 - (1 - level) / 2))))
+    return f"""WITH RECURSIVE draws(d, a, b) AS (SELECT 0, {a}::BIGINT, {b}::BIGINT UNION ALL SELECT d + 1, a * {a} % {B.PRIME}, b * {b} % {B.PRIME} FROM draws WHERE d < {B.DRAWS - 1}),
+base AS MATERIALIZED ({rows}),
+seeded AS (SELECT *, ('0x' || md5(k)[1:7])::BIGINT AS h, ('0x' || md5(k)[9:15])::BIGINT AS g FROM base WHERE score IS NOT NULL),
+drawn AS (SELECT {by}, score, d, (h * a + g * b) % {B.PRIME} AS x FROM seeded, draws),
+reps AS (SELECT {by}, d, sum(score * w) / nullif(sum(w), 0) AS m, count(*) AS n FROM (SELECT *, {weight} AS w FROM drawn) GROUP BY ALL),
+ci AS (SELECT {by}, {ends} FROM reps GROUP BY {by}, n),
+stats AS (SELECT {by}, {STATS} FROM base GROUP BY ALL HAVING count(score) > 0)"""
+
+
+KEYED = "run_id || ':' || item_id AS k"
+KEYED_RESULTS = f"SELECT run_id, eval_type, {KEYED}, score FROM {RESULTS}"
+ENDS = "ci95_low, ci95_high, ci99_low, ci99_high"
+add("st03_score_statistics", lambda s, d: ST.score_statistics(results(s, d), ["run_id"], key=KEY), f"{booted(KEYED_RESULTS, 'run_id')} SELECT stats.*, {ENDS}, {P_VALUE} FROM stats JOIN ci USING (run_id)")
+add("st04_batch_statistics", lambda s, d: ST.batch_statistics(results(s, d), ["run_id"], KEY), f"""{booted(KEYED_RESULTS, 'run_id', (0.0, 0.0))}, more AS (
+  SELECT run_id, count(score) AS n, avg(score) AS mean, stddev_pop(score) AS std, avg((score >= 1.0)::INTEGER) AS exact_rate, min(score) AS min, max(score) AS max, quantile_cont(score, 0.25) AS q25, quantile_cont(score, 0.5) AS median, quantile_cont(score, 0.75) AS q75 FROM {RESULTS} GROUP BY run_id)
+SELECT more.*, ci95_low, ci95_high FROM more LEFT JOIN ci USING (run_id)""")
+add("st05_bootstrap_ci", lambda s, d: ST.bootstrap_ci(results(s, d), "run_id", key=KEY), f"{booted(KEYED_RESULTS, 'run_id')} SELECT run_id, ci95_low AS low, ci95_high AS high FROM ci")
 add("st06_significance", lambda s, d: ST.significance(results(s, d), "eval_type", "factual_qa", "domain_knowledge"), f"""
 WITH s AS (SELECT avg(score) FILTER (eval_type = 'factual_qa') AS m1, var_samp(score) FILTER (eval_type = 'factual_qa') AS v1, count(score) FILTER (eval_type = 'factual_qa') AS n1,
   avg(score) FILTER (eval_type <> 'factual_qa') AS m2, var_samp(score) FILTER (eval_type <> 'factual_qa') AS v2, count(score) FILTER (eval_type <> 'factual_qa') AS n2 FROM {RESULTS}),
 x AS (SELECT (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t, pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) AS df, (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) AS cohens_d FROM s)
 SELECT t, df, cohens_d, 2 * (1 - abs(t) / (abs(t) + sqrt(df))) AS p_value FROM x""")
-add("st08_method_breakdown", lambda s, d: ST.method_breakdown(results(s, d).withColumn("method", F.col("eval_type"))), f"SELECT *, {INTERVALS} FROM (SELECT eval_type AS method, {STATS} FROM {RESULTS} GROUP BY ALL)")
+add("st08_method_breakdown", lambda s, d: ST.method_breakdown(results(s, d).withColumn("method", F.col("eval_type")), KEY), f"{booted(f'SELECT eval_type AS method, {KEYED}, score FROM {RESULTS}', 'method')} SELECT stats.*, {ENDS}, {P_VALUE} FROM stats JOIN ci USING (method)")
 
 
 def answers(s: SparkSession, d: str) -> DataFrame:
-    return results(s, d).select("run_id", F.col("answer").alias("prediction"), F.col("question").alias("truth"), "score", F.col("eval_type").alias("method"))
+    return results(s, d).select("run_id", "item_id", F.col("answer").alias("prediction"), F.col("question").alias("truth"), "score", F.col("eval_type").alias("method"))
 
 
 NP, NT = (f"CASE WHEN coalesce({c}, '') = '' THEN 1 ELSE len({WORDS.format(c)}) END" for c in ("answer", "question"))
@@ -41,13 +64,12 @@ METRIC = {
     "exact_match_accuracy": f"CASE WHEN lower({STRIP.format('answer')}) = lower({STRIP.format('question')}) THEN 1e0 ELSE 0e0 END", "raw_accuracy": "score",
     "normalized_accuracy": f"score * least({NP}, {NT}) / greatest({NP}, {NT}, 1)",
 }
-ACCURACY = " UNION ALL ".join(f"SELECT run_id, '{k}' AS metric, ({v})::DOUBLE AS score FROM {RESULTS}" for k, v in METRIC.items())
-add("st07_accuracy_metrics", lambda s, d: ST.accuracy_metrics(answers(s, d), ["run_id"]), f"SELECT *, {INTERVALS} FROM (SELECT run_id, metric, {STATS} FROM ({ACCURACY}) GROUP BY ALL)")
+ACCURACY = " UNION ALL ".join(f"SELECT run_id, {KEYED}, '{k}' AS metric, ({v})::DOUBLE AS score FROM {RESULTS}" for k, v in METRIC.items())
+add("st07_accuracy_metrics", lambda s, d: ST.accuracy_metrics(answers(s, d), ["run_id"], KEY), f"{booted(ACCURACY, 'run_id, metric')} SELECT stats.*, {ENDS}, {P_VALUE} FROM stats JOIN ci USING (run_id, metric)")
 F1 = f"CASE WHEN len({TOK.format('answer')}) = 0 AND len({TOK.format('question')}) = 0 THEN 1.0 ELSE {OVERLAP} END"
-ALL = f"{ACCURACY} UNION ALL SELECT run_id, 'score', score FROM {RESULTS} UNION ALL SELECT run_id, 'answer_f1', ({F1})::DOUBLE FROM {RESULTS} UNION ALL SELECT run_id, 'method:' || eval_type, score FROM {RESULTS}"
-add("st09_evaluation_report", lambda s, d: ST.evaluation_report(answers(s, d)), f"""
-SELECT *, CASE WHEN metric = 'score' THEN p_value < 0.05 END AS statistically_significant, CASE WHEN metric = 'score' THEN n >= 30 END AS sufficient_samples, CASE WHEN metric = 'score' THEN ci95_high - ci95_low < 0.2 END AS reliable_confidence
-FROM (SELECT *, {INTERVALS} FROM (SELECT run_id, metric, {STATS} FROM ({ALL}) GROUP BY ALL))""")
+ALL = f"{ACCURACY} UNION ALL SELECT run_id, {KEYED}, 'score', score FROM {RESULTS} UNION ALL SELECT run_id, {KEYED}, 'answer_f1', ({F1})::DOUBLE FROM {RESULTS} UNION ALL SELECT run_id, {KEYED}, 'method:' || eval_type, score FROM {RESULTS}"
+add("st09_evaluation_report", lambda s, d: ST.evaluation_report(answers(s, d), key=KEY), f"""{booted(ALL, 'run_id, metric')}, joined AS (SELECT stats.*, {ENDS}, {P_VALUE} FROM stats JOIN ci USING (run_id, metric))
+SELECT *, CASE WHEN metric = 'score' THEN p_value < 0.05 END AS statistically_significant, CASE WHEN metric = 'score' THEN n >= 30 END AS sufficient_samples, CASE WHEN metric = 'score' THEN ci95_high - ci95_low < 0.2 END AS reliable_confidence FROM joined""")
 GRAM4 = "list_distinct(list_transform(range(1, greatest(len({0}) - 2, 1)), lambda i: array_to_string({0}[i : i + 3], ' ')))"
 FOUND = f"""
 WITH b AS MATERIALIZED (SELECT item_id, text, {TOK.format('text')} AS t FROM benchmark), d AS MATERIALIZED (SELECT {TOK.format('text')} AS t FROM documents),
