@@ -22,14 +22,15 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, product
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ BORDER = re.compile(r"\S(?= \S)")
 #: Characters encoded at once.
 SLICE = 65_536
 #: Rows of one length that are ranked together.
-PART_ROWS = 4_000
+PART_ROWS = 500
 
 
 @dataclass(frozen=True)
@@ -183,11 +184,13 @@ class Coder:
     files of another kind go through the library as they are. The ids are the same either way.
     """
 
-    #: The pieces of byte-level vocabularies: fixed value.
-    PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+    LETTERS, DIGITS = ("".join(re.escape(c) for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == kind) for kind in "LN")
+    BLANKS = "\\t-\\r \x85\xa0"
+    #: The pieces of byte-level vocabularies, of characters below U+0250: fixed value but for the names of the classes.
+    PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^{BLANKS}{LETTERS}{DIGITS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+")
     OTHER = re.compile("[^\\x00-\u024f]")
 
-    def __init__(self, path: str, most: int = 200_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         """most: pieces remembered, and as many again of those that were before them and have not come up since."""
         from tokenizers import Tokenizer
 
@@ -204,7 +207,7 @@ class Coder:
 
     def part(self, text: str) -> np.ndarray:
         if not self.plain or self.OTHER.search(text) or self.special and self.special.search(text):
-            return np.array(self.encode([text])[0], "<u4")
+            return np.array(self.encode([text])[0], "u4")
         found, known, former = self.PIECES.findall(text), self.known, self.former
         new = []
         for p in {p for p in found if p not in known}:
@@ -213,14 +216,14 @@ class Coder:
             else:
                 new.append(p)
         if new:
-            known.update(zip(new, (np.array(ids, "<u4").tobytes() for ids in self.encode(new))))
+            known.update(zip(new, (array("I", ids).tobytes() for ids in self.encode(new))))
         data = b"".join(map(known.__getitem__, found))
         for p in new:
             if len(p) > 64:
                 del known[p]
         if len(known) > self.most:
             self.known, self.former = {}, known
-        return np.frombuffer(data, "<u4")
+        return np.frombuffer(data, "u4")
 
     def ids(self, text: str) -> np.ndarray:
         """Ids of a text, encoded slice by slice."""
@@ -230,7 +233,7 @@ class Coder:
             end = border.end() if border else len(text)
             parts.append(self.part(text[start:end]))
             start = end
-        return np.concatenate(parts) if parts else np.empty(0, "<u4")
+        return np.concatenate(parts) if parts else np.empty(0, "u4")
 
 
 #: By path, for the tasks that one Python worker runs one after another.
@@ -251,7 +254,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, tokens: int = 1024, end: int =
         for b in sliced(batches):
             rows, numbers, starts, lengths, sums, ids = [], [], [], [], [], []
             for i, text in enumerate(b["text"]):
-                own = np.append(coder.ids(text.as_py() or ""), np.array([end], "<u4"))
+                own = np.append(coder.ids(text.as_py() or ""), np.array([end], "u4"))
                 first = (len(own) - 1) % tokens + 1
                 for k, at in enumerate([0, *range(first, len(own), tokens)]):
                     part = own[at : first if k == 0 else at + tokens]
@@ -259,7 +262,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, tokens: int = 1024, end: int =
                     numbers.append(k)
                     starts.append(at)
                     lengths.append(len(part))
-                    sums.append(zlib.crc32(part.tobytes()))
+                    sums.append(zlib.crc32(part.astype("<u4").tobytes()))
                     if keep_ids:
                         ids.append(part.astype(np.int32))
             columns = [b["doc_id"].take(pa.array(rows, pa.int32())), pa.array(numbers, pa.int32()), *[pa.array(x, pa.int64()) for x in (starts, lengths, sums)]]
