@@ -1,4 +1,4 @@
-"""Question tables: selection, dedup, contamination."""
+"""Question tables: selection, dedup."""
 
 from __future__ import annotations
 
@@ -30,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -48,8 +48,8 @@ def dedup_questions(items: DataFrame, threshold: float = 0.7, by: str | None = N
         asked = F.transform(asked, lambda w: F.concat(F.coalesce(F.col(by).cast("string"), F.lit("")), F.lit("\x01"), w))
     keys = items.withColumn("item", F.struct(*([by] if by else []), "item_id"))
     own = keys.select(F.col("item").alias("item_id"), asked.alias("s")).groupBy("item_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("s"))
-    own = _cut(own.filter(F.size("s") > 0))
-    first = _cut(own.groupBy("s").agg(F.min("item_id").alias("item_id"))) if threshold < 1 else own
+    own = cut(own.filter(F.size("s") > 0))
+    first = cut(own.groupBy("s").agg(F.min("item_id").alias("item_id"))) if threshold < 1 else own
     repeated = own.select("item_id").join(first.select("item_id"), "item_id", "left_anti")
     sets = first.select("item_id", F.explode("s").alias("w"))
     freq = sets.groupBy("w").agg(F.count("*").alias("f"))
@@ -59,45 +59,11 @@ def dedup_questions(items: DataFrame, threshold: float = 0.7, by: str | None = N
     a, b = prefix.alias("a"), prefix.alias("b")
     fits = (F.col("a.item_id") < F.col("b.item_id")) & (F.least(F.size("a.s"), F.size("b.s")) >= threshold * F.greatest(F.size("a.s"), F.size("b.s")))
     both = a.join(b, "w").filter(fits).select(F.col("a.item_id").alias("x"), F.col("b.item_id").alias("y"), F.col("a.s").alias("s"), F.col("b.s").alias("t")).distinct()
-    edges = _cut(both.filter(F.size(F.array_intersect("s", "t")) / F.size(F.array_union("s", "t")) > threshold).select("x", "y"))
-    state = _cut(edges.select(F.col("y").alias("id")).union(edges.select("x")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
+    edges = cut(both.filter(F.size(F.array_intersect("s", "t")) / F.size(F.array_union("s", "t")) > threshold).select("x", "y"))
+    state = cut(edges.select(F.col("y").alias("id")).union(edges.select("x")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
     while state.filter("kept IS NULL").limit(1).count():
         before = edges.join(state.select(F.col("id").alias("x"), "kept"), "x").groupBy(F.col("y").alias("id")).agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("hit"), F.bool_and(F.col("kept").isNotNull()).alias("known"))
         new = state.join(before, "id", "left").select("id", F.coalesce("kept", F.when(F.coalesce("hit", F.lit(False)), False).when(F.coalesce("known", F.lit(True)), True)).alias("kept"))
-        state = _cut(new)
+        state = cut(new)
     dropped = state.filter("NOT kept").select(F.col("id").alias("item")).union(repeated.select(F.col("item_id").alias("item")))
     return keys.join(dropped, "item", "left_anti").drop("item")
-
-
-def contamination(preds: DataFrame, corpus: DataFrame, n: int = 4, flag: float = 0.8) -> DataFrame:
-    """preds (id, text), corpus (doc_id, text): share of a text's distinct word n-grams that the corpus has, 1 if a document holds the whole text of over 20 characters.
-
-    Grams of documents; none crosses a document's end. Grams travel as 64-bit hashes; those of the corpus are cut to the asked ones before any shuffle
-    where Spark finds the asked ones small enough to broadcast, and are distinct after it. Whole texts are looked for in documents that share an inner gram, shorter ones by their longest inner word.
-    """
-
-    def grams(c: str) -> Column:
-        def of(t: Column) -> Column:
-            return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(t, i, F.lit(n)), " "))))
-
-        return once(tokens(F.col(c)), lambda t: F.when(F.size(t) < n, F.array().cast("array<bigint>")).otherwise(of(t)))
-
-    mine = preds.select("id", grams("text").alias("gs"), F.lower(filled(F.col("text"))).alias("low"))
-    asked = mine.select("id", F.explode("gs").alias("g"))
-    theirs = corpus.select(F.explode(grams("text")).alias("g")).join(asked.select("g").distinct(), "g", "left_semi").distinct().withColumn("hit", F.lit(1))
-    share = asked.join(theirs, "g", "left").groupBy("id").agg((F.count("hit") / F.count("*")).alias("share"))
-    # a text that a document holds whole stands there word for word from its second word to its last but one
-    inner = F.get("gs", F.when(F.size("gs") > 1, 1).otherwise(0))
-    n_words = F.size(tokens(F.col("low")))
-    long = mine.filter((F.length("low") > 20) & (n_words >= n + 2)).select("id", "low", inner.alias("g"))
-    met = corpus.select("doc_id", F.explode(grams("text")).alias("g")).join(long, "g").select("doc_id", "id", "low")
-    brief = mine.filter((F.length("low") > 20) & (n_words < n + 2))
-    if brief.limit(1).count():  # by their longest inner word, or whole word where there is no inner one
-        ws = tokens(F.col("low"))
-        key = once(ws, lambda w: F.array_max(F.transform(F.when(F.size(w) > 2, F.slice(w, 2, F.size(w) - 2)).otherwise(w), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"])
-        found = corpus.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("x"))
-        met = met.union(found.join(brief.select("id", "low", key.alias("x")), "x").select("doc_id", "id", "low"))
-    texts = corpus.select("doc_id", F.lower(filled(F.col("text"))).alias("whole"))
-    held = met.distinct().join(texts, "doc_id").filter(F.col("whole").contains(F.col("low"))).select("id").distinct().withColumn("whole", F.lit(1.0))
-    out = preds.select("id").join(share, "id", "left").join(held, "id", "left").withColumn("contamination", F.coalesce("whole", "share", F.lit(0.0)))
-    return out.select("id", "contamination", (F.col("contamination") > flag).alias("flagged"))

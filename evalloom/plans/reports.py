@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import verify as V
 from ..operators import bootstrap as B
-from ..operators import items as I
 from ..operators import stats as ST
+from ..operators.contamination import contamination
 from ..streaming import live as L
 from . import answers as _answers  # noqa: F401  its SQL is used below
 from .answers import EXACT
@@ -80,7 +80,7 @@ f AS (SELECT item_id AS id, CASE WHEN w.id IS NOT NULL THEN 1.0 ELSE coalesce(sh
 
 
 def contaminated(s: SparkSession, d: str) -> DataFrame:
-    return I.contamination(table(s, d, "benchmark").select(F.col("item_id").alias("id"), "text"), docs(s, d))
+    return contamination(table(s, d, "benchmark").select(F.col("item_id").alias("id"), "text"), docs(s, d))
 
 
 add("st10_contamination", contaminated, f"{FOUND} SELECT id, contamination, contamination > 0.8 AS flagged FROM f")

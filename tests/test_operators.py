@@ -23,6 +23,7 @@ from evalloom.operators import items as I
 from evalloom.operators import questions as Q
 from evalloom.operators import stats as ST
 from evalloom.operators import validate as VA
+from evalloom.operators.contamination import contamination
 from evalloom.plans import registry
 from evalloom.sources import corpus_io as IO
 from evalloom.streaming import live as L
@@ -285,7 +286,7 @@ def test_dedup_within_corpora(spark):
 def test_contamination_of_whole_and_short_texts(spark):
     docs = spark.createDataFrame([(1, "before the quick brown fox jumps over the lazy dog after"), (2, None), (3, "unbelievable circumstances arose")], "doc_id long, text string")
     preds = spark.createDataFrame([(1, "quick brown fox jumps over the lazy"), (2, "ick brown fox jumps over the laz"), (3, "unbelievable circumstances"), (4, "believable circumstances arose"), (5, "tiny"), (6, None)], "id long, text string")
-    got = {r.id: r.contamination for r in I.contamination(preds, docs).collect()}
+    got = {r.id: r.contamination for r in contamination(preds, docs).collect()}
     assert got == {1: 1.0, 2: 1.0, 3: 1.0, 4: 1.0, 5: 0.0, 6: 0.0}
 
 
