@@ -7,7 +7,7 @@ difference is a surplus; words of one vector from the smaller. Words at the leav
 
 On Spark the top of the trie is what has more than NODE_WORDS words below it. Counts of words by prefix show it; such nodes are few, as each holds many words (at most MOST_TOP, or else nodes
 are made larger), and are broadcast. Every other child is a node of its own: a word goes to its node, and by the same search to all nodes where near words may stand. There a task
-builds the rest of the trie and searches it. Nodes that many words ask are given to several tasks, by numbers that follow from the counts.
+builds the rest of the trie, as sorted arrays, and takes the words that ask down it, some thousand at a time. Nodes that many words ask are given to several tasks, by numbers that follow from the counts.
 A whole vector that too many words share is a node cut by the words' halves, one of which an edit leaves as it is.
 
 What is found is summed up in the task: a word's number of near words and the one of largest count. Pairs are never written. Forms have at least ten times
@@ -22,6 +22,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from math import ceil, log
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +31,10 @@ from .common import LOWER, UPPER, cut, sliced
 
 GROUPS = 12
 #: Words of a node; more are split by the next entry of their vectors.
-NODE_WORDS = 4_000
-MOST_TOP = 200_000
+NODE_WORDS = 6_000
+MOST_TOP = 20_000
+#: Words taken down a node's trie together, and pairs compared together.
+ASKED_AT_ONCE, COMPARED_AT_ONCE = 4_000, 200_000
 SLICE = 65_536
 #: Entries of the counts that a task holds before it passes them on.
 HELD = 200_000
@@ -115,7 +118,7 @@ def steps(level: int, count: int, used: int, longer: bool) -> list[tuple[int, in
     return out
 
 
-def frontier(v: tuple[int, ...], top: dict[tuple[int, ...], int]) -> Iterator[tuple[int, ...]]:
+def frontier(v: tuple[int, ...], top: set[tuple[int, ...]]) -> Iterator[tuple[int, ...]]:
     """Nodes below the top where near words of a word with this vector may stand."""
     for longer in (False, True):
         stack = [((), NONE)]
@@ -128,30 +131,31 @@ def frontier(v: tuple[int, ...], top: dict[tuple[int, ...], int]) -> Iterator[tu
 
 
 class Top:
-    """The nodes of more words than one task takes, with their counts."""
+    """Nodes and their counts of words: those of more words than one task takes (`full`), and their children."""
 
     def __init__(self, counts: dict[tuple[int, ...], int], node_words: int) -> None:
         self.counts, self.node_words, self.known = counts, node_words, {}
+        self.full = {path for path, n in counts.items() if n > node_words}
 
     def own(self, v: tuple[int, ...]) -> tuple[int, ...]:
         d = 0
-        while v[:d] in self.counts and d < len(v):
+        while v[:d] in self.full and d < len(v):
             d += 1
         return v[:d]
 
     def tasks(self, path: tuple[int, ...]) -> int:
-        """How many tasks share the words that ask a node: those below full nodes beside it are many."""
+        """How many tasks share the words that ask a node: those that stand beside it."""
         if path not in self.known:
-            beside, d = 0, len(path)
+            d, asking = len(path), self.counts.get(path, 0)
             for i in range(d):  # words whose search comes here have one less at i; and, but for shorter words, perhaps one more at a later entry
                 for j in range(i, d):
                     q = list(path)
                     q[i] -= 1
                     q[j] += 0 if j == i else 1 if i else -1
-                    beside += self.counts.get(tuple(q), 0)
+                    asking += self.counts.get(tuple(q), 0)
             if len(self.known) > 100_000:
                 self.known.clear()
-            self.known[path] = 1 + beside // (8 * self.node_words)
+            self.known[path] = 1 + asking // (2 * self.node_words)
         return self.known[path]
 
 
@@ -168,63 +172,111 @@ def shorter_halves(word: str) -> tuple[str, str]:
 class Found:
     """For each word the number of near words and the best of them: largest count, then smallest word."""
 
-    def __init__(self) -> None:
-        self.rows: dict[str, list] = {}
+    def __init__(self, words: list[str], n: np.ndarray) -> None:
+        self.words, self.n = words, n
+        order = sorted(range(len(words)), key=lambda i: (-n[i], words[i]))
+        self.order, self.rank = np.array(order, np.int64), np.empty(len(words), np.int64)
+        self.rank[order] = np.arange(len(words))
+        self.near, self.best = np.zeros(len(words), np.int64), np.full(len(words), len(words))
 
-    def add(self, word: str, other: str, n: int) -> None:
-        r = self.rows.get(word)
-        if r is None:
-            self.rows[word] = [1, n, other]
-        else:
-            r[0] += 1
-            if n > r[1] or n == r[1] and other < r[2]:
-                r[1:] = n, other
-
-    def pair(self, a: tuple[str, int], b: tuple[str, int]) -> None:
-        self.add(a[0], *b)
-        self.add(b[0], *a)
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Words a[k] and b[k], by place, are one apart."""
+        for one, other in ((a, b), (b, a)):
+            np.add.at(self.near, one, 1)
+            np.minimum.at(self.best, one, self.rank[other])
 
     def table(self) -> pa.Table:
-        rows = self.rows
-        columns = [pa.array(rows.keys(), pa.string()), *[pa.array([r[i] for r in rows.values()], t) for i, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.string()))]]
-        return pa.Table.from_arrays(columns, names=["word", "n_near", "best_n", "best"])
-
-
-def search(path: tuple[int, ...], members: list[tuple[str, int]], askers: list[tuple[str, int]], found: Found) -> None:
-    """Depth-first search of the trie below `path`, from each of askers."""
-    depth = len(path)
-    root: dict | list = {} if depth <= GROUPS else members
-    for m in members if depth <= GROUPS else ():
-        node, v = root, vector(m[0])
-        for c in v[depth:-1]:
-            node = node.setdefault(c, {})
-        node.setdefault(v[-1], []).append(m)
-    for asker in askers:
-        word, v = asker[0], vector(asker[0])
-        for longer in (False, True) if depth == 0 else (path[0] > v[0],):
-            more = [p - q for p, q in zip(path[1:], v[1:])]
-            stack = [(root, depth, BOTH if -1 in more else SURPLUS if 1 in more else NONE)]
-            while stack:
-                node, level, used = stack.pop()
-                if level == len(v):
-                    for other in node:
-                        if (used != NONE or word < other[0]) and one_apart(word, other[0]):
-                            found.pair(asker, other)
-                    continue
-                for c, u in steps(level, v[level], used, longer):
-                    if (below := node.get(c)) is not None:
-                        stack.append((below, level + 1, u))
-
-
-def compare(side: str, members: list[tuple[str, int]], askers: list[tuple[str, int]], found: Found) -> None:
+        at = self.near.nonzero()[0]
+        best = self.order[self.best[at]]
+        columns = [[self.words[i] for i in at], self.near[at], self.n[best], [self.words[i] for i in best]]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["word", "n_near", "best_n", "best"])
+
+
+def letters_of(words: list[str], length: int) -> np.ndarray:
+    """Code points of words of one length, a row each."""
+    return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), length)
+
+
+def vectors_of(letters: np.ndarray) -> np.ndarray:
+    """Letters of each group, a row for each word."""
+    return np.stack([(letters % GROUPS == g).sum(1) for g in range(GROUPS)], 1).astype(np.int64)
+
+
+class Trie:
+    """Words of one length by their vectors: for each level the keys (parent node, count) of its nodes, in order; words lie in the order of their leaves."""
+
+    def __init__(self, letters: np.ndarray) -> None:
+        vectors = vectors_of(letters)
+        self.order = np.lexsort(vectors.T[::-1])
+        self.base, self.levels = int(vectors.max()) + 2, []
+        vectors, node = vectors[self.order], np.zeros(len(vectors), np.int64)
+        for level in range(GROUPS):
+            key = node * self.base + vectors[:, level]
+            new = np.r_[True, key[1:] != key[:-1]]
+            self.levels.append(key[new])
+            node = np.cumsum(new) - 1
+        self.starts = np.r_[np.searchsorted(node, np.arange(len(self.levels[-1]))), len(node)]
+
+    def search(self, vectors: np.ndarray, longer: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(asker, word, whether their vectors differ) at the leaves that the budget reaches from each asker's vector."""
+        asker, node, used = np.arange(len(vectors)), np.zeros(len(vectors), np.int64), np.zeros(len(vectors), np.int8)
+        for level, keys in enumerate(self.levels):
+            count = vectors[asker, level]
+            steps = [(slice(None), 0, None), (used == NONE, 1, SURPLUS), *([] if longer else [((used == SURPLUS) & (count > 0), -1, BOTH)])]
+            parts = [(asker[at], node[at], count[at] + by, used[at] if then is None else np.full(at.sum(), then, np.int8)) for at, by, then in steps]
+            asker, above, count, used = (np.concatenate(x) for x in zip(*parts))
+            key = above * self.base + count
+            node = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            there = (keys[node] == key) & (count < self.base)
+            asker, node, used = asker[there], node[there], used[there]
+        sizes = self.starts[node + 1] - self.starts[node]
+        which = np.repeat(np.arange(len(node)), sizes)
+        word = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + self.starts[node][which]
+        return asker[which], self.order[word], used[which] != NONE
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For rows of code points, b's as long as a's or one longer: whether they are one edit apart."""
+    n = a.shape[1]
+    same = a == b[:, :n]
+    if b.shape[1] == n:
+        return same.sum(1) == n - 1
+    first = np.where(same.all(1), n, same.argmin(1))  # equal before it
+    shifted = a == b[:, 1:]
+    last = np.where(shifted.all(1), n, shifted[:, ::-1].argmin(1))  # equal after it, one place on
+    return first + last >= n
+
+
+def search(words: list[str], holds: np.ndarray, found: Found) -> None:
+    """Pairs between the words of a node (`holds`) and those that ask it."""
+    sizes = np.array([len(w) for w in words])
+    for length in np.unique(sizes[holds]).tolist():
+        mine = (holds & (sizes == length)).nonzero()[0]
+        letters = letters_of([words[i] for i in mine], length)
+        trie = Trie(letters)
+        for longer in (False, True):
+            theirs = (~holds & (sizes == length - longer)).nonzero()[0]
+            for start in range(0, len(theirs), ASKED_AT_ONCE):
+                some = theirs[start : start + ASKED_AT_ONCE]
+                own = letters_of([words[i] for i in some], length - longer)
+                asker, word, differ = trie.search(vectors_of(own), longer)
+                for k in range(0, len(asker), COMPARED_AT_ONCE):
+                    a, b = asker[k : k + COMPARED_AT_ONCE], word[k : k + COMPARED_AT_ONCE]
+                    near = apart(own[a], letters[b]).nonzero()[0]
+                    near = near[[bool(d) or words[x] < words[y] for d, x, y in zip(differ[k + near], some[a[near]], mine[b[near]])]]
+                    found.pairs(some[a[near]], mine[b[near]])
+
+
+def compare(side: str, words: list[str], holds: np.ndarray, found: Found) -> None:
     """Words of one vector that share a half (`side`): those that share both are compared at the first half only."""
     longer = side[0] == "+"
-    for a in askers:
-        mine = halves(a[0])
-        for b in members:
-            theirs = shorter_halves(b[0]) if longer else halves(b[0])
-            if (side[1] == "1" or mine[0] != theirs[0]) and (longer or vector(a[0]) != vector(b[0]) or a[0] < b[0]) and one_apart(a[0], b[0]):
-                found.pair(a, b)
+    for a in (~holds).nonzero()[0]:
+        mine = halves(words[a])
+        for b in holds.nonzero()[0]:
+            x, y = words[a], words[b]
+            theirs = shorter_halves(y) if longer else halves(y)
+            if (side[1] == "1" or mine[0] != theirs[0]) and (longer or vector(x) != vector(y) or x < y) and one_apart(x, y):
+                found.pairs(np.array([a]), np.array([b]))
 
 
 def _top(words: DataFrame, node_words: int) -> Top:
@@ -250,9 +302,11 @@ def _top(words: DataFrame, node_words: int) -> Top:
         if held:
             yield passed()
 
-    sums = words.select("word").mapInArrow(count, "path string, n long").groupBy("path").agg(F.sum("n").alias("n")).filter(F.col("n") > node_words)
-    counts = {tuple(map(int, r["path"].split(","))): r["n"] for r in sums.collect()}  # at most MOST_TOP, as each word is below GROUPS + 1 of them
-    return Top({(): total, **counts}, node_words)
+    sums = words.select("word").mapInArrow(count, "path string, n long").groupBy("path").agg(F.sum("n").alias("n")).filter(F.col("n") > node_words // 50)
+    sums = cut(sums.withColumn("above", F.regexp_replace("path", ",?[0-9]+$", "")))
+    full = sums.filter(F.col("n") > node_words).select(F.col("path").alias("above"))  # at most MOST_TOP, as each word is below GROUPS + 1 of them
+    rows = sums.join(F.broadcast(full), "above").union(sums.filter("above = ''").select("above", "path", "n")).select("path", "n").distinct()
+    return Top({(): total} | {tuple(map(int, r["path"].split(","))): r["n"] for r in rows.collect()}, node_words)
 
 
 def near_words(words: DataFrame, node_words: int = NODE_WORDS) -> DataFrame:
@@ -271,16 +325,16 @@ def near_words(words: DataFrame, node_words: int = NODE_WORDS) -> DataFrame:
                 v, t = vector(word), top.value
                 own, salt = t.own(v), zlib.crc32(word.encode())
                 node = ",".join(map(str, own))
-                if own in t.counts:  # a whole vector of too many words
+                if own in t.full:  # a whole vector of too many words
                     for kind, (first, second) in (("=", halves(word)), ("+", shorter_halves(word))):
                         send(node, f"{kind}1{first}", 0, True, word, n)
                         send(node, f"{kind}2{second}", 0, True, word, n)
                 else:
                     for k in range(t.tasks(own)):
                         send(node, "", k, True, word, n)
-                for path in set(frontier(v, t.counts)):
+                for path in set(frontier(v, t.full)):
                     node = ",".join(map(str, path))
-                    if path in t.counts:
+                    if path in t.full:
                         kind, (first, second) = "+" if path[0] > v[0] else "=", halves(word)
                         send(node, f"{kind}1{first}", 0, False, word, n)
                         send(node, f"{kind}2{second}", 0, False, word, n)
@@ -290,17 +344,13 @@ def near_words(words: DataFrame, node_words: int = NODE_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["node", "side", "task", "holds", "word", "n"])
 
     def meet(group: pa.Table) -> pa.Table:
-        node, side = group["node"][0].as_py(), group["side"][0].as_py()
-        members: list[tuple[str, int]] = []
-        askers: list[tuple[str, int]] = []
-        for holds, word, n in zip(*(group[c].to_pylist() for c in ("holds", "word", "n"))):
-            (members if holds else askers).append((word, n))
-        found = Found()
-        if members and askers:
+        side, words, holds = group["side"][0].as_py(), group["word"].to_pylist(), group["holds"].to_numpy()
+        found = Found(words, group["n"].to_numpy())
+        if holds.any() and not holds.all():
             if side:
-                compare(side, members, askers, found)
+                compare(side, words, holds, found)
             else:
-                search(tuple(map(int, node.split(","))) if node else (), members, askers, found)
+                search(words, holds, found)
         return found.table()
 
     dealt = words.select("word", "n").mapInArrow(deal, "node string, side string, task int, holds boolean, word string, n long")
