@@ -1,15 +1,13 @@
-"""Question tables: selection, dedup."""
+"""Question tables: selection; the shared folder of checkpoints."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import filled, once, tokens
-
 
 def select_best(items: DataFrame, by: str, n: int) -> DataFrame:
     """The best item of each concept first, then others by score: n for each corpus."""
@@ -33,37 +31,3 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def dedup_questions(items: DataFrame, threshold: float = 0.7, by: str | None = None) -> DataFrame:
-    """Keeps, in order of item_id, each question whose word set is not closer than the threshold to one kept before; within each `by`, if named.
-
-    Candidates share one of their rarest words (a prefix of each set in order of frequency), so that no pair above the threshold is lost; an
-    item's fate follows once those of its earlier neighbours are known. Each round settles the first open item at least, so the rounds end, one
-    for each step of the longest chain. Of equal word sets only the first item is compared: the others are as close to what drops it, or to it.
-    Only counts go to the driver.
-    """
-    asked = tokens(F.col("question"))
-    if by:  # words of different corpora are different words
-        asked = F.transform(asked, lambda w: F.concat(F.coalesce(F.col(by).cast("string"), F.lit("")), F.lit("\x01"), w))
-    keys = items.withColumn("item", F.struct(*([by] if by else []), "item_id"))
-    own = keys.select(F.col("item").alias("item_id"), asked.alias("s")).groupBy("item_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("s"))
-    own = cut(own.filter(F.size("s") > 0))
-    first = cut(own.groupBy("s").agg(F.min("item_id").alias("item_id"))) if threshold < 1 else own
-    repeated = own.select("item_id").join(first.select("item_id"), "item_id", "left_anti")
-    sets = first.select("item_id", F.explode("s").alias("w"))
-    freq = sets.groupBy("w").agg(F.count("*").alias("f"))
-    ordered = sets.join(freq, "w").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("s")).select("item_id", F.transform("s", lambda x: x["w"]).alias("s"))
-    n = F.size("s")
-    prefix = ordered.select("item_id", "s", F.explode(F.slice("s", F.lit(1), (n - F.ceil(n * threshold) + 1).cast("int"))).alias("w"))
-    a, b = prefix.alias("a"), prefix.alias("b")
-    fits = (F.col("a.item_id") < F.col("b.item_id")) & (F.least(F.size("a.s"), F.size("b.s")) >= threshold * F.greatest(F.size("a.s"), F.size("b.s")))
-    both = a.join(b, "w").filter(fits).select(F.col("a.item_id").alias("x"), F.col("b.item_id").alias("y"), F.col("a.s").alias("s"), F.col("b.s").alias("t")).distinct()
-    edges = cut(both.filter(F.size(F.array_intersect("s", "t")) / F.size(F.array_union("s", "t")) > threshold).select("x", "y"))
-    state = cut(edges.select(F.col("y").alias("id")).union(edges.select("x")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
-    while state.filter("kept IS NULL").limit(1).count():
-        before = edges.join(state.select(F.col("id").alias("x"), "kept"), "x").groupBy(F.col("y").alias("id")).agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("hit"), F.bool_and(F.col("kept").isNotNull()).alias("known"))
-        new = state.join(before, "id", "left").select("id", F.coalesce("kept", F.when(F.coalesce("hit", F.lit(False)), False).when(F.coalesce("known", F.lit(True)), True)).alias("kept"))
-        state = cut(new)
-    dropped = state.filter("NOT kept").select(F.col("id").alias("item")).union(repeated.select(F.col("item_id").alias("item")))
-    return keys.join(dropped, "item", "left_anti").drop("item")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.text import filled, once, strip, tokens, words
 from ..functions.verify import verify
-from .items import dedup_questions
+from .dedup import dedup_questions
 from .questions import _asks, case
 
 DETERMINISTIC = [t for t, exact, _, _ in P.EVAL_TYPES if exact]

@@ -13,6 +13,7 @@ from ..operators import export as X
 from ..operators import items as I
 from ..operators import questions as Q
 from ..operators import validate as V
+from ..operators.dedup import dedup_questions
 from .corpora import CONCEPTS
 from .registry import BANK, CLEAN, STRIP, TOK, WORDS, add, bank, docs, joined, quoted, strings, unicode_edges
 from .texts import W, of
@@ -181,7 +182,7 @@ WITH RECURSIVE b AS MATERIALIZED (SELECT item_id, list_sort(list_distinct({TOK.f
 e AS MATERIALIZED (SELECT x.k AS a, y.k AS b FROM o x JOIN o y ON x.k < y.k WHERE len(x.s) > 0 AND len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s))) > 0.7),
 r AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept UNION ALL SELECT r.k + 1, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.b = r.k + 1 AND list_contains(r.kept, e.a)) THEN r.kept ELSE list_append(r.kept, r.k + 1) END FROM r WHERE r.k < (SELECT count(*) FROM o))
 SELECT item_id FROM o WHERE list_contains((SELECT kept FROM r ORDER BY k DESC LIMIT 1), o.k)"""
-add("vd03_dedup_questions", lambda s, d: I.dedup_questions(bank(s, d).select("item_id", "question")).select("item_id"), of(DEDUP, ""))
+add("vd03_dedup_questions", lambda s, d: dedup_questions(bank(s, d).select("item_id", "question")).select("item_id"), of(DEDUP, ""))
 add("vd04_select_with_relaxation", lambda s, d: V.select_with_relaxation(bank(s, d).select("run_id", "item_id", "question", "answer", F.col("validation_score").alias("score")), "run_id", 5).select("run_id", "item_id", "score", "rank", "threshold"))
 SCORED = f"(SELECT c.source, c.concept, c.rank AS item_id, c.weight / 100 AS score FROM {CONCEPTS} c)"
 add("vd05_select_best", lambda s, d: I.select_best(CO.key_concepts(docs(s, d)).select("source", "concept", F.col("rank").alias("item_id"), (F.col("weight") / 100).alias("score")), "source", 8), f"""

@@ -11,8 +11,8 @@ from evalloom.functions import text as T
 from evalloom.functions import verify as V
 from evalloom.operators import concepts as CO
 from evalloom.operators import corpus as C
-from evalloom.operators import items as I
 from evalloom.operators import stats as ST
+from evalloom.operators.dedup import dedup_questions
 from evalloom.plans import catalog
 from evalloom.streaming import live as L
 
@@ -51,13 +51,13 @@ def test_expected_scores(spark, f, p, t, want):
 
 def test_dedup_keeps_first_of_chain(spark):
     rows = [(1, "a b c d e"), (2, "a b c d e f"), (3, "b c d e f g"), (4, "x y z")]
-    kept = I.dedup_questions(spark.createDataFrame(rows, "item_id long, question string"), 0.6)
+    kept = dedup_questions(spark.createDataFrame(rows, "item_id long, question string"), 0.6)
     assert sorted(r.item_id for r in kept.collect()) == [1, 3, 4]
 
 
 def test_dedup_settles_long_chains_and_repeats(spark):
     rows = [(i, " ".join(f"w{k}" for k in range(i, i + 5))) for i in range(70)] + [(100 + i, "same words here") for i in range(5)] + [(200, "here same words"), (201, None)]
-    kept = I.dedup_questions(spark.createDataFrame(rows, "item_id long, question string"), 0.6)
+    kept = dedup_questions(spark.createDataFrame(rows, "item_id long, question string"), 0.6)
     assert sorted(r.item_id for r in kept.collect()) == [*range(0, 70, 2), 100, 201]
 
 

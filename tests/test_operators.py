@@ -24,6 +24,7 @@ from evalloom.operators import questions as Q
 from evalloom.operators import stats as ST
 from evalloom.operators import validate as VA
 from evalloom.operators.contamination import contamination
+from evalloom.operators.dedup import dedup_questions
 from evalloom.plans import registry
 from evalloom.sources import corpus_io as IO
 from evalloom.streaming import live as L
@@ -279,7 +280,7 @@ def test_relaxed_selection_takes_lower_thresholds_only_where_short(spark):
 
 def test_dedup_within_corpora(spark):
     rows = [("a", 1, "one two three"), ("a", 2, "one two three"), ("b", 1, "one two three"), ("b", 3, None)]
-    got = I.dedup_questions(spark.createDataFrame(rows, "run_id string, item_id long, question string"), by="run_id").collect()
+    got = dedup_questions(spark.createDataFrame(rows, "run_id string, item_id long, question string"), by="run_id").collect()
     assert sorted((r.run_id, r.item_id) for r in got) == [("a", 1), ("b", 1), ("b", 3)]
 
 
