@@ -199,31 +199,41 @@ class Coder:
             spec = json.load(f)
         before = spec["pre_tokenizer"] or {}
         self.plain = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec["normalizer"]
+        vocab = spec["model"]["vocab"]
+        self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each id: byte-level vocabularies write a byte as one character
+        self.sizes[list(vocab.values())] = list(map(len, vocab))
         names = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, names))) if names else None
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_pieces(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """The ids of pieces. Words after a blank are encoded as one text, in which each stays a piece, and told apart by their bytes."""
+        words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+        if words:
+            ids = self.encode(["".join(words)])[0]
+            ends = np.cumsum([len(p.encode()) for p in words])
+            stops = 4 * (np.searchsorted(np.cumsum(self.sizes[np.frombuffer(ids, "u4")]), ends) + 1)
+            yield from zip(words, (ids[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist())))
+        rest = [p for p in pieces if p[0] != " " or not p[1:].isalpha()]
+        yield from zip(rest, self.encode(rest))
 
     def part(self, text: str) -> np.ndarray:
         if not self.plain or self.OTHER.search(text) or self.special and self.special.search(text):
-            return np.array(self.encode([text])[0], "u4")
-        found, known, former = self.PIECES.findall(text), self.known, self.former
-        new = []
-        for p in {p for p in found if p not in known}:
-            if p in former:
-                known[p] = former[p]
-            else:
-                new.append(p)
-        if new:
-            known.update(zip(new, (array("I", ids).tobytes() for ids in self.encode(new))))
-        data = b"".join(map(known.__getitem__, found))
-        for p in new:
-            if len(p) > 64:
-                del known[p]
-        if len(known) > self.most:
-            self.known, self.former = {}, known
-        return np.frombuffer(data, "u4")
+            return np.frombuffer(self.encode([text])[0], "u4")
+        found = self.PIECES.findall(text)
+        ids = list(map(self.known.get, found))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        if missing:
+            own = {p: self.former.get(p) for p in dict.fromkeys(found[i] for i in missing)}
+            own.update(self.encode_pieces([p for p, x in own.items() if x is None]))
+            for i in missing:
+                ids[i] = own[found[i]]
+            self.known.update((p, x) for p, x in own.items() if len(p) <= 64)
+            if len(self.known) > self.most:
+                self.known, self.former = {}, self.known
+        return np.frombuffer(b"".join(ids), "u4")
 
     def ids(self, text: str) -> np.ndarray:
         """Ids of a text, encoded slice by slice."""
