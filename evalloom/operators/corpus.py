@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import filled, found, frequent, split_sentences, strip, words
+from .items import cut, ranged
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
@@ -43,70 +48,168 @@ def fixed_chunks(docs: DataFrame, size: int = 500) -> DataFrame:
     return out.filter(F.length("text") > 50)
 
 
-def paragraph_list(text: str, least: int, most: int, overlap: int, separator: str) -> list[tuple[str, str]]:
-    """(chunk, method): paragraphs packed greedily; the state is one chunk. A text that gives no chunk is one as a whole."""
-    out, cur = [], ""
+Counter = Callable[[str], int]
+
+
+def paragraph_list(text: str, least: int, most: int, overlap: int, separator: str, count: Counter = len) -> list[tuple[str, str]]:
+    """(chunk, method): paragraphs packed greedily by what `count` says of a text; the state is one chunk. A text that gives no chunk is one as a whole."""
+    out, cur, size = [], "", 0
     for p in filter(None, (x.strip() for x in text.split(separator))):
-        if cur and len(cur) + len(p) > most and len(cur) >= least:
+        if cur and size + count(p) > most and size >= least:
             out.append(cur)
             cur = cur[-overlap:] + "\n\n" + p if overlap else p
         else:
             cur = cur + "\n\n" + p if cur else p
-    if cur and len(cur) >= least:
+        size = count(cur)
+    if cur and size >= least:
         out.append(cur)
     if out:
         return [(c.strip(), "simple_paragraph") for c in out]
     return [(text.strip(), "simple_single")] if text.strip() else []
 
 
-def paragraph_chunks(docs: DataFrame, least: int = 500, most: int = 2000, overlap: int = 100, separator: str = "\n\n", key: str = "doc_id") -> DataFrame:
-    """(key, chunk_index, text, method, size): greedy packing of paragraphs within a text; null and blank texts give none. Sizes in tokens count four characters each."""
+def paragraph_chunks(docs: DataFrame, least: int = 500, most: int = 2000, overlap: int = 100, separator: str = "\n\n", key: str = "doc_id", counter: Callable[[], Counter] | None = None) -> DataFrame:
+    """(key, chunk_index, text, method, size): greedy packing of paragraphs within a text; null and blank texts give none.
+
+    counter: makes, once in a task, the function that sizes a text, in tokens for instance; least, most and size are in its units then. Without it they are characters
+    (of which four stand for a token). overlap is in characters either way.
+    """
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count = counter() if counter else len
         for b in batches:
-            rows = [(d, i, c, m, len(c)) for d, t in zip(b[key], b["text"]) for i, (c, m) in enumerate(paragraph_list(t or "", least, most, overlap, separator))]
+            rows = [(d, i, c, m, count(c)) for d, t in zip(b[key], b["text"]) for i, (c, m) in enumerate(paragraph_list(t or "", least, most, overlap, separator, count))]
             yield pd.DataFrame(rows, columns=[key, "chunk_index", "text", "method", "size"])
 
     return docs.select(key, "text").mapInPandas(run, f"{key} {kind}, chunk_index int, text string, method string, size int")
 
 
-def _block_size(name: str, size: int) -> int:
-    return len(FILE_MARK.format(name)) + size
-
-
 #: What stands between the files of a block.
 FILE_MARK = "\n\n" + "=" * 60 + "\nFILE: {}\n"
 
 
-def pack_files(files: DataFrame, least: int = 1110, target: int = 1850, most: int = 2590, by: str = "source", bucket_files: int = 1000) -> DataFrame:
-    """files (by, doc_id, filename, content) -> (block, text, sources, size, file_count, is_target_size): files joined in order of doc_id up to a size.
-
-    A file joins a block while that stays within `most` characters, or 5 % above while the block is below `least`. Blocks stay within a bucket of
-    `bucket_files` files in a row, so that no corpus is one task; only names and sizes go through the packing, texts meet once their block is known.
-    """
-    trimmed = files.select(by, "doc_id", F.floor(F.col("doc_id") / bucket_files).alias("bucket"), "filename", strip(F.col("content")).alias("content")).filter("content <> ''")
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id")
-        blocks, size, block = [], 0, -1
-        for name, n in zip(pdf["filename"], pdf["size"]):
-            both = size + 2 + n
-            if block >= 0 and (both <= most or (size < least and both <= most * 1.05)):
-                size = size + _block_size(name, n)
+def _joins(size: int, new: int, least: int, most: int) -> bool:
+    """Whether a file of this size joins a block: within `most`, two line ends counted, or 5 % above while the block is below `least`."""
+    both = size + 2 + new
+    return both <= most or (size < least and both <= most * 1.05)
+
+
+@dataclass
+class _Range:
+    """What a range of files does to the block that is open where it begins: sizes of its first corpus' first files, and where each of them, if it begins a block, leads to."""
+
+    first: str | None
+    last: str | None
+    whole: bool  # of one corpus
+    sizes: list[tuple[int, int]]  # alone and within a block, up to the first that surely begins one
+    ends: list[tuple[int, int]]  # size of the block left open, blocks begun on the way
+
+
+def _path_ends(files: list[tuple[int, int]], starts: int, least: int, most: int) -> list[tuple[int, int]]:
+    """For each of the first `starts` files: the size of the block left open at the end and the blocks begun, if a block begins there. Paths meet soon, and what is known is kept."""
+    known: dict[int, tuple[int, int]] = {}
+    for p in range(starts):
+        path, at = [], p
+        while at not in known:
+            path.append(at)
+            size, k = files[at][0], at + 1
+            while k < len(files) and _joins(size, files[k][0], least, most):
+                size, k = size + files[k][1], k + 1
+            if k == len(files):
+                known[at] = (size, 1)
+            at = k if k < len(files) else at
+        size, begun = known[at]
+        for back in reversed(path):
+            if back not in known:
+                begun += 1
+                known[back] = (size, begun)
             else:
-                block, size = block + 1, n
-            blocks.append(block)
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "bucket": pdf["bucket"], "by": pdf["by"], "block": blocks})
-
-    sizes = trimmed.select(F.col(by).cast("string").alias("by"), "bucket", "doc_id", "filename", F.length("content").alias("size"))
-    placed = sizes.groupBy("by", "bucket").applyInPandas(assign, "doc_id long, bucket long, by string, block long")
-    placed = placed.select("doc_id", F.concat_ws(":", "by", F.col("bucket").cast("string"), F.col("block").cast("string")).alias("block"))
-    rows = trimmed.join(placed, "doc_id").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("doc_id", "filename", "content"))).alias("fs"))  # of bounded size
+                size, begun = known[back]
+    return [known[p] for p in range(starts)]
+
+
+def _entries(ranges: dict[int, _Range], least: int, most: int) -> dict[int, tuple[str | None, int, int]]:
+    """By range: corpus, size and number of the block that is open where it begins, if there is one."""
+    out, open_ = {}, None
+    for part in sorted(ranges):
+        r = ranges[part]
+        going_on = open_ is not None and open_[0] == r.first
+        if going_on:
+            out[part] = open_
+        if not r.whole:
+            size, begun = r.ends[-1]
+            open_ = (r.last, size, begun - 1)
+            continue
+        size, number = open_[1:] if going_on else (0, -1)
+        at = 0
+        while going_on and at < len(r.sizes) and _joins(size, r.sizes[at][0], least, most):
+            size, at = size + r.sizes[at][1], at + 1
+        if at < len(r.sizes):
+            size, begun = r.ends[at]
+            number += begun
+        open_ = (r.first, size, number)
+    return out
+
+
+def pack_files(files: DataFrame, least: int = 1110, target: int = 1850, most: int = 2590, by: str = "source", size: Callable[[Column], Column] = F.length) -> DataFrame:
+    """files (by, doc_id, filename, content) -> (block, text, sources, size, file_count, is_target_size): the files of a corpus joined in order of doc_id up to a size.
+
+    A file joins a block while that stays within `most`, or 5 % above while the block is below `least`; sizes are characters, or what `size` makes of a text (sums of files and
+    marks, then). Packing is greedy over the whole corpus, though no corpus is one task: files lie sorted in ranges; a first pass finds, for each file that may begin the first new block of a
+    range, what it leaves open at the range's end; from these few numbers of each range follows the block that is open where a range begins, and a second pass packs every range from there.
+    Files without content are left out; a null corpus is a corpus; repeated ids are files each for itself, in order of name and content.
+    """
+    rows = files.select(F.col(by).cast("string").alias("by"), "doc_id", "filename", strip(F.col("content")).alias("content")).filter("content <> ''")
     before, after = FILE_MARK.split("{}")
-    part = lambda f, i: F.when(i == 0, f["content"]).otherwise(F.concat(F.lit(before), f["filename"], F.lit(after), f["content"]))
-    out = rows.select("block", F.array_join(F.transform("fs", part), "").alias("text"), F.transform("fs", lambda f: f["filename"]).alias("sources"))
-    return out.withColumn("size", F.length("text")).withColumn("file_count", F.size("sources")).withColumn("is_target_size", F.col("size") >= 0.8 * target)
+    mark = F.concat(F.lit(before), F.coalesce("filename", F.lit("")), F.lit(after))
+    rows = rows.select("*", size(F.col("content")).cast("long").alias("alone"), F.greatest(size(F.col("content")) + size(mark), F.lit(2)).cast("long").alias("within"), F.md5("content").alias("digest"))
+    rows = cut(ranged(rows, "by", "doc_id", "filename", "digest").drop("digest"))
+    enough = int(most * 1.05) // 2  # files after which a block is surely begun: each takes two of its size at least
+
+    def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs: list[tuple[str | None, list[tuple[int, int]]]] = []
+        for b in batches:
+            for corpus, alone, within in zip(*(b[c].to_pylist() for c in ("by", "alone", "within"))):
+                if not runs or runs[-1][0] != corpus:
+                    runs = [*runs[:1], (corpus, [])] if runs else [(corpus, [])]
+                runs[-1][1].append((alone, within))
+        if runs:
+            whole, of = len(runs) == 1, runs[-1][1]
+            starts = min(len(of), enough + 1) if whole else 1
+            row = {"part": TaskContext.get().partitionId(), "first": runs[0][0], "last": runs[-1][0], "whole": whole, "sizes": [list(x) for x in of[:starts]] if whole else [], "ends": [list(x) for x in _path_ends(of, starts, least, most)]}
+            pairs = pa.list_(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("first", pa.string()), ("last", pa.string()), ("whole", pa.bool_()), ("sizes", pairs), ("ends", pairs)]))
+
+    kinds = "part int, first string, last string, whole boolean, sizes array<array<long>>, ends array<array<long>>"
+    found = rows.select("by", "alone", "within").mapInArrow(summary, kinds).collect()  # one row for each range
+    entries = _entries({r["part"]: _Range(r["first"], r["last"], r["whole"], r["sizes"], r["ends"]) for r in found}, least, most)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, nth = TaskContext.get().partitionId(), 0
+        corpus, held, number = entries.get(part, ("", None, -1))
+        for b in batches:
+            numbers = []
+            for c, alone, within in zip(*(b[x].to_pylist() for x in ("by", "alone", "within"))):
+                if held is None or c != corpus:
+                    corpus, held, number = c, alone, 0
+                elif _joins(held, alone, least, most):
+                    held += within
+                else:
+                    held, number = alone, number + 1
+                numbers.append(number)
+            places = np.arange(nth, nth + b.num_rows)
+            nth += b.num_rows
+            columns = [b[c] for c in ("by", "filename", "content", "alone", "within")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(numbers, pa.int64()), pa.array(np.full(b.num_rows, part, np.int32)), pa.array(places, pa.int64())], names=["by", "filename", "content", "alone", "within", "block", "part", "nth"])
+
+    placed = rows.mapInArrow(pack, "by string, filename string, content string, alone long, within long, block long, part int, nth long")
+    held = F.array_sort(F.collect_list(F.struct("part", "nth", "filename", "content", "alone", "within")))  # of bounded size
+    blocks = placed.groupBy("by", "block").agg(held.alias("fs")).select(F.concat_ws(":", "by", F.col("block").cast("string")).alias("block"), "fs")
+    part = lambda f, i: F.when(i == 0, f["content"]).otherwise(F.concat(F.lit(before), F.coalesce(f["filename"], F.lit("")), F.lit(after), f["content"]))
+    total = F.aggregate(F.transform("fs", lambda f, i: F.when(i == 0, f["alone"]).otherwise(f["within"])), F.lit(0).cast("long"), lambda n, x: n + x)
+    out = blocks.select("block", F.array_join(F.transform("fs", part), "").alias("text"), F.transform("fs", lambda f: f["filename"]).alias("sources"), total.cast("int").alias("size"))
+    return out.withColumn("file_count", F.size("sources")).withColumn("is_target_size", F.col("size") >= 0.8 * target)
 
 
 def chunk_packed_files(files: DataFrame, chunk_least: int = 500, chunk_most: int = 2000, overlap: int = 100, separator: str = "\n\n", **packing) -> DataFrame:
@@ -200,9 +303,7 @@ def sample_segments(docs: DataFrame, n: int = 3, length: int = 50, seed: int = 4
 
 
 def keywords(docs: DataFrame, k: int = 50, least: int = 3) -> DataFrame:
-    """A document's most frequent words outside the lists; ties by first place."""
-    letters = F.filter(F.split(F.lower(filled(F.col("text"))), r"[^\p{L}\p{N}_]+"), lambda t: t.rlike(f"^[a-z]{{{least},}}$"))
-    rows = docs.select("doc_id", F.posexplode(letters).alias("pos", "word")).filter(~F.col("word").isin(P.STOP_WORDS + P.GENERIC_WORDS))
-    counts = rows.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first"))
-    return counts.withColumn("rank", rank).filter(F.col("rank") <= k).select("doc_id", "word", "n", "rank")
+    """A document's most frequent words outside the lists; ties by first place. Worked out within the row: only the k words become rows."""
+    letters = F.filter(F.split(F.lower(filled(F.col("text"))), r"[^\p{L}\p{N}_]+"), lambda t: t.rlike(f"^[a-z]{{{least},}}$") & ~t.isin(P.STOP_WORDS + P.GENERIC_WORDS))
+    top = docs.select("doc_id", F.posexplode(frequent(letters, k)).alias("at", "x"))
+    return top.select("doc_id", F.col("x.w").alias("word"), F.col("x.n").cast("long").alias("n"), (F.col("at") + 1).alias("rank"))

@@ -31,3 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ranged(df: DataFrame, *order: str) -> DataFrame:
+    """df sorted by the columns over ranges of about equal size, so that a frequent value of the first column lies in several."""
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -24,13 +24,16 @@ def combine_corpus(docs: DataFrame, by: str, most: int) -> DataFrame:
     A part has five characters at least, so the first most / 5 rows of a corpus decide: lengths are ranked with that limit, which Spark applies before the
     shuffle, and only the texts that fit are fetched.
     """
-    part = F.concat(F.lit("# "), F.col("doc_id").cast("string"), F.lit("\n"), filled(F.col("text")), F.lit("\n\n"))
-    w = Window.partitionBy(by).orderBy("doc_id")
-    sizes = docs.select(by, "doc_id", F.length(part).alias("size")).withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= most // 5 + 1)
-    total = F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    fit = sizes.withColumn("total", total).filter(F.col("total") < most).select("doc_id")
-    fits = docs.select(by, "doc_id", part.alias("part")).join(fit, "doc_id", "left_semi")
-    return fits.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "part"))), lambda x: x["part"]), "").alias("corpus"), F.count("*").alias("texts"))
+    part = F.concat(F.lit("# "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), filled(F.col("text")), F.lit("\n\n"))
+    order = Window.partitionBy(by).orderBy("doc_id", "digest")
+    keyed = docs.select(by, "doc_id", part.alias("part"), F.md5(part).alias("digest"))
+    sizes = keyed.select(by, "doc_id", "digest", F.length("part").alias("size")).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most // 5 + 1)
+    running = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    fit = sizes.withColumn("total", running).filter(F.col("total") < most).select(*[F.col(c).alias(f"_{c}") for c in (by, "doc_id", "digest")]).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (by, "doc_id", "digest")]
+    fits = keyed.join(fit, same[0] & same[1] & same[2], "left_semi").withColumn("size", F.length("part"))
+    fits = fits.withColumn("nth", F.row_number().over(order)).withColumn("total", running).filter(F.col("total") < most)  # of rows equal throughout, as many as fit
+    return fits.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "part"))), lambda x: x["part"]), "").alias("corpus"), F.count("*").alias("texts"))
 
 
 # What uploads may be, and what they may not hold.
@@ -76,34 +79,61 @@ def pending_links(links: DataFrame, done: DataFrame, missing: DataFrame) -> Data
 
 
 class _Reader(HTMLParser):
-    """Collects the text of kept blocks in document order; what lies in dropped ones is passed over. A kept block takes in those within it."""
+    """Collects the text of kept blocks in document order; what lies in dropped ones is passed over.
 
-    keep = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "blockquote", "pre", "div"}
+    The outermost kept element takes in the kept ones within it. A div is only a border: text that stands in it outside other blocks is a block of its own. Ends that HTML lets
+    writers leave out are filled in: a block ends an open paragraph, an item or term the one before it in its list.
+    """
+
+    keep = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "blockquote", "pre"}
     void = {"br", "img", "hr", "meta", "link", "input", "source", "wbr", "area", "base", "col", "embed", "track"}
+    #: By tag: what it ends if that is open, and what shields it.
+    ends = {tag: ({"p"}, {"td", "th", "table", "button"}) for tag in (*keep, "div", "table", "section", "article", "form")}
+    ends |= {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"})}
 
-    def __init__(self, tags: set[str], classes: set[str], least: int, phrases: list[str]) -> None:
+    def __init__(self, tags: set[str], classes: set[str], parts: set[str], least: int, phrases: list[str]) -> None:
         super().__init__(convert_charrefs=True)
-        self.tags, self.classes, self.least, self.phrases = tags, classes, least, phrases
+        self.tags, self.classes, self.parts, self.least, self.phrases = tags, classes, parts, least, phrases
         self.stack: list[tuple[str, bool]] = []
+        self.outermost: int | None = None
         self.out: list[str] = []
         self.text: list[str] = []
         self.all: list[str] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in self.void:
+            if tag == "br":
+                self.handle_data("\n")
             return
-        named = set((dict(attrs).get("class") or "").split())
-        dropped = tag in self.tags or bool(named & self.classes) or bool(self.stack and self.stack[-1][1])
-        if tag in self.keep and not dropped:
+        ended, shields = self.ends.get(tag, ((), ()))
+        for at in range(len(self.stack) - 1, -1, -1):
+            if self.stack[at][0] in ended:
+                self.pop_to(at)
+                break
+            if self.stack[at][0] in shields:
+                break
+        named = dict(attrs).get("class") or ""
+        dropped = bool(self.stack and self.stack[-1][1]) or tag in self.tags or bool(set(named.split()) & self.classes) or tag == "div" and any(p in named for p in self.parts)
+        if self.outermost is None and not dropped and (tag in self.keep or tag == "div"):
             self.flush()
+            if tag in self.keep:
+                self.outermost = len(self.stack)
         self.stack.append((tag, dropped))
 
-    def handle_endtag(self, tag: str) -> None:
-        if any(t == tag for t, _ in self.stack):
-            if tag in self.keep:
+    def pop_to(self, at: int) -> None:
+        """Closes the open elements from the innermost to that at `at`."""
+        while len(self.stack) > at:
+            tag, dropped = self.stack.pop()
+            if self.outermost == len(self.stack):
                 self.flush(tag)
-            while self.stack.pop()[0] != tag:
-                pass
+                self.outermost = None
+            elif tag == "div" and self.outermost is None and not dropped:
+                self.flush()
+
+    def handle_endtag(self, tag: str) -> None:
+        for at in range(len(self.stack) - 1, -1, -1):
+            if self.stack[at][0] == tag:
+                return self.pop_to(at)
 
     def handle_data(self, data: str) -> None:
         if not (self.stack and self.stack[-1][1]):
@@ -118,6 +148,8 @@ class _Reader(HTMLParser):
 
     def result(self) -> str:
         """The kept blocks; if there is none, all lines of more than five characters."""
+        self.pop_to(0)
+        self.flush()
         lines = (line.strip() for line in "\n".join(self.all).split("\n"))
         return "\n\n".join(self.out or [line for line in lines if len(line) > 5])
 
@@ -127,19 +159,20 @@ NAVIGATION = ["coordinates:", "jump to:", "navigation menu", "edit]", "[edit]",
 DROPPED_TAGS = ("nav", "script", "style", "footer", "header", "title", "figure", "figcaption")
 DROPPED_CLASSES = ("ad", "infobox", "reference", "references", "reflist", "toc", "navbox", "navbox-container", "thumb", "thumbinner", "thumbcaption", "edit", "editsection", "hatnote", "metadata",
                    "noprint", "printfooter", "catlinks", "authority-control", "coordinates")
+#: Of divs: parts of class names.
+DROPPED_PARTS = ("navbox", "infobox", "thumbinner", "thumbcaption", "toc", "references", "reflist", "authority-control", "navbox-container", "metadata", "hatnote", "catlinks", "printfooter")
 
 
-def html_to_text(pages: DataFrame, tags: tuple[str, ...] = DROPPED_TAGS, classes: tuple[str, ...] = DROPPED_CLASSES, least: int = 10, phrases: tuple[str, ...] = tuple(NAVIGATION)) -> DataFrame:
+def html_to_text(pages: DataFrame, tags: tuple[str, ...] = DROPPED_TAGS, classes: tuple[str, ...] = DROPPED_CLASSES, parts: tuple[str, ...] = DROPPED_PARTS, least: int = 10, phrases: tuple[str, ...] = tuple(NAVIGATION)) -> DataFrame:
     """pages (page_id, html) -> (page_id, text): kept blocks joined by blank lines, headers marked by `#`. Null pages give an empty text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = []
             for html in b["html"]:
-                r = _Reader(set(tags), set(classes), least, list(phrases))
+                r = _Reader(set(tags), set(classes), set(parts), least, list(phrases))
                 r.feed(html or "")
                 r.close()
-                r.flush()
                 texts.append(r.result())
             yield pd.DataFrame({"page_id": b["page_id"], "text": texts})
 
@@ -176,7 +209,7 @@ def parse_items(texts: DataFrame, column: str = "value") -> DataFrame:
     c = F.col(column)
     held = F.coalesce(F.get_json_object(c, "$.items"), F.get_json_object(c, "$.benchmark_items"), F.when(F.ltrim(c).startswith("["), c), F.concat(F.lit("["), c, F.lit("]")))
     rows = texts.select(F.explode(F.from_json(held, "array<string>")).alias("j")).select(F.from_json("j", ITEM).alias("x"), "j").select("x.*", "j")
-    numeric = F.col("j").rlike(r'(?<!\\)"answer"\s*:\s*-?[0-9]')
+    numeric = F.schema_of_variant(F.try_variant_get(F.try_parse_json("j"), "$.answer", "variant")).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
     kind = F.when(F.size("options") > 0, "multiple_choice").when(numeric, "numeric_exact").otherwise("free_text")
     return rows.select(
         "item_id", F.coalesce("question", F.lit("Sample question?")).alias("question"), F.coalesce("answer", F.lit("Sample answer")).alias("answer"), "context", "options",

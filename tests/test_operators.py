@@ -1,6 +1,7 @@
 """Operators that SQL can't express, against plain restatements of their rules, and edge rows of those it can."""
 
 import datetime as dt
+import hashlib
 import json
 import random
 import re
@@ -205,27 +206,61 @@ def test_chunks_and_blocks_like_plain_ones(spark):
         assert sorted(i for x in v for i in x[2]) == list(range(sum(bool(p.strip()) for p in texts[k].split("\n")))) and all(len(x[1]) // 4 >= 20 or x[0] == max(y[0] for y in v) or len(x[2]) >= 1 for x in v)
 
 
-def test_packed_files_like_plain_ones(spark):
-    rng = random.Random(8)
-    files = [(i, rng.choice(["a", "b"]), f"f{i}", rng.choice([None, "", "x" * rng.randint(1, 900)])) for i in range(120)]
-    df = spark.createDataFrame(files, "doc_id long, source string, filename string, content string")
-    got = {r.block: r for r in C.pack_files(df, 300, 500, 700, bucket_files=50).collect()}
-    want = {}
-    for s in "ab":
-        for bucket in range(3):
-            cur, names, n = "", [], 0
-            for i, source, name, content in [f for f in files if f[1] == s and f[0] // 50 == bucket and f[3]]:
-                size = len(cur + "\n\n" + content)
-                if names and not (size <= 700 or (len(cur) < 300 and size <= 735)):
-                    want[f"{s}:{bucket}:{n}"], cur, names, n = (cur, names), "", [], n + 1
-                cur = cur + "\n\n" + "=" * 60 + f"\nFILE: {name}\n{content}" if names else content
-                names = [*names, name]
-            if names:
-                want[f"{s}:{bucket}:{n}"] = (cur, names)
-    assert {k: (r.text, r.sources) for k, r in got.items()} == want
-    assert all(r.size == len(r.text) and r.file_count == len(r.sources) and r.is_target_size == (r.size >= 400) for r in got.values())
-    chunks = C.chunk_packed_files(df, 50, 300, 10, least=300, target=500, most=700, bucket_files=50).collect()
-    assert {r.block for r in chunks} == set(want) and all(r.file_sources == want[r.block][1] and r.is_multi_file == (len(want[r.block][1]) > 1) for r in chunks)
+def plain_blocks(files, least, most, size=len):
+    """(by, number) -> (text, names) of files in order of corpus, id, name and content's digest."""
+    key = lambda f: (f[1] is not None, f[1] or "", f[0] is not None, f[0] or 0, f[2] is not None, f[2] or "", hashlib.md5(f[3].encode()).hexdigest())
+    out, corpus, number = {}, "", -1
+    for _, by, name, content in sorted([f for f in files if f[3]], key=key):
+        mark = "\n\n" + "=" * 60 + f"\nFILE: {name or ''}\n"
+        if number < 0 or by != corpus:
+            corpus, number = by, 0
+        else:
+            text, names, held = out[by, number]
+            both = held + 2 + size(content)
+            if both <= most or (held < least and both <= 1.05 * most):
+                out[by, number] = (text + mark + content, [*names, name], held + size(content) + size(mark))
+                continue
+            number += 1
+        out[by, number] = (content, [name], size(content))
+    return {":".join([by] * (by is not None) + [str(n)]): v for (by, n), v in out.items()}
+
+
+@pytest.mark.parametrize(("n", "partitions", "tokens"), [(120, 4, False), (5000, 13, False), (700, 9, True)])
+def test_packed_files_like_plain_ones(spark, n, partitions, tokens):
+    rng = random.Random(n)
+    files = [(rng.choice([i, i, 7]), "hot" if rng.random() < 0.7 else rng.choice(["a", "b", None]), rng.choice([f"f{i}", None]), rng.choice([None, "", *["x" * rng.randint(1, 900)] * 4, "y" * rng.randint(1, 40)])) for i in range(n)] + [(None, "a", "f", "same")] * 3
+    df = spark.createDataFrame(files, "doc_id long, source string, filename string, content string").repartition(3)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        got = {r.block: r for r in C.pack_files(df, 300, 500, 700, **({"size": lambda c: F.floor(F.length(c) / 4)} if tokens else {})).collect()}
+        chunks = C.chunk_packed_files(df, 50, 300, 10, least=300, target=500, most=700).collect() if n == 120 else []
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
+    want = plain_blocks(files, 300, 700, (lambda t: len(t) // 4) if tokens else len)
+    assert {k: (r.text, r.sources, r.size) for k, r in got.items()} == want
+    assert all(r.file_count == len(r.sources) and r.is_target_size == (r.size >= 400) and (tokens or r.size == len(r.text)) for r in got.values())
+    if chunks:
+        assert {r.block for r in chunks} == set(want) and all(r.file_sources == want[r.block][1] and r.is_multi_file == (len(want[r.block][1]) > 1) for r in chunks)
+
+
+def test_chunks_sized_by_a_counter(spark):
+    text = "\n".join(" ".join(["word"] * k) for k in (3, 4, 2, 6, 1, 1, 5))
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    got = C.paragraph_chunks(docs, 5, 8, 0, "\n", counter=lambda: lambda t: len(t.split())).orderBy("chunk_index").collect()
+    assert [(r.doc_id, r.size) for r in got] == [(1, 7), (1, 8), (1, 7)]
+
+
+def test_combined_corpora_and_items_on_edges(spark):
+    docs = spark.createDataFrame([("a", 1, "x" * 5), ("b", 1, "y" * 200), ("b", 2, "z"), ("c", 3, "same"), ("c", 3, "same"), (None, None, "n")], "source string, doc_id long, text string")
+    got = {r.source: r for r in IO.combine_corpus(docs, "source", 25).collect()}
+    assert set(got) == {"a", "c", None} and got["a"].texts == 1 and got["c"].texts == 2 and got["c"].corpus == "# 3\nsame\n\n" * 2 and got[None].corpus == "# \nn\n\n"
+    assert IO.combine_corpus(docs, "source", 15).filter("source = 'c'").first().texts == 1
+    items = ['{"question": "q", "answer": "text", "metadata": {"answer": 5}}', '{"question": "q", "answer": 5}', '{"question": "q", "answer": "5"}', '{"question": "q", "answer": 2.5, "options": ["a"]}', "{}"]
+    kinds = IO.parse_items(spark.createDataFrame([(i,) for i in items], "value string")).collect()
+    assert [r.answer_type for r in kinds] == ["free_text", "numeric_exact", "free_text", "multiple_choice", "free_text"]
 
 
 def test_concepts_of_chunks_and_corpora(spark):
@@ -325,10 +360,21 @@ def test_rejected_uploads(spark, name, text, reason):
     assert spark.createDataFrame([(name, text)], "n string, t string").select(IO.reject_reason(F.col("n"), F.col("t"))).first()[0] == reason
 
 
-def test_html_to_text(spark):
-    html = "<body><nav>Navigation menu here</nav><h2>A title of it</h2><p>First <b>bold</b> paragraph</p><div class='x infobox'>Dropped by its class</div><ul><li>item one</li><li>item two</li></ul><p>short</p><p>Jump to: somewhere else</p></body>"
-    got = [r.text for r in IO.html_to_text(spark.createDataFrame([(1, html), (2, None), (3, "<span>only loose text</span>")], "page_id long, html string")).orderBy("page_id").collect()]
-    assert got[0] == "## A title of it\n\nFirst bold paragraph\n\nitem oneitem two" and got[1] == "" and got[2] == "only loose text"
+@pytest.mark.parametrize(("html", "text"), [
+    ("<body><nav>Navigation menu here</nav><h2>A title of it</h2><p>First <b>bold</b> paragraph</p><div class='x infobox'>Dropped by its class</div><ul><li>item one</li><li>item two</li></ul><p>short</p><p>Jump to: somewhere else</p></body>",
+     "## A title of it\n\nFirst bold paragraph\n\nitem oneitem two"),
+    (None, ""), ("<span>only loose text</span>", "only loose text"),
+    ("<ul><li><p>first of the list</p></li><li><p>second of the list</p></li></ul>", "first of the listsecond of the list"),
+    ("<p>an open paragraph<p>ends where the next begins<ul><li>one of two<li>two of two</ul>", "an open paragraph\n\nends where the next begins\n\none of twotwo of two"),
+    ("<blockquote>Quoted <div>with a div</div> <p>and a paragraph</p></blockquote><p>after all that</p>", "Quoted with a div and a paragraph\n\nafter all that"),
+    ("<div>loose text first<p>then a paragraph</p>and loose text last</div>", "loose text first\n\nthen a paragraph\n\nand loose text last"),
+    ("<div class='navbox-styles'>part of a class name</div><p class='navbox-styles'>only divs go by parts</p>", "only divs go by parts"),
+    ("<dl><dt>a term of the list<dd>its meaning<dt>another</dl><table><tr><td><p>in a cell here</td><td><p>in another cell</table>", "a term of the listits meaninganother\n\nin a cell here\n\nin another cell"),
+    ("<p>a comment <!-- hidden --> within, &amp; a <br>break</p></section></p>", "a comment within, & a break"),
+    ("<h1>Deep <div class='toc'>table of contents</div>title of all</h1>", "# Deep title of all"),
+])
+def test_html_to_text(spark, html, text):
+    assert IO.html_to_text(spark.createDataFrame([(1, html)], "page_id long, html string")).first().text == text
 
 
 def test_progress_stream_equals_batch(spark, tmp_path):
