@@ -255,3 +255,18 @@ ISSUE_KINDS = {"Clarity": ["unclear", "ambiguous", "confusing"], "Specificity":
                "Instructions": ["example", "guidance", "instruction"]}
 ANSWER_TYPES = ["numeric_exact", "numeric_tolerance", "string_exact", "code", "multiple_choice", "boolean", "free_text"]
 EXACT_ANSWER_TYPES = ["numeric_exact", "string_exact", "code", "multiple_choice", "boolean"]
+
+# Sample questions of a configuration (question, answer, kind); other types ask for the corpus' concepts.
+SAMPLE_QUESTIONS = {
+    "mathematical": [("Solve: 2x + 5 = 15", "5", "algebra"), ("What is 25% of 80?", "20", "percentage"), ("Calculate the area of a circle with radius 3", "28.27", "geometry")],
+    "code_generation": [
+        ("Write a function to reverse a string", "def reverse_string(s): return s[::-1]", "string_manipulation"), ("Implement binary search", "def binary_search(arr, target): ...", "algorithms"),
+        ("Create a class for a linked list node", "class ListNode: def __init__(self, val=0): ...", "data_structures"),
+    ],
+    "factual_qa": [("What is the capital of France?", "Paris", "geography"), ("Who invented the telephone?", "Alexander Graham Bell", "history"), ("What is the chemical symbol for gold?", "Au", "science")],
+}
+# The name of a verification method's own metric.
+METHOD_METRICS = {
+    "exact_match": "exact_match", "numerical_match": "numerical_match", "multiple_choice_match": "multiple_choice", "code_match": "code_execution", "semantic_similarity": "semantic_similarity",
+    "domain_factual_knowledge": "factual_accuracy", "domain_mathematical_reasoning": "mathematical_accuracy", "latex_match": "latex_match", "expression_match": "expression_match",
+}

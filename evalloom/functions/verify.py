@@ -315,6 +315,14 @@ def verify(df: DataFrame, prediction: str = "prediction", truth: str = "truth",
     return out.select(*df.columns, score.alias("score"), F.when(r == "mixed", F.col("__mixed.method")).otherwise(r).alias("method"))
 
 
+def metrics(score: Column, method: Column, prediction: Column) -> Column:
+    """map<string, double> of a verified row: the score under the name of its method's metric, the method's own name for others, and whether code looks like code. None without a score."""
+    names = F.create_map(*[F.lit(x) for pair in P.METHOD_METRICS.items() for x in pair])
+    own = F.create_map(F.coalesce(F.try_element_at(names, method), method), score)
+    checked = F.map_concat(own, F.create_map(F.lit("syntax_check"), contains_code(prediction).cast("double")))
+    return F.when(score.isNull(), F.create_map().cast("map<string,double>")).when(method == "code_match", checked).otherwise(own)
+
+
 def framework_score(p: Column, t: Column, verification: Column, metrics: Column, deterministic: Column) -> Column:
     """struct(score, metrics, verified) by a type's settings: exact types by their normalised texts, others by their constant."""
     score = F.when(verification == "exact_match", exact_match(p, t)).when(verification == "similarity", 0.8).when(verification == "execution", 1.0).otherwise(0.5)

@@ -228,8 +228,16 @@ def question_kind(c: Column, eval_type: Column | None = None) -> Column:
     return by_text if eval_type is None else F.when(eval_type.isin(list(P.PROMPT_KINDS)), eval_type).otherwise(by_text)
 
 
+def sample_questions(eval_type: Column, concepts: Column, n: int = 3) -> Column:
+    """array<struct<question, answer, type>>: the type's own, or for other types questions after the first concepts."""
+    asked = lambda q, a, k: F.struct(q.alias("question"), a.alias("answer"), k.alias("type"))
+    fixed = [F.when(eval_type == t, F.array(*[asked(*map(F.lit, q)) for q in qs])) for t, qs in P.SAMPLE_QUESTIONS.items()]
+    own = F.transform(concepts, lambda c: asked(F.concat(F.lit("What is "), c, F.lit("?")), F.concat(F.lit("[Answer about "), c, F.lit(" from corpus]")), F.lit("domain_knowledge")))
+    return F.slice(F.coalesce(*fixed, own), 1, n)
+
+
 def benchmark_config(docs: DataFrame, n: int = 50, by: str = "source") -> DataFrame:
-    """One row for each corpus: its primary type, key concepts, segments, temperature and the type's settings.
+    """One row for each corpus: its primary type, key concepts, segments, sample questions, temperature and the type's settings.
 
     The type is the one with most matches for each hundred words over the corpus' documents. Segments are taken at hashed places, min(20, n) of
     them, those of the documents first in order of a hash.
@@ -246,4 +254,5 @@ def benchmark_config(docs: DataFrame, n: int = 50, by: str = "source") -> DataFr
     segments = segments.withColumn("h", F.md5(F.col("doc_id").cast("string"))).withColumn("nth", nth).filter(F.col("nth") <= few)
     segments = segments.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda x: x["text"]).alias("corpus_segments"))
     out = eval_type_lookup(kinds).join(concepts, by, "left").join(segments, by, "left")
+    out = out.withColumn("sample_questions", sample_questions(F.col("eval_type"), F.col("key_concepts")))
     return out.withColumn("temperature", F.when(F.col("deterministic"), 0.0).otherwise(0.7)).withColumn("num_questions", F.lit(n))

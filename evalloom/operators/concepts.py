@@ -6,14 +6,18 @@ documents as one array for each corpus, so a sentence is looked at once and only
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import filled, found, frequent, named_entities, once, strip, words
+from .items import ranged
 
 
 def _top(weights: DataFrame, by: str, k: int) -> DataFrame:
@@ -132,12 +136,41 @@ def chunk_concepts(chunks: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunk_
 
 
 def merge_chunk_concepts(found: DataFrame, by: str, order: list[str], k: int = 20) -> DataFrame:
-    """found (by, order, concept, score[, snippet]): the running mean (old + new) / 2 over chunks in order, in closed form; longest snippet; top k."""
-    w = Window.partitionBy(by, "concept")
-    n, i = F.count("*").over(w), F.row_number().over(w.orderBy(*order))
-    part = F.col("score") * F.pow(F.lit(2.0), -(F.when(i == 1, n - 1).otherwise(n - i + 1)).cast("double"))
-    longest = [F.max_by("snippet", F.struct(F.length("snippet"), -F.col("nth"))).alias("snippet")] if "snippet" in found.columns else []
-    merged = found.withColumn("part", part).withColumn("nth", i).groupBy(by, "concept").agg(F.sum("part").alias("score"), F.count("*").alias("chunks"), *longest)
+    """found (by, order, concept, score[, snippet]): the running mean (old + new) / 2 over chunks in order, longest snippet (the first of several), top k.
+
+    One more score is the map x -> x / 2 + score / 2 on the mean; such maps compose to x -> a x + b. Rows lie sorted in ranges, so that a concept of many chunks lies in several;
+    each range composes its part in one pass, and a concept's few parts are applied in order. Rows without a score are left out; a null corpus or concept is one.
+    """
+    with_snippet = "snippet" in found.columns
+    snippet = F.col("snippet") if with_snippet else F.lit(None).cast("string")
+    rows = found.filter("score IS NOT NULL").select(F.col(by).alias("by"), "concept", *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col("score").cast("double").alias("score"), snippet.alias("snippet"))
+    rows = ranged(rows, "by", "concept", *[f"o{i}" for i in range(len(order))]).select("by", "concept", "score", "snippet")
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, key, state, kinds = TaskContext.get().partitionId(), None, None, None
+        names = ["by", "concept", "part", "head", "a", "b", "n", "snippet"]
+        for batch in batches:
+            kinds = kinds or pa.schema([batch.schema.field("by"), batch.schema.field("concept"), ("part", pa.int32()), *[(c, pa.float64()) for c in ("head", "a", "b")], ("n", pa.int64()), ("snippet", pa.string())])
+            done = []
+            for corpus, concept, score, said in zip(*(batch[c].to_pylist() for c in ("by", "concept", "score", "snippet"))):
+                if state is None or key != (corpus, concept):
+                    if state is not None:
+                        done.append((*key, part, *state))
+                    key, state = (corpus, concept), (score, 1.0, 0.0, 1, said)
+                else:
+                    head, a, b, n, longest = state
+                    state = (head, a / 2, (b + score) / 2, n + 1, said if said is not None and (longest is None or len(said) > len(longest)) else longest)
+            if done:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in done], kinds)
+        if state is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, (*key, part, *state)))], kinds)
+
+    kind = rows.schema["by"].dataType.simpleString()
+    maps = rows.mapInArrow(compose, f"by {kind}, concept string, part int, head double, a double, b double, n long, snippet string")
+    parts = maps.groupBy("by", "concept").agg(F.array_sort(F.collect_list(F.struct("part", "head", "a", "b", "n", "snippet"))).alias("ps"), F.sum("n").alias("chunks"))  # one for each range
+    score = F.aggregate("ps", F.lit(None).cast("double"), lambda x, p: p["a"] * F.coalesce((x + p["head"]) / 2, p["head"]) + p["b"])
+    longest = F.array_max(F.transform("ps", lambda p: F.struct(F.length(p["snippet"]).alias("n"), (-p["part"]).alias("at"), p["snippet"].alias("snippet"))))["snippet"]
+    merged = parts.select(F.col("by").alias(by), "concept", score.alias("score"), "chunks", *([longest.alias("snippet")] if with_snippet else []))
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "concept"))
     return merged.withColumn("rank", rank).filter(F.col("rank") <= k)
 

@@ -42,7 +42,7 @@ def pseudo_p(mean: Column, std: Column, n: Column, against: float = 0.5) -> Colu
     return F.when(n < 2, 1.0).when(std == 0, same).otherwise(F.greatest(F.lit(0.001), F.least(F.lit(1.0), p)))
 
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """left joined to right on keys, where null equals null; right's keys go."""
     named = right.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
     on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_r{i}")) for i, k in enumerate(keys)])
@@ -65,7 +65,7 @@ def quantiles(results: DataFrame, by: list[str], score: str, wanted: dict[str, f
     at = {name: F.lit(q) * (F.col("_n") - 1) for name, q in wanted.items()}
     ranks = [f(x) for x in at.values() for f in (F.floor, F.ceil)]
     held = slots.filter(reduce(lambda x, y: x | y, [(F.col("_before") <= r) & (r < F.col("_before") + F.col("_in")) for r in ranks]))
-    near = _same(values, held.select(*by, "_slot", "_before", "_n"), [*by, "_slot"])
+    near = same_keys(values, held.select(*by, "_slot", "_before", "_n"), [*by, "_slot"])
     near = near.withColumn("_upto", F.col("_before") + F.sum("_c").over(Window.partitionBy(*by, "_slot").orderBy("_v")))
 
     def value(rank: Column) -> Column:
@@ -87,12 +87,12 @@ def _described(rows: DataFrame, by: list[str]) -> DataFrame:
     out = rows.filter(F.col("score").isNotNull()).groupBy(*by).agg(
         F.avg("score").alias("mean"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("std"), F.min("score").alias("min"), F.max("score").alias("max"), F.count("score").alias("n"),
     )
-    return _same(out, quantiles(rows, by, "score", {"median": 0.5}), by).select(*by, "mean", "std", "median", "min", "max", "n")
+    return same_keys(out, quantiles(rows, by, "score", {"median": 0.5}), by).select(*by, "mean", "std", "median", "min", "max", "n")
 
 
 def _with_intervals(described: DataFrame, drawn: DataFrame, by: list[str]) -> DataFrame:
     ends = [f"{name}_{side}" for name in LEVELS for side in ("low", "high")]
-    out = _same(described, drawn, by).select(*described.columns, *ends)
+    out = same_keys(described, drawn, by).select(*described.columns, *ends)
     return out.withColumn("p_value", pseudo_p(F.col("mean"), F.col("std"), F.col("n")))
 
 
@@ -117,9 +117,9 @@ def batch_statistics(results: DataFrame, by: list[str], key: list[str] | None =
         F.min("score").alias("min"), F.max("score").alias("max"),
     )
     named = {"q25": 0.25, "median": 0.5, "q75": 0.75}
-    out = _same(out, quantiles(results, by, "score", named), by, "left")
+    out = same_keys(out, quantiles(results, by, "score", named), by, "left")
     drawn = bootstrap.replicates(results.filter("score IS NOT NULL").withColumn("metrics", bootstrap.one_metric()), by, key)
-    out = _same(out, bootstrap.intervals(drawn, by, {"ci95": 0.95}, (0.0, 0.0)).drop("metric"), by, "left")
+    out = same_keys(out, bootstrap.intervals(drawn, by, {"ci95": 0.95}, (0.0, 0.0)).drop("metric"), by, "left")
     return out.select(*by, "n", "mean", "std", "exact_rate", "min", "max", *named, "ci95_low", "ci95_high")
 
 
@@ -214,35 +214,51 @@ def task_metrics(results: DataFrame) -> DataFrame:
     return results.groupBy("task").agg(F.avg((F.col("score") >= 0.9).cast("double")).alias("exact"), F.avg("score").alias("f1"), F.count("*").alias("n"))
 
 
-def call_stats(calls: DataFrame) -> DataFrame:
-    """calls (model, status, response_time, ts) -> per model totals, rates, times of answered calls, speedup over running one by one."""
+def call_stats(calls: DataFrame, recent: int = 5) -> DataFrame:
+    """calls (model, status, response_time, ts[, error]) -> per model totals, rates, times of answered calls, speedup over running one by one, the last errors in order of time."""
     ok = F.col("status") == "success"
     positive = F.when(F.col("response_time") > 0, F.col("response_time"))
     elapsed = seconds(F.max("ts")) - seconds(F.min("ts"))
-    return calls.groupBy("model").agg(
+    out = calls.groupBy("model").agg(
         F.count("*").alias("total"), F.count_if(ok).alias("successful"), F.count_if(~ok).alias("failed"), (F.count_if(ok) / F.count("*")).alias("success_rate"),
         F.avg(positive).alias("avg_time"), F.max(positive).alias("max_time"), F.min(positive).alias("min_time"), F.try_divide(F.sum(positive), elapsed).alias("speedup"),
     )
+    if "error" not in calls.columns:
+        return out
+    rank = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("ts"), F.desc("error")))  # cut to a few rows in each task first
+    last = calls.filter(~ok).withColumn("_rank", rank).filter(F.col("_rank") <= recent)
+    last = last.groupBy("model").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_rank")).alias("at"), "error"))), lambda x: x["error"]).alias("recent_errors"))
+    return same_keys(out, last, ["model"], "left").withColumn("recent_errors", F.coalesce("recent_errors", F.array().cast("array<string>")))
 
 
 def phase_durations(log: DataFrame) -> DataFrame:
-    """log (run_id, phase, event start/end, ts) -> start, end and seconds of each phase."""
+    """log (run_id, phase, event start/end, ts) -> start, end and seconds of each phase, and the seconds of its run from the first to the last time logged."""
     start, end = (F.min(F.when(F.col("event") == e, F.col("ts"))) for e in ("start", "end"))
-    out = log.groupBy("run_id", "phase").agg(start.alias("start"), end.alias("end"))
-    return out.withColumn("seconds", seconds(F.col("end")) - seconds(F.col("start")))
+    out = log.groupBy("run_id", "phase").agg(start.alias("start"), end.alias("end"), F.min("ts").alias("_low"), F.max("ts").alias("_high"))
+    runs = out.groupBy("run_id").agg((seconds(F.max("_high")) - seconds(F.min("_low"))).alias("run_seconds"))
+    out = same_keys(out, runs, ["run_id"])
+    return out.withColumn("seconds", seconds(F.col("end")) - seconds(F.col("start"))).drop("_low", "_high")
+
+
+def compare_questions(base: DataFrame, tuned: DataFrame) -> DataFrame:
+    """base, tuned (question_id, correct boolean) -> (question_id, base_correct, tuned_correct, improved): right after tuning only."""
+    j = base.select("question_id", F.col("correct").alias("base_correct")).join(tuned.select("question_id", F.col("correct").alias("tuned_correct")), "question_id")
+    return j.withColumn("improved", F.col("tuned_correct") & ~F.col("base_correct"))
 
 
 def compare_models(base: DataFrame, tuned: DataFrame) -> DataFrame:
     """base, tuned (question_id, correct boolean) -> accuracies, relative improvement in percent, counts of changes."""
-    j = base.select("question_id", F.col("correct").alias("b")).join(tuned.select("question_id", F.col("correct").alias("t")), "question_id")
-    s = j.agg(F.avg(F.col("b").cast("double")).alias("base_accuracy"), F.avg(F.col("t").cast("double")).alias("tuned_accuracy"), F.count_if(F.col("t") & ~F.col("b")).alias("improved"), F.count_if(F.col("b") & ~F.col("t")).alias("worse"), F.count("*").alias("n"))
+    b, t = F.col("base_correct"), F.col("tuned_correct")
+    s = compare_questions(base, tuned).agg(F.avg(b.cast("double")).alias("base_accuracy"), F.avg(t.cast("double")).alias("tuned_accuracy"), F.count_if("improved").alias("improved"), F.count_if(b & ~t).alias("worse"), F.count("*").alias("n"))
     return s.withColumn("improvement_pct", F.when(F.col("base_accuracy") > 0, (F.col("tuned_accuracy") - F.col("base_accuracy")) / F.col("base_accuracy") * 100).otherwise(0.0))
 
 
 def runs_overview(runs: DataFrame) -> DataFrame:
-    """runs (run_id, mean_score) -> how many runs, by score band."""
+    """runs (run_id, mean_score[, status, finetuned]) -> how many runs, by score band, and how many are completed, running, or have a fine-tune set."""
     m = F.col("mean_score")
-    return runs.agg(F.count("*").alias("runs"), F.count_if(m >= 0.8).alias("high"), F.count_if((m >= 0.6) & (m < 0.8)).alias("medium"), F.count_if(m < 0.6).alias("low"))
+    more = [F.count_if(F.col("status") == k).alias(k) for k in ("completed", "running")] if "status" in runs.columns else []
+    more += [F.count_if("finetuned").alias("with_finetune_set")] if "finetuned" in runs.columns else []
+    return runs.agg(F.count("*").alias("runs"), F.count_if(m >= 0.8).alias("high"), F.count_if((m >= 0.6) & (m < 0.8)).alias("medium"), F.count_if(m < 0.6).alias("low"), *more)
 
 
 def split_order(seed: int, item: str) -> Column:

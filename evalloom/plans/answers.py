@@ -119,7 +119,8 @@ FROM (SELECT *, [{strings(P.QUESTION_PATTERNS)}][list_position(h, list_max(h))]
 add("vf14_analyze_question", lambda s, d: predictions(s, d).select("item_id", V.analyze_question(F.col("question"), F.col("truth")).alias("x")).select("item_id", "x.*"), f"SELECT item_id, question_type, confidence FROM {ANALYSIS}")
 add("vf15_mixed_verify", lambda s, d: V.mixed_verify(predictions(s, d)).select("item_id", F.round("score", 9).alias("score"), "method", "question_type", "confidence"))
 add("vf16_single_method_verify", lambda s, d: V.single_method_verify(predictions(s, d)).select("item_id", F.round("score", 9).alias("score"), "method"))
-add("vf17_verify", lambda s, d: V.verify(predictions(s, d)).select("item_id", F.round("score", 9).alias("score"), "method"))
+add("vf17_verify", lambda s, d: V.verify(predictions(s, d)).select("item_id", F.round("score", 9).alias("score"), "method", F.col("prediction").alias("said")).select("item_id", "score", "method", F.to_json(V.metrics(F.col("score"), F.col("method"), F.col("said"))).alias("metrics")))
+per_pair("vf05_syntax_check", lambda p, t: V.contains_code(p), any_of(P.CODE_PATTERNS, "answer"))
 # without questions no route needs the fuzzy comparison, so SQL can follow every one
 N2 = [f"TRY_CAST(regexp_extract_all(coalesce({c}, ''), '-?\\d+\\.?\\d*')[1] AS DOUBLE)" for c in ("p", "t")]
 X2 = f"CASE WHEN {NORM.format('p')} = {NORM.format('t')} THEN 1.0 ELSE 0.0 END"

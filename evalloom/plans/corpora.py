@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..operators import classify as K
 from ..operators import concepts as CO
 from ..operators import corpus as C
-from .registry import BANK, TOK, WORDS, add, bank, docs, joined, per_doc, quoted, strings, unicode_edges
+from .registry import BANK, STRIP, TOK, WORDS, add, bank, docs, joined, per_doc, quoted, strings, unicode_edges
 from .texts import SENTENCES, W
 
 
@@ -28,23 +29,53 @@ add("ck03_window_chunks", lambda s, d: C.window_chunks(docs(s, d)), f"""SELECT d
   FROM (SELECT doc_id, ws, unnest(range(0, len(ws), 700)) AS start FROM (SELECT doc_id, {W} AS ws FROM documents) WHERE len(ws) > 0) WHERE len(ws[start + 1 : start + 800]) >= 50""")
 add("ck04_fixed_chunks", lambda s, d: C.fixed_chunks(docs(s, d)), f"""SELECT doc_id, (start // 500)::INTEGER AS chunk_index, array_to_string(ws[start + 1 : start + 500], ' ') AS text
   FROM (SELECT doc_id, ws, unnest(range(0, len(ws), 500)) AS start FROM (SELECT doc_id, {W} AS ws FROM documents) WHERE len(ws) > 0) WHERE length(array_to_string(ws[start + 1 : start + 500], ' ')) > 50""")
-add("ck05_paragraph_chunks", lambda s, d: C.paragraph_chunks(docs(s, d), separator="\n"))
+PARAGRAPHS = f"SELECT doc_id, text, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {STRIP.format('x')}), lambda x: x <> '') AS ps FROM documents"
+GAP = "chr(10) || chr(10)"
+add("ck05_paragraph_chunks", lambda s, d: C.paragraph_chunks(docs(s, d), separator="\n"), f"""
+WITH RECURSIVE p AS MATERIALIZED ({PARAGRAPHS}),
+r(doc_id, ps, i, cur, out) AS (SELECT doc_id, ps, 0, '', NULL::VARCHAR FROM p UNION ALL
+  SELECT doc_id, ps, i + 1, CASE WHEN cur = '' THEN ps[i + 1] WHEN full_ THEN right(cur, 100) || {GAP} || ps[i + 1] ELSE cur || {GAP} || ps[i + 1] END, CASE WHEN full_ THEN cur END
+  FROM (SELECT *, cur <> '' AND length(cur) + length(ps[i + 1]) > 2000 AND length(cur) >= 500 AS full_ FROM r WHERE i < len(ps))),
+c AS (SELECT doc_id, i AS at_, out AS chunk FROM r WHERE out IS NOT NULL UNION ALL SELECT doc_id, i + 1, cur FROM r WHERE i = len(ps) AND length(cur) >= 500),
+w AS (SELECT doc_id, 0 AS at_, {STRIP.format('text')} AS chunk FROM p WHERE doc_id NOT IN (SELECT doc_id FROM c) AND {STRIP.format('text')} <> '')
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY at_) - 1)::INTEGER AS chunk_index, t AS text, method, length(t)::INTEGER AS size
+FROM (SELECT doc_id, at_, {STRIP.format('chunk')} AS t, 'simple_paragraph' AS method FROM c UNION ALL SELECT doc_id, at_, chunk, 'simple_single' FROM w)""")
 add("ck06_pack_files", lambda s, d: C.pack_files(files(s, d)).withColumn("sources", joined(F.col("sources"))).withColumn("text", F.md5("text")))
 add("ck07_chunk_packed_files", lambda s, d: C.chunk_packed_files(files(s, d), separator="\n").withColumn("file_sources", joined(F.col("file_sources"))))
-add("ck08_merge_small_chunks", lambda s, d: C.merged_paragraphs(docs(s, d)).withColumn("concatenated_from", joined(F.col("concatenated_from").cast("array<string>"))))
+add("ck08_merge_small_chunks", lambda s, d: C.merged_paragraphs(docs(s, d)).withColumn("concatenated_from", joined(F.col("concatenated_from").cast("array<string>"))), f"""
+WITH RECURSIVE p AS MATERIALIZED ({PARAGRAPHS}),
+r(doc_id, ps, i, cur, held, outs) AS (SELECT doc_id, ps, 0, '', '', []::STRUCT(t VARCHAR, f VARCHAR)[] FROM p UNION ALL
+  SELECT doc_id, ps, i + 1, CASE WHEN big OR done THEN '' ELSE both_ END, CASE WHEN big OR done THEN '' ELSE from_ END,
+    CASE WHEN big THEN list_concat(CASE WHEN held <> '' THEN [{{'t': cur, 'f': held}}] ELSE [] END, [{{'t': ps[i + 1], 'f': i::VARCHAR}}]) WHEN done THEN [{{'t': both_, 'f': from_}}] ELSE [] END
+  FROM (SELECT *, length(both_) // 4 >= 125 OR length(both_) // 4 > 400 AS done FROM (
+    SELECT *, length(ps[i + 1]) // 4 >= 125 AS big, CASE WHEN held <> '' THEN cur || {GAP} || ps[i + 1] ELSE ps[i + 1] END AS both_, CASE WHEN held <> '' THEN held || '|' || i ELSE i::VARCHAR END AS from_ FROM r WHERE i < len(ps)))),
+c AS (SELECT doc_id, i AS at_, unnest(outs) AS x, generate_subscripts(outs, 1) AS nth FROM r UNION ALL SELECT doc_id, i + 1, {{'t': cur, 'f': held}}, 1 FROM r WHERE i = len(ps) AND held <> '')
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY at_, nth) - 1)::INTEGER AS chunk_index, x.t AS text, (length(x.t) // 4)::INTEGER AS token_count, x.f AS concatenated_from, length(x.t) // 4 BETWEEN 125 AND 500 AS token_range_valid FROM c""")
 KEYS = lambda t, k: f"(SELECT list(x ORDER BY n DESC, f) FROM (SELECT x, count(*) AS n, min(p) AS f FROM (SELECT unnest(ws) AS x, generate_subscripts(ws, 1) AS p FROM (SELECT list_filter(regexp_extract_all(lower({unicode_edges(t)}), '\\b[a-zA-Z]{{3,}}\\b'), lambda w: w NOT IN ({strings(P.STOP_WORDS + P.GENERIC_WORDS)})) AS ws)) GROUP BY x ORDER BY n DESC, f LIMIT {k}))"
 CHUNKED = f"""(SELECT doc_id, (start // 500)::INTEGER AS chunk_index, array_to_string(ws[start + 1 : start + 500], ' ') AS chunk, text FROM (SELECT doc_id, text, ws, unnest(range(0, len(ws), 500)) AS start FROM (SELECT doc_id, text, {W} AS ws FROM documents) WHERE len(ws) > 0)
   WHERE length(array_to_string(ws[start + 1 : start + 500], ' ')) > 50)"""
-add("ck09_chunk_coherence", lambda s, d: C.chunk_coherence(C.fixed_chunks(docs(s, d)), docs(s, d)), f"""
+COHERENCE = f"""
 SELECT doc_id, chunk_index, CASE WHEN own IS NULL OR whole IS NULL THEN 1.0 ELSE round(least(1.0, len(list_intersect(own, whole)) / len(own) * CASE WHEN n >= 2 THEN 1.2e0 ELSE 1e0 END), 3) END::DOUBLE AS coherence
-FROM (SELECT doc_id, chunk_index, {KEYS('chunk', 20)} AS own, {KEYS('text', 100)} AS whole, len(list_filter(list_transform(string_split_regex(chunk, '[.!?]+'), lambda x: trim(x)), lambda x: x <> '')) AS n FROM {CHUNKED})""")
+FROM (SELECT doc_id, chunk_index, {KEYS('chunk', 20)} AS own, {KEYS('text', 100)} AS whole, len(list_filter(list_transform(string_split_regex(chunk, '[.!?]+'), lambda x: trim(x)), lambda x: x <> '')) AS n FROM {CHUNKED})"""
+add("ck09_chunk_coherence", lambda s, d: C.chunk_coherence(C.fixed_chunks(docs(s, d)), docs(s, d)), COHERENCE)
 per_doc("ck10_token_estimate", C.token_estimate, "(length(coalesce(text, '')) // 4)::INTEGER")
 add("ck11_sample_segments", lambda s, d: C.sample_segments(docs(s, d)), f"""
 WITH w AS (SELECT doc_id, {W} AS ws, unnest(range(0, 3)) AS segment FROM documents),
 h AS (SELECT *, ('0x' || left(md5('42:' || doc_id || ':' || segment), 8))::BIGINT % (greatest(len(ws) - 50, 0) + 1) AS a FROM w)
 SELECT doc_id, segment::INTEGER AS segment, array_to_string(ws[a + 1 : a + 50], ' ') AS text FROM h""")
-add("ck12_chunk_report", lambda s, d: C.chunk_report(C.fixed_chunks(docs(s, d))), f"""SELECT count(*) AS chunks, min(length(t))::INTEGER AS min_size, max(length(t))::INTEGER AS max_size, avg(length(t)) AS avg_size FROM (
-  SELECT array_to_string(ws[start + 1 : start + 500], ' ') AS t FROM (SELECT ws, unnest(range(0, len(ws), 500)) AS start FROM (SELECT {W} AS ws FROM documents) WHERE len(ws) > 0)) WHERE length(t) > 50""")
+
+
+def reported_chunks(s: SparkSession, d: str) -> DataFrame:
+    """Fixed and window chunks with their method and coherence."""
+    of = lambda chunks, method: chunks.select("doc_id", "chunk_index", "text", F.lit(method).alias("method")).join(C.chunk_coherence(chunks, docs(s, d)), ["doc_id", "chunk_index"])
+    return of(C.fixed_chunks(docs(s, d)), "fixed").union(of(C.window_chunks(docs(s, d)), "window"))
+
+
+WINDOWED = f"""(SELECT doc_id, (start // 700)::INTEGER AS chunk_index, array_to_string(ws[start + 1 : start + 800], ' ') AS chunk, text FROM (SELECT doc_id, text, ws, unnest(range(0, len(ws), 700)) AS start FROM (SELECT doc_id, text, {W} AS ws FROM documents) WHERE len(ws) > 0)
+  WHERE len(ws[start + 1 : start + 800]) >= 50)"""
+add("ck12_chunk_report", lambda s, d: C.chunk_report(reported_chunks(s, d)).withColumn("methods", joined(F.col("methods"))), f"""
+WITH f AS (SELECT 'fixed' AS method, length(c.chunk) AS n, coherence FROM {CHUNKED} c JOIN ({COHERENCE}) USING (doc_id, chunk_index) UNION ALL SELECT 'window', length(c.chunk), coherence FROM {WINDOWED} c JOIN ({COHERENCE.replace(CHUNKED, WINDOWED)}) USING (doc_id, chunk_index))
+SELECT count(*) AS chunks, min(n)::INTEGER AS min_size, max(n)::INTEGER AS max_size, avg(n) AS avg_size, string_agg(DISTINCT method, '|' ORDER BY method) AS methods, avg(coherence) AS avg_coherence, min(coherence) AS min_coherence, max(coherence) AS max_coherence FROM f""")
 
 
 HEAD = "left(coalesce(text, ''), 2000)"
@@ -113,10 +144,11 @@ add("cl09_eval_type_lookup", lambda s, d: K.eval_type_lookup(bank(s, d).select("
 SELECT item_id, eval_type, v.deterministic, v.verification, v.metrics FROM {BANK} b JOIN (VALUES {SETTINGS}) v(t, deterministic, verification, metrics) ON t = CASE WHEN eval_type IN ({strings(t[0] for t in P.EVAL_TYPES)}) THEN eval_type ELSE 'domain_knowledge' END""")
 TOP_WORDS = f"""(SELECT string_agg(x, '|' ORDER BY n DESC, f) FROM (SELECT x, count(*) AS n, min(p) AS f FROM (SELECT unnest({T_W}) AS x, generate_subscripts({T_W}, 1) AS p) WHERE length(x) > 3 GROUP BY x ORDER BY n DESC, f LIMIT 15))"""
 PARTS = "len(string_split_regex(coalesce(text, ''), '[.!?]+'))"
-add("cl10_corpus_structure", lambda s, d: K.corpus_structure(docs(s, d)).withColumn("top_words", joined(F.col("top_words"))), f"""SELECT doc_id, n::INTEGER AS words, len({SENTENCES})::INTEGER AS sentences, len(list_distinct({W}))::INTEGER AS unique_words,
+STRUCTURE = f"""SELECT doc_id, n::INTEGER AS words, len({SENTENCES})::INTEGER AS sentences, len(list_distinct({W}))::INTEGER AS unique_words,
   len(regexp_extract_all(u, '\\b[A-Z][a-z]*[A-Z][a-z]*\\b'))::INTEGER AS technical_terms, len(regexp_extract_all(u, '\\b[A-Z]{{2,}}\\b'))::INTEGER AS acronyms, len(regexp_extract_all(u, '\\d+'))::INTEGER AS numbers,
   len(regexp_extract_all(u, '\\([^)]*\\)'))::INTEGER AS parentheses, CASE WHEN n = 0 THEN 0.5 ELSE least(1.0, 0.3e0 * least(list_sum(list_transform({W}, lambda x: length(x))) / n / 8, 1.0) + 0.4e0 * least(n / {PARTS} / 20, 1.0)
-  + 0.3e0 * len(list_distinct({W})) / n) END AS complexity, coalesce({TOP_WORDS}, '') AS top_words FROM (SELECT *, len({W}) AS n, {unicode_edges('text')} AS u FROM documents)""")
+  + 0.3e0 * len(list_distinct({W})) / n) END AS complexity, coalesce({TOP_WORDS}, '') AS top_words FROM (SELECT *, len({W}) AS n, {unicode_edges('text')} AS u FROM documents)"""
+add("cl10_corpus_structure", lambda s, d: K.corpus_structure(docs(s, d)).withColumn("top_words", joined(F.col("top_words"))), STRUCTURE)
 KIND = "CASE " + " ".join(f"WHEN {' OR '.join(f'regexp_matches(lower(prompt), {chr(39)}(?i){p}{chr(39)})' for p in ps)} THEN '{k}'" for k, ps in P.PROMPT_KINDS.items()) + " ELSE 'general' END"
 add("cl11_question_kind", lambda s, d: bank(s, d).select("item_id", K.question_kind(F.concat(F.lit("What is "), "answer"), F.col("eval_type")).alias("kind"), K.question_kind(F.col("question")).alias("by_text")), f"""
 SELECT item_id, CASE WHEN eval_type IN ({strings(P.PROMPT_KINDS)}) THEN eval_type ELSE {KIND.replace("prompt", "'What is ' || answer")} END AS kind, {KIND.replace("prompt", "question")} AS by_text FROM {BANK}""")
@@ -128,11 +160,11 @@ CONCEPTS = f"""(SELECT source, concept, weight, rank FROM (SELECT *, row_number(
   WHERE lower(word) NOT IN ({CSTOPS}) GROUP BY ALL)
   WHERE (length(concept) >= 5 OR regexp_matches(concept, '^[A-Z]') OR weight >= 3) AND NOT regexp_matches(lower(concept), 'thing|stuff|item|object|entity')) WHERE rank <= 20)"""
 add("cm01_key_concepts", lambda s, d: CO.key_concepts(docs(s, d)), f"SELECT source, concept, weight, rank::INTEGER AS rank FROM {CONCEPTS}")
-add("cl12_benchmark_config", lambda s, d: K.benchmark_config(docs(s, d)).select("source", "eval_type", "temperature", "deterministic", "verification", joined(F.col("key_concepts")).alias("key_concepts"), F.size("corpus_segments").alias("segments"), F.md5(joined(F.col("corpus_segments"))).alias("digest")), f"""
+add("cl12_benchmark_config", lambda s, d: K.benchmark_config(docs(s, d)).select("source", "eval_type", "temperature", "deterministic", "verification", joined(F.col("key_concepts")).alias("key_concepts"), joined(F.transform("sample_questions", lambda q: F.concat(q["question"], F.lit("="), q["answer"]))).alias("sample_questions"), F.size("corpus_segments").alias("segments"), F.md5(joined(F.col("corpus_segments"))).alias("digest")), f"""
 WITH k AS (SELECT source, {', '.join(f'sum({e}) AS {k}' for k, e in SUMS.items())} FROM (SELECT *, {unicode_edges('text')} AS u FROM documents) GROUP BY source),
 t AS (SELECT source, CASE {' '.join(f'WHEN {k} = greatest({chr(44).join(SUMS)}) THEN {chr(39)}{k}{chr(39)}' for k in SUMS)} END AS eval_type FROM k),
-c AS (SELECT source, string_agg(concept, '|' ORDER BY rank) AS key_concepts FROM {CONCEPTS} GROUP BY source),
+c AS (SELECT source, string_agg(concept, '|' ORDER BY rank) AS key_concepts, string_agg('What is ' || concept || '?=[Answer about ' || concept || ' from corpus]', '|' ORDER BY rank) FILTER (rank <= 3) AS asked FROM {CONCEPTS} GROUP BY source),
 w AS (SELECT source, doc_id, {W} AS ws FROM documents), h AS (SELECT *, ('0x' || left(md5('42:' || doc_id || ':0'), 8))::BIGINT % (greatest(len(ws) - 300, 0) + 1) AS a, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) AS nth FROM w),
 g AS (SELECT source, count(*)::INTEGER AS segments, md5(string_agg(array_to_string(ws[a + 1 : a + 300], ' '), '|' ORDER BY nth)) AS digest FROM h WHERE nth <= 20 GROUP BY source)
-SELECT source, eval_type, CASE WHEN v.deterministic THEN 0.0 ELSE 0.7 END::DOUBLE AS temperature, v.deterministic, v.verification, key_concepts, segments, digest
+SELECT source, eval_type, CASE WHEN v.deterministic THEN 0.0 ELSE 0.7 END::DOUBLE AS temperature, v.deterministic, v.verification, key_concepts, CASE eval_type {' '.join(f"WHEN '{k}' THEN '{quoted('|'.join(f'{q}={a}' for q, a, _ in v))}'" for k, v in P.SAMPLE_QUESTIONS.items())} ELSE asked END AS sample_questions, segments, digest
 FROM t JOIN (VALUES {SETTINGS}) v(t, deterministic, verification, metrics) ON v.t = eval_type JOIN c USING (source) JOIN g USING (source)""")

@@ -14,7 +14,7 @@ from ..operators import items as I
 from ..operators import questions as Q
 from ..operators import validate as V
 from ..operators.dedup import dedup_questions
-from .corpora import CONCEPTS
+from .corpora import CONCEPTS, STRUCTURE
 from .registry import BANK, CLEAN, STRIP, TOK, WORDS, add, bank, docs, joined, quoted, strings, unicode_edges
 from .texts import W, of
 
@@ -56,6 +56,8 @@ k AS (SELECT source, doc_id, word, n / 10 AS score FROM (SELECT *, row_number()
 i AS (SELECT *, row_number() OVER (PARTITION BY source, word ORDER BY doc_id) AS i, count(*) OVER (PARTITION BY source, word) AS m FROM k),
 s AS (SELECT source, word AS concept, sum(score * pow(2.0, -CASE WHEN i = 1 THEN m - 1 ELSE m - i + 1 END)) AS score, count(*) AS chunks, word AS snippet FROM i GROUP BY source, word)
 SELECT source, concept, score, chunks, snippet FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, concept) AS rank FROM s) WHERE rank <= 20""")
+add("cm04_concepts_of_chunks", lambda s, d: CO.merge_chunk_concepts(CO.chunk_concepts(C.fixed_chunks(docs(s, d))).join(docs(s, d).select("doc_id", "source"), "doc_id"), "source", ["doc_id", "chunk_index"])
+    .select("source", "concept", "score", "chunks", "snippet", "rank"))
 TEN = "k=10"
 SENT = f"(SELECT source, doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS pos, ss FROM (SELECT source, doc_id, string_split(coalesce(text, ''), '.') AS ss FROM documents))"
 HEADS = lambda n: f"(SELECT source, arg_min(left(coalesce(text, ''), {n}), doc_id) AS head FROM documents GROUP BY source)"
@@ -100,7 +102,6 @@ def complexity(s: SparkSession, d: str) -> DataFrame:
     return docs(s, d).select("doc_id", "source").join(K.corpus_structure(docs(s, d)).select("doc_id", "complexity"), "doc_id").groupBy("source").agg(F.round(F.avg("complexity"), 6).alias("complexity"))
 
 
-add("qg02_strategy_questions", lambda s, d: Q.strategy_questions(CO.key_concepts(docs(s, d)), complexity(s, d)))
 
 
 def snippets(s: SparkSession, d: str) -> DataFrame:
@@ -111,13 +112,13 @@ def snippets(s: SparkSession, d: str) -> DataFrame:
 add("qg03_typed_questions", lambda s, d: Q.typed_questions(snippets(s, d)))
 add("qg04_grounded_questions", lambda s, d: Q.grounded_questions(snippets(s, d)).withColumn("variant", F.lit("details")).union(Q.grounded_questions(snippets(s, d), eval_type="factual_qa", variant="passage").withColumn("variant", F.lit("passage"))))
 NUMS = "regexp_extract_all(coalesce(text, ''), '\\d+\\.?\\d*')"
-add("qg05_arithmetic_questions", lambda s, d: Q.arithmetic_questions(docs(s, d)).withColumn("answer", F.when(F.col("result").isNull() | ~F.col("answer").contains("."), F.col("answer"))), f"""
+add("qg05_arithmetic_questions", lambda s, d: Q.arithmetic_questions(docs(s, d)), f"""
 WITH n AS (SELECT doc_id, {NUMS} AS ns, unnest(range(0, 3)) AS i FROM documents), h AS (SELECT *, len(ns) AS m, greatest(len(ns), 2) AS g, {dice(42, 'doc_id', 'i')} AS h1, {dice(43, 'doc_id', 'i')} AS h2, {pick(list('+-*/'), dice(44, 'doc_id', 'i'))} AS op FROM n),
 p AS (SELECT *, ns[h1 % g + 1] AS a, ns[(h1 % g + 1 + h2 % (g - 1)) % g + 1] AS b FROM h), q AS (SELECT *, NOT contains(a, '.') AND NOT contains(b, '.') AND op <> '/' AS whole, TRY_CAST(a AS BIGINT)::HUGEINT AS x, TRY_CAST(b AS BIGINT)::HUGEINT AS y, TRY_CAST(a AS DOUBLE) AS u, TRY_CAST(b AS DOUBLE) AS v,
   regexp_matches(a, '^0\\d+$') OR regexp_matches(b, '^0\\d+$') AS odd FROM p),
 r AS (SELECT *, CASE WHEN whole AND NOT odd THEN TRY_CAST(CASE op WHEN '+' THEN x + y WHEN '-' THEN x - y ELSE x * y END AS BIGINT) END AS i8, CASE WHEN NOT whole AND NOT odd THEN CASE op WHEN '+' THEN u + v WHEN '-' THEN u - v WHEN '*' THEN u * v ELSE u / nullif(v, 0) END END AS f8 FROM q)
 SELECT doc_id, i::INTEGER AS i, CASE WHEN m < 2 THEN 'Solve the mathematical problem presented in the corpus' WHEN i8 IS NULL AND f8 IS NULL THEN 'What is the mathematical relationship in the corpus?' ELSE 'Calculate: ' || a || ' ' || op || ' ' || b END AS question,
-  CASE WHEN m < 2 THEN 'The solution involves mathematical reasoning based on the given information' WHEN i8 IS NULL AND f8 IS NULL THEN 'Mathematical concepts are discussed in the context' ELSE i8::VARCHAR END AS answer, CASE WHEN m >= 2 THEN coalesce(i8::DOUBLE, f8) END AS result FROM r""")
+  CASE WHEN m < 2 THEN 'The solution involves mathematical reasoning based on the given information' WHEN i8 IS NULL AND f8 IS NULL THEN 'Mathematical concepts are discussed in the context' ELSE coalesce(i8::VARCHAR, TRY_CAST(f8::VARCHAR AS DECIMAL(38, 6))::VARCHAR, format('{{:.6f}}', f8)) END AS answer, CASE WHEN m >= 2 THEN coalesce(i8::DOUBLE, f8) END AS result FROM r""")
 SEG = f"(SELECT doc_id, segment, array_to_string(ws[a + 1 : a + 300], ' ') AS context FROM (SELECT *, ('0x' || left(md5('42:' || doc_id || ':' || segment), 8))::BIGINT % (greatest(len(ws) - 300, 0) + 1) AS a FROM (SELECT doc_id, {W} AS ws, unnest(range(0, 2)) AS segment FROM documents)))"
 BEST = f"""(SELECT x FROM (SELECT x, sum(v) AS n, min(p) AS f FROM (SELECT CASE WHEN regexp_matches(w, '^[A-Z]') THEN w ELSE lower(w) END AS x, CASE WHEN regexp_matches(w, '^[A-Z]') THEN 2 ELSE 1 END AS v, p FROM (SELECT unnest(ws) AS w, generate_subscripts(ws, 1) AS p
   FROM (SELECT regexp_extract_all({unicode_edges('context')}, '\\b[A-Za-z]{{4,}}\\b') AS ws)) WHERE lower(w) NOT IN ({strings(P.CONCEPT_STOPS)})) GROUP BY x)
@@ -155,9 +156,27 @@ add("qg11_estimate_difficulty", lambda s, d: bank(s, d).select("item_id", Q.esti
 SELECT item_id, CASE WHEN p <= 2 THEN 'basic' WHEN p <= 4 THEN 'intermediate' WHEN p <= 6 THEN 'hard' ELSE 'expert' END AS value FROM (SELECT item_id, (len({WORDS.format('question')}) > 20)::INTEGER + CASE WHEN {HOLDS(['analyze', 'compare', 'evaluate', 'synthesize', 'contrast'], 'lower(question)')} THEN 2 ELSE 0 END
   + ({NW} > 30)::INTEGER + (steps > 2)::INTEGER + CASE eval_type WHEN 'code_generation' THEN 2 WHEN 'factual_qa' THEN 0 ELSE 1 END AS p FROM {BANK})""")
 QW = WORDS.format("question")
-add("qg12_rule_difficulty", lambda s, d: bank(s, d).select("item_id", Q.rule_difficulty(F.col("question"), F.array("concept")).alias("value")), f"""
-SELECT item_id, CASE WHEN p >= 4 THEN 'expert' WHEN p >= 2 THEN 'advanced' WHEN p >= 1 THEN 'intermediate' ELSE 'basic' END AS value FROM (SELECT item_id, 3 * len(list_filter({QW}, lambda x: length(x) > 7)) / greatest(len({QW}), 1) + 2 * contains(lower(question), lower(concept))::INTEGER
-  + 2 * ({' + '.join(f"contains(lower(question), '{w}')::INTEGER" for w in P.DIFFICULTY_WORDS)}) AS p FROM {BANK})""")
+def run_docs(s: SparkSession, d: str) -> DataFrame:
+    """The items of a run as the documents of a corpus."""
+    return bank(s, d).select(F.col("item_id").alias("doc_id"), F.col("run_id").alias("source"), F.concat_ws(" ", "question", "answer").alias("text"))
+
+
+def with_concepts(s: SparkSession, d: str) -> DataFrame:
+    """The item bank, each item with its run's key concepts, best first, and the mean complexity of the run's items."""
+    runs = run_docs(s, d)
+    known = CO.key_concepts(runs).groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "concept"))), lambda x: x["concept"]).alias("concepts"))
+    complex_ = runs.select("doc_id", "source").join(K.corpus_structure(runs).select("doc_id", "complexity"), "doc_id").groupBy("source").agg(F.round(F.avg("complexity"), 6).alias("complexity"))
+    return bank(s, d).join(known.join(complex_, "source").withColumnRenamed("source", "run_id"), "run_id")
+
+
+RUN_DOCS = f"(SELECT item_id AS doc_id, run_id AS source, concat_ws(' ', question, answer) AS text FROM {BANK})"
+RUN_STRUCTURE = STRUCTURE.replace("FROM documents", f"FROM {RUN_DOCS}").replace("SELECT doc_id,", "SELECT doc_id, source,", 1)
+CBANK = f"""(SELECT b.*, n.concepts, c.complexity FROM {BANK} b JOIN (SELECT source, list(concept ORDER BY rank) AS concepts FROM {CONCEPTS.replace("FROM documents", f"FROM {RUN_DOCS}")} GROUP BY source) n ON b.run_id = n.source
+  JOIN (SELECT source, round(avg(complexity), 6) AS complexity FROM ({RUN_STRUCTURE}) GROUP BY source) c ON c.source = b.run_id)"""
+MET = lambda n: f"len(list_filter(concepts[:{n}], lambda c: contains(lower(question), lower(c))))"
+add("qg12_rule_difficulty", lambda s, d: with_concepts(s, d).select("item_id", Q.rule_difficulty(F.col("question"), F.col("concepts")).alias("value")), f"""
+SELECT item_id, CASE WHEN p >= 4 THEN 'expert' WHEN p >= 2 THEN 'advanced' WHEN p >= 1 THEN 'intermediate' ELSE 'basic' END AS value FROM (SELECT item_id, 3 * len(list_filter({QW}, lambda x: length(x) > 7)) / greatest(len({QW}), 1) + 2 * {MET(5)}
+  + 2 * ({' + '.join(f"contains(lower(question), '{w}')::INTEGER" for w in P.DIFFICULTY_WORDS)}) AS p FROM {CBANK})""")
 COERCED = "CASE WHEN length(q) < 5 THEN NULL WHEN ends_with(left(q, 150), '?') OR NOT " + HOLDS([*P.ASKING_WORDS[:6], "is", "are", "can", "could", "would", "should"], "lower(left(q, 150))") + " THEN left(q, 150) ELSE left(q, 150) || '?' END"
 add("qg13_coerce_question", lambda s, d: bank(s, d).select("item_id", Q.coerce_question(F.col("question")).alias("value")), f"SELECT item_id, {COERCED} AS value FROM (SELECT item_id, {QS} AS q FROM {BANK})")
 CAPITAL = lambda n, ws: f"list_filter({ws}, lambda w: length(w) > {n} AND regexp_matches(w, '^\\pLu'))".replace("\\pLu", "\\p{Lu}")
@@ -173,9 +192,24 @@ add("qg15_harden_questions", lambda s, d: Q.harden_questions(bank(s, d)).withCol
 
 # validation
 SIMPLE = f"""(len({QW}) < 3 OR {NW} < 1 OR {HOLDS(P.PLACEHOLDERS, 'lower(question)')} OR {HOLDS(P.PLACEHOLDERS)} OR lower({QS}) IN ({strings(P.BARE_TEXTS)}) OR {AL} IN ({strings(P.BARE_TEXTS)}) OR (len({QW}) <= 4 AND {HOLDS(P.GENERIC_QUESTIONS, 'lower(question)')}))"""
-QUALITY = f"""least(1.0, greatest(0.1, 0.2 * least(len({QW}) / 15, 1.0) + 0.3 * (1 - abs(len(list_filter({QW}, lambda x: length(x) > 6)) / greatest(len({QW}), 1) - 0.5)) + 0.3 * least(contains(lower(question), lower(concept))::INTEGER / 2, 1.0)
+QUALITY = f"""least(1.0, greatest(0.1, 0.2 * least(len({QW}) / 15, 1.0) + 0.3 * (1 - abs(len(list_filter({QW}, lambda x: length(x) > 6)) / greatest(len({QW}), 1) - complexity)) + 0.3 * least({MET(10)} / 2, 1.0)
   + 0.2 * CASE WHEN {HOLDS(P.ASKING_WORDS[:6], 'lower(question)')} THEN 1.0 ELSE 0.7 END))"""
-add("vd01_question_quality", lambda s, d: bank(s, d).select("item_id", F.round(Q.question_quality(F.col("question"), F.array("concept"), F.lit(0.5)), 9).alias("value")), f"SELECT item_id, round(({QUALITY})::DOUBLE, 9) AS value FROM {BANK}")
+add("vd01_question_quality", lambda s, d: with_concepts(s, d).select("item_id", F.round(Q.question_quality(F.col("question"), F.col("concepts"), F.col("complexity")), 9).alias("value")), f"SELECT item_id, round(({QUALITY})::DOUBLE, 9) AS value FROM {CBANK}")
+STRATEGIES = list(P.STRATEGY_TEMPLATES)
+BY_CATEGORY = lambda values, default="NULL": "CASE category " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + f" ELSE {default} END"
+DIFFICULTY = f"""CASE WHEN p >= 4 THEN 'expert' WHEN p >= 2 THEN 'advanced' WHEN p >= 1 THEN 'intermediate' ELSE 'basic' END"""
+add("qg02_strategy_questions", lambda s, d: Q.strategy_questions(CO.key_concepts(docs(s, d)), complexity(s, d)).withColumn("quality_score", F.round("quality_score", 9)), f"""
+WITH known AS (SELECT source, list(concept ORDER BY rank) AS concepts FROM {CONCEPTS} GROUP BY source), x AS (SELECT source, round(avg(complexity), 6) AS complexity FROM ({STRUCTURE.replace("SELECT doc_id,", "SELECT doc_id, source,", 1)}) GROUP BY source),
+quota(category, k, quota) AS (VALUES {', '.join(f"('{c}', {k}, {max(1, 40 // len(STRATEGIES)) + (k < 40 % len(STRATEGIES))})" for k, c in enumerate(STRATEGIES))}),
+r AS (SELECT source, concepts, complexity, category, k, len(concepts) AS size, unnest(range(0, CASE WHEN category = 'conceptual' THEN least(quota, len(concepts)) ELSE quota END)) AS i FROM known JOIN x USING (source), quota),
+h AS (SELECT *, {dice(42, 'source', 'category', 'i')} AS h0, {dice(43, 'source', 'category', 'i')} AS h1, {dice(44, 'source', 'category', 'i')} AS h2 FROM r),
+c AS (SELECT *, CASE WHEN category = 'synthesis' AND size < 3 THEN 'system_' || i WHEN category = 'comparison' AND size < 2 THEN 'topic_' || i
+    ELSE concepts[CASE WHEN category = 'comparison' THEN h0 % size WHEN category = 'synthesis' AND size >= 3 THEN h0 % least(size, 10) ELSE i % size END + 1] END AS concept,
+  string_split({BY_CATEGORY({c: pick(t, 'h1') for c, t in P.STRATEGY_TEMPLATES.items()})}, '{{}}') AS parts, {pick(P.RELATED_TERMS, 'h2')} AS term FROM h),
+f AS (SELECT *, array_to_string(list_transform(range(1, len(parts) + 1), lambda j: parts[j] || CASE WHEN j < len(parts) THEN [concept, CASE WHEN len(parts) = 4 THEN concept || ' system' ELSE term END, concept || ' approach'][j] ELSE '' END), '') AS question FROM c),
+g AS (SELECT *, 3 * len(list_filter({QW}, lambda x: length(x) > 7)) / greatest(len({QW}), 1) + 2 * {MET(5)} + 2 * ({' + '.join(f"contains(lower(question), '{w}')::INTEGER" for w in P.DIFFICULTY_WORDS)}) AS p FROM f)
+SELECT source, (k * 1000 + i)::INTEGER AS item_id, category, concept, question, replace({BY_CATEGORY({c: f"'{quoted(a)}'" for c, a in P.STRATEGY_ANSWERS.items()})}, '{{}}', concept) AS answer,
+  {BY_CATEGORY({c: f"'{v}'" for c, v in P.STRATEGY_DIFFICULTY.items()}, DIFFICULTY)} AS difficulty, round(least(1.0, ({QUALITY}) + {BY_CATEGORY({c: f"{v}e0" for c, v in P.STRATEGY_BOOST.items()})})::DOUBLE, 9) AS quality_score FROM g""")
 add("vd02_too_simple", lambda s, d: bank(s, d).select("item_id", V.too_simple(F.col("question"), F.col("answer")).alias("value")), f"SELECT item_id, {SIMPLE} AS value FROM {BANK}")
 DEDUP = f"""
 WITH RECURSIVE b AS MATERIALIZED (SELECT item_id, list_sort(list_distinct({TOK.format('question')})) AS s FROM {BANK} {{0}}), o AS MATERIALIZED (SELECT item_id, s, row_number() OVER (ORDER BY item_id) AS k FROM b),
@@ -183,11 +217,20 @@ e AS MATERIALIZED (SELECT x.k AS a, y.k AS b FROM o x JOIN o y ON x.k < y.k WHER
 r AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept UNION ALL SELECT r.k + 1, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.b = r.k + 1 AND list_contains(r.kept, e.a)) THEN r.kept ELSE list_append(r.kept, r.k + 1) END FROM r WHERE r.k < (SELECT count(*) FROM o))
 SELECT item_id FROM o WHERE list_contains((SELECT kept FROM r ORDER BY k DESC LIMIT 1), o.k)"""
 add("vd03_dedup_questions", lambda s, d: dedup_questions(bank(s, d).select("item_id", "question")).select("item_id"), of(DEDUP, ""))
-add("vd04_select_with_relaxation", lambda s, d: V.select_with_relaxation(bank(s, d).select("run_id", "item_id", "question", "answer", F.col("validation_score").alias("score")), "run_id", 5).select("run_id", "item_id", "score", "rank", "threshold"))
-SCORED = f"(SELECT c.source, c.concept, c.rank AS item_id, c.weight / 100 AS score FROM {CONCEPTS} c)"
-add("vd05_select_best", lambda s, d: I.select_best(CO.key_concepts(docs(s, d)).select("source", "concept", F.col("rank").alias("item_id"), (F.col("weight") / 100).alias("score")), "source", 8), f"""
-WITH f AS (SELECT *, (row_number() OVER (PARTITION BY source, concept ORDER BY score DESC, item_id) = 1)::INTEGER AS first FROM {SCORED}), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY first DESC, score DESC, item_id) AS rank FROM f)
-SELECT source, concept, item_id::INTEGER AS item_id, score, rank::INTEGER AS rank FROM r WHERE rank <= 8""")
+add("vd04_select_with_relaxation", lambda s, d: V.select_with_relaxation(bank(s, d).select("run_id", "item_id", "question", "answer", F.col("validation_score").alias("score")), "run_id", 5).select("run_id", "item_id", "score", "rank", "threshold"), f"""
+WITH RECURSIVE least_(t) AS (VALUES (0.4e0), (0.3e0), (0.2e0), (0.1e0)), o AS MATERIALIZED (
+  SELECT t, run_id, item_id, validation_score AS score, list_sort(list_distinct({TOK.format('question')})) AS s, row_number() OVER (PARTITION BY t, run_id ORDER BY item_id) AS k FROM {BANK}, least_ WHERE NOT {SIMPLE} AND validation_score >= t),
+n AS (SELECT t, run_id, max(k) AS n FROM o GROUP BY ALL),
+e AS MATERIALIZED (SELECT x.t, x.run_id, y.k AS b, list(x.k) AS earlier FROM o x JOIN o y ON x.t = y.t AND x.run_id = y.run_id AND x.k < y.k WHERE len(x.s) > 0 AND len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s))) > 0.7 GROUP BY ALL),
+r AS (SELECT t, run_id, n, 0::BIGINT AS k, []::BIGINT[] AS kept FROM n UNION ALL
+  SELECT r.t, r.run_id, n, r.k + 1, CASE WHEN e.b IS NOT NULL AND list_has_any(kept, earlier) THEN kept ELSE list_append(kept, r.k + 1) END FROM r LEFT JOIN e ON e.t = r.t AND e.run_id = r.run_id AND e.b = r.k + 1 WHERE r.k < n),
+ranked AS (SELECT o.t, o.run_id, item_id, score, row_number() OVER (PARTITION BY o.t, o.run_id ORDER BY score DESC, item_id) AS rank FROM o JOIN r ON r.t = o.t AND r.run_id = o.run_id AND r.k = n WHERE list_contains(kept, o.k)),
+chosen AS (SELECT run_id, coalesce(max(t) FILTER (rank = 5), 0.1e0) AS t FROM ranked GROUP BY run_id)
+SELECT ranked.run_id, item_id, score, rank::INTEGER AS rank, ranked.t AS threshold FROM ranked JOIN chosen ON chosen.run_id = ranked.run_id AND chosen.t = ranked.t WHERE rank <= 5""")
+SCORED = f"(SELECT run_id, item_id, answer_type AS concept, validation_score AS score FROM {BANK})"
+add("vd05_select_best", lambda s, d: I.select_best(bank(s, d).select("run_id", "item_id", F.col("answer_type").alias("concept"), F.col("validation_score").alias("score")), "run_id", 8), f"""
+WITH f AS (SELECT *, (row_number() OVER (PARTITION BY run_id, concept ORDER BY score DESC, item_id) = 1)::INTEGER AS first FROM {SCORED}), r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY first DESC, score DESC, item_id) AS rank FROM f)
+SELECT run_id, concept, item_id, score, rank::INTEGER AS rank FROM r WHERE rank <= 8""")
 
 
 def fit(signs: list[str], factor: float) -> str:

@@ -43,7 +43,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.select("event_id", (F.col("user_id") % 7).alias("model"), "ts", "user_id", F.when(F.col("event_type") == "error", "error").otherwise("success").alias("status"), F.col("value").alias("response_time"))
+    return e.select("event_id", (F.col("user_id") % 7).alias("model"), "ts", "user_id", F.when(F.col("event_type") == "error", "error").otherwise("success").alias("status"), F.col("value").alias("response_time"), F.when(F.col("event_type") == "error", F.concat(F.lit("error "), "event_id")).alias("error"))
 
 
 QA = "(SELECT a.conv_id, a.turn, a.text AS question, b.text AS answer FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant')"
@@ -56,7 +56,7 @@ NORM = "regexp_replace(regexp_replace(regexp_replace(" + CLEAN.format("lower(coa
 NUM = "TRY_CAST(regexp_extract_all(coalesce({0}, ''), '-?\\d+\\.?\\d*')[1] AS DOUBLE)"
 OVERLAP = DICE.format("list_distinct(" + TOK.format("answer") + ")", "list_distinct(" + TOK.format("question") + ")")
 RESULTS = f"(SELECT conv_id % 10 AS run_id, conv_id * 100 + turn AS item_id, question, answer, CASE WHEN turn = 0 THEN 'factual_qa' ELSE 'domain_knowledge' END AS eval_type, {OVERLAP} AS score FROM {QA})"
-CALLS = "(SELECT event_id, user_id % 7 AS model, ts, user_id, CASE WHEN event_type = 'error' THEN 'error' ELSE 'success' END AS status, value AS response_time FROM events)"
+CALLS = "(SELECT event_id, user_id % 7 AS model, ts, user_id, CASE WHEN event_type = 'error' THEN 'error' ELSE 'success' END AS status, value AS response_time, CASE WHEN event_type = 'error' THEN 'error ' || event_id END AS error FROM events)"
 
 
 def per_doc(name: str, column: Callable, sql: str | None) -> None:

@@ -12,7 +12,7 @@ from ..operators.contamination import contamination
 from ..streaming import live as L
 from . import answers as _answers  # noqa: F401  its SQL is used below
 from .answers import EXACT
-from .registry import CALLS, OVERLAP, RESULTS, SQL, STRIP, TOK, WORDS, add, calls, docs, predictions, results, table
+from .registry import CALLS, OVERLAP, RESULTS, SQL, STRIP, TOK, WORDS, add, calls, docs, joined, predictions, results, table
 
 # statistics and export
 add("st01_aggregate_metrics", lambda s, d: ST.aggregate_metrics(results(s, d).select("eval_type", F.create_map(F.lit("overlap"), F.col("score"), F.lit("exact"), V.exact_match(F.col("answer"), F.col("question"))).alias("metrics"))), f"""
@@ -89,17 +89,24 @@ add("st10_contamination_report", lambda s, d: ST.contamination_report(contaminat
 add("st11_type_distribution", lambda s, d: ST.type_distribution(results(s, d)), f"SELECT eval_type, count(*) AS count FROM {RESULTS} GROUP BY eval_type")
 add("st12_performance_level", lambda s, d: ST.run_summary(results(s, d)).select("run_id", ST.performance_level(F.col("mean_score")).alias("level")), f"SELECT run_id, CASE WHEN m >= 0.8 THEN 'excellent' WHEN m >= 0.6 THEN 'good' WHEN m >= 0.4 THEN 'fair' ELSE 'poor' END AS level FROM (SELECT run_id, avg(score) AS m FROM {RESULTS} GROUP BY run_id)")
 add("st13_task_metrics", lambda s, d: ST.task_metrics(results(s, d).withColumn("task", F.col("eval_type"))), f"SELECT eval_type AS task, avg((score >= 0.9)::INTEGER) AS exact, avg(score) AS f1, count(*) AS n FROM {RESULTS} GROUP BY ALL")
-add("st14_call_stats", lambda s, d: ST.call_stats(calls(s, d)), f"""SELECT model, count(*) AS total, count(*) FILTER (status = 'success') AS successful, count(*) FILTER (status <> 'success') AS failed, count(*) FILTER (status = 'success') / count(*) AS success_rate,
-  avg(response_time) FILTER (response_time > 0) AS avg_time, max(response_time) FILTER (response_time > 0) AS max_time, min(response_time) FILTER (response_time > 0) AS min_time, sum(response_time) FILTER (response_time > 0) / (epoch(max(ts)) - epoch(min(ts))) AS speedup FROM {CALLS} GROUP BY model""")
-add("st15_phase_durations", lambda s, d: ST.phase_durations(table(s, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("phase"), F.when(F.col("value") < 10, "start").otherwise("end").alias("event"), "ts")).select("run_id", "phase", F.round("seconds", 3).alias("seconds")),
-    "SELECT user_id AS run_id, event_type AS phase, round(epoch(min(ts) FILTER (NOT value < 10)) - epoch(min(ts) FILTER (value < 10)), 3) AS seconds FROM events GROUP BY ALL")
+add("st14_call_stats", lambda s, d: ST.call_stats(calls(s, d)).withColumn("recent_errors", joined(F.col("recent_errors"))), f"""WITH last AS (SELECT model, string_agg(error, '|' ORDER BY ts, error) AS recent_errors FROM (
+  SELECT *, row_number() OVER (PARTITION BY model ORDER BY ts DESC, error DESC) AS k FROM {CALLS} WHERE status <> 'success') WHERE k <= 5 GROUP BY model)
+SELECT model, count(*) AS total, count(*) FILTER (status = 'success') AS successful, count(*) FILTER (status <> 'success') AS failed, count(*) FILTER (status = 'success') / count(*) AS success_rate,
+  avg(response_time) FILTER (response_time > 0) AS avg_time, max(response_time) FILTER (response_time > 0) AS max_time, min(response_time) FILTER (response_time > 0) AS min_time, sum(response_time) FILTER (response_time > 0) / (epoch(max(ts)) - epoch(min(ts))) AS speedup,
+  coalesce(any_value(recent_errors), '') AS recent_errors FROM {CALLS} LEFT JOIN last USING (model) GROUP BY model""")
+add("st15_phase_durations", lambda s, d: ST.phase_durations(table(s, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("phase"), F.when(F.col("value") < 10, "start").otherwise("end").alias("event"), "ts")).select("run_id", "phase", F.round("seconds", 3).alias("seconds"), F.round("run_seconds", 3).alias("run_seconds")),
+    """SELECT run_id, phase, seconds, round(epoch(max(high) OVER (PARTITION BY run_id)) - epoch(min(low) OVER (PARTITION BY run_id)), 3) AS run_seconds FROM (
+  SELECT user_id AS run_id, event_type AS phase, round(epoch(min(ts) FILTER (NOT value < 10)) - epoch(min(ts) FILTER (value < 10)), 3) AS seconds, max(ts) AS high, min(ts) AS low FROM events GROUP BY ALL)""")
 add("st16_compare_models", lambda s, d: (lambda r: ST.compare_models(r.select(F.col("item_id").alias("question_id"), (F.col("score") > 0.3).alias("correct")), r.select(F.col("item_id").alias("question_id"), (F.col("score") > 0.2).alias("correct"))))(results(s, d)), f"""
 SELECT *, CASE WHEN base_accuracy > 0 THEN (tuned_accuracy - base_accuracy) / base_accuracy * 100 ELSE 0.0 END AS improvement_pct FROM (SELECT avg((score > 0.3)::INTEGER) AS base_accuracy, avg((score > 0.2)::INTEGER) AS tuned_accuracy,
   count(*) FILTER (score > 0.2 AND NOT score > 0.3) AS improved, count(*) FILTER (score > 0.3 AND NOT score > 0.2) AS worse, count(*) AS n FROM {RESULTS})""")
+TUNED = lambda r: [r.select(F.col("item_id").alias("question_id"), (F.col("score") > x).alias("correct")) for x in (0.3, 0.2)]
+add("st16_compared_questions", lambda s, d: ST.compare_questions(*TUNED(results(s, d))), f"SELECT item_id AS question_id, score > 0.3 AS base_correct, score > 0.2 AS tuned_correct, score > 0.2 AND NOT score > 0.3 AS improved FROM {RESULTS}")
 LOG = "CASE WHEN event_id % 3 = 0 THEN 'Iter ' || event_id || ': Val loss ' || value || ', Val took 1.2s' WHEN event_id % 3 = 1 THEN 'Iter ' || event_id || ': Train loss ' || value ELSE 'Val loss n/a, skipped' END"
 add("st17_final_loss", lambda s, d: ST.final_loss(table(s, d, "events").select((F.col("user_id") % 10).alias("run_id"), F.col("event_id").alias("line_no"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Iter "), F.col("event_id").cast("string"), F.lit(": Val loss "), F.col("value").cast("string"), F.lit(", Val took 1.2s")))
     .when(F.col("event_id") % 3 == 1, F.concat(F.lit("Iter "), F.col("event_id").cast("string"), F.lit(": Train loss "), F.col("value").cast("string"))).otherwise("Val loss n/a, skipped").alias("line"))), "SELECT user_id % 10 AS run_id, arg_max(value, event_id) FILTER (event_id % 3 = 0) AS final_loss FROM events GROUP BY 1")
-add("st18_runs_overview", lambda s, d: ST.runs_overview(ST.run_summary(results(s, d))), f"SELECT count(*) AS runs, count(*) FILTER (m >= 0.8) AS high, count(*) FILTER (m >= 0.6 AND m < 0.8) AS medium, count(*) FILTER (m < 0.6) AS low FROM (SELECT avg(score) AS m FROM {RESULTS} GROUP BY run_id)")
+add("st18_runs_overview", lambda s, d: ST.runs_overview(ST.run_summary(results(s, d)).withColumn("status", F.when(F.col("run_id") % 3 == 0, "running").otherwise("completed")).withColumn("finetuned", F.col("run_id") % 4 == 1)), f"""SELECT count(*) AS runs, count(*) FILTER (m >= 0.8) AS high, count(*) FILTER (m >= 0.6 AND m < 0.8) AS medium,
+  count(*) FILTER (m < 0.6) AS low, count(*) FILTER (run_id % 3 <> 0) AS completed, count(*) FILTER (run_id % 3 = 0) AS running, count(*) FILTER (run_id % 4 = 1) AS with_finetune_set FROM (SELECT run_id, avg(score) AS m FROM {RESULTS} GROUP BY run_id)""")
 SPLIT = f"(SELECT *, count(*) OVER (PARTITION BY run_id) AS n, row_number() OVER (PARTITION BY run_id ORDER BY md5('42:' || item_id), item_id) AS k FROM {RESULTS})"
 add("sp01_train_test_split", lambda s, d: ST.train_test_split(results(s, d), "run_id", "item_id").select("run_id", "item_id", "split"), f"""SELECT run_id, item_id, CASE WHEN n > 1 AND k <= CASE WHEN greatest(1, floor(n * 0.2)) >= n THEN greatest(1, floor(n / 2)) ELSE greatest(1, floor(n * 0.2)) END THEN 'test' ELSE 'train' END AS split FROM {SPLIT}""")
 add("sp01_split_summary", lambda s, d: ST.split_summary(ST.train_test_split(results(s, d), "run_id", "item_id"), "run_id"), f"""SELECT run_id, count(*) AS total, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'test') AS test, avg((split = 'test')::INTEGER) AS test_share FROM (SELECT run_id, CASE WHEN n > 1 AND k <= greatest(1, floor(n * 0.2)) THEN 'test' ELSE 'train' END AS split FROM {SPLIT}) GROUP BY run_id""",)

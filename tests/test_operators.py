@@ -401,6 +401,86 @@ def test_verified_stream_equals_batch(spark, tmp_path):
     assert key(spark.table("verified")) == key(L.stream_verify(preds, items).select("item_id", "score", "method"))
 
 
+def test_retention_stream_keeps_what_the_batch_keeps(spark, tmp_path):
+    """Runs come in three batches; the last changes say which are kept: the same as in the batch form at the last watermark. State is gone after the limit."""
+    start, hour = dt.datetime(2024, 1, 1), dt.timedelta(hours=1)
+    rng = random.Random(4)
+    first = [(f"r{k:02}", start + hour * rng.randint(0, 30), k % 2 == 0) for k in range(12)]
+    second = [(f"s{k:02}", start + hour * (31 + k), k % 3 == 0) for k in range(4)] + [("r01", start + 33 * hour, True)]
+    last = [("z", start + 50 * hour, False)]
+    src, out = tmp_path / "in", []
+    for n, rows in enumerate((first, second, last, [("end", start + 50 * hour + dt.timedelta(minutes=1), False)])):
+        spark.createDataFrame(rows, "run_id string, ts timestamp, finished boolean").coalesce(1).write.parquet(str(src / f"{n}"))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema("run_id string, ts timestamp, finished boolean").option("maxFilesPerTrigger", 1).parquet(str(src / "*"))
+        q = L.run_retention_stream(stream, most=6, late="0 seconds").writeStream.foreachBatch(lambda df, k: out.extend((k, *r) for r in df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(240)
+        assert q.exception() is None
+        held = q.lastProgress["stateOperators"][0]["numRowsTotal"] if q.lastProgress["stateOperators"] else None
+    finally:
+        spark.conf.unset(provider)
+    state = {}
+    for _, _, run, at, finished, change in out:
+        state[run] = (change, at, finished)
+    kept = sorted(r for r, (change, _, _) in state.items() if change == "kept")
+    newest = {}
+    for run, at, finished in first + second + last:
+        newest[run] = max(newest.get(run, (at, finished)), (at, finished))
+    runs = spark.createDataFrame([(r, t, f) for r, (t, f) in newest.items()] + [("end", start + 50 * hour + dt.timedelta(minutes=1), False)], "run_id string, ts timestamp, finished boolean")
+    want = sorted(r.run_id for r in L.run_retention(runs, start + 50 * hour, most=6).collect())
+    assert kept == want and (held is None or held <= 3 * 6 + 6)
+
+
+def test_call_rate_and_progress_in_ranges(spark):
+    rng = random.Random(9)
+    start = dt.datetime(2024, 1, 1)
+    calls = [(k, rng.choice([1, 1, 1, 2, None]), start + dt.timedelta(seconds=rng.choice([rng.randint(0, 400), rng.uniform(0, 5000), 600 * rng.randint(0, 8)]))) for k in range(600)]
+    df = spark.createDataFrame(calls, "event_id long, user_id int, ts timestamp")
+    got = {r.event_id: r.recent for r in L.call_rate(df).collect()}
+    for k, user, at in calls:
+        assert got[k] == sum(u == user and dt.timedelta(0) <= at - t < dt.timedelta(seconds=60) for _, u, t in calls)
+    events = df.select(F.col("user_id").alias("run_id"), F.lit("p").alias("phase"), "event_id", "ts", (F.col("event_id") % 3).alias("increment"), F.lit(300).alias("total"))
+    wide, narrow = (sorted(map(str, L.phase_progress(events, span=span).collect())) for span in (10**9, 60))
+    assert wide == narrow and len(wide) > 100
+
+
+def test_merged_concepts_are_running_means(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice(["s", "t", None]), d, c, rng.choice(["hot", "hot", "a", "b", None]), round(rng.random(), 3), "x" * rng.randint(1, 4) + str(d)) for d in range(60) for c in range(8)]
+    rows = list({(r[0], r[1], r[2], r[3]): r for r in rows}.values()) + [("s", 99, 0, "hot", None, "longest of all without a score")]
+    df = spark.createDataFrame(rows, "source string, doc_id long, chunk_index long, concept string, score double, snippet string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        got = {(r.source, r.concept): (r.score, r.chunks, r.snippet) for r in CO.merge_chunk_concepts(df, "source", ["doc_id", "chunk_index"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
+    want = {}
+    for s, _, _, c, x, said in sorted(rows, key=lambda r: (r[1], r[2])):
+        if x is None:
+            continue
+        mean, n, longest = want.get((s, c), (None, 0, ""))
+        want[s, c] = (x if mean is None else (mean + x) / 2, n + 1, said if len(said) > len(longest) else longest)
+    assert {k: (pytest.approx(v[0]), *v[1:]) for k, v in want.items()} == got
+
+
+def test_run_and_call_summaries(spark):
+    start = dt.datetime(2024, 1, 1)
+    calls = [("m", "error" if k % 2 else "success", 1.0, start + dt.timedelta(seconds=k), f"e{k}" if k % 2 else None) for k in range(20)] + [("ok", "success", 0.5, start, None)]
+    got = {r.model: r.recent_errors for r in ST.call_stats(spark.createDataFrame(calls, "model string, status string, response_time double, ts timestamp, error string")).collect()}
+    assert got == {"m": ["e11", "e13", "e15", "e17", "e19"], "ok": []}
+    log = [(1, "a", "start", start), (1, "a", "end", start + dt.timedelta(seconds=5)), (1, "b", "start", start + dt.timedelta(seconds=7)), (1, "b", "end", start + dt.timedelta(seconds=9)), (None, "a", "start", start)]
+    rows = {(r.run_id, r.phase): (r.seconds, r.run_seconds) for r in ST.phase_durations(spark.createDataFrame(log, "run_id int, phase string, event string, ts timestamp")).collect()}
+    assert rows == {(1, "a"): (5.0, 9.0), (1, "b"): (2.0, 9.0), (None, "a"): (None, 0.0)}
+    runs = ST.runs_overview(spark.createDataFrame([(1, 0.9, "completed", True), (2, 0.7, "running", False), (3, 0.1, "completed", None)], "run_id int, mean_score double, status string, finetuned boolean")).first()
+    assert (runs.runs, runs.high, runs.medium, runs.low, runs.completed, runs.running, runs.with_finetune_set) == (3, 1, 1, 1, 2, 1, 1)
+    both = spark.createDataFrame([("mathematical", ["x"]), ("domain_knowledge", ["x", "y", "z", "v"]), ("summarization", [])], "t string, c array<string>").select(K.sample_questions(F.col("t"), F.col("c")).alias("q")).collect()
+    assert [len(r.q) for r in both] == [3, 3, 0] and both[0].q[0].answer == "5" and both[1].q[2].question == "What is z?"
+    metrics = spark.createDataFrame([(0.5, "code_match", "def f(): return 1"), (1.0, "exact_match", "x"), (0.2, "mixed_x", "x"), (None, "llm_judge", "x")], "s double, m string, p string").select(V.metrics(F.col("s"), F.col("m"), F.col("p")).alias("v")).collect()
+    assert [r.v for r in metrics] == [{"code_execution": 0.5, "syntax_check": 1.0}, {"exact_match": 1.0}, {"mixed_x": 0.2}, {}]
+
+
 def test_quantiles_against_sorted_scores(spark):
     rng = random.Random(5)
     groups = {None: [rng.random() for _ in range(301)], "hot": [0.5] * 900 + [rng.random() / 4096 for _ in range(600)], "one": [-3.25], "wide": [rng.uniform(-1e6, 1e6) for _ in range(50)]}
