@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import filled, found, frequent, named_entities, once, strip, words
-from .items import ranged
+from .items import cut, ranged
 
 
 def _top(weights: DataFrame, by: str, k: int) -> DataFrame:
@@ -26,6 +26,13 @@ def _top(weights: DataFrame, by: str, k: int) -> DataFrame:
     return weights.withColumn("rank", rank).filter(F.col("rank") <= k).select(by, "concept", "weight", "rank")
 
 
+def _first_place(docs: DataFrame, pos: str) -> Column:
+    """The least place of a group, by doc_id, then pos: as one number where ids are whole numbers, which Spark can aggregate by hash; else as a pair."""
+    if docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return F.min(F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col(pos).cast("decimal(11,0)"))
+    return F.min(F.struct("doc_id", pos))
+
+
 def key_concepts(docs: DataFrame, by: str = "source", k: int = 20) -> DataFrame:
     """A corpus's top words of four letters and more: capitalised forms weigh two, others one; ties by first place.
 
@@ -33,13 +40,13 @@ def key_concepts(docs: DataFrame, by: str = "source", k: int = 20) -> DataFrame:
     patterns: five terms each with inner capitals, with hyphens, and in capitals, then mathematical words where it has operators.
     """
     rows = docs.select(by, "doc_id", F.posexplode(found(F.col("text"), r"\b[A-Za-z]{4,}\b")).alias("pos", "word"))
-    counts = rows.groupBy(by, "word").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("at"))
+    counts = rows.groupBy(by, "word").agg(F.count("*").alias("n"), _first_place(docs, "pos").alias("at"))
     upper = F.col("word").rlike("^[A-Z]")
     counts = counts.filter(~F.lower("word").isin(P.CONCEPT_STOPS)).withColumn("concept", F.when(upper, F.col("word")).otherwise(F.lower("word")))
     sums = counts.groupBy(by, "concept").agg(F.sum(F.col("n") * F.when(upper, 2).otherwise(1)).alias("weight"), F.min("at").alias("at"))
     good = (F.length("concept") >= 5) | F.col("concept").rlike("^[A-Z]") | (F.col("weight") >= 3)
     generic = reduce(or_, [F.lower("concept").contains(g) for g in P.CONCEPT_GENERIC])
-    top = _top(sums.filter(good & ~generic), by, k)
+    top = cut(_top(sums.filter(good & ~generic), by, k))  # k rows for each corpus, used twice
     few = docs.select(by).distinct().join(top.groupBy(by).agg(F.count("*").alias("have")), by, "left").withColumn("have", F.coalesce("have", F.lit(0)))
     return top.union(_fill(docs, few.filter(F.col("have") < k // 2), by, k))
 

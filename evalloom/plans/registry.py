@@ -15,8 +15,18 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table of fewer files than cores, dealt to all cores: a row group is one task, however many splits its file has.
+
+    Larger tables, which have more splits than that, stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    small = len(df.inputFiles()) < cores and df.rdd.getNumPartitions() <= 2 * cores
+    return df.repartition(cores) if small else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def add(name: str, query: Query, sql: str | None = None) -> None:
