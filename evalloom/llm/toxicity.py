@@ -3,9 +3,10 @@
 One model of toxic and one of ordinary text, over the bytes within words, so that unseen forms of a stem are known by their
 beginning in any language. Each discounts absolutely and counts continuations below its highest order; short contexts are
 shared by both classes, so that an expression which is rare in one class is not evidence by its absence alone. A word's
-evidence is the difference of its two log-likelihoods. A document's evidence is normalised by length: its mean, its sum over
-the square root of the length, its heaviest stretch of 25 words and its five strongest words. A logistic curve, fitted on
-sampled documents that the models did not see, turns these into a score.
+evidence is the difference of its two log-likelihoods. A document's evidence is normalised by length: the mean of its words', that of its five
+strongest ones, and the sum of its heaviest stem, as an expression that is rare in the sample shows by coming up again in other forms. Evidence beyond
+KNEE counts by its logarithm, so that the plainest words of the commonest language don't set the scale for all others. A logistic curve of these and of the length, fitted on
+sampled documents that the models did not see, turns them into a score.
 
 The models learn from at most `per_class` labelled rows of each class, each class for itself, and at most `sample_chars` characters of the
 sample (the documented bounds); every document is scored by its whole text. The curve is fitted on a third of the sample, by hash, under
@@ -26,12 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, cut
+from .common import alnum_words, cut, sliced
 from .decontam import _with
 from .langid import bounded_sample, held_out
 
 ORDERS, SHARED, DISCOUNT = 6, 3, 0.75
 LEAST = 1e-4
+#: Evidence above KNEE counts by its logarithm, evidence below -FLOOR as that; words of one stem have the same first STEM bytes.
+KNEE, FLOOR, STEM = 4.0, 3.0, 6
+#: Of a document: 1, mean evidence, mean of the five strongest words, heaviest stem, logarithm of the length, the five strongest words without the knee.
+SUMMARIES = 6
 #: Columns of word counts: class 0 and 1, of the rows that count and of those that fit the curve.
 COUNTS = ["ordinary", "toxic", "curve_ordinary", "curve_toxic"]
 
@@ -133,21 +138,23 @@ class Scorer:
 
     def summaries(self, texts: list[str | None], rows: int = 200) -> np.ndarray:
         """A row for each text, worked out few texts at a time, as their words take far more memory than they do."""
-        return np.concatenate([self._summaries(texts[k : k + rows]) for k in range(0, len(texts), rows)] or [np.zeros((0, 5))])
+        return np.concatenate([self._summaries(texts[k : k + rows]) for k in range(0, len(texts), rows)] or [np.zeros((0, SUMMARIES))])
 
-    def _summaries(self, texts: list[str | None], stretch: int = 25) -> np.ndarray:
-        """For each text 1, the length-normalised sums, and the mean of its five strongest words."""
+    def _summaries(self, texts: list[str | None]) -> np.ndarray:
         split = [alnum_words(t.lower() if t else t) for t in texts]
         self.learn(split)
-        out = np.zeros((len(split), 5))
+        out = np.zeros((len(split), SUMMARIES))
         out[:, 0] = 1
         for row, words in zip(out, split):
             if words:
-                e = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
-                sums = np.concatenate([[0.0], np.cumsum(e)])
-                k = min(stretch, len(e))
-                top = np.partition(e, -5)[-5:] if len(e) > 5 else e
-                row[1:] = e.mean(), e.sum() / np.sqrt(len(e)), (sums[k:] - sums[:-k]).max() / stretch, top.sum() / 5
+                raw = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
+                e = np.maximum(raw, -FLOOR)
+                e = np.where(e > KNEE, KNEE + np.log1p(np.maximum(e - KNEE, 0)), e)
+                five = [(np.partition(x, -5)[-5:] if len(x) > 5 else x).sum() / 5 for x in (e, raw)]
+                stems: dict[bytes, float] = {}
+                for k in np.flatnonzero(e > 1).tolist():
+                    stems[words[k][:STEM]] = stems.get(words[k][:STEM], 0.0) + e[k]
+                row[1:] = e.mean(), five[0], np.log1p(max(stems.values(), default=0.0)), np.log(len(words)), np.log1p(max(five[1], 0.0))
         return out
 
 
@@ -215,14 +222,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class:
     whole, partial = model(counts[:2] + counts[2:]), model(counts[:2])
     if whole is None:
         return None
-    flat = ToxicityModel(whole, np.array([0.0, 1.0, 0.0, 0.0, 0.0]))
+    flat = ToxicityModel(whole, np.array([0.0, 1.0] + [0.0] * (SUMMARIES - 2)))
     if partial is None:
         return flat
     shared = docs.sparkSession.sparkContext.broadcast(partial)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             x = [r.tobytes() for r in scorer.summaries(batch["text"].to_pylist())]
             yield pa.RecordBatch.from_arrays([batch["y"], pa.array(x, pa.binary())], names=["y", "x"])
 
@@ -243,7 +250,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         scorer = Scorer(m.evidence) if m else None
-        for batch in batches:
+        for batch in sliced(batches):
             scores = m.scores(scorer, batch["text"].to_pylist()) if m else np.zeros(batch.num_rows)
             yield _with(batch, score=pa.array(scores, pa.float64()))
 
