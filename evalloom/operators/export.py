@@ -93,6 +93,7 @@ def task_configs(items: DataFrame, base: str = "bench") -> DataFrame:
 def validate_dataset(rows: DataFrame) -> DataFrame:
     """rows (item_id, question, answer, choices, answer_index) with what is wrong in them; only those with something."""
     c, i = F.col("choices"), F.col("answer_index")
+    # the texts of the issues are fixed values
     issues = F.array_compact(F.array(
         F.when(F.col("question").isNull(), "Missing required field: question"), F.when(F.col("answer").isNull(), "Missing required field: answer"),
         F.when(F.size(c) < 2, "Multiple choice must have at least 2 choices"), F.when(c.isNotNull() & ((i < 0) | (i >= F.size(c))), "Answer index out of range"),

@@ -170,6 +170,7 @@ def arithmetic_questions(docs: DataFrame, n: int = 3, seed: int = 42) -> DataFra
 
     answer = F.when(whole, result("bigint").cast("string")).otherwise(F.format_string("%.6f", result("double")))
     fine = (size_ok := F.col("size") >= 2) & ~odd & F.when(whole, result("bigint").isNotNull()).otherwise(result("double").isNotNull())
+    # the stock sentences here, in grounded, fallback and hardened questions are fixed values
     stock = F.when(size_ok, F.struct(F.lit("What is the mathematical relationship in the corpus?").alias("question"), F.lit("Mathematical concepts are discussed in the context").alias("answer")))
     stock = stock.otherwise(F.struct(F.lit("Solve the mathematical problem presented in the corpus").alias("question"), F.lit("The solution involves mathematical reasoning based on the given information").alias("answer")))
     asked = F.struct(F.concat(F.lit("Calculate: "), "a", F.lit(" "), "op", F.lit(" "), "b").alias("question"), answer.alias("answer"))

@@ -119,6 +119,7 @@ def candidate_quality(items: DataFrame, least: float = 0.6) -> DataFrame:
     score = F.when((strip(q) == "") | (strip(a) == ""), 0.0).otherwise(score) * F.when(choiceless, 0.8).otherwise(1.0)
     checked = _self_check(items.withColumn("score", score))
     inexact = F.col("answer_type").isin(P.EXACT_ANSWER_TYPES) & (F.col("self_score") < 0.95)
+    # the texts of the issues are fixed values
     issues = F.array_compact(F.array(
         F.when(inexact, "Deterministic answer type but answer fails exact match validation"), F.when(F.length(q) > 500, "Question exceeds 500 character limit"), F.when(strip(q) == "", "Empty question"),
         F.when(strip(a) == "", "Empty answer"), F.when(choiceless, "Multiple choice question lacks proper options"),
@@ -140,6 +141,7 @@ def simple_quality(items: DataFrame, least: float = 0.5) -> DataFrame:
     question = 1 - _off(~q.contains("?") & ~F.lower(q).contains("what"), 0.2) - _off(F.size(words(q)) < 5, 0.3)
     answer = 1 - _off((F.size(words(a)) < 3) & (F.col("answer_type") == "free_text"), 0.3)
     relevance = F.when(F.lower(filled(F.col("context"))).contains(F.lower(filled(F.col("concept")))), 1.0).otherwise(0.5)
+    # the texts of the issues are fixed values
     issues = F.array_compact(F.array(
         F.when(F.length(strip(q)) < 10, "Question too short or empty"), F.when(F.length(strip(a)) < 2, "Answer too short or empty"), F.when(F.length(q) > 150, "Question exceeds length limit"),
         F.when((F.col("answer_type") == "multiple_choice") & (_size("options") < 2), "Multiple choice lacks options"),

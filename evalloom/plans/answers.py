@@ -32,8 +32,9 @@ rouge AS (SELECT {key}, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE 2.0 * r
 add("sm04_rouge_l", lambda s, d: qa(s, d).select((F.col("conv_id") * 100 + F.col("turn")).alias("item_id"), F.round(S.rouge_l(F.col("answer"), F.col("question")), 9).alias("value")), f"WITH RECURSIVE {lcs(RESULTS, 'item_id', 'answer', 'question')} SELECT item_id, round(rouge::DOUBLE, 9) AS value FROM rouge")
 GRAM = lambda c, n: f"list_transform(range(1, greatest(len({c}) - {n - 2}, 1)), lambda i: array_to_string({c}[i : i + {n - 1}], ' '))"
 CLIP = lambda n: f"""CASE WHEN len(t) < {n} THEN 1e0 ELSE greatest(coalesce(list_sum(list_transform(list_distinct({GRAM('t', n)}), lambda g: least(len(list_filter({GRAM('t', n)}, lambda y: y = g)), len(list_filter({GRAM('p', n)}, lambda y: y = g))))), 0) / (len(t) - {n - 1}), 1e-10) END"""
+BLEU = f"CASE WHEN len(p) = 0 OR len(t) = 0 THEN 0.0 ELSE pow({' * '.join(CLIP(n) for n in range(1, 5))}, 1e0 / least(4, len(t))) * least(1.0, len(t) / len(p)) END"
 add("sm05_bleu", lambda s, d: qa(s, d).select("conv_id", "turn", F.round(S.bleu(F.col("answer"), F.col("question")), 9).alias("value")), f"""
-SELECT conv_id, turn, round(CASE WHEN len(p) = 0 OR len(t) = 0 THEN 0.0 ELSE pow({' * '.join(CLIP(n) for n in range(1, 5))}, 1e0 / least(4, len(t))) * least(1.0, len(t) / len(p)) END::DOUBLE, 9) AS value FROM (SELECT conv_id, turn, {TOK.format('answer')} AS p, {TOK.format('question')} AS t FROM {QA})""")
+SELECT conv_id, turn, round(({BLEU})::DOUBLE, 9) AS value FROM (SELECT conv_id, turn, {TOK.format('answer')} AS p, {TOK.format('question')} AS t FROM {QA})""")
 per_pair("sm06_indel_ratio", S.indel_ratio, None)
 DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
 add("sm07_embedding_similarity", lambda s, d: (lambda e: e.alias("a").join(e.alias("b"), F.col("b.vec_id") == F.col("a.vec_id") + 1).select(F.col("a.vec_id").alias("vec_id"), F.round(S.embedding_similarity(F.col("a.embedding"), F.col("b.embedding")), 9).alias("value")))(table(s, d, "embeddings")),
@@ -88,11 +89,14 @@ LENIENT = f"(SELECT CASE WHEN r > 0.1 THEN least(1.0, r + 0.3e0 * pow(r, 0.7e0))
 add("vf09_semantic_lenient", lambda s, d: predictions(s, d).select("item_id", F.round(V.semantic_lenient(F.col("prediction"), F.col("truth")), 9).alias("value")), f"""
 WITH RECURSIVE {lcs(PREDICTIONS, 'item_id', 'prediction', 'truth')} SELECT item_id, round({LENIENT}, 9) AS value FROM (SELECT x.item_id, prediction AS p, truth AS t, rouge FROM {PREDICTIONS} x JOIN rouge r ON r.item_id = x.item_id)""")
 E_W = {"token_overlap": DICE.format(*PTOK), "ngram": DICE.format(*PGRAMS), "rouge_l": "rouge", "character_overlap": CHARS.format("p", "t"), "semantic": f"({DICE.format(*PTOK)} + {DICE.format(*PGRAMS)}) / 2"}
-add("vf10_ensemble", lambda s, d: predictions(s, d).select("item_id", V.ensemble(F.col("prediction"), F.col("truth")).alias("x")).select("item_id", F.round("x.final_score", 9).alias("final_score"), F.round("x.ensemble_score", 9).alias("ensemble_score"), "x.length_penalty"), f"""
+EASED = {k: f"{E_W[k]} * coalesce({'0.95e0 + 0.05e0 * r' if k == 'semantic' else '0.85e0 + 0.15e0 * r'}, 1e0)" for k in V.ENSEMBLE}
+add("vf10_ensemble", lambda s, d: predictions(s, d).select("item_id", V.ensemble(F.col("prediction"), F.col("truth")).alias("x")).select("item_id", *[F.round(F.col("x")[c], 9).alias(c) for c in ("final_score", "ensemble_score", "method_agreement")], "x.length_penalty"), f"""
 WITH RECURSIVE {lcs(PREDICTIONS, 'item_id', 'prediction', 'truth')}, m AS (SELECT x.item_id, prediction AS p, truth AS t, rouge, len({WORDS.format('prediction')}) AS np, len({WORDS.format('truth')}) AS nt FROM {PREDICTIONS} x JOIN rouge r ON r.item_id = x.item_id),
-f AS (SELECT *, CASE WHEN np > 0 AND nt > 0 THEN least(np, nt) / greatest(np, nt) END AS r FROM m),
-e AS (SELECT item_id, r, {' + '.join(f"{w}e0 * {E_W[k]} * coalesce({'0.95e0 + 0.05e0 * r' if k == 'semantic' else '0.85e0 + 0.15e0 * r'}, 1e0)" for k, w in V.ENSEMBLE.items())} AS s FROM f)
-SELECT item_id, round(CASE WHEN s > 0.15 THEN least(1.0, s + 0.25e0 * pow(s, 0.7e0)) ELSE s END, 9) AS final_score, round(s, 9) AS ensemble_score, coalesce(r < 0.8, false) AS length_penalty FROM e""")
+b AS (SELECT item_id AS b_id, {BLEU} AS bleu FROM (SELECT item_id, {TOK.format('prediction')} AS p, {TOK.format('truth')} AS t FROM {PREDICTIONS})),
+f AS (SELECT *, CASE WHEN np > 0 AND nt > 0 THEN least(np, nt) / greatest(np, nt) END AS r FROM m JOIN b ON b_id = item_id),
+e AS (SELECT item_id, r, {' + '.join(f"{w}e0 * {EASED[k]}" for k, w in V.ENSEMBLE.items())} AS s, [{', '.join(EASED.values())}, bleu * coalesce(0.85e0 + 0.15e0 * r, 1e0)]::DOUBLE[] AS vs FROM f)
+SELECT item_id, round(CASE WHEN s > 0.15 THEN least(1.0, s + 0.25e0 * pow(s, 0.7e0)) ELSE s END, 9) AS final_score, round(s, 9) AS ensemble_score, coalesce(r < 0.8, false) AS length_penalty,
+  round(CASE WHEN mean = 0 THEN 1.0 ELSE greatest(0.0, 1 - sqrt(list_sum(list_transform(vs, lambda v: (v - mean) * (v - mean))) / len(vs)) / mean) END, 9) AS method_agreement FROM (SELECT *, list_sum(vs) / len(vs) AS mean FROM e)""")
 LASTS = [f"TRY_CAST(regexp_extract_all(coalesce({c}, ''), '-?\\d+\\.?\\d*')[-1] AS DOUBLE)" for c in ("prediction", "truth")]
 NEAR = f"CASE WHEN {LASTS[0]} IS NULL OR {LASTS[1]} IS NULL THEN NULL WHEN {LASTS[1]} = 0 THEN CASE WHEN abs({LASTS[0]}) <= 0.1 THEN 1.0 ELSE 0.0 END " + " ".join(f"WHEN abs({LASTS[0]} - {LASTS[1]}) / abs({LASTS[1]}) <= {x} THEN {y}" for x, y in ((0.05, 1.0), (0.1, 0.8), (0.2, 0.6))) + " ELSE 0.0 END"
 LOWP = "lower(coalesce(prediction, ''))"

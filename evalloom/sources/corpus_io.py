@@ -156,6 +156,7 @@ class _Reader(HTMLParser):
 
 # Phrases of navigation.
 NAVIGATION = ["coordinates:", "jump to:", "navigation menu", "edit]", "[edit]", "citation needed]", "redirected from", "article talk", "tools appearance hide"]
+# Elements and classes that pages lose.
 DROPPED_TAGS = ("nav", "script", "style", "footer", "header", "title", "figure", "figcaption")
 DROPPED_CLASSES = ("ad", "infobox", "reference", "references", "reflist", "toc", "navbox", "navbox-container", "thumb", "thumbinner", "thumbcaption", "edit", "editsection", "hatnote", "metadata",
                    "noprint", "printfooter", "catlinks", "authority-control", "coordinates")
