@@ -13,7 +13,8 @@ from evalloom.operators import concepts as CO
 from evalloom.operators import corpus as C
 from evalloom.operators import stats as ST
 from evalloom.operators.dedup import dedup_questions
-from evalloom.plans import catalog
+from evalloom.plans import catalog, registry
+from evalloom.plans.texts import CHOICE
 from evalloom.streaming import live as L
 
 SF = "/root/testdata/sf0.001"
@@ -117,3 +118,15 @@ def test_query_equals_sql(spark, name):
     assert cols == sorted(rel.columns)
     key = lambda rows: sorted((tuple(rounded(x) for x in r) for r in rows), key=str)
     assert key(df.select(*cols).collect()) == key(rel.project(", ".join(f'"{c}"' for c in cols)).fetchall())
+
+
+def test_sql_twins_write_capitals_of_several_letters(spark):
+    texts = ["ßoben", "straße", "ﬁn", "ŉ", "ẚ", "ΐ ᾳ", "äöü", "b) yes", "", "ẞ", *map(chr, range(0xDF, 0x250)), *registry.CAPITALS]
+    texts = [t for t in texts if t not in "ƛɤ"]  # newer than some Java's tables
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").select("doc_id", F.upper("text").alias("u"), T.extract_multiple_choice(F.col("text")).alias("c"))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id INTEGER, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    want = con.execute(f"SELECT doc_id, {registry.upper_of('text')}, {CHOICE.replace('{0}', 'text')} FROM documents ORDER BY 1").fetchall()
+    assert [tuple(r) for r in df.orderBy("doc_id").collect()] == want
+    assert want[0][1:] == ("SSOBEN", "SS")
