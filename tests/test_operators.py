@@ -465,6 +465,24 @@ def test_merged_concepts_are_running_means(spark):
     assert {k: (pytest.approx(v[0]), *v[1:]) for k, v in want.items()} == got
 
 
+def test_merged_concepts_are_exact_wherever_ranges_are_cut(spark):
+    rng = random.Random(5)
+    rows = [("s", d, "hot", rng.choice([0.1, 0.3, 0.7, 2.9]) if d < 9000 else 0.3) for d in range(12000)] + [("s", d, "cold", 5.8) for d in range(7)]
+    want = {}
+    for _, _, c, x in sorted(rows, key=lambda r: (r[2], r[1])):
+        want[c] = (want[c] + x) / 2 if c in want else x
+    df = spark.createDataFrame(rows, "source string, doc_id long, concept string, score double")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        for parts in (1, 7, 60):  # parts of more and of fewer scores than are kept as they are
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            assert {r.concept: r.score for r in CO.merge_chunk_concepts(df, "source", ["doc_id"]).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
+
+
 def test_run_and_call_summaries(spark):
     start = dt.datetime(2024, 1, 1)
     calls = [("m", "error" if k % 2 else "success", 1.0, start + dt.timedelta(seconds=k), f"e{k}" if k % 2 else None) for k in range(20)] + [("ok", "success", 0.5, start, None)]
