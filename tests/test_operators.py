@@ -544,3 +544,9 @@ def test_answer_index(spark):
     rows = [("x", ["y", "x"], 1), ("Paris", ["Rome", "in paris"], 1), ("B", ["one", "two"], 1), ("D", ["one", "two"], 0), (None, ["a"], 0)]
     got = spark.createDataFrame([(a, c) for a, c, _ in rows], "a string, c array<string>").select(X.answer_index(F.col("a"), F.col("c"))).collect()
     assert [r[0] for r in got] == [w for _, _, w in rows]
+
+
+def test_six_decimals_of_the_shortest_number(spark):
+    values = [9.563698660310659e17, 64241796755788030.0, 1.0000005, -1.0000005, -1e-7, 1.5e-6, 0.1, 2e33, 9.956369866031065e31, None]
+    got = [r.s for r in spark.createDataFrame(list(enumerate(values)), "i int, x double").select("i", Q.six_decimals(F.col("x")).alias("s")).orderBy("i").collect()]
+    assert got == ["956369866031065900.000000", "64241796755788030.000000", "1.000001", "-1.000001", "0.000000", "0.000002", "0.100000", f"{2e33:.6f}", "99563698660310650000000000000000.000000", None]
