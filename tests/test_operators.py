@@ -550,3 +550,30 @@ def test_six_decimals_of_the_shortest_number(spark):
     values = [9.563698660310659e17, 64241796755788030.0, 1.0000005, -1.0000005, -1e-7, 1.5e-6, 0.1, 2e33, 9.956369866031065e31, None]
     got = [r.s for r in spark.createDataFrame(list(enumerate(values)), "i int, x double").select("i", Q.six_decimals(F.col("x")).alias("s")).orderBy("i").collect()]
     assert got == ["956369866031065900.000000", "64241796755788030.000000", "1.000001", "-1.000001", "0.000000", "0.000002", "0.100000", f"{2e33:.6f}", "99563698660310650000000000000000.000000", None]
+
+
+def test_component_match_compares_only_what_bounds_allow(monkeypatch):
+    compared = []
+
+    class Counted(SequenceMatcher):
+        def ratio(self):
+            compared.append(1)
+            return super().ratio()
+
+    monkeypatch.setattr(S, "SequenceMatcher", Counted)
+    rng = random.Random(4)
+    texts = [". ".join("".join(rng.choice("abcde xyz"[k:]) for _ in range(rng.randint(1, 60))) for k in (0, 4, 0, 2, 5)) for _ in range(12)]
+    plain = lambda s: [S._plain(x) for x in re.split(r"[.!?;]|\n\n", s) if x.strip()]
+    pairs = 0
+    for p in texts:
+        for t in texts:
+            want = [any(SequenceMatcher(None, x, y).ratio() >= 0.6 for x in plain(p)) for y in plain(t)]
+            pairs += len(plain(p)) * len(plain(t))
+            assert S._component_match(p, t) == sum(want) / len(want)
+    assert len(compared) < pairs / 2
+
+
+def test_review_rollup_counts_issues_of_a_null_agent(spark):
+    rows = [(None, 0.5, ["Unclear wording", None]), (None, 0.9, None), ("a", 0.8, [])]
+    got = {r.agent: (r.prompt_count, r.issues_count, r.clarity, r.other) for r in VA.prompt_review_rollup(spark.createDataFrame(rows, "agent string, score double, issues array<string>")).collect()}
+    assert got == {None: (2, 2, 1, 1), "a": (1, 0, 0, 0)}
