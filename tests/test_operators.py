@@ -577,3 +577,14 @@ def test_review_rollup_counts_issues_of_a_null_agent(spark):
     rows = [(None, 0.5, ["Unclear wording", None]), (None, 0.9, None), ("a", 0.8, [])]
     got = {r.agent: (r.prompt_count, r.issues_count, r.clarity, r.other) for r in VA.prompt_review_rollup(spark.createDataFrame(rows, "agent string, score double, issues array<string>")).collect()}
     assert got == {None: (2, 2, 1, 1), "a": (1, 0, 0, 0)}
+
+
+def test_paragraph_operators_take_parts_of_few_rows(spark):
+    batch = C.pa.RecordBatch.from_pydict({"doc_id": list(range(450)), "text": ["x"] * 450})
+    assert [b.num_rows for b in C.small_parts(iter([batch]))] == [200, 200, 50]
+    rows = [(str(i) if i % 7 else None, None if i % 5 == 0 else "\n".join("word " * (j * 37 % 150) for j in range(i % 9))) for i in range(450)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").coalesce(1)
+    got = [tuple(r) for r in C.merged_paragraphs(docs).collect()]
+    assert got == [r for d, t in rows for r in C._merged_rows(d, [p for p in map(str.strip, (t or "").split("\n")) if p], 125, 500)]
+    got = [tuple(r) for r in C.paragraph_chunks(docs, 100, 300, 20, "\n").collect()]
+    assert got == [(d, i, c, m, len(c)) for d, t in rows for i, (c, m) in enumerate(C.paragraph_list(t or "", 100, 300, 20, "\n"))]
