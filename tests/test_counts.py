@@ -44,3 +44,15 @@ def test_counting_patterns_search_a_text_once(spark):
     """Each pattern was a regular expression of the JVM over the whole text, at some 12 MB a second; hundreds of them took most of the time."""
     plan = K.count_pattern_scores_full(docs(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "regexp_extract_all" not in plan and "regexp_count" not in plan
+
+
+def test_words_meet_as_counts(spark):
+    """Every word was a row before; now each few hundred documents give a row for a corpus and word, with the same numbers and first places."""
+    odd = spark.createDataFrame([(i % 2 or None, (97 - i) * 3, t) for i, t in enumerate([*ODD, "same words Same words", "later words same Stra\u00dfe word1 wor_d"])], "source long, doc_id long, text string")
+    for rows, least in ((odd.coalesce(1), 4), (docs(spark, "/root/testdata/sf0.001").select("source", "doc_id", "text"), 5)):
+        found = rows.select("source", "doc_id", F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(rf"\b[A-Za-z]{{{least},}}\b"), F.lit(0))).alias("pos", "word"))
+        expected = {(r["source"], r["word"]): (r["n"], r["d"]) for r in found.groupBy("source", "word").agg(F.count("*").alias("n"), F.min("doc_id").alias("d")).collect()}
+        counted = N.word_counts(rows, "source", least)
+        got = {(r["source"], r["word"]): (r["n"], r["d"]) for r in counted.groupBy("source", "word").agg(F.sum("n").alias("n"), F.min("doc_id").alias("d")).collect()}
+        assert got == expected and expected
+    assert N.word_counts(odd.coalesce(1), "source", 4).filter("word = 'words'").count() <= 2
