@@ -28,6 +28,8 @@ BITS_EACH, MOST_BITS = 16, 1 << 29
 BLOCK_BYTES = 32 << 20
 #: Shorter texts are not looked for as wholes.
 WHOLE_LENGTH = 20
+#: Rows that a task looks at together.
+ROWS = 500
 #: Grams that a task remembers having passed on.
 HELD = 1_000_000
 
@@ -44,12 +46,20 @@ def gram_list(c: Column, n: int) -> Column:
 
 @dataclass
 class Asked:
-    """What a task looks for: bits of grams and keys, texts by key (keys in order), texts that have no key."""
+    """What a task looks for: bits of grams and keys; texts as UTF-8 bytes one after another with their ends, first those without a key, then those of each key (keys in order) from its first to the next key's.
+
+    Arrays, not a string for each text: each Python worker of an executor holds all of it.
+    """
 
     bits: np.ndarray
     keys: np.ndarray
-    texts: list[list[str]]
-    keyless: list[str]
+    firsts: np.ndarray
+    ends: np.ndarray
+    texts: bytes
+    keyless: int
+
+    def text(self, k: int) -> bytes:
+        return self.texts[self.ends[k - 1] if k else 0 : self.ends[k]]
 
     def has(self, grams: np.ndarray) -> np.ndarray:
         at = grams % (8 * len(self.bits))
@@ -88,18 +98,19 @@ def _matched(corpus: DataFrame, asked: Asked, with_grams: bool) -> DataFrame:
     shared = corpus.sparkSession.sparkContext.broadcast(asked)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, passed, held = shared.value, set(), set()
-        for b in batches:
+        a, passed, held = shared.value, np.zeros(0, np.int64), np.zeros(len(shared.value.ends), bool)
+        for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             lists = b["gs"]
             grams, row = lists.flatten().to_numpy(), np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
             there = a.has(grams)
             grams, row = grams[there], row[there]
             new = []
             if with_grams:
-                new = [g for g in np.unique(grams).tolist() if g not in passed]
-                passed.update(new)
-                if len(passed) > HELD:
-                    passed.clear()
+                distinct = np.unique(grams)
+                if len(passed):
+                    distinct = distinct[passed[np.minimum(np.searchsorted(passed, distinct), len(passed) - 1)] != distinct]
+                passed = distinct if len(passed) + len(distinct) > HELD else np.union1d(passed, distinct)
+                new = distinct.tolist()
             whole = []
             by_row: dict[int, set[int]] = {}
             if len(a.keys):
@@ -108,28 +119,33 @@ def _matched(corpus: DataFrame, asked: Asked, with_grams: bool) -> DataFrame:
                 for r, key in zip(row[hit].tolist(), k[hit].tolist()):
                     by_row.setdefault(r, set()).add(key)
             for r in range(b.num_rows) if a.keyless else by_row:
-                text = b["low"][r].as_py()
-                for t in (t for ts in (a.keyless, *(a.texts[key] for key in by_row.get(r, ()))) for t in ts if t not in held):
+                text = None
+                for k in (i for part in (range(a.keyless), *(range(a.firsts[key], a.firsts[key + 1]) for key in by_row.get(r, ()))) for i in part if not held[i]):
+                    text = b["low"][r].as_py().encode("utf-8", "replace") if text is None else text
+                    t = a.text(k)
                     if t in text:
-                        whole.append(t)
-                        held.add(t)
+                        whole.append(t.decode())
+                        held[k] = True
             if new or whole:
                 yield pa.RecordBatch.from_arrays([pa.array(new + [None] * len(whole), pa.int64()), pa.array([None] * len(new) + whole, pa.string())], names=["g", "low"])
 
     return corpus.mapInArrow(match, "g long, low string")
 
 
-def _in_blocks(texts: DataFrame, block_bytes: int) -> Iterator[tuple[np.ndarray, list[list[str]], list[str]]]:
-    """texts (low, key) in blocks of bounded size: keys in order, the texts of each, texts without a key. One block at least."""
+def _in_blocks(texts: DataFrame, block_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bytes, int]]:
+    """texts (low, key) in blocks of bounded size: keys in order, the first text of each, ends of texts, the texts, how many have no key. One block at least."""
     size = texts.agg(F.coalesce(F.sum(F.octet_length("low")), F.lit(0))).first()[0]
     blocks = max(1, ceil(size / block_bytes))
     for k in range(blocks):
-        by_key: dict[int, list[str]] = {}
-        keyless = []
-        for r in texts.filter(F.pmod(F.xxhash64("low", F.lit(7)), F.lit(blocks)) == k).collect():  # about block_bytes
-            (keyless if r["key"] is None else by_key.setdefault(r["key"], [])).append(r["low"])
-        keys = sorted(by_key)
-        yield np.array(keys, np.int64), [by_key[x] for x in keys], keyless
+        mine = texts.filter(F.pmod(F.xxhash64("low", F.lit(7)), F.lit(blocks)) == k).select(F.col("low").cast("binary").alias("low"), "key")
+        got = mine.toArrow().sort_by([("key", "ascending")])  # about block_bytes; nulls last
+        low, number = got["low"].combine_chunks(), got["key"].drop_null().to_numpy().astype(np.int64)
+        keyless = got.num_rows - len(number)
+        order = np.concatenate([np.arange(len(number), got.num_rows), np.arange(len(number))])
+        low = low.take(pa.array(order))
+        keys, firsts = np.unique(number, return_index=True)
+        lengths = np.array([len(x) for x in low.to_pylist()], np.int64)
+        yield keys, np.append(firsts, len(number)) + keyless, np.cumsum(lengths), b"".join(low.to_pylist()), keyless
 
 
 def contamination(preds: DataFrame, corpus: DataFrame, n: int = 4, flag: float = 0.8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
