@@ -22,7 +22,7 @@ the same order when a task is run again, as those of files and checkpoints do.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -74,8 +74,8 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         both = keys[order]
     new = np.ones(n, bool)
     np.not_equal(both[1:], both[:-1], out=new[1:])
-    at = np.empty(n, np.int64)
-    at[order] = np.cumsum(new) - 1
+    at = np.empty(n, np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - 1
     return both[new], order[new], at
 
 
@@ -167,7 +167,7 @@ class Level:
         keys, self.first, self.at = distinct(hist * n_words + tokens)
         self.of, self.word = (x.astype(np.int32) for x in np.divmod(keys, n_words))
         count = self.count
-        self.own = np.bincount(self.at[train], minlength=len(keys))
+        self.own = np.bincount(self.at[train], minlength=len(keys)).astype(np.int32)
         self.held = np.bincount(self.at[~train], minlength=len(keys)) > 0
         self.asks = np.zeros(len(count), bool)  # histories from which a held-out document may have to back off
         self.asks[self.of[self.own == 0]] = True
@@ -202,7 +202,7 @@ class Level:
         """Reads the table's answers: totals (twice two bits: whether no other group has the gram, whether held-out documents have it), and sums."""
         order, _, hist, _, _ = self.sections(word_ids, buckets, most)
         join = lambda name, kind=np.int64: np.concatenate([np.zeros(0, kind), *[unpack(r[name], kind) for r in rows]])
-        self.given = self.own * 4 + 2 + self.held
+        self.given = self.own.astype(np.int64) * 4 + 2 + self.held
         self.given[order] = join("counts")
         self.total = self.given >> 2
         whole = np.full(len(self.count), loss == 0)
@@ -226,19 +226,24 @@ class Level:
         mass = np.bincount(self.asked, self.mass, n) + np.bincount(of, below(self.lower[mine]) / self.divided[of], n)
         return np.where(self.asks, log10(left) - log10(self.count + self.extra) - log10(1 - mass), 0)
 
+    def backed_off(self, shorter: np.ndarray, own: Discounts, below: Discounts) -> np.ndarray:
+        """Log probabilities of the tokens, from those by the shorter history."""
+        seen = self.total > 0
+        grams = np.where(seen, log10(own(self.total)) - log10(self.count + self.extra)[self.of], self.alpha(own, below)[self.of])
+        return grams[self.at] + np.where(seen[self.at], 0, shorter)
+
 
 class Group:
     """The tokens of a group of documents, and what the tables have answered."""
 
-    def __init__(self, docs: pa.Table, answers: pa.Table | None = None, buckets: int = 1, most: int = 1, order: int = 1, first: Discounts | None = None, settled: bool = False) -> None:
-        """order: that of the highest level to be made. first: the words' discounts. settled: whether the highest table has answered, too."""
+    def __init__(self, docs: pa.Table, answers: pa.Table | None = None, buckets: int = 1, most: int = 1, order: int = 1, known: Sequence[Discounts] = ()) -> None:
+        """order: that of the highest level to be made, which alone is kept. known: discounts by order; if all are, the tokens' log probabilities are worked out."""
         row = docs.to_pylist()[0]
         self.ids, self.is_held, self.sizes = row["ids"], np.frombuffer(row["held"], bool), unpack(row["sizes"])
         self.firsts = np.cumsum(self.sizes) - self.sizes
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.train = ~self.is_held[self.doc]
         self.words, self.at = np.cumsum(unpack(row["words"], np.uint64), dtype=np.uint64), unpack(row["tokens"])
-        self.levels: list[Level] = []
         if order == 1:
             return
         given: dict[int, list[dict]] = {}
@@ -251,7 +256,9 @@ class Group:
         tokens, end = place[self.at], place[np.searchsorted(self.words, END)]
         self.word_ids, counts = np.append(0, numbers[by_number]), np.append(0, counts[by_number])
         counts[0] = counts[end] & ~2 | 1  # as many starts as ends
-        self.known, n = counts[tokens] >> 2, len(counts)
+        self.known, n, first = counts[tokens] >> 2, len(counts), known[0]
+        if len(known) == order:
+            self.score = log10(np.where(self.known > 0, first(self.known) / max(first.whole, 1), first.rest))
         hist, ids, told = np.roll(tokens, 1), [self.word_ids], counts
         hist[self.firsts] = 0
         for k in range(2, order + 1):
@@ -259,12 +266,15 @@ class Group:
             if k == 2:
                 level.shorter((counts >> 2)[level.word], np.full(n, max(first.whole, 1)))
             else:
-                below = self.levels[-1]
                 level.shorter(below.total[below.at[level.first]], np.maximum(below.count + below.extra, 1)[np.append(0, below.word)])
-            self.levels.append(level)
-            if k < order or settled:
-                level.take(given.get(k, []), self.word_ids, buckets, most, first.loss)
-                hist = np.roll(level.at + 1, 1)
+            self.level = below = level
+            del level.first
+            if k < order or len(known) == order:
+                level.take(given.pop(k, []), self.word_ids, buckets, most, first.loss)
+                if len(known) == order:
+                    self.score = level.backed_off(self.score, known[k - 1], known[k - 2])
+            if k < order:
+                hist = np.roll(level.at.astype(np.int64) + 1, 1)
                 hist[self.firsts] = 0
                 ids = [np.append(0, x[level.of]) for x in ids] + [np.append(0, self.word_ids[level.word])]
                 told = np.append(counts[0], level.given)
@@ -313,14 +323,14 @@ def words_answered(table: pa.Table, buckets: int) -> pa.Table:
     return tabled(rows, ANSWER)
 
 
-def grams_asked(docs: pa.Table, answers: pa.Table, order: int, buckets: int, most: int, first: Discounts) -> pa.Table:
+def grams_asked(docs: pa.Table, answers: pa.Table, order: int, buckets: int, most: int, known: Sequence[Discounts]) -> pa.Table:
     """A group's distinct grams of an order for its table, by history, with counts of what they shorten to. One more row has the counts of counts of what no other group has."""
-    group = Group(docs, answers, buckets, most, order, first)
-    level, g = group.levels[-1], docs["g"][0].as_py()
+    group = Group(docs, answers, buckets, most, order, known)
+    level, g = group.level, docs["g"][0].as_py()
     rows: list[tuple] = [(g % buckets, g, None, None, None, None, None, pack(np.array(stats_of(level.own[level.mine()]))), None, None, None)]
     lower = np.where((level.own > 0) & level.flagged[level.of], level.lower, 0)
     at, bucket, hist, parts, sizes = level.sections(group.word_ids, buckets, most)
-    words, own, lower = group.word_ids[level.word[at]], (level.own * 2 + level.held)[at], lower[at]
+    words, own, lower = group.word_ids[level.word[at]], (level.own.astype(np.int64) * 2 + level.held)[at], lower[at]
     head, last = (level.ids[0][hist] if order > 2 else np.zeros(len(hist), np.int64)), level.ids[-1][hist] // buckets  # what remains is told by the bucket
     asks, divided = level.asks[hist], np.where(level.flagged, level.divided, 0)[hist] if order > 2 else np.zeros(len(hist), np.int64)
     cuts, ends = np.searchsorted(bucket, np.arange(buckets + 1)), np.append(0, np.cumsum(sizes))
@@ -345,7 +355,7 @@ def grams_answered(table: pa.Table, order: int, buckets: int, below: Discounts)
     last, words = last * buckets + (bucket - join("parts") - first) % buckets, join("words")
     hists, _, at_hist = distinct(first * (int(last.max()) + 1) + last)
     n, sizes, own, width = len(hists), join("sizes"), join("own"), int(words.max(initial=0)) + 1
-    grams, _, at = distinct(np.repeat(at_hist, sizes) * width + words)
+    grams, _, at = distinct(np.repeat(at_hist.astype(np.int64), sizes) * width + words)
     of, totals = grams // width, np.bincount(at, own >> 1, len(grams)).astype(np.int64)
     given = totals * 4 + (np.bincount(at, minlength=len(grams)) == 1) * 2 + (np.bincount(at, own & 1, len(grams)) > 0)
     lower, divided = np.zeros(len(grams), np.int64), np.zeros(n, np.int64)
@@ -369,20 +379,11 @@ def grams_answered(table: pa.Table, order: int, buckets: int, below: Discounts)
 
 def scored(docs: pa.Table, answers: pa.Table, order: int, buckets: int, most: int, known: list[Discounts], schema: pa.Schema) -> pa.Table:
     """A group's documents with their scores: each token backs off through the orders."""
-    group, n = Group(docs, answers, buckets, most, order, known[0], True), len(docs["ids"][0])
-
-    def log_probability(k: int) -> np.ndarray:
-        own = known[k - 1]
-        if k == 1:
-            return log10(np.where(group.known > 0, own(group.known) / max(own.whole, 1), own.rest))
-        level = group.levels[k - 2]
-        grams = np.where(level.total > 0, log10(own(level.total)) - log10(level.count + level.extra)[level.of], level.alpha(own, known[k - 2])[level.of])[level.at]
-        return grams + np.where(level.total[level.at] > 0, 0, log_probability(k - 1))
-
+    group, n = Group(docs, answers, buckets, most, order, known), len(docs["ids"][0])
     per_doc = lambda weights: np.bincount(group.doc, weights, n)
     words = known[0]
     base = per_doc(log10(group.known + 1)) - group.sizes * float(np.log10(words.total + words.types + 1))
-    columns = [docs["ids"].chunk(0).flatten(), group.is_held, group.sizes, per_doc(group.known > 0).astype(np.int64), np.full(n, words.total), base, per_doc(log_probability(order))]
+    columns = [docs["ids"].chunk(0).flatten(), group.is_held, group.sizes, per_doc(group.known > 0).astype(np.int64), np.full(n, words.total), base, per_doc(group.score)]
     return pa.table([pa.array(c, f.type) if isinstance(c, np.ndarray) else c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
@@ -414,8 +415,8 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", parts: int = 7, part: i
         settle(groups.mapInArrow(lambda b: words_asked(b, buckets), QUESTION_ROW).groupBy("bucket").applyInArrow(lambda t: words_answered(t, buckets), ANSWER_ROW))
 
         def answered(k: int, below: Discounts) -> DataFrame:
-            words = known[0]
-            asked = by_group("groups").cogroup(by_group("answers")).applyInArrow(lambda d, a: grams_asked(d, a, k, buckets, most, words), QUESTION_ROW)
+            so_far = tuple(known)
+            asked = by_group("groups").cogroup(by_group("answers")).applyInArrow(lambda d, a: grams_asked(d, a, k, buckets, most, so_far), QUESTION_ROW)
             return asked.groupBy("bucket").applyInArrow(lambda t: grams_answered(t, k, buckets, below), ANSWER_ROW)
 
         for k in range(2, order + 1):
