@@ -16,7 +16,7 @@ from evalloom.llm import chunkprint, langid, toxicity
 from evalloom.llm.bpe import Transducer, bpe_round_trip, load
 from evalloom.llm.common import alnum_words, blank_words
 from evalloom.llm.decontam import decontaminate
-from evalloom.llm.jaccard import jaccard_join
+from evalloom.llm.jaccard import blocks_of, candidates, classes, jaccard_join, numbered, regions
 from evalloom.llm.katz import HALF, LIMIT, good_turing, katz_scores
 from evalloom.llm.licenses import PHRASES, TEMPLATES, license_scan
 from evalloom.llm.linededup import dedup_lines
@@ -119,6 +119,33 @@ def test_jaccard_like_brute_force(spark):
     assert got == {i: (len(sets[i]), comp[i]) for i in sets}
 
 
+def test_jaccard_regions_travel_small(spark):
+    """Each shingle took its document's id, size and place along, some 20 bytes, as soon as there were more buckets than shingles of a document."""
+    rng = random.Random(6)
+    base = [[f"w{rng.randint(0, 9999)}" for _ in range(200)] for _ in range(20)]
+    rows = [(i, " ".join([*w[: 20 * (i % 10)], f"x{i}", *w[20 * (i % 10) :]])) for i in range(60) for w in [base[i % 20]]]
+    docs, common = table(spark, rows), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    numbers = numbered(classes(docs, "doc_id", 5).filter("kind = 0").select("id", "n", "key", "row"))
+    assert len(numbers.value[0]) == 60 and numbered(docs.selectExpr("1L AS n", "doc_id AS key"), most=10) is None
+    packed = regions(docs, common, 500, 5, 75, numbers=numbers)
+    spent = sum(len(r[c]) for r in packed.collect() for c in ("shingles", "owners", "ids", "sizes"))
+    shingles = sum(len(r.shingles) // 4 for r in packed.collect())
+    assert shingles > 2000 and spent < 10 * shingles, (spent, shingles)
+    one, two = ({tuple(r) for r in c.collect()} for c in (candidates(packed, 75, numbers), candidates(regions(docs, common, 500, 5, 75), 75)))
+    assert one == two and one
+
+
+def test_jaccard_small_homes_share_a_block(spark):
+    """Every small home was a block of its own, and a group's sets were copied for each two of them."""
+    of = {0: range(600)} | {r: [*range(10), *range(1000 + 3 * r, 1003 + 3 * r)] for r in range(1, 31)}
+    members = spark.createDataFrame([(r, a, min(m), 100) for r, m in of.items() for a in m], "region long, a long, b long, n long")
+    labels, done = spark.createDataFrame([], "id long, comp long"), spark.createDataFrame([], "a long, b long, shared long, total long")
+    held, meet = blocks_of(members, labels, done, 75)
+    block, pairs = {r.a: r.block for r in held.collect()}, {tuple(r) for r in meet.collect()}
+    assert set(block) == {a for m in of.values() for a in m} and len(set(block.values())) == 2
+    assert all((min(block[a], block[b]), max(block[a], block[b])) in pairs for m in of.values() for a in m for b in m)
+
+
 def test_line_dedup(spark):
     rows = [(i, f"s{i}", f"own line {i}\n  all have this \n") for i in range(6)] + [(9, "s9", "all have this"), (10, None, None)]
     got = {r.doc_id: (r.text, r.n_removed) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, source string, text string"), min_sites=5).collect()}
