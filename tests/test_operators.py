@@ -540,6 +540,15 @@ def test_classifier_on_edges(spark):
     assert signals[1].vocabulary_diversity == 0 and signals[1].abstractness_score == 0.5 and signals[4].abstractness_score == 1.0
 
 
+def test_classifier_takes_long_texts_whole(spark):
+    """A text was cut at 128,000 characters, which SQL doesn't know of; a score was rounded before it was divided by the words."""
+    docs = spark.createDataFrame([(1, "word. " * 30_000), (2, "matrix matrix matrix " + "x " * 472)], "doc_id long, text string")
+    got = {r.doc_id: r for r in K.classify(docs).collect()}
+    assert (got[1].words, got[1].chars, got[1].sentences) == (30_000, 180_000, 30_000)
+    one = docs.filter("doc_id = 2").select(K.full_score({K.N.WORDS: F.lit(475), "(?i)p": F.lit(1)}, [("p", 5.7)]).alias("s")).first().s
+    assert one == 5.7 * 100.0 / 475
+
+
 def test_answer_index(spark):
     rows = [("x", ["y", "x"], 1), ("Paris", ["Rome", "in paris"], 1), ("B", ["one", "two"], 1), ("D", ["one", "two"], 0), (None, ["a"], 0)]
     got = spark.createDataFrame([(a, c) for a, c, _ in rows], "a string, c array<string>").select(X.answer_index(F.col("a"), F.col("c"))).collect()
