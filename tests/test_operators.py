@@ -549,6 +549,12 @@ def test_classifier_takes_long_texts_whole(spark):
     assert one == 5.7 * 100.0 / 475
 
 
+def test_classifier_looks_beyond_the_first_characters(spark):
+    """Types were scored by the first 2,000 characters; the signs that follow counted for the two types that were best by them, if at all."""
+    docs = spark.createDataFrame([(1, "word " * 1000 + "Who is the person? Founded in 1900, the capital of it."), (2, "matrix " + "word " * 1000 + "def f(x): ```py\n")], "doc_id long, text string")
+    assert {r.doc_id: r.primary_type for r in K.classify(docs).collect()} == {1: "factual_qa", 2: "code_generation"}
+
+
 def test_answer_index(spark):
     rows = [("x", ["y", "x"], 1), ("Paris", ["Rome", "in paris"], 1), ("B", ["one", "two"], 1), ("D", ["one", "two"], 0), (None, ["a"], 0)]
     got = spark.createDataFrame([(a, c) for a, c, _ in rows], "a string, c array<string>").select(X.answer_index(F.col("a"), F.col("c"))).collect()
