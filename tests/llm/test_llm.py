@@ -146,6 +146,18 @@ def test_jaccard_small_homes_share_a_block(spark):
     assert all((min(block[a], block[b]), max(block[a], block[b])) in pairs for m in of.values() for a in m for b in m)
 
 
+def test_near_duplicate_stage_leaves_texts_where_they_are(spark):
+    """All texts were shuffled to drop rows that are repeated throughout."""
+    rows = [(1, "a b c d e f g", "en", "s", 13), (1, "a b c d e f g", "en", "s", 13), (2, "a b c d e f g", "en", "s", 13), (3, " ", "en", "s", 1), (3, " ", "en", "s", 1), (None, "x y", None, None, None), (None, "x y", None, None, None), (4, "other words", "en", "s", 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(map(str, [rows[0], rows[3], rows[3], rows[5], rows[7]]))
+    few = corpus_pipeline.near_duplicate_stage(spark, docs.dropDuplicates().filter("doc_id > 0"), "")
+    few.collect()
+    plan = few._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Exchange hashpartitioning(_row" not in plan and few.count() == 3
+
+
 def test_line_dedup(spark):
     rows = [(i, f"s{i}", f"own line {i}\n  all have this \n") for i in range(6)] + [(9, "s9", "all have this"), (10, None, None)]
     got = {r.doc_id: (r.text, r.n_removed) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, source string, text string"), min_sites=5).collect()}
